@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpecount, decontam, licenses, linededup, mixing, quality, wavelet
+from . import bpecount, chat, decontam, licenses, linededup, mixing, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark, sf_dir):
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(own.unionByName(spark.createDataFrame(chat.EXTRA, "conv_id long, turn long, role string, text string")))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality.score(_table(spark, sf_dir, "documents"))
 
@@ -45,9 +50,10 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_shards, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
+    "op1_chat_format": chat.DIGEST_SQL,
     "op6_line_dedup": linededup.REPORT_SQL,
     "op10_decontaminate": decontam.CONTAMINATION_SQL,
     "op8_mix_sources": mixing.PLAN_SQL,
