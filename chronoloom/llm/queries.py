@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpecount, chat, decontam, licenses, linededup, mixing, quality, wavelet
+from . import bpecount, chat, decontam, licenses, linededup, mixing, pii, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_token_shards(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_personal_data(spark, sf_dir):
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return linededup.report(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op1_chat_format": chat.DIGEST_SQL,
