@@ -84,7 +84,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE, REACH = 96, 48, 40
 HIDDEN, EMBED = 24, 12
 TRAIN_SPANS, EPOCHS, SEED = 3000, 6, 7
-MARGIN = 4.0
+MARGIN = 1.0
 MIN_DIGITS = (0, 4, 13, 9)
 
 
@@ -377,6 +377,8 @@ def model_spans(model: BiLstmCrf, texts: list[str], block: int = 512) -> list[li
                 kind, end = (path[i] - 1) // 2, i + 1
                 while end < len(path) and path[end] == path[i] + 1:
                     end += 1
+                while texts[k][a + end - 1].isspace() and end > i + 1:
+                    end -= 1
                 own = e[np.arange(i, end), path[i:end]]
                 rest = e[i:end].copy()
                 rest[np.arange(end - i), path[i:end]] = -np.inf

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpecount, chat, decontam, licenses, linededup, mixing, pii, quality, wavelet
+from . import bpecount, chat, decontam, jaccard, licenses, linededup, mixing, pii, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_personal_data(spark, sf_dir):
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return linededup.report(_table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op5_jaccard_join, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op1_chat_format": chat.DIGEST_SQL,
+    "op5_jaccard_join": jaccard.CLASSES_SQL,
     "op6_line_dedup": linededup.REPORT_SQL,
     "op10_decontaminate": decontam.CONTAMINATION_SQL,
     "op8_mix_sources": mixing.PLAN_SQL,
