@@ -1,0 +1 @@
+"""Analytics for append-only session event logs, as Spark DataFrame plans."""
