@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import inspection
+from .plans import alignments, inspection, sequences
 
-MODULES = (inspection,)
+MODULES = (inspection, sequences, alignments)
 
 
 def queries() -> dict:
