@@ -130,8 +130,8 @@ def best_coverage(events: DataFrame, spans: tuple[int, ...] = (3, 4, 6, 8, 12))
 def longest_shared_run(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """For pairs (a, b) of sessions: the longest run of equal marks, by islands on diagonals.
 
-    pairs is small by contract (the first sessions by id): equal marks of two
-    sessions are joined, so cost is the number of equal positions of the pairs."""
+    Equal marks of the two sessions of a pair are joined, so cost is the number
+    of equal positions of the given pairs."""
     left = pairs.join(events.select(F.col("session_id").alias("a"), F.col("pos").alias("i"), F.col("mark").alias("m")), "a")
     both = left.join(events.select(F.col("session_id").alias("b"), F.col("pos").alias("j"), F.col("mark").alias("m")), ["b", "m"])
     diagonal = Window.partitionBy("a", "b", F.col("i") - F.col("j")).orderBy("i")
@@ -139,7 +139,14 @@ def longest_shared_run(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(runs, ["a", "b"], "left").groupBy("a", "b").agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
 
 
-def first_pairs(events: DataFrame, n: int) -> DataFrame:
-    """Pairs a < b of the first n sessions by id: a stated bound of the pair searches."""
-    first = events.select("session_id").distinct().orderBy("session_id").limit(n)
+def adjacent_pairs(events: DataFrame) -> DataFrame:
+    """(a, b): each session and the next one by id, so pair searches cover all
+    sessions at a cost that is linear in their number."""
+    sessions = events.select(F.col("session_id").alias("a")).distinct()
+    return sessions.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b is not null")  # one row a session
+
+
+def all_pairs(events: DataFrame) -> DataFrame:
+    """(a, b) with a < b: all pairs of a set of sessions that the caller has bounded (a corpus of at most 64)."""
+    first = events.select("session_id").distinct()
     return first.select(F.col("session_id").alias("a")).join(first.select(F.col("session_id").alias("b")), F.col("a") < F.col("b"))

@@ -8,25 +8,21 @@ from ..operators import align as A
 from ..operators import sequence as Q
 from .sequences import _COUNTS, _E, PAIRS_SQL, events, rounded, windows_sql
 
-K, SESSIONS, TOP = 4, 4, 5
+K, TOP = 4, 5
 FIGURES = ("event_norm", "timing_cost", "timing_norm", "total")
 
 
-def _first(e, n):
-    return e.join(F.broadcast(e.select("session_id").distinct().orderBy("session_id").limit(n)), "session_id")
-
-
 def _top(found, *within):
     return rounded(A.ranked(found, *within).where(F.col("rank") <= TOP).drop("a_marks", "b_marks"), *FIGURES)
 
 
 def top_pairs(s, d):
-    return _top(A.self_pairs(Q.windows(_first(events(s, d), 8), K), K), "session_id")
+    return _top(A.self_pairs(Q.windows(events(s, d), K), K), "session_id")
 
 
 def top_varied_pairs(s, d):
     """Only windows of more than two different marks."""
-    w = Q.windows(_first(events(s, d), 8), K).where(~Q.degenerate())
+    w = Q.windows(events(s, d), K).where(~Q.degenerate())
     return _top(A.self_pairs(w, K), "session_id")
 
 
@@ -35,8 +31,8 @@ def neighbours(s, d):
 
 
 def _cross(s, d, k=K):
-    e = _first(events(s, d), SESSIONS)
-    return e, A.cross_pairs(Q.windows(e, k), Q.first_pairs(e, SESSIONS), k)
+    e = events(s, d)
+    return e, A.cross_pairs(Q.windows(e, k), Q.adjacent_pairs(e), k)
 
 
 def cross_pairs(s, d):
@@ -126,26 +122,24 @@ def dp_sql(source: str, keep: list[str], k: int, name: str = "al") -> str:
 
 
 _KEEP = ["session_id", "a_start", "b_start", "a_marks", "b_marks"]
-_FIRST8 = "fs AS (SELECT DISTINCT session_id FROM ev ORDER BY 1 LIMIT 8)"
 _FIG = "matches, substitutions, deletions, insertions, timed_pairs, event_cost, round(timing_cost, 9) AS timing_cost, round(event_norm, 9) AS event_norm, round(timing_norm, 9) AS timing_norm, round(total, 9) AS total"
 
 
-def _self(where: str, k: int = K, first: str = "") -> str:
-    return f"{_E}, {_FIRST8}, {windows_sql(k)}, pr AS (SELECT x.session_id, x.start AS a_start, y.start AS b_start, x.marks AS a_marks, y.marks AS b_marks, x.gaps AS a_gaps, y.gaps AS b_gaps FROM wn x JOIN wn y ON x.session_id = y.session_id AND {where} {first}), {dp_sql('pr', _KEEP, k)}"
+def _self(where: str, k: int = K) -> str:
+    return f"{_E}, {windows_sql(k)}, pr AS (SELECT x.session_id, x.start AS a_start, y.start AS b_start, x.marks AS a_marks, y.marks AS b_marks, x.gaps AS a_gaps, y.gaps AS b_gaps FROM wn x JOIN wn y ON x.session_id = y.session_id AND {where}), {dp_sql('pr', _KEEP, k)}"
 
 
 def _ranked(within: str, keep: str) -> str:
     return f"SELECT {keep}, {_FIG}, rank FROM (SELECT *, row_number() OVER (PARTITION BY {within} ORDER BY total, a_start, b_start) AS rank FROM al) WHERE rank <= {TOP}"
 
 
-_ONLY8 = "WHERE x.session_id IN (SELECT session_id FROM fs)"
-_CROSS = f"{_E}, {PAIRS_SQL.format(n=SESSIONS)}, {windows_sql(K)}, pr AS (SELECT fp.a, fp.b, x.start AS a_start, y.start AS b_start, x.marks AS a_marks, y.marks AS b_marks, x.gaps AS a_gaps, y.gaps AS b_gaps FROM fp JOIN wn x ON x.session_id = a JOIN wn y ON y.session_id = b), {dp_sql('pr', ['a', 'b', 'a_start', 'b_start', 'a_marks', 'b_marks'], K)}"
+_CROSS = f"{_E}, {PAIRS_SQL}, {windows_sql(K)}, pr AS (SELECT fp.a, fp.b, x.start AS a_start, y.start AS b_start, x.marks AS a_marks, y.marks AS b_marks, x.gaps AS a_gaps, y.gaps AS b_gaps FROM fp JOIN wn x ON x.session_id = a JOIN wn y ON y.session_id = b), {dp_sql('pr', ['a', 'b', 'a_start', 'b_start', 'a_marks', 'b_marks'], K)}"
 _BEST50 = f"{_CROSS}, {_COUNTS}, tt AS (SELECT session_id, sum(n) AS total FROM mc GROUP BY ALL), bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY total, a_start, b_start) AS rank FROM al) WHERE rank <= 50), po AS (SELECT a, b, a_start, b_start, unnest(range(1, {K} + 1)) AS i, a_marks, b_marks FROM bs), pc AS (SELECT po.*, a_marks[i] AS m, a_marks[i] = b_marks[i] AS ag, list_position(a_marks, a_marks[i]) = i AS fo, coalesce(x.n, 1) AS na, coalesce(y.n, 1) AS nb, ta.total AS ta, tb.total AS tb FROM po JOIN tt ta ON ta.session_id = a JOIN tt tb ON tb.session_id = b LEFT JOIN mc x ON x.session_id = a AND x.mark = a_marks[i] LEFT JOIN mc y ON y.session_id = b AND y.mark = a_marks[i])"
 _R1 = "coalesce(sum(-ln((na + nb)::DOUBLE / (ta + tb))) FILTER (WHERE ag), 0)"
 
 ORACLE_SQL = {
-    "q02_top_pairs": f"{_self(f'y.start >= x.start + {K}', first=_ONLY8)} {_ranked('session_id', 'session_id, a_start, b_start')}",
-    "q02_top_varied_pairs": f"{_self(f'y.start >= x.start + {K} AND len(list_distinct(x.marks)) > 2 AND len(list_distinct(y.marks)) > 2', first=_ONLY8)} {_ranked('session_id', 'session_id, a_start, b_start')}",
+    "q02_top_pairs": f"{_self(f'y.start >= x.start + {K}')} {_ranked('session_id', 'session_id, a_start, b_start')}",
+    "q02_top_varied_pairs": f"{_self(f'y.start >= x.start + {K} AND len(list_distinct(x.marks)) > 2 AND len(list_distinct(y.marks)) > 2')} {_ranked('session_id', 'session_id, a_start, b_start')}",
     "q03_neighbours": f"{_self(f'x.start = 0 AND abs(y.start - x.start) >= {K}')} {_ranked('session_id', 'session_id, a_start, b_start')}",
     "q04_cross_pairs": f"{_CROSS} {_ranked('a, b', 'a, b, a_start, b_start')}",
     "q04_cross_totals": f"{_CROSS} SELECT a, b, count(*) AS pairs, round(sum(total), 6) AS total, round(min(total), 9) AS best, sum(matches)::BIGINT AS matches, sum(substitutions)::BIGINT AS substitutions, sum(deletions)::BIGINT AS deletions, sum(insertions)::BIGINT AS insertions, sum(timed_pairs)::BIGINT AS timed_pairs FROM al GROUP BY a, b",

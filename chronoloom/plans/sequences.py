@@ -46,17 +46,24 @@ QUERIES = {
     "a29_structure": lambda s, d: rounded(Q.structure(events(s, d)), "immediate_repetition", "mean_run_length", "entropy_ratio"),
     "a27_repeated_grams": lambda s, d: Q.repeated_grams(events(s, d), 4),
     "a32_best_coverage": lambda s, d: Q.best_coverage(events(s, d)),
-    "q16_longest_shared_run": lambda s, d: Q.longest_shared_run(e := events(s, d), Q.first_pairs(e, 8)),
+    "q16_longest_shared_run": lambda s, d: Q.longest_shared_run(e := events(s, d), Q.adjacent_pairs(e)),
 }
 
 _W = f"WITH {LEDGER_SQL}"
 EVENTS_SQL = """ev AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY sequence) - 1 AS pos, sequence, mark, (epoch_ns - origin) // 1000000 AS offset_ms, greatest(step, 0) // 1000000 AS gap_ms, coalesce(step < 0, false) AS clamped
 FROM (SELECT *, epoch_ns - lag(epoch_ns) OVER (PARTITION BY session_id ORDER BY sequence) AS step, 'v' || version || ':' || kind || coalesce('/' || tool_name, '') AS mark FROM (SELECT *, min(epoch_ns) OVER (PARTITION BY session_id) AS origin FROM ledger) WHERE channel = 'observed'))"""
 _E = f"{_W}, {EVENTS_SQL}"
-_NS = WIDTH * 1_000_000
-_AXIS = f"ax AS (SELECT session_id, min(epoch_ns) AS origin_ns, (max(epoch_ns) - min(epoch_ns)) // 1000000 AS span_ms, (max(epoch_ns) - min(epoch_ns)) // {_NS} + 1 AS buckets, ((max(epoch_ns) - min(epoch_ns)) // 1000000) % {WIDTH} AS final_bucket_observed_ms FROM ledger GROUP BY session_id)"
 _BYTES = "CASE WHEN kind = 'tool_succeeded' OR (version = 1 AND kind = 'observed_tool_finished') THEN strlen(replace(props, ' ', '')) END"
-_DENSE = f"""{_AXIS}, bk AS (SELECT l.*, (epoch_ns - origin_ns) // {_NS} AS bucket FROM ledger l JOIN ax USING (session_id)),
+
+
+def axis_sql(width: int) -> str:
+    ns = width * 1_000_000
+    return f"ax AS (SELECT session_id, min(epoch_ns) AS origin_ns, (max(epoch_ns) - min(epoch_ns)) // 1000000 AS span_ms, (max(epoch_ns) - min(epoch_ns)) // {ns} + 1 AS buckets, ((max(epoch_ns) - min(epoch_ns)) // 1000000) % {width} AS final_bucket_observed_ms FROM ledger GROUP BY session_id)"
+
+
+def dense_sql(width: int) -> str:
+    ns = width * 1_000_000
+    return f"""{axis_sql(width)}, bk AS (SELECT l.*, (epoch_ns - origin_ns) // {ns} AS bucket FROM ledger l JOIN ax USING (session_id)),
 sp AS (SELECT session_id, bucket, dimension, count(*)::DOUBLE AS value FROM (SELECT session_id, bucket, unnest(['records', 'channel:' || channel, 'kind:v' || version || ':' || kind, 'tool_name:' || tool_name]) AS dimension FROM bk) WHERE dimension IS NOT NULL GROUP BY ALL
 UNION ALL SELECT session_id, bucket, 'distinct_correlation_ids', count(DISTINCT (version, corr_id)) FILTER (WHERE corr_id IS NOT NULL)::DOUBLE FROM bk GROUP BY ALL HAVING count(corr_id) > 0
 UNION ALL SELECT session_id, bucket, 'recorded_response_json_bytes', sum({_BYTES})::DOUBLE FROM bk GROUP BY ALL HAVING sum({_BYTES}) > 0),
@@ -64,6 +71,9 @@ dn AS (SELECT g.session_id, g.dimension, g.bucket, coalesce(value, 0.0) AS value
 st AS (SELECT session_id, dimension, sum(value) AS sum, avg(value) AS mean, stddev_pop(value) AS stddev, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value <> 0) AS nonzero_buckets, min(value) = max(value) AS constant FROM dn GROUP BY ALL)"""
 
 
+_AXIS, _DENSE = axis_sql(WIDTH), dense_sql(WIDTH)
+
+
 def windows_sql(k: int, name: str = "wn") -> str:
     return f"{name} AS (SELECT * FROM (SELECT session_id, pos AS start, list(mark) OVER w AS marks, list(gap_ms) OVER w AS gaps FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)) WHERE len(marks) = {k})"
 
@@ -72,7 +82,7 @@ _COUNTS = "mc AS (SELECT session_id, mark, count(*) AS n FROM ev GROUP BY ALL)"
 _PAIRS = "tr AS (SELECT session_id, source, target, count(*) AS n FROM (SELECT session_id, lag(mark) OVER (PARTITION BY session_id ORDER BY pos) AS source, mark AS target FROM ev) WHERE source IS NOT NULL GROUP BY ALL)"
 _QUANTILES = ", ".join(f"round(quantile_cont(n, {k / 10}), 9) AS d{k}" for k in range(11))
 _SPANS = (3, 4, 6, 8, 12)
-PAIRS_SQL = "fp AS (SELECT x.session_id AS a, y.session_id AS b FROM (SELECT DISTINCT session_id FROM ev ORDER BY 1 LIMIT {n}) x JOIN (SELECT DISTINCT session_id FROM ev ORDER BY 1 LIMIT {n}) y ON x.session_id < y.session_id)"
+PAIRS_SQL = "fp AS (SELECT * FROM (SELECT session_id AS a, lead(session_id) OVER (ORDER BY session_id) AS b FROM (SELECT DISTINCT session_id FROM ev)) WHERE b IS NOT NULL)"
 
 
 def _tv(source: str, keys: str, share: str) -> str:
@@ -97,5 +107,5 @@ ORACLE_SQL = {
     "a29_structure": f"{_E}, {_COUNTS}, {_PAIRS}, r AS (SELECT session_id, avg(same::INT) AS rep, count(*) / (1 + count(*) FILTER (WHERE NOT same)) AS run FROM (SELECT session_id, mark = lag(mark) OVER (PARTITION BY session_id ORDER BY pos) AS same FROM ev) GROUP BY ALL), h1 AS (SELECT session_id, sum(-p * ln(p)) AS h FROM (SELECT session_id, n / sum(n) OVER (PARTITION BY session_id) AS p FROM mc) GROUP BY ALL), h2 AS (SELECT session_id, sum(-p * ln(p)) AS h FROM (SELECT session_id, n / sum(n) OVER (PARTITION BY session_id) AS p FROM tr) GROUP BY ALL) SELECT session_id, round(rep, 9) AS immediate_repetition, round(run, 9) AS mean_run_length, round(CASE WHEN h1.h > 0 THEN h2.h / (2 * h1.h) END, 9) AS entropy_ratio FROM r JOIN h1 USING (session_id) JOIN h2 USING (session_id)",
     "a27_repeated_grams": f"{_E}, {windows_sql(4)}, g AS (SELECT session_id, marks, unnest(l) AS s FROM (SELECT session_id, marks, list(start) AS l FROM wn GROUP BY session_id, marks HAVING count(*) > 1)) SELECT session_id, count(DISTINCT marks) AS repeated_grams, count(DISTINCT p) AS positions FROM (SELECT session_id, marks, unnest(range(s, s + 4)) AS p FROM g) GROUP BY session_id",
     "a32_best_coverage": f"{_E}, {', '.join(windows_sql(k, f'w{k}') for k in _SPANS)} SELECT k, max(n) AS best_sessions, count(*) FILTER (WHERE n > 1) AS shared_grams, count(*) AS grams FROM ({' UNION ALL '.join(f'SELECT {k} AS k, marks, count(DISTINCT session_id) AS n FROM w{k} GROUP BY marks' for k in _SPANS)}) GROUP BY k",
-    "q16_longest_shared_run": f"{_E}, {PAIRS_SQL.format(n=8)}, m AS (SELECT a, b, x.pos AS i, x.pos - y.pos AS d, x.pos - row_number() OVER (PARTITION BY a, b, x.pos - y.pos ORDER BY x.pos) AS isl FROM fp JOIN ev x ON x.session_id = a JOIN ev y ON y.session_id = b AND y.mark = x.mark) SELECT a, b, coalesce(max(n), 0) AS longest FROM fp LEFT JOIN (SELECT a, b, d, isl, count(*) AS n FROM m GROUP BY ALL) USING (a, b) GROUP BY a, b",
+    "q16_longest_shared_run": f"{_E}, {PAIRS_SQL}, m AS (SELECT a, b, x.pos AS i, x.pos - y.pos AS d, x.pos - row_number() OVER (PARTITION BY a, b, x.pos - y.pos ORDER BY x.pos) AS isl FROM fp JOIN ev x ON x.session_id = a JOIN ev y ON y.session_id = b AND y.mark = x.mark) SELECT a, b, coalesce(max(n), 0) AS longest FROM fp LEFT JOIN (SELECT a, b, d, isl, count(*) AS n FROM m GROUP BY ALL) USING (a, b) GROUP BY a, b",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignments, inspection, sequences
+from .plans import alignments, inspection, sequences, statistics
 
-MODULES = (inspection, sequences, alignments)
+MODULES = (inspection, sequences, alignments, statistics)
 
 
 def queries() -> dict:
