@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignments, inspection, sequences, statistics
+from .plans import alignments, corpus, inspection, sequences, statistics
 
-MODULES = (inspection, sequences, alignments, statistics)
+MODULES = (inspection, sequences, alignments, statistics, corpus)
 
 
 def queries() -> dict:
