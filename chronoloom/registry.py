@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignments, corpus, inspection, sequences, statistics
+from .plans import alignments, corpus, inspection, sequences, sources, statistics
 
-MODULES = (inspection, sequences, alignments, statistics, corpus)
+MODULES = (inspection, sequences, alignments, statistics, corpus, sources)
 
 
 def queries() -> dict:
