@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitsets
 from . import textkit as tk
 from .common import id_and_text, written
 
@@ -425,6 +426,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block_shi
     blocks = members.groupBy("canopy").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     members = written(members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), "text")
+    texts = bitsets.maybe_in(texts, "_id", bitsets.of_ids(members.select("_id")))  # texts of no canopy aren't shuffled
 
     def first_round(g):
         own: dict[int, np.ndarray] = {}

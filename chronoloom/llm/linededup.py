@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, marked, packed, places, size_for, unpacked
 from .common import id_and_text
 
 MIN_CHARS = 10
-BITS_PER_LINE, MAX_BITS = 16, 1 << 28
-SEGMENT_BITS = 1 << 16
+BITS_PER_LINE = BITS_PER_ITEM
 LAST_ID = (1 << 63) - 1  # stands for a null id
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
@@ -58,19 +58,9 @@ def _second(texts: tk.Texts, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return tk.mix(tk.segment_hashes(255 - texts.buf, first, last) * np.uint64(0xA24BAED4963EE407))
 
 
-def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def _marked(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bits(h, len(flags))
-    return flags[a] & flags[b]
-
-
 def _filter_size(rows: DataFrame, bits_per_line: int, max_bits: int) -> int:
     n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    return min(max_bits, max(SEGMENT_BITS, 1 << int(n * bits_per_line - 1).bit_length()))
+    return size_for(n, bits_per_line, max_bits)
 
 
 def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
@@ -85,19 +75,19 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 key, _ = tk.keyed(h[long], row, texts.rows)
                 _, at = np.unique(key, return_index=True)  # once for each row
                 kinds, n = np.unique(h[long][at], return_counts=True)
-                again = kinds[(n > 1) | _marked(once, kinds)]
+                again = kinds[(n > 1) | marked(once, kinds)]
                 for own, flags in ((again, twice), (kinds, once)):
-                    for place in _bits(own, bits):
-                        flags[place] = True
+                    for at in places(own, bits):
+                        flags[at] = True
         for s in range(0, bits, SEGMENT_BITS):
             if once[s : s + SEGMENT_BITS].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s // SEGMENT_BITS], pa.int32()), "once": pa.array([_packed(once[s : s + SEGMENT_BITS])], pa.binary()), "twice": pa.array([_packed(twice[s : s + SEGMENT_BITS])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s // SEGMENT_BITS], pa.int32()), "once": pa.array([packed(once[s : s + SEGMENT_BITS])], pa.binary()), "twice": pa.array([packed(twice[s : s + SEGMENT_BITS])], pa.binary())})
 
     def merge(batches):
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for s, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = _unpacked(a), _unpacked(b)
+                a, b = unpacked(a), unpacked(b)
                 if s in held:
                     once, twice = held[s]
                     twice |= b | (once & a)
@@ -106,41 +96,27 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                     held[s] = [a, b]
         for s, (_, twice) in held.items():
             if twice.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "twice": pa.array([_packed(twice)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "twice": pa.array([packed(twice)], pa.binary())})
 
     parts = rows.mapInArrow(fill, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary")
     flags = np.zeros(bits, bool)
     for r in parts.toLocalIterator():  # max_bits / 8 bytes in all
-        flags[r.segment * SEGMENT_BITS : (r.segment + 1) * SEGMENT_BITS] = _unpacked(r.twice)
-    return flags
-
-
-def _packed(flags: np.ndarray) -> bytes:
-    """A segment as set positions while that is shorter, else as bits."""
-    at = np.flatnonzero(flags)
-    return b"p" + at.astype(np.uint16).tobytes() if 2 * len(at) < len(flags) // 8 else b"b" + np.packbits(flags).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    if data[:1] == b"b":
-        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
-    flags = np.zeros(SEGMENT_BITS, bool)
-    flags[np.frombuffer(data, np.uint16, offset=1)] = True
+        flags[r.segment * SEGMENT_BITS : (r.segment + 1) * SEGMENT_BITS] = unpacked(r.twice)
     return flags
 
 
 def repeated_lines(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
     """(id, drop): for each document id the hashes of keys whose lines it loses."""
     bits = _filter_size(rows, bits_per_line, max_bits)
-    packed = rows.sparkSession.sparkContext.broadcast(np.packbits(twice_seen(rows, bits, min_chars)))
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(twice_seen(rows, bits, min_chars)))
     state: dict = {}
 
     def suspect(batch: pa.RecordBatch):
         if "flags" not in state:
-            state["flags"] = np.unpackbits(packed.value).astype(bool)
+            state["flags"] = np.unpackbits(sent.value).astype(bool)
         for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
             *_, bounds, h, long, (first, last) = line_keys(texts, min_chars)
-            at = np.flatnonzero(long & _marked(state["flags"], h))
+            at = np.flatnonzero(long & marked(state["flags"], h))
             row = tk.row_of(bounds)[at]
             key, _ = tk.keyed(h[at], row, texts.rows)
             at, row = (x[np.unique(key, return_index=True)[1]] for x in (at, row))
