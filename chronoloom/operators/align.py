@@ -46,7 +46,7 @@ def layers(k: int) -> list[dict[str, str]]:
             same, time = f"a_{i} = b_{j}", f"{TIMING_WEIGHT}D * {timing_sql(f'x_{i}', f'y_{j}')}" if timed else "0.0D"
             first[f"p_{i}_{j}"] = f"CASE WHEN {same} THEN 0.0D ELSE {SUBSTITUTION}D END"
             first[f"q_{i}_{j}"] = time
-            by_diagonal, by_delete, by_insert = f"{diagonal['c']} + p_{i}_{j} + q_{i}_{j}", f"{delete['c']} + {GAP}D", f"{insert['c']} + {GAP}D"
+            by_diagonal, by_delete, by_insert = f"({diagonal['c']} + p_{i}_{j} + q_{i}_{j})", f"({delete['c']} + {GAP}D)", f"({insert['c']} + {GAP}D)"
             second[f"c_{i}_{j}"] = f"least({by_diagonal}, {by_delete}, {by_insert})"
             pick = lambda f, d, e, n, bd=by_diagonal, be=by_delete, bi=by_insert: f"CASE WHEN {bd} - least({be}, {bi}) <= {TOLERANCE}D THEN {d} WHEN {be} - {bi} <= {TOLERANCE}D THEN {e} ELSE {n} END"
             second[f"m_{i}_{j}"] = pick("m", f"{diagonal['m']} + CASE WHEN {same} THEN 1 ELSE 0 END", delete["m"], insert["m"])
@@ -106,10 +106,83 @@ def neighbours(windows: DataFrame, k: int, start: int = 0) -> DataFrame:
     return align(a.join(b, "session_id").where(F.abs(F.col("b_start") - F.col("a_start")) >= k), k)
 
 
-def cross_pairs(windows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """All pairs of windows of the sessions of each given pair (a, b): a search of
-    the size that the caller's pairs state."""
-    return align(pairs.join(_side(windows, "a"), "a").join(_side(windows, "b"), "b"), k)
+ALIGNED = "a string, b string, a_start int, b_start int, matches int, substitutions int, deletions int, insertions int, timed_pairs int, event_cost double, timing_cost double, event_norm double, timing_norm double, total double"
+
+
+def window_alignments(a, x, b, y, k: int) -> dict:
+    """The same programme for all pairs of windows of two sequences at once: each
+    cell is a matrix over (window of a, window of b).  Marks are integers."""
+    import numpy as np
+
+    shape = (len(a), len(b))
+    zero = np.zeros(shape)
+    edge = lambda i, j: {"c": np.full(shape, float(i + j)), "m": zero, "s": zero, "d": np.full(shape, float(i)), "i": np.full(shape, float(j)), "n": zero, "t": zero}
+    above = [edge(0, j) for j in range(k + 1)]
+    for i in range(1, k + 1):
+        row = [edge(i, 0)]
+        for j in range(1, k + 1):
+            same = a[:, i - 1][:, None] == b[:, j - 1][None, :]
+            timed = i > 1 and j > 1
+            time = TIMING_WEIGHT * np.minimum(1.0, np.abs(np.log((x[:, i - 1] + FLOOR_MS)[:, None] / (y[:, j - 1] + FLOOR_MS)[None, :])) / np.log(RATIO_FULL)) if timed else zero
+            diagonal, delete, insert = above[j - 1], above[j], row[j - 1]
+            by_diagonal, by_delete, by_insert = diagonal["c"] + np.where(same, 0.0, SUBSTITUTION) + time, delete["c"] + GAP, insert["c"] + GAP
+            first = by_diagonal - np.minimum(by_delete, by_insert) <= TOLERANCE
+            second = by_delete - by_insert <= TOLERANCE
+            pick = lambda d, e, n, f=first, g=second: np.where(f, d, np.where(g, e, n))
+            row.append({
+                "c": np.minimum(np.minimum(by_diagonal, by_delete), by_insert),
+                "m": pick(diagonal["m"] + same, delete["m"], insert["m"]),
+                "s": pick(diagonal["s"] + ~same, delete["s"], insert["s"]),
+                "d": pick(diagonal["d"], delete["d"] + 1, insert["d"]),
+                "i": pick(diagonal["i"], delete["i"], insert["i"] + 1),
+                "n": pick(diagonal["n"] + timed, delete["n"], insert["n"]),
+                "t": pick(diagonal["t"] + time, delete["t"], insert["t"]),
+            })
+        above = row
+    end = above[k]
+    event = SUBSTITUTION * end["s"] + GAP * (end["d"] + end["i"])
+    return {"matches": end["m"], "substitutions": end["s"], "deletions": end["d"], "insertions": end["i"], "timed_pairs": end["n"], "event_cost": event, "timing_cost": end["t"], "event_norm": event / k, "timing_norm": np.where(end["n"] > 0, end["t"] / (TIMING_WEIGHT * np.maximum(end["n"], 1)), 0.0), "total": (event + end["t"]) / (k + TIMING_WEIGHT * (k - 1))}
+
+
+def cross_pairs(sequences: DataFrame, pairs: DataFrame, k: int, top: int | None = None) -> DataFrame:
+    """Alignments of all pairs of windows of the sessions of each given pair (a, b), or
+    the first top of each pair's ranking.
+
+    sequences has session_id, marks and gaps (nulls.arrays).  A pair of sessions
+    is one row of work: its windows are aligned as matrices in an Arrow batch,
+    some hundred times faster than row by row in compiled columns, whose code
+    grows with k * k beyond what the JVM compiles."""
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb").repartition("a", "b")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        window = lambda v: np.lib.stride_tricks.sliding_window_view(np.asarray(v), k)
+        for batch in batches:
+            for a, b, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if len(ma) < k or len(mb) < k:
+                    continue
+                code = {m: i for i, m in enumerate(dict.fromkeys([*ma, *mb]))}
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = window_alignments(window([code[m] for m in ma]), window(np.array(ga, float)), window([code[m] for m in mb]), window(np.array(gb, float)), k)
+                n, m = found["total"].shape
+                keep = np.arange(n * m)
+                if top is not None:
+                    keep = np.argsort(found["total"].ravel(), kind="stable")[:top]  # ties by window positions
+                ints = ("matches", "substitutions", "deletions", "insertions", "timed_pairs")
+                columns = {"a": [a] * len(keep), "b": [b] * len(keep), "a_start": keep // m, "b_start": keep % m} | {c: v.ravel()[keep] for c, v in found.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) if c in "ab" else pa.array(np.asarray(v).astype(np.int32)) if c.endswith("start") or c in ints else pa.array(v) for c, v in columns.items()], names=list(columns))
+
+    return rows.mapInArrow(run, ALIGNED)
+
+
+def with_marks(aligned: DataFrame, windows: DataFrame) -> DataFrame:
+    """Adds a_marks and b_marks to pairs of windows by their positions."""
+    for s in "ab":
+        aligned = aligned.join(windows.select(F.col("session_id").alias(s), F.col("start").alias(f"{s}_start"), F.col("marks").alias(f"{s}_marks")), [s, f"{s}_start"])
+    return aligned
 
 
 def ranked(aligned: DataFrame, *within: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align as A
+from ..operators import nulls as N
 from ..operators import sequence as Q
 from .sequences import _COUNTS, _E, PAIRS_SQL, events, rounded, windows_sql
 
@@ -30,13 +31,13 @@ def neighbours(s, d):
     return _top(A.neighbours(Q.windows(events(s, d), K), K), "session_id")
 
 
-def _cross(s, d, k=K):
+def _cross(s, d, top=None):
     e = events(s, d)
-    return e, A.cross_pairs(Q.windows(e, k), Q.adjacent_pairs(e), k)
+    return e, A.cross_pairs(N.arrays(e), Q.adjacent_pairs(e), K, top)
 
 
 def cross_pairs(s, d):
-    return _top(_cross(s, d)[1], "a", "b")
+    return rounded(A.ranked(_cross(s, d, TOP)[1], "a", "b"), *FIGURES)
 
 
 def cross_totals(s, d):
@@ -45,25 +46,24 @@ def cross_totals(s, d):
     return f.withColumns({"total": F.round("total", 6), "best": F.round("best", 9)})
 
 
+def _best(s, d, n=50):
+    e, found = _cross(s, d, n)
+    return A.with_counts(A.with_marks(found, Q.windows(e, K)), e)
+
+
 def scored(s, d):
-    e, found = _cross(s, d)
-    best = A.ranked(found, "a", "b").where(F.col("rank") <= 50)
-    return rounded(A.score(A.with_counts(best, e)).select("a", "b", "a_start", "b_start", *A.scores()), *A.scores())
+    return rounded(A.score(_best(s, d)).select("a", "b", "a_start", "b_start", *A.scores()), *A.scores())
 
 
 def surprisals(s, d):
-    e, found = _cross(s, d)
-    best = A.ranked(found, "a", "b").where(F.col("rank") <= 50)
-    return rounded(A.surprisal(A.with_counts(best, e).select("a", "b", "a_start", "b_start", "a_marks", "b_marks", "a_counts", "b_counts", "a_total", "b_total")).select("a", "b", "a_start", "b_start", "surprisal"), "surprisal")
+    return rounded(A.surprisal(_best(s, d).select("a", "b", "a_start", "b_start", "a_marks", "b_marks", "a_counts", "b_counts", "a_total", "b_total")).select("a", "b", "a_start", "b_start", "surprisal"), "surprisal")
 
 
 def complete_search(s, d):
     """Greedy selection of the ranking, then the largest pooled surprisal."""
-    e, found = _cross(s, d)
-    kept = A.without_overlaps(found, ["a", "b"], K, 5)
-    r1 = A.score(A.with_counts(kept, e), "r1_pooled_sum")
-    out = r1.groupBy("a", "b").agg(F.count("*").alias("kept"), F.max("r1_pooled_sum").alias("t"), F.slice(F.sort_array(F.collect_list(F.round("r1_pooled_sum", 9)), False), 1, 5).alias("top"))
-    return out.select("a", "b", "kept", F.round("t", 9).alias("t"), F.concat_ws(",", F.col("top").cast("array<string>")).alias("top"))
+    e = events(s, d)
+    found = N.searches(N.arrays(e), Q.adjacent_pairs(e), K, 0)
+    return found.select("a", "b", F.size("top").alias("kept"), F.round("t", 9).alias("t"), F.concat_ws(",", F.transform("top", lambda x: F.round(x, 9).cast("string"))).alias("top"))
 
 
 def timing(s, d):
