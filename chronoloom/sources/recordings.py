@@ -12,6 +12,7 @@ through, a sequence number that isn't the line number, another session.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,16 @@ TIME = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d{1,9})?([Zz]|[+-]\d\d:\d\d)$"
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of every *.ndjson file in a folder (files only, found by name)."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ndjson").load(path).select("path", "content")
+    """path, content of every *.ndjson file in a folder (files only, found by name).
+
+    Spark's file sources pass over empty files, which are complete recordings of
+    no records; they are added from the folder's listing."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ndjson").load(path).select("path", "content")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    empty = [(str(f.getPath()), bytearray()) for f in listed if f.isFile() and not f.getLen() and f.getPath().getName().endswith(".ndjson")]
+    return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
 
 
 def tails(files: DataFrame) -> DataFrame:
@@ -224,8 +233,6 @@ def ledger(files: DataFrame) -> DataFrame:
 
 def fingerprint(content: Column) -> Column:
     """FNV-1a, 64 bits, as 16 hex digits (Arrow batches: it needs wrapping arithmetic)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fnv(column: pd.Series) -> pd.Series:
         def one(data: bytes) -> str:
@@ -241,8 +248,6 @@ def fingerprint(content: Column) -> Column:
 
 def normal_bytes(json_text: Column) -> Column:
     """UTF-8 length of a JSON value with sorted keys and no spaces."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def size(column: pd.Series) -> pd.Series:
         import json
