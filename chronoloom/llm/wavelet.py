@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,11 @@ CACHE_PIECES = 1_500_000
 END_ID = 2
 #: UTF-8 of white space beyond ASCII; texts with it are encoded whole.
 WIDE_SPACE = tuple(c.encode() for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))) + tuple(bytes([c]) for c in range(0x1C, 0x20))
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[x[0] for x in WIDE_SPACE]] = True
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b",.")] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 SHARDS = "part int, seq int, first_id long, n_documents long, n_ids long, ids_before long, payload binary"
 
 
@@ -181,13 +187,19 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, twice as long or more if n entries wouldn't fit."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)])
+
+
 class Encoder:
     """Ids of texts as the library gives them, each kind of piece encoded once.
 
     No token of the byte-level vocabulary's pattern goes on from other
-    characters into white space, so a text may be cut before each run of ASCII
-    white space; the ids of its pieces, one after the other, are its ids.  Texts
-    with special strings or other white space are encoded whole."""
+    characters into white space, or from a letter into a full stop or comma, so a
+    text may be cut before each run of ASCII white space and between ASCII
+    letters and these; the ids of its pieces, one after the other, are its ids.
+    Texts with special strings or other white space are encoded whole."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -196,18 +208,19 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.used = [0], 0
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.used = self.pieces = 0
 
     def _add(self, keys: list[int], pieces: list[str]) -> None:
-        for key, got in zip(keys, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.place[key] = len(self.starts) - 1
-            self.starts.append(self.used)
+        """Encodes new pieces and keeps their ids, one after the other."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        n = int(ends[-1])
+        self.ids, self.starts = _room(self.ids, self.used + n), _room(self.starts, self.pieces + len(got) + 1)
+        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), np.uint32, n)
+        self.starts[self.pieces + 1 : self.pieces + 1 + len(got)] = self.used + ends
+        self.place.update(zip(keys, range(self.pieces, self.pieces + len(got)), strict=True))
+        self.used, self.pieces = self.used + n, self.pieces + len(got)
 
     def encode(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and each row's number of ids."""
@@ -216,9 +229,9 @@ class Encoder:
             self.clear()
         space = tk.SPACE[buf]
         start = np.zeros(n, bool)
-        start[1:] = space[1:] & ~space[:-1]
+        start[1:] = (space[1:] & ~space[:-1]) | (_STOP[buf[1:]] & _LETTER[buf[:-1]])
         start[texts.offsets[:-1][texts.offsets[:-1] < texts.offsets[1:]]] = True
-        for odd in (*self.special, *WIDE_SPACE):
+        for odd in (*self.special, *(WIDE_SPACE if _WIDE_LEAD[buf].any() else ())):
             at = raw.find(odd)
             while at >= 0:  # the whole row becomes one piece
                 r = int(np.searchsorted(texts.offsets, at, "right")) - 1
@@ -234,8 +247,7 @@ class Encoder:
         if new:
             self._add([keys[k] for k in new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        bounds = np.asarray(self.starts)[np.concatenate([place, place + 1])].reshape(2, -1)
-        begin, length = bounds[0][inverse], (bounds[1] - bounds[0])[inverse]
+        begin, length = self.starts[place][inverse], (self.starts[place + 1] - self.starts[place])[inverse]
         total = np.cumsum(length)
         ids = self.ids[np.repeat(begin - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
         sums = np.concatenate([[0], total])
