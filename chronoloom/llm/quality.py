@@ -35,7 +35,7 @@ LETTER[0xC0:] = True  # lead bytes of multi-byte characters
 SHOUT[list(b"!?")] = True
 MIN_WORDS = 50
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shout", "n_lines", "n_distinct", "n_short")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shout", "n_lines", "n_distinct", "n_short", "n_lone")
 SCORE_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, posterior double, votes string"
 
 
@@ -61,6 +61,7 @@ def features(texts: tk.Texts) -> dict[str, np.ndarray]:
         for k in range(3):
             covered[twice + k] = True
     short = (ends - starts) <= 3
+    lone = (ends - starts == 1) & SYMBOLS[texts.buf[starts]]
     return {
         "n_words": np.diff(bounds),
         "word_chars": texts.per_row(~space & lead),
@@ -73,6 +74,7 @@ def features(texts: tk.Texts) -> dict[str, np.ndarray]:
         "n_lines": lines,
         "n_distinct": tk.distinct_per_row(h, row, n),
         "n_short": np.bincount(row[short], minlength=n),
+        "n_lone": np.bincount(row[lone], minlength=n),
     }
 
 
@@ -80,6 +82,7 @@ NEVER = -np.inf
 #: name -> (value of the features, good when at most, bad when at least); between the two a rule abstains.
 RULES = {
     "symbols": (lambda f, w: f["n_symbols"] / w, 0.02, 0.20),
+    "lone_symbols": (lambda f, w: f["n_lone"] / w, NEVER, 0.10),
     "letters": (lambda f, w: 1 - f["n_letters"] / np.maximum(f["word_chars"], 1), 0.08, 0.20),
     "duplicate_lines": (lambda f, w: f["n_dup_lines"] / np.maximum(f["n_lines"], 1), NEVER, 0.45),
     "repeated_words": (lambda f, w: f["n_repeat_words"] / w, 0.10, 0.45),
