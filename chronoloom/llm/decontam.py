@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import id_and_text, written
+from .common import id_and_text, small_batches, written
 
 WIDTH = 10
 BLOCK_WORDS = 2_000_000
@@ -175,7 +175,7 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs plus _n_words, _spans (flat word spans that are hit) and _items (ids that occur)."""
-    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    rows = small_batches(docs).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
     plain = docs.select(F.col(text).cast("string").alias("text"))
     if text != "text":
         raise ValueError("the text column must be called text")

@@ -7,11 +7,13 @@ found exactly:
 1. Equal sets are one node.
 2. Nodes are routed to *canopies* so that linked nodes meet in one.  Linked sets
    differ in at most H shingles, H following from their sizes; a set is dealt by
-   hash into m > H segments, the same m for all sets of a size band, so linked
-   sets have m - H equal segments, and the digests of equal segments bring them
-   together.  Light segments (empty ones, and at 85 percent and more those of
-   one shingle) say little and are left out by all sets that have fewer than
-   m - H of them, which loses no pair.
+   hash into m segments, the same m for all sets of a size band.  With m > H
+   linked sets have m - H equal segments; for large sets a smaller m leaves
+   some with all but certainty (see SIGMAS).  The digests of equal segments
+   bring sets together.  Light segments (empty ones, at 85 percent and more those of one
+   shingle, below that those of the corpus's most frequent shingles alone) say
+   little and are left out by all sets that have fewer of them than linked
+   sets have equal segments, which loses no pair.
    A canopy is a connected component of nodes that share digests.
 3. Each canopy gets a signature tree: leaves are nodes in an order that puts
    similar sets next to each other, every tree node holds the OR of its members'
@@ -48,6 +50,9 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5
 BLOCK_SHINGLES, PIVOTS = 1_000_000, 16
 BITS, FAN = 2048, 8
+HEAVY_DOCUMENTS, HEAVY_SHINGLES = 16, 1 << 20
+#: Deviations granted to the number of equal segments: a linked pair has fewer with a chance below 1e-9.
+SIGMAS = 6.5
 LAST_ID = (1 << 63) - 1
 
 
@@ -100,40 +105,60 @@ def least_weight(percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def band_segments(band: int, percent: int) -> tuple[int, int]:
-    """Segments m of a band, and the number m - H of them that linked sets share at least.
+    """Segments m of a band, and how many of them linked sets share at least.
 
     The smaller set of a pair is in the band, so the larger has at most
     100 / percent times the band's largest size."""
     low, high = band_limits(band)
     differ = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-    m = differ + 1
-    for _ in range(30):
+
+    def light(m: int) -> float:
         mean = (low + high) / 2 / m
-        light = m * math.exp(-mean) * (1 + mean * (least_weight(percent) > 1))
-        m = max(m, min(differ + 1 + math.ceil(light + 2 * math.sqrt(light)), 2 * differ + 2))
-    return m, m - differ
+        n = m * math.exp(-mean) * (1 + mean * (least_weight(percent) > 1))
+        return 1 + n + 2 * math.sqrt(n)
 
+    exact = differ + 1
+    for _ in range(30):
+        exact = max(exact, min(math.ceil(differ + light(exact)), 2 * differ + 2))
+    # Differences fall on segments at random: of m segments about m * exp(-H / m) stay
+    # equal, and SIGMAS deviations less all but surely.  Large sets do with fewer, longer ones.
+    for m in range(max(2, exact // 8), exact):
+        same = m * math.exp(-differ / m)
+        if (sure := same - SIGMAS * math.sqrt(same)) >= light(m):
+            return m, int(sure)
+    return exact, exact - differ
 
-def routing_keys(s: np.ndarray, percent: int) -> np.ndarray:
+
+def routing_keys(s: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """Digests of a set's segments, for its own band and, where a smaller partner
-    can be in the band below, for that one."""
+    can be in the band below, for that one.
+
+    A segment tells something when it holds least_weight shingles that aren't
+    heavy (a sorted array).  A set with fewer than m - H segments that tell
+    nothing gives only the others; one with fewer than m - H empty ones gives all
+    that aren't empty; any other gives all.  Of the m - H segments that a linked
+    pair shares at least, one is given by both in each case."""
     size, out = len(s), []
     own = band_of(size)
     bands = [b for b in range(own, -1, -1) if b == own or size * percent <= 100 * band_limits(b)[1]]
     salted = tk.mix(s + np.uint64(0x632BE59BD9B4E019))
+    light = np.ones(size, np.int64)
+    if heavy is not None and len(heavy):
+        light[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s] = 0
     for band in bands:
         m, shared = band_segments(band, percent)
         segment = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as s is
         first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         count = np.diff(np.append(first, size))
         digest = np.add.reduceat(salted, first) + tk.mix(segment[first] + np.uint64((band + 1) << 40)) + count.astype(np.uint64)
-        heavy = count >= least_weight(percent)
-        light = m - int(heavy.sum())
-        if light >= shared:
+        telling = np.add.reduceat(light, first) >= least_weight(percent)
+        if m - int(telling.sum()) < shared:
+            out.append(digest[telling])
+        elif m - len(first) < shared:
+            out.append(digest)
+        else:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[first])  # an empty segment equals an empty one
             out += [digest, tk.mix(empty + np.uint64((band + 1) << 40))]
-        else:
-            out.append(digest[heavy])
     return tk.mix(np.concatenate(out))
 
 
@@ -342,8 +367,39 @@ def _nodes(rows: DataFrame, words: int) -> DataFrame:
     return tk.map_batches(rows, "doc_id long, n_shingles long, node long", work)
 
 
+def heavy_shingles(rows: DataFrame, words: int, least: int = HEAVY_DOCUMENTS, most: int = HEAVY_SHINGLES) -> np.ndarray:
+    """The most frequent shingles: held by at least ``least`` different sets, at most
+    ``most`` of them (8 MB).  Tasks send those that they have seen twice; which
+    shingles count as heavy changes the cost of routing, never its result."""
+
+    def run(batches):
+        seen, held = set(), []
+        for batch in batches:
+            for _, _, texts in tk.slices(batch.column(1), lut=tk.LOWER):
+                for s in shingle_sets(texts, words):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        held.append(s)
+            if sum(map(len, held)) > 1_000_000 or len(seen) > 200_000:
+                yield from _twice(held)
+                held, _ = [], seen.clear()
+        yield from _twice(held)
+
+    counted = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = counted.orderBy(F.col("n").desc(), "h").limit(most)
+    return np.sort(np.fromiter((r.h for r in top.select("h").toLocalIterator()), np.int64).view(np.uint64))
+
+
+def _twice(held: list[np.ndarray]):
+    if held:
+        kinds, n = np.unique(np.concatenate(held), return_counts=True)
+        kinds, n = kinds[n > 1], n[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
 def _memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, node): the routing keys of all sets; copies within a task once."""
+    heavy = rows.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words) if least_weight(percent) == 1 else None)
 
     def run(batches):
         seen: set[int] = set()
@@ -353,10 +409,10 @@ def _memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 for s in shingle_sets(texts, words):
                     if not len(s) or (node := node_of(s)) in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
-                    keys.append(routing_keys(s, percent))
+                    keys.append(routing_keys(s, percent, heavy.value))
                     nodes.append(node)
                     counts.append(len(keys[-1]))
                 if keys:

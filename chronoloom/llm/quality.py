@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import id_and_text, small_batches
 
 GOOD, ABSTAIN, BAD = 1, 0, 2
 SYMBOLS = np.zeros(256, bool)
@@ -167,7 +168,7 @@ def fit_votes(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
                 seen[int(c)] = seen.get(int(c), 0) + int(k)
         return {"code": list(seen), "n": list(seen.values())}
 
-    rows = tk.map_batches(docs.select(F.col(text).cast("string").alias("text")), "code long, n long", count).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # at most 3**rules rows
+    rows = tk.map_batches(small_batches(docs).select(F.col(text).cast("string").alias("text")), "code long, n long", count).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # at most 3**rules rows
     v = np.array([[r.code // 3**j % 3 for j in range(len(RULES))] for r in rows], np.uint8).reshape(-1, len(RULES))
     return fit(v, np.array([r.n for r in rows], float))
 
@@ -189,7 +190,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
             f, v, p, failed, kept = _judge(texts, model, threshold, min_words)
             yield {"doc_id": batch.column(0).slice(i, j - i), "base_failed": failed, "kept": kept, "posterior": p, "votes": [bytes(r).decode() for r in letters[v]]} | {k: f[k] for k in FEATURES[:5]}
 
-    return tk.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), SCORE_SCHEMA, judge)
+    return tk.map_batches(id_and_text(docs, doc_id, text), SCORE_SCHEMA, judge)
 
 
 def keep(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words: int = MIN_WORDS) -> DataFrame:
