@@ -34,7 +34,7 @@ from .common import id_and_text, shared_dir
 MAGIC = b"CLWM0001"
 BLOCK = 512
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 700_000
 END_ID = 2
 #: UTF-8 of white space beyond ASCII; texts with it are encoded whole.
 WIDE_SPACE = tuple(c.encode() for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))) + tuple(bytes([c]) for c in range(0x1C, 0x20))
@@ -255,6 +255,12 @@ class Encoder:
         return ids, sums[cut[1:]] - sums[cut[:-1]]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder: what it has encoded serves the worker's next tasks too."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes the documents into shards under path, in ascending id order.
 
@@ -263,7 +269,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def shards(batches):
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = _encoder(vocabulary), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, ...]] = []
         seq = before = waiting = 0
 
