@@ -79,11 +79,10 @@ def transitions(events: DataFrame) -> DataFrame:
     return pairs.where("source is not null").groupBy("session_id", "source", "target").agg(F.count("*").alias("n"))
 
 
-def divergence(events: DataFrame) -> DataFrame:
-    """For each session against the next one by id: total variation of transitions
-    and of marks, the largest of a state's successors, and absent transitions."""
-    sessions = events.select("session_id").distinct()
-    follow = sessions.select(F.col("session_id").alias("a"), F.lead("session_id").over(Window.orderBy("session_id")).alias("b")).where("b is not null")  # one row a session
+def divergence(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """For each given pair (a, b), else each session and the next one by id: total variation
+    of transitions and of marks, the largest of a state's successors, and absent transitions."""
+    follow = adjacent_pairs(events) if pairs is None else pairs
     sides = follow.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("session_id"), F.lit(1).alias("first")), F.struct(F.col("b").alias("session_id"), F.lit(0).alias("first")))).alias("x")).select("a", "b", "x.*")
 
     def shares(rows: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
@@ -140,8 +139,7 @@ def longest_shared_run(events: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def adjacent_pairs(events: DataFrame) -> DataFrame:
-    """(a, b): each session and the next one by id, so pair searches cover all
-    sessions at a cost that is linear in their number."""
+    """(a, b): each session and the next one by id: every session, but few of the pairs."""
     sessions = events.select(F.col("session_id").alias("a")).distinct()
     return sessions.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b is not null")  # one row a session
 
@@ -150,3 +148,8 @@ def all_pairs(events: DataFrame) -> DataFrame:
     """(a, b) with a < b: all pairs of a set of sessions that the caller has bounded (a corpus of at most 64)."""
     first = events.select("session_id").distinct()
     return first.select(F.col("session_id").alias("a")).join(first.select(F.col("session_id").alias("b")), F.col("a") < F.col("b"))
+
+
+def corpus_pairs(events: DataFrame, admitted: DataFrame) -> DataFrame:
+    """(a, b) with a < b: all pairs of the admitted sessions (at most 64), and each session with the next one by id."""
+    return all_pairs(events.select("session_id").distinct().join(admitted, "session_id", "left_semi")).union(adjacent_pairs(events)).distinct()

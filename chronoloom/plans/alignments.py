@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import align as A
 from ..operators import nulls as N
 from ..operators import sequence as Q
-from .sequences import _COUNTS, _E, PAIRS_SQL, events, rounded, windows_sql
+from .sequences import _COUNTS, _E, PAIRS_SQL, events, pairs, rounded, windows_sql
 
 K, TOP = 4, 5
+SPANS = (3, 4, 5, 6)
 FIGURES = ("event_norm", "timing_cost", "timing_norm", "total")
 
 
@@ -40,10 +41,31 @@ def cross_pairs(s, d):
     return rounded(A.ranked(_cross(s, d, TOP)[1], "a", "b"), *FIGURES)
 
 
+def _corpus(s, d, top=None, add=lambda found, k: found):
+    """The cross search of each span of the corpus over all of its pairs."""
+    a, p, out = N.arrays(events(s, d)), pairs(s, d), None
+    for k in SPANS:
+        own = add(A.cross_pairs(a, p, k, top).withColumn("k", F.lit(k)), k)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def corpus_pairs(s, d):
+    return rounded(A.ranked(_corpus(s, d, TOP), "k", "a", "b"), *FIGURES)
+
+
+def _totals(found, *within):
+    f = found.groupBy(*within).agg(F.count("*").alias("pairs"), F.sum("total").alias("total"), F.min("total").alias("best"), *[F.sum(c).alias(c) for c in ("matches", "substitutions", "deletions", "insertions", "timed_pairs")])
+    return f.withColumns({"total": F.round("total", 6), "best": F.round("best", 9)})
+
+
 def cross_totals(s, d):
     """What the whole cross search sums to."""
-    f = _cross(s, d)[1].groupBy("a", "b").agg(F.count("*").alias("pairs"), F.sum("total").alias("total"), F.min("total").alias("best"), *[F.sum(c).alias(c) for c in ("matches", "substitutions", "deletions", "insertions", "timed_pairs")])
-    return f.withColumns({"total": F.round("total", 6), "best": F.round("best", 9)})
+    return _totals(_cross(s, d)[1], "a", "b")
+
+
+def corpus_totals(s, d):
+    return _totals(_corpus(s, d), "k", "a", "b")
 
 
 def _best(s, d, n=50):
@@ -51,18 +73,26 @@ def _best(s, d, n=50):
     return A.with_counts(A.with_marks(found, Q.windows(e, K)), e)
 
 
+def _corpus_best(s, d, n=50):
+    e = events(s, d)
+    return A.with_counts(_corpus(s, d, n, lambda found, k: A.with_marks(found, Q.windows(e, k))), e)
+
+
 def scored(s, d):
     return rounded(A.score(_best(s, d)).select("a", "b", "a_start", "b_start", *A.scores()), *A.scores())
 
 
+def corpus_scored(s, d):
+    return rounded(A.score(_corpus_best(s, d)).select("k", "a", "b", "a_start", "b_start", *A.scores()), *A.scores())
+
+
 def surprisals(s, d):
-    return rounded(A.surprisal(_best(s, d).select("a", "b", "a_start", "b_start", "a_marks", "b_marks", "a_counts", "b_counts", "a_total", "b_total")).select("a", "b", "a_start", "b_start", "surprisal"), "surprisal")
+    return rounded(A.surprisal(_corpus_best(s, d).select("k", "a", "b", "a_start", "b_start", "a_marks", "b_marks", "a_counts", "b_counts", "a_total", "b_total")).select("k", "a", "b", "a_start", "b_start", "surprisal"), "surprisal")
 
 
 def complete_search(s, d):
     """Greedy selection of the ranking, then the largest pooled surprisal."""
-    e = events(s, d)
-    found = N.searches(N.arrays(e), Q.adjacent_pairs(e), K, 0)
+    found = N.searches(N.arrays(events(s, d)), pairs(s, d), K, 0)
     return found.select("a", "b", F.size("top").alias("kept"), F.round("t", 9).alias("t"), F.concat_ws(",", F.transform("top", lambda x: F.round(x, 9).cast("string"))).alias("top"))
 
 
@@ -95,7 +125,10 @@ QUERIES = {
     "q03_neighbours": neighbours,
     "q04_cross_pairs": cross_pairs,
     "q04_cross_totals": cross_totals,
+    "q04_corpus_pairs": corpus_pairs,
+    "q04_corpus_totals": corpus_totals,
     "q09_scores": scored,
+    "q09_corpus_scores": corpus_scored,
     "q11_surprisal": surprisals,
     "q12_complete_search": complete_search,
     "m01_timing_term": timing,

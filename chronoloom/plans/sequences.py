@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import corpus as C
 from ..operators import sequence as Q
 from ..operators import signal as S
 from ..sources.events import LEDGER_SQL, ledger
@@ -21,6 +22,12 @@ def events(spark, sf_dir):
     return Q.project(ledger(spark, sf_dir))
 
 
+def pairs(spark, sf_dir):
+    """All pairs of the sessions that eligibility admits, and adjacent ones of all."""
+    led = ledger(spark, sf_dir)
+    return Q.corpus_pairs(Q.project(led), C.eligibility(C.actions(led), led).where("skipped is null"))
+
+
 def rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
@@ -43,10 +50,12 @@ QUERIES = {
     "a23_approaches": lambda s, d: rounded(Q.approaches(events(s, d)), "boundary", "max_margin"),
     "a24_transitions": lambda s, d: Q.transitions(events(s, d)),
     "a25_divergence": lambda s, d: rounded(Q.divergence(events(s, d)), "transition_tv", "max_state_tv", "marginal_tv"),
+    "a25_corpus_divergence": lambda s, d: rounded(Q.divergence(events(s, d), pairs(s, d)), "transition_tv", "max_state_tv", "marginal_tv"),
     "a29_structure": lambda s, d: rounded(Q.structure(events(s, d)), "immediate_repetition", "mean_run_length", "entropy_ratio"),
     "a27_repeated_grams": lambda s, d: Q.repeated_grams(events(s, d), 4),
     "a32_best_coverage": lambda s, d: Q.best_coverage(events(s, d)),
     "q16_longest_shared_run": lambda s, d: Q.longest_shared_run(e := events(s, d), Q.adjacent_pairs(e)),
+    "q16_corpus_shared_run": lambda s, d: Q.longest_shared_run(events(s, d), pairs(s, d)),
 }
 
 _W = f"WITH {LEDGER_SQL}"

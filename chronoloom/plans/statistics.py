@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lcg
 from ..operators import nulls as N
 from ..operators import profile as P
-from ..operators import sequence as Q
 from ..operators import signal as S
-from .sequences import _DENSE, _W, WIDTH, dense_sql, events, rounded, signal_ledger
+from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, signal_ledger
 
 PROFILE_WIDTH = 12_000_000
 REPLICATES = 19
@@ -35,23 +34,20 @@ def _sequences(s, d):
 
 
 def _calibration(s, d):
-    e = events(s, d)
-    found = N.tail(N.searches(N.arrays(e), Q.adjacent_pairs(e), 4, REPLICATES))
+    found = N.tail(N.searches(N.arrays(events(s, d)), pairs(s, d), 4, REPLICATES))
     names = [c for c in found.columns if c == "observed" or c[0] == "q" or c in ("tail", "null_max", "expected_early_stop")]
     return rounded(found.withColumn("top_exceedances", F.concat_ws(",", F.col("top_exceedances").cast("array<string>"))), *names)
 
 
 def _evidence(s, d):
-    e = events(s, d)
-    found = N.searches(N.arrays(e), Q.adjacent_pairs(e), 3, REPLICATES)
+    found = N.searches(N.arrays(events(s, d)), pairs(s, d), 3, REPLICATES)
     own = found.where("replicate < 0").select("a", "b", (F.col("t") / 20).alias("observed"))
     out = N.evidence(found.where("replicate >= 0").join(own, ["a", "b"]).select(F.concat_ws("|", "a", "b").alias("group"), "observed", (F.col("t") / 20).alias("sample")))
     return rounded(out.withColumn("histogram", F.concat_ws(",", F.col("histogram").cast("array<string>"))), *[c for c in out.columns if c not in ("group", "n", "histogram", "at_or_below")])
 
 
 def _selection(s, d):
-    e = events(s, d)
-    return rounded(N.selection_effect(N.searches(N.arrays(e), Q.adjacent_pairs(e), 4, REPLICATES)), "median_draw", "median_maximum")
+    return rounded(N.selection_effect(N.searches(N.arrays(events(s, d)), pairs(s, d), 4, REPLICATES)), "median_draw", "median_maximum")
 
 
 def _haar(s, d):
