@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcg
 
-KEEP = 5
+KEEP, BLOCK = 5, 50
 
 
 def arrays(events: DataFrame) -> DataFrame:
@@ -46,69 +46,87 @@ def replicates(sequences: DataFrame, construction: str, n: int, side: int = 0) -
     return rows.mapInArrow(run, rows.schema)
 
 
-def aligned_totals(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Totals of all pairs of windows of k events (marks as integers, gaps): len(a) x len(b)."""
-    from .align import FLOOR_MS, GAP, RATIO_FULL, SUBSTITUTION, TIMING_WEIGHT
+def timing_steps(ga: list, gb: list) -> np.ndarray:
+    """What aligning each event of one sequence with each of another costs by their gaps."""
+    from .align import FLOOR_MS, RATIO_FULL, TIMING_WEIGHT
 
-    shape = (len(a), len(b))
-    row = [np.full(shape, float(j)) for j in range(k + 1)]
     with np.errstate(invalid="ignore", divide="ignore"):
-        lx, ly = np.log(x + FLOOR_MS), np.log(y + FLOOR_MS)
+        lx, ly = np.log(np.asarray(ga, float) + FLOOR_MS), np.log(np.asarray(gb, float) + FLOOR_MS)
+    return TIMING_WEIGHT * np.minimum(1.0, np.abs(lx[:, None] - ly[None, :]) / math.log(RATIO_FULL))
+
+
+def aligned_totals(va: np.ndarray, vb: np.ndarray, timing: np.ndarray, k: int) -> np.ndarray:
+    """Totals of all pairs of windows of k events of two sequences (marks as integers)."""
+    from .align import GAP, SUBSTITUTION, TIMING_WEIGHT
+
+    # A step depends on the two events alone, so a cell's steps are a stretch of one matrix.
+    plain = np.where(va[:, None] == vb[None, :], 0.0, SUBSTITUTION)
+    timed = plain + timing
+    n, m = len(va) - k + 1, len(vb) - k + 1
+    row = [np.full((n, m), float(j)) for j in range(k + 1)]
     for i in range(k):
-        new = [np.full(shape, float(i + 1))]
+        new = [np.full((n, m), float(i + 1))]
         for j in range(k):
-            step = np.where(a[:, i][:, None] == b[:, j][None, :], 0.0, SUBSTITUTION)
-            if i and j:
-                step = step + TIMING_WEIGHT * np.minimum(1.0, np.abs(lx[:, i][:, None] - ly[:, j][None, :]) / math.log(RATIO_FULL))
-            new.append(np.minimum(np.minimum(row[j] + step, row[j + 1] + GAP), new[j] + GAP))
+            best = row[j] + (timed if i and j else plain)[i : i + n, j : j + m]
+            np.minimum(best, row[j + 1] + GAP, out=best)
+            new.append(np.minimum(best, new[j] + GAP, out=best))
         row = new
     return row[k] / (k + TIMING_WEIGHT * (k - 1))
 
 
-def complete_search(ma: list, ga: list, mb: list, gb: list, k: int, keep: int = KEEP) -> list[float]:
-    """Pooled surprisals of the pairs that a greedy pass along the ranking keeps, largest first."""
-    if len(ma) < k or len(mb) < k:
+def _search(va: np.ndarray, vb: np.ndarray, timing: np.ndarray, k: int, keep: int) -> list[float]:
+    if len(va) < k or len(vb) < k:
         return []
-    code = {m: i for i, m in enumerate(dict.fromkeys([*ma, *mb]))}
-    va, vb = np.array([code[m] for m in ma]), np.array([code[m] for m in mb])
-    window = lambda v: np.lib.stride_tricks.sliding_window_view(np.asarray(v), k)
-    a, b = window(va), window(vb)
-    total = np.round(aligned_totals(a, window(np.asarray(ga, float)), b, window(np.asarray(gb, float)), k), 12)
-    counts = np.bincount(va, minlength=len(code)) + np.bincount(vb, minlength=len(code))
-    surprise = -np.log(counts / (len(va) + len(vb)))
+    counts = np.bincount(np.concatenate([va, vb]))
+    with np.errstate(divide="ignore"):
+        surprise = -np.log(counts / (len(va) + len(vb)))
     # The greedy choice by repeated minimum: what overlaps a choice leaves the table.
-    out, left = [], total.copy()
+    out, left = [], np.round(aligned_totals(va, vb, timing, k), 12)
     while len(out) < keep:
         at = int(left.argmin())
         i, j = divmod(at, left.shape[1])
         if not np.isfinite(left[i, j]):
             break
-        agreed = a[i] == b[j]
-        out.append(float(surprise[a[i][agreed]].sum()))
+        a = va[i : i + k]
+        out.append(float(surprise[a[a == vb[j : j + k]]].sum()))
         left[max(0, i - k + 1) : i + k] = np.inf
         left[:, max(0, j - k + 1) : j + k] = np.inf
     return sorted(out, reverse=True)
 
 
-def searches(sequences: DataFrame, pairs: DataFrame, k: int, n: int, construction: str = "order") -> DataFrame:
-    """a, b, replicate (-1: observed), t, top: the complete search of each replicate.
+def _codes(ma: list, mb: list) -> dict:
+    return {m: i for i, m in enumerate(dict.fromkeys([*ma, *mb]))}
+
+
+def complete_search(ma: list, ga: list, mb: list, gb: list, k: int, keep: int = KEEP) -> list[float]:
+    """Pooled surprisals of the pairs that a greedy pass along the ranking keeps, largest first."""
+    code = _codes(ma, mb)
+    return _search(np.array([code[m] for m in ma], int), np.array([code[m] for m in mb], int), timing_steps(ga, gb), k, keep)
+
 
-    The observed pair and its nulls go through the same code."""
+def searches(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], n: int, construction: str = "order") -> DataFrame:
+    """a, b, k, replicate (-1: observed), t, top: the complete search of each span and replicate.
+
+    The observed pair and its nulls go through the same code.  A row of work is
+    up to BLOCK replicates of a pair, so that sequences are dealt out once a block."""
     make = CONSTRUCTIONS[construction]
     side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").crossJoin(sequences.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("replicate")))
-    rows = rows.select("a", "b", "replicate", "ma", "ga", "mb", "gb").repartition(F.col("a"), F.col("b"), F.col("replicate"))
+    spark = sequences.sparkSession
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").crossJoin(spark.range(-1, n, BLOCK).select(F.col("id").cast("int").alias("first")))
+    rows = rows.select("a", "b", "first", "ma", "ga", "mb", "gb").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b", "first")
 
     def run(batches):
         for batch in batches:
-            tops = []
-            for r, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True):
-                if r >= 0:
-                    ma, mb = make(ma, lcg.null_seed(r, 0)), make(mb, lcg.null_seed(r, 1))
-                tops.append(complete_search(ma, ga, mb, gb, k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([t[0] if t else None for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], names=["a", "b", "replicate", "t", "top"])
+            for a, b, first, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                code, timing, out = _codes(ma, mb), timing_steps(ga, gb), []
+                coded = lambda marks, code=code: np.array([code[m] for m in marks], int)
+                for r in range(first, min(first + BLOCK, n)):
+                    va, vb = coded(ma if r < 0 else make(ma, lcg.null_seed(r, 0))), coded(mb if r < 0 else make(mb, lcg.null_seed(r, 1)))
+                    out += [(k, r, _search(va, vb, timing, k, KEEP)) for k in spans]
+                ks, rs, tops = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(out)), pa.array([b] * len(out)), pa.array(ks, pa.int32()), pa.array(rs, pa.int32()), pa.array([t[0] if t else None for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], names=["a", "b", "k", "replicate", "t", "top"])
 
-    return rows.mapInArrow(run, "a string, b string, replicate int, t double, top array<double>")
+    return rows.mapInArrow(run, "a string, b string, k int, replicate int, t double, top array<double>")
 
 
 def nearest_rank(sorted_values, q: float):
@@ -117,13 +135,21 @@ def nearest_rank(sorted_values, q: float):
     return F.get(sorted_values, at)
 
 
+def with_observed(found: DataFrame, *names: str) -> DataFrame:
+    """The null searches with what the observed one found (a join would run all searches twice)."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("a", "b", "k")
+    rows = found.withColumns({"observed" if n == "t" else f"observed_{n}": F.max(F.when(F.col("replicate") < 0, F.col(n))).over(own) for n in names})
+    return rows.where("replicate >= 0")
+
+
 def tail(found: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """Per pair: observed, exceedances, tail (1 + exceedances) / (1 + n), quantiles and
+    """Per pair and span: observed, exceedances, tail (1 + exceedances) / (1 + n), quantiles and
     rank-wise exceedances of the null searches, and the strict certificate."""
-    observed = found.where("replicate < 0").select("a", "b", F.col("t").alias("observed"), F.col("top").alias("observed_top"))
-    rows = found.where("replicate >= 0").join(observed, ["a", "b"])
+    rows = with_observed(found, "t", "top")
     at_least = F.col("t") >= F.col("observed")
-    out = rows.groupBy("a", "b", "observed", "observed_top").agg(
+    out = rows.groupBy("a", "b", "k", "observed", "observed_top").agg(
         F.count("*").alias("replicates"),
         F.count("t").alias("realizations"),
         F.when(F.col("observed").isNull(), F.count("t")).otherwise(F.count_if(at_least)).alias("exceedances"),
@@ -132,7 +158,7 @@ def tail(found: DataFrame, threshold: float = 0.01) -> DataFrame:
         F.array(*[F.count_if(F.get("top", F.lit(r)) >= F.get("observed_top", F.lit(r))) for r in range(KEEP)]).alias("top_exceedances"),
     )
     p = (1 + F.col("exceedances")) / (1 + F.col("replicates"))
-    return out.select("a", "b", "observed", "replicates", "realizations", "exceedances", "below", p.alias("tail"), (p <= threshold).alias("exceptional"), *[nearest_rank(F.col("nulls"), q).alias(f"q{int(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], F.element_at("nulls", -1).alias("null_max"), "top_exceedances", ((F.col("realizations") > 0) & F.col("observed").isNotNull() & (F.col("exceedances") == 0)).alias("certified"), F.when(F.col("exceedances") > 0, (F.col("replicates") + 1) / (F.col("exceedances") + 1)).alias("expected_early_stop"))
+    return out.select("a", "b", "k", "observed", "replicates", "realizations", "exceedances", "below", p.alias("tail"), (p <= threshold).alias("exceptional"), *[nearest_rank(F.col("nulls"), q).alias(f"q{int(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], F.element_at("nulls", -1).alias("null_max"), "top_exceedances", ((F.col("realizations") > 0) & F.col("observed").isNotNull() & (F.col("exceedances") == 0)).alias("certified"), F.when(F.col("exceedances") > 0, (F.col("replicates") + 1) / (F.col("exceedances") + 1)).alias("expected_early_stop"))
 
 
 def evidence(samples: DataFrame, bins: int = 20) -> DataFrame:
@@ -147,9 +173,9 @@ def selection_effect(events_search: DataFrame) -> DataFrame:
     """The observed search's largest value against the nulls' typical kept pair and
     against the nulls' own maxima: how much selection alone explains."""
     nulls = events_search.where("replicate >= 0")
-    drawn = nulls.select("a", "b", F.get("top", F.pmod(F.xxhash64("a", "b", "replicate"), F.size("top")).cast("int")).alias("draw"), "t")
-    summary = drawn.groupBy("a", "b").agg(F.sort_array(F.collect_list("draw")).alias("d"), F.sort_array(F.collect_list("t")).alias("m"))
-    return summary.select("a", "b", nearest_rank(F.col("d"), 0.5).alias("median_draw"), nearest_rank(F.col("m"), 0.5).alias("median_maximum"))
+    drawn = nulls.select("a", "b", "k", F.get("top", F.pmod(F.xxhash64("a", "b", "replicate"), F.size("top")).cast("int")).alias("draw"), "t")
+    summary = drawn.groupBy("a", "b", "k").agg(F.sort_array(F.collect_list("draw")).alias("d"), F.sort_array(F.collect_list("t")).alias("m"))
+    return summary.select("a", "b", "k", nearest_rank(F.col("d"), 0.5).alias("median_draw"), nearest_rank(F.col("m"), 0.5).alias("median_maximum"))
 
 
 def corpus_coverage(sequences: DataFrame, spans: tuple[int, ...], n: int) -> DataFrame:
@@ -159,19 +185,24 @@ def corpus_coverage(sequences: DataFrame, spans: tuple[int, ...], n: int) -> Dat
     ordered = sequences.select("session_id", "marks", F.dense_rank().over(_sessions()).alias("place"))  # one row a session
     rows = ordered.crossJoin(sequences.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("replicate"))).repartition("session_id", "replicate")
 
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["replicate", "k", "gram"])
+
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [])
-            for s, marks, place, r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            out = ([], [], [])
+            for marks, place, r in zip(*(batch.column(c).to_pylist() for c in range(1, 4)), strict=True):
                 own = marks if r < 0 else lcg.doublet_null(marks, lcg.corpus_seed(r, place - 1))
                 for k in spans:
                     grams = {"\x1f".join(own[i : i + k]) for i in range(len(own) - k + 1)}
                     for g in grams:
-                        for column, value in zip(out, (r, k, g, s), strict=True):
+                        for column, value in zip(out, (r, k, g), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["replicate", "k", "gram", "session_id"])
+                if len(out[0]) > 100_000:
+                    yield made(out)
+                    out = ([], [], [])
+            yield made(out)
 
-    grams = rows.mapInArrow(run, "replicate int, k int, gram string, session_id string")  # each gram once per session
+    grams = rows.mapInArrow(run, "replicate int, k int, gram string")  # each gram once per session
     return grams.groupBy("replicate", "k", "gram").agg(F.count("*").alias("sessions")).groupBy("replicate", "k").agg(F.max("sessions").alias("best"))
 
 

@@ -10,6 +10,7 @@ from ..operators import sequence as Q
 from .sequences import _COUNTS, _E, PAIRS_SQL, events, pairs, rounded, windows_sql
 
 K, TOP = 4, 5
+LADDER = (3, 4, 6, 8, 12)
 SPANS = (3, 4, 5, 6)
 FIGURES = ("event_norm", "timing_cost", "timing_norm", "total")
 
@@ -91,9 +92,9 @@ def surprisals(s, d):
 
 
 def complete_search(s, d):
-    """Greedy selection of the ranking, then the largest pooled surprisal."""
-    found = N.searches(N.arrays(events(s, d)), pairs(s, d), K, 0)
-    return found.select("a", "b", F.size("top").alias("kept"), F.round("t", 9).alias("t"), F.concat_ws(",", F.transform("top", lambda x: F.round(x, 9).cast("string"))).alias("top"))
+    """Greedy selection of the ranking, then the largest pooled surprisal, for each span of the ladder."""
+    found = N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, 0)
+    return found.select("a", "b", "k", F.size("top").alias("kept"), F.round("t", 9).alias("t"), F.concat_ws(",", F.transform("top", lambda x: F.round(x, 9).cast("string"))).alias("top"))
 
 
 def timing(s, d):

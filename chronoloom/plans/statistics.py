@@ -9,10 +9,11 @@ from ..functions import lcg
 from ..operators import nulls as N
 from ..operators import profile as P
 from ..operators import signal as S
+from .alignments import LADDER
 from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, signal_ledger
 
 PROFILE_WIDTH = 12_000_000
-REPLICATES = 19
+REPLICATES, ADEQUACY = 999, 199
 
 
 def draws(s, d):
@@ -34,20 +35,19 @@ def _sequences(s, d):
 
 
 def _calibration(s, d):
-    found = N.tail(N.searches(N.arrays(events(s, d)), pairs(s, d), 4, REPLICATES))
+    found = N.tail(N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES))
     names = [c for c in found.columns if c == "observed" or c[0] == "q" or c in ("tail", "null_max", "expected_early_stop")]
     return rounded(found.withColumn("top_exceedances", F.concat_ws(",", F.col("top_exceedances").cast("array<string>"))), *names)
 
 
 def _evidence(s, d):
-    found = N.searches(N.arrays(events(s, d)), pairs(s, d), 3, REPLICATES)
-    own = found.where("replicate < 0").select("a", "b", (F.col("t") / 20).alias("observed"))
-    out = N.evidence(found.where("replicate >= 0").join(own, ["a", "b"]).select(F.concat_ws("|", "a", "b").alias("group"), "observed", (F.col("t") / 20).alias("sample")))
+    found = N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES)
+    out = N.evidence(N.with_observed(found, "t").select(F.concat_ws("|", "a", "b", "k").alias("group"), (F.col("observed") / 20).alias("observed"), (F.col("t") / 20).alias("sample")))
     return rounded(out.withColumn("histogram", F.concat_ws(",", F.col("histogram").cast("array<string>"))), *[c for c in out.columns if c not in ("group", "n", "histogram", "at_or_below")])
 
 
 def _selection(s, d):
-    return rounded(N.selection_effect(N.searches(N.arrays(events(s, d)), pairs(s, d), 4, REPLICATES)), "median_draw", "median_maximum")
+    return rounded(N.selection_effect(N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES)), "median_draw", "median_maximum")
 
 
 def _haar(s, d):
@@ -68,8 +68,8 @@ QUERIES = {
     "n08_calibration": _calibration,
     "n05_null_evidence": _evidence,
     "n09_selection_effect": _selection,
-    "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), "doublet", 20), "null_min", "null_max", "observed"),
-    "n11_corpus_coverage": lambda s, d: rounded(N.coverage_nulls(N.corpus_coverage(_sequences(s, d), (3, 4, 5, 6), 19)), "tail"),
+    "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), "doublet", ADEQUACY), "null_min", "null_max", "observed"),
+    "n11_corpus_coverage": lambda s, d: rounded(N.coverage_nulls(N.corpus_coverage(_sequences(s, d), (3, 4, 5, 6), REPLICATES)), "tail"),
     "q18_haar": lambda s, d: rounded(_haar(s, d).where("level is not null").select("session_id", "dimension", "level", "scale_ms", "coefficients", "energy", "remainder"), "energy", "remainder"),
     "q19_haar_spectrum": lambda s, d: rounded(P.spectrum(_haar(s, d)), "energy", "share", "impulse_share", "ratio"),
     "q20_haar_silence": lambda s, d: rounded(P.silence(_haar(s, d)), "input", "detail").withColumn("residual", F.round("residual", 6) + 0.0),

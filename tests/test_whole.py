@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from chronoloom import registry
-from chronoloom.operators import corpus
+from chronoloom.operators import corpus, nulls
 from chronoloom.operators import sequence as Q
+from chronoloom.plans import statistics
 from chronoloom.plans.sequences import pairs
 from chronoloom.sources.events import ledger
 
@@ -35,3 +38,15 @@ def test_run_between_sessions_that_are_not_adjacent(spark):
     e = spark.createDataFrame(rows, "session_id string, pos int, mark string")
     p = Q.corpus_pairs(e, e.select("session_id").where("session_id <> '2'"))
     assert {(r.a, r.b): r.longest for r in Q.longest_shared_run(e, p).collect()} == {("1", "2"): 0, ("1", "3"): 5, ("2", "3"): 0}
+
+
+def test_calibration_can_find_an_exceptional_pair(spark):
+    r = random.Random(3)
+    motif = list("mnopqrstuvwx")
+    rows = [(s, [*(r.choice("abc") for _ in range(20)), *motif, *(r.choice("abc") for _ in range(20))], [-1] + [500] * 51) for s in "12"]
+    two = spark.createDataFrame(rows, "session_id string, marks array<string>, gaps array<long>")
+    pair = spark.createDataFrame([("1", "2")], "a string, b string")
+    got = {x.k: x for x in nulls.tail(nulls.searches(two, pair, statistics.LADDER, statistics.REPLICATES)).collect()}
+    assert sorted(got) == [3, 4, 6, 8, 12] and {x.replicates for x in got.values()} == {999}
+    assert got[12].tail == 1 / 1000 and got[12].exceptional and got[12].certified
+    assert statistics.ADEQUACY == 199
