@@ -2,13 +2,13 @@
 
 Each template is a run of words that a licence notice holds.  Words are weighed by
 inverse document frequency over the whole corpus (one counting pass); a template
-is indexed under its ``anchors`` rarest words with their positions.  In a file,
-every place of an indexed word is looked up; a posting puts the template's
-start at place minus position, and postings that agree on the start (within
-``slack`` words, for insertions) are intersected.  A start that enough anchors
-agree on is verified: the template's mandatory phrases must stand, word by
-word, inside the stretch, and the share of template words found there in order
-is the score.
+is indexed under so many of its rarest words, with their positions, that no
+stretch can reach the threshold without one of them.  In a file, every place of
+an indexed word is looked up; a posting puts the template's start at place minus
+position, give or take the words that may be missing or inserted (``slack``).
+Of these starts, those whose stretch holds the template's mandatory phrases,
+word by word, are verified: the share of template words found there in order is
+the score.
 
 Base phrases are matched at every place and their labels always stay; the
 method adds the labels of verified templates.
@@ -73,13 +73,23 @@ def _hashes(words: str) -> np.ndarray:
     return tk.segment_hashes(texts.buf, starts, ends)
 
 
+def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    n = max(len(h) - len(phrase) + 1, 0)
+    same = np.ones(n, bool)
+    for i in range(len(phrase) if n else 0):
+        same &= h[i : i + n] == phrase[i]
+    return np.flatnonzero(same)
+
+
 class LicenseIndex:
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] | None = None, anchors: int = 4, slack: int = 2, threshold: float = 0.8):
-        self.templates, self.anchors, self.slack, self.threshold = templates, anchors, slack, threshold
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] | None = None, slack: int = 2, threshold: float = 0.8):
+        self.templates, self.slack, self.threshold = templates, slack, threshold
         self.base = [(_hashes(k), v) for k, v in (BASE if base is None else base).items()]
         self.words = [_hashes(t.words) for t in templates]
         self.mandatory = [[_hashes(m) for m in t.mandatory] for t in templates]
         self.vocabulary = np.unique(np.concatenate(self.words))
+        # How many words of each template a stretch at the threshold may lack.
+        self.spare = [max(n for n in range(len(h) + 1) if (len(h) - n) / len(h) >= threshold) for h in self.words]
 
     def weigh(self, frequency: np.ndarray, documents: int) -> None:
         """Chooses the anchors from the vocabulary's document frequencies."""
@@ -88,7 +98,7 @@ class LicenseIndex:
         for t, h in enumerate(self.words):
             ids = np.searchsorted(self.vocabulary, h)
             order = sorted(range(len(h)), key=lambda i: (-self.idf[ids[i]], i))
-            rows += [(int(ids[i]), t, i) for i in order[: self.anchors]]
+            rows += [(int(ids[i]), t, i) for i in order[: self.spare[t] + 1]]
         self.posted = sorted(rows)
         used = sorted({r[0] for r in rows})
         self.rare = self.vocabulary[used]
@@ -101,39 +111,35 @@ class LicenseIndex:
         """Start positions of each base phrase within rows."""
         out = []
         for phrase, label in self.base:
-            k = len(phrase)
-            n = len(h) - k + 1
-            same = np.ones(max(n, 0), bool)
-            for i in range(k if n > 0 else 0):
-                same &= h[i : i + n] == phrase[i]
-            at = np.flatnonzero(same)
+            k, at = len(phrase), _places(h, phrase)
             row = np.searchsorted(bounds, at, "right") - 1
             out.append((at[at + k <= bounds[row + 1]], label))
         return out
 
     def scan(self, h: np.ndarray, places: np.ndarray) -> dict[str, float]:
         """label -> best score of verified templates in one file, from the places of indexed words."""
-        starts: dict[int, dict[int, set[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for p in places.tolist():
             for t, i in self.postings[int(h[p])]:
-                starts.setdefault(t, {}).setdefault(p - i, set()).add(i)
+                starts.setdefault(t, set()).add(p - i)
         found: dict[str, float] = {}
-        for t, by in starts.items():
-            need = max(1, math.ceil(self.threshold * min(self.anchors, len(self.words[t]))))
-            ordered = sorted(by)
-            for s in ordered:
-                agreed = set().union(*(by.get(s + d, ()) for d in range(self.slack + 1)))
-                if len(agreed) >= need and (x := self._verified(t, h, s)) > found.get(self.templates[t].label, 0.0):
+        for t, at in starts.items():
+            length, spare = len(self.words[t]) + self.slack, self.spare[t]
+            near = np.arange(-self.slack - spare, spare + 1)
+            tried = np.unique(np.maximum(np.fromiter(at, np.int64, len(at))[:, None] + near, 0))
+            for phrase in self.mandatory[t]:
+                stands = _places(h, phrase)
+                # The first place of the phrase from the start on lies in the stretch.
+                first = np.searchsorted(stands, tried)
+                tried = tried[(first < len(stands)) & (np.append(stands, len(h))[first] + len(phrase) <= tried + length)]
+            for s in tried.tolist():
+                if (x := self._verified(t, h, s)) > found.get(self.templates[t].label, 0.0):
                     found[self.templates[t].label] = x
         return found
 
     def _verified(self, t: int, h: np.ndarray, start: int) -> float:
         words = self.words[t]
-        stretch = h[max(start, 0) : max(start + len(words) + self.slack, 0)]
-        for phrase in self.mandatory[t]:
-            k = len(phrase)
-            if not any(np.array_equal(stretch[i : i + k], phrase) for i in range(len(stretch) - k + 1)):
-                return 0.0
+        stretch = h[start : start + len(words) + self.slack]
         at, got = 0, 0
         for w in words:
             hit = np.flatnonzero(stretch[at:] == w)
