@@ -180,9 +180,21 @@ def name(pipeline: Column) -> Column:
     return F.concat(shown, F.when((F.size(runs) > 2) & (F.get(runs, F.lit(0))["s"] == F.element_at(runs, -1)["s"]), " loop").otherwise(""))
 
 
-def strength(found: DataFrame, eligible: Column) -> DataFrame:
+def exceptional_from(coverage: DataFrame, threshold: float = 0.01) -> dict[int, int]:
+    """Span -> the least number of sessions whose tail among the null coverages is within the threshold."""
+    out = {}
+    for r in coverage.where("replicate >= 0").groupBy("k").agg(F.collect_list("best").alias("v")).collect():  # one row a span
+        tail = lambda c, v=r.v: (1 + sum(x >= c for x in v)) / (1 + len(v))
+        out[r.k] = next((c for c in range(1, max(r.v) + 2) if tail(c) <= threshold), None)
+    return {k: c for k, c in out.items() if c is not None}
+
+
+def strength(found: DataFrame, eligible: Column, exceptional: dict[int, int] | None = None) -> DataFrame:
     quarantined = F.col("low_diversity") | F.col("mark_dominance")
-    return found.withColumn("strength", F.when(quarantined, "probably_recorder_grammar").when(F.col("sessions") * 2 >= eligible, "descriptively_common").otherwise("weak_lead"))
+    beyond = F.lit(False)
+    for k, least in (exceptional or {}).items():
+        beyond = beyond | ((F.col("k") == k) & (F.col("sessions") >= least))
+    return found.withColumn("strength", F.when(quarantined, "probably_recorder_grammar").when(beyond, "promising_beyond_local_grammar").when(F.col("sessions") * 2 >= eligible, "descriptively_common").otherwise("weak_lead"))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

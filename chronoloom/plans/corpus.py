@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from ..operators import nulls as N
 from ..operators import sequence as Q
 from ..sources.events import LEDGER_SQL, ledger
 from .inspection import _GROUPS
 from .sequences import EVENTS_SQL
+from .statistics import REPLICATES
 
 
 def _actions(s, d):
@@ -34,6 +36,20 @@ def _ranked(s, d):
     return _shown(C.strength(out, F.lit(100)).withColumn("name", C.name(F.col("marks"))))
 
 
+def judged(flow, eligible):
+    """Ranked families of a corpus of so many sessions, with their strength against nulls of it."""
+    found = C.folded(C.subsumed(C.ranked(C.families(flow), "workflow")))
+    nulls = N.corpus_coverage(N.arrays(flow), C.LADDER, REPLICATES)
+    return C.strength(found, F.lit(eligible), C.exceptional_from(nulls)).withColumn("name", C.name(F.col("marks")))
+
+
+def _corpus_families(s, d):
+    led = ledger(s, d)
+    acts = C.actions(led)
+    kept = C.eligibility(acts, led).where("skipped is null").select("session_id")
+    return _shown(judged(C.workflow(acts.join(kept, "session_id", "left_semi"), led), kept.count()))
+
+
 def _raw(s, d):
     found = C.families(Q.project(ledger(s, d)))
     return _shown(found.withColumns({"alternates": C.alternates(F.col("marks")), "single_tool": C.single_tool(F.col("marks"))}))
@@ -61,6 +77,7 @@ QUERIES = {
     "a38_session_facts": lambda s, d: C.session_facts(_actions(s, d)),
     "a33_families": _families,
     "a35_ranked_families": _ranked,
+    "a35_corpus_families": _corpus_families,
     "f10_raw_families": _raw,
     "j09_comparison": _comparison,
     "p19_identity_width": _widths,

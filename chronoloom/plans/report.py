@@ -9,9 +9,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import corpus as C
+from .corpus import judged
 
 LEADS, BACKGROUND = 5, 6
 
@@ -23,7 +23,7 @@ def facts(ledger: DataFrame, label: str) -> dict:
     kept = acts.join(why.where("skipped is null").select("session_id"), "session_id", "left_semi")
     flow = C.workflow(kept, ledger)
     eligible = why.where("skipped is null").count()
-    found = C.strength(C.folded(C.subsumed(C.ranked(C.families(flow), "workflow"))), F.lit(eligible)).withColumn("name", C.name(F.col("marks")))
+    found = judged(flow, eligible)
     open_ = found.where("subsumed_by is null and variant_of is null")
     columns = ("id", "name", "k", "marks", "sessions", "occurrences", "variants", "strength")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from chronoloom import registry
 from chronoloom.llm import licenses
 from chronoloom.operators import corpus, nulls
@@ -89,3 +91,11 @@ def test_licence_notices_with_changed_words(spark):
         want = plain_labels(text)
         assert set(found[i].labels.split(",")) - {""} == set(want) | set(found[i].base_labels.split(",")) - {""}
         assert found[i].score == (1.0 if found[i].n_base else max(want.values(), default=0.0))
+
+
+def test_strength_by_eligible_sessions_and_nulls(spark):
+    best = spark.createDataFrame([(r, 3, 2 + (r < 9)) for r in range(999)], "replicate int, k int, best int")
+    assert corpus.exceptional_from(best) == {3: 3}
+    found = spark.createDataFrame([(3, 3, False), (3, 2, False), (4, 8, False), (3, 3, True)], "k int, sessions int, low_diversity boolean").withColumn("mark_dominance", F.lit(False))
+    got = [r.strength for r in corpus.strength(found, F.lit(15), {3: 3}).collect()]
+    assert got == ["promising_beyond_local_grammar", "weak_lead", "descriptively_common", "probably_recorder_grammar"]
