@@ -1,7 +1,7 @@
 """The corpus report: facts as one JSON document, and Markdown made from the facts alone.
 
-Facts are small by construction: one row per session of a corpus of at most 64,
-and the families that lead.  Command text never gets here; only categories do.
+Facts hold one row per session of the ledger, eligible (at most 64) or left out with
+its reason, the numbers of both, and the families that lead.  Command text never gets here; only categories do.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from .corpus import judged
@@ -33,8 +34,9 @@ def facts(ledger: DataFrame, label: str) -> dict:
     plain = lambda rows: [r.asDict(recursive=True) for r in rows.collect()]
     return {
         "label": label,
-        "sessions": plain(why.orderBy("session_id").limit(10 * C.MAX_SESSIONS)),
+        "sessions": plain(why.orderBy("session_id")),
         "eligible": eligible,
+        "skipped": {r.skipped: r.n for r in why.where("skipped is not null").groupBy("skipped").agg(F.count("*").alias("n")).collect()},
         "actions": plain(C.session_facts(kept).orderBy("session_id")),
         "families": found.count(),
         "leads": top(open_.where("strength <> 'probably_recorder_grammar'"), LEADS),
@@ -48,10 +50,10 @@ def to_json(document: dict) -> str:
 
 def render(document: dict) -> str:
     """Markdown from a facts document."""
-    out = [f"# Corpus report: {document['label']}", "", f"{document['eligible']} of {len(document['sessions'])} sessions are eligible; they share {document['families']} shapes.", ""]
+    out = [f"# Corpus report: {document['label']}", "", f"{document['eligible']} of {document['eligible'] + sum(document['skipped'].values())} sessions are eligible; they share {document['families']} shapes.", ""]
     skipped = [s for s in document["sessions"] if s["skipped"]]
     if skipped:
-        out += ["## Sessions left out", "", *[f"- {s['session_id'][:8]}: {s['skipped'].replace('_', ' ')}" for s in skipped], ""]
+        out += ["## Sessions left out", "", *[f"{n} for {why.replace('_', ' ')}." for why, n in sorted(document["skipped"].items())], "", *[f"- {s['session_id'][:8]}: {s['skipped'].replace('_', ' ')}" for s in skipped], ""]
     for title, key in (("Leads", "leads"), ("Probably the recorder's own grammar", "background")):
         out += [f"## {title}", ""]
         out += [f"- **{f['name']}** ({f['id']}): in {f['sessions']} sessions, {f['occurrences']} times, {f['variants']} variants" for f in document[key]] or ["None."]

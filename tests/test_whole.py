@@ -10,7 +10,7 @@ from chronoloom import registry
 from chronoloom.llm import licenses
 from chronoloom.operators import corpus, nulls
 from chronoloom.operators import sequence as Q
-from chronoloom.plans import statistics
+from chronoloom.plans import report, statistics
 from chronoloom.plans.sequences import pairs
 from chronoloom.sources.events import ledger
 
@@ -99,3 +99,12 @@ def test_strength_by_eligible_sessions_and_nulls(spark):
     found = spark.createDataFrame([(3, 3, False), (3, 2, False), (4, 8, False), (3, 3, True)], "k int, sessions int, low_diversity boolean").withColumn("mark_dominance", F.lit(False))
     got = [r.strength for r in corpus.strength(found, F.lit(15), {3: 3}).collect()]
     assert got == ["promising_beyond_local_grammar", "weak_lead", "descriptively_common", "probably_recorder_grammar"]
+
+
+def test_report_lists_all_sessions(spark, monkeypatch):
+    monkeypatch.setattr(report, "judged", lambda flow, eligible: spark.createDataFrame([], "id string, name string, k int, marks array<string>, sessions int, occurrences int, variants int, strength string, rank int, subsumed_by string, variant_of string"))
+    small = ledger(spark, SF)
+    many = small.limit(1).drop("session_id").crossJoin(spark.range(700).select(F.concat(F.lit("s"), "id").alias("session_id")))
+    document = report.facts(many.select(*small.columns), "many")
+    assert len(document["sessions"]) == 700 and document["skipped"] == {"too_few_actions": 700}
+    assert "0 of 700 sessions are eligible" in report.render(document)
