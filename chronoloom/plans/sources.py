@@ -53,8 +53,8 @@ def _replayed_shapes(s, d):
     return I.tool_groups(R.ledger(files(s, d))).select("session_id", "corr_id", "shape", "first_sequence", F.size("openings").alias("openings"), F.size("outcomes").alias("outcomes"))
 
 
-def _append(s, d):
-    rows = _emissions(s, d).where("sequence <= 3").withColumn("n", F.col("sequence")).withColumn("file_name", F.concat("session_id", F.lit(".ndjson"))).drop("sequence", "recorded_at")
+def _append(s, d, emissions=lambda rows: rows.where("sequence <= 3")):
+    rows = emissions(_emissions(s, d)).withColumn("n", F.col("sequence")).withColumn("file_name", F.concat("session_id", F.lit(".ndjson"))).drop("sequence", "recorded_at")
     rows = rows.withColumn("channel", F.when(F.col("n") == 3, "reported").otherwise(F.col("channel")))
     held = R.recordings(files(s, d)).withColumnRenamed("path", "file_name")
     return A.append(rows, held, F.lit(_AT)).select("file_name", "n", "refused", F.col("sequence").cast("bigint").alias("sequence"), F.col("line").isNotNull().alias("written"))
@@ -86,6 +86,7 @@ QUERIES = {
     "s02_replay": _replay,
     "s05_replayed_groups": _replayed_shapes,
     "s13_append": _append,
+    "s13_append_all": lambda s, d: _append(s, d, lambda rows: rows),
     "s21_hooks": _hooks,
     "s27_key_counts": lambda s, d: H.key_counts(_payloads(s, d)),
 }

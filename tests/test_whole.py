@@ -108,3 +108,14 @@ def test_report_lists_all_sessions(spark, monkeypatch):
     document = report.facts(many.select(*small.columns), "many")
     assert len(document["sessions"]) == 700 and document["skipped"] == {"too_few_actions": 700}
     assert "0 of 700 sessions are eligible" in report.render(document)
+
+
+def test_append_takes_all_emissions(spark):
+    rows = QUERIES["s13_append_all"](spark, SF).collect()
+    records = {r.session_id: r.n for r in ledger(spark, SF).groupBy("session_id").agg(F.count("*").alias("n")).collect()}
+    assert len(rows) == sum(records.values())
+    for name, n in records.items():
+        own = sorted((r for r in rows if r.file_name == f"{name}.ndjson"), key=lambda r: r.n)
+        assert [r.n for r in own] == list(range(1, n + 1))
+        assert [r.sequence for r in own if r.written] == list(range(n + 1, n + 1 + sum(r.written for r in own)))
+        assert all(r.written == (r.refused is None) for r in own) and any(r.written for r in own) == (int(name) % 7 == 0)
