@@ -13,6 +13,7 @@ from .alignments import LADDER
 from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, signal_ledger
 
 PROFILE_WIDTH = 12_000_000
+PROFILE_LADDER = (2, 4, 8, 16, 32, 64, 128)  # the six lengths of the reference in buckets, and 4
 REPLICATES, ADEQUACY = 999, 199
 
 
@@ -55,7 +56,12 @@ def _haar(s, d):
 
 
 def _profile_series(s, d):
-    return P.series(S.dense(signal_ledger(s, d), PROFILE_WIDTH).where("dimension in ('records', 'kind:v2:tool_requested')"))
+    """All dimensions that a session has."""
+    return P.series(S.dense(signal_ledger(s, d), PROFILE_WIDTH))
+
+
+def _profiles(rows, windows):
+    return rounded(P.profiles(rows, windows).select("session_id", "dimension", "m", "start", F.round("distance", 5).alias("distance"), "masked"), "distance")
 
 
 QUERIES = {
@@ -73,8 +79,9 @@ QUERIES = {
     "q18_haar": lambda s, d: rounded(_haar(s, d).where("level is not null").select("session_id", "dimension", "level", "scale_ms", "coefficients", "energy", "remainder"), "energy", "remainder"),
     "q19_haar_spectrum": lambda s, d: rounded(P.spectrum(_haar(s, d)), "energy", "share", "impulse_share", "ratio"),
     "q20_haar_silence": lambda s, d: rounded(P.silence(_haar(s, d)), "input", "detail").withColumn("residual", F.round("residual", 6) + 0.0),
-    "q21_matrix_profile": lambda s, d: rounded(P.profiles(_profile_series(s, d), (8,)).select("session_id", "dimension", "m", "start", F.round("distance", 5).alias("distance"), "masked"), "distance"),
-    "q21_motifs_discords": lambda s, d: P.scans(_profile_series(s, d), (4, 8, 16)),
+    "q21_matrix_profile": lambda s, d: _profiles(_profile_series(s, d).where("dimension in ('records', 'kind:v2:tool_requested')"), (8,)),
+    "q21_all_profiles": lambda s, d: _profiles(_profile_series(s, d), PROFILE_LADDER),
+    "q21_motifs_discords": lambda s, d: P.scans(_profile_series(s, d), PROFILE_LADDER),
 }
 
 

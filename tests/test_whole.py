@@ -119,3 +119,11 @@ def test_append_takes_all_emissions(spark):
         assert [r.n for r in own] == list(range(1, n + 1))
         assert [r.sequence for r in own if r.written] == list(range(n + 1, n + 1 + sum(r.written for r in own)))
         assert all(r.written == (r.refused is None) for r in own) and any(r.written for r in own) == (int(name) % 7 == 0)
+
+
+def test_scans_take_all_dimensions_and_lengths(spark):
+    series = {(r.session_id, r.dimension): len(r.x) for r in statistics._profile_series(spark, SF).select("session_id", "dimension", "x").collect()}
+    want = {(s, d, m) for (s, d), n in series.items() for m in (2, 4, 8, 16, 32, 64, 128) if n > m}
+    assert len({d for _, d, _ in want}) > 2
+    for name in ("q21_motifs_discords", "q21_all_profiles"):
+        assert {tuple(r) for r in QUERIES[name](spark, SF).select("session_id", "dimension", "m").distinct().collect()} == want
