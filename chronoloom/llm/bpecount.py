@@ -127,18 +127,17 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, doc_id: s
 
     def count(batch: pa.RecordBatch):
         table = load(vocabulary)
-        seen: dict[int, int] = state.setdefault("pieces", {})
+        seen: dict[bytes, int] = state.setdefault("pieces", {})
         words: dict[str, int] = state.setdefault("words", {})
         for i, j, texts in tk.slices(batch.column(1)):
             starts, ends, bounds = texts.words(tk.SPACE)
-            h = tk.segment_hashes(texts.buf, starts, ends)
-            kinds, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            raw, counts = texts.buf.tobytes(), np.zeros(len(kinds), np.int64)
+            at, inverse = tk.kinds_of(texts.buf, starts, ends)
+            raw, counts = texts.buf.tobytes(), np.zeros(len(at), np.int64)
             if len(seen) > CACHE_WORDS:
                 seen.clear()
-            for k, (key, s, e) in enumerate(zip(kinds.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)):
-                if (n := seen.get(key)) is None:
-                    n = seen[key] = table.count(raw[s:e].decode(), words)
+            for k, (s, e) in enumerate(zip(starts[at].tolist(), ends[at].tolist(), strict=True)):
+                if (n := seen.get(key := raw[s:e])) is None:
+                    n = seen[key] = table.count(key.decode(), words)
                 counts[k] = n
             sums = np.concatenate([[0], np.cumsum(counts[inverse])])
             n_tokens = sums[bounds[1:]] - sums[bounds[:-1]]

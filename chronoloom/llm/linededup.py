@@ -15,7 +15,8 @@ through to the exact step but never changes the result.
 Edge cases: a null or empty text is one empty line, whose key is too short to be
 dropped; repeated rows with one id are one document; a null id comes after all
 others; ties can't occur, as the smallest id keeps its lines; an empty table
-yields an empty result.  A text whose lines are all dropped becomes empty.
+yields an empty result.  A text whose lines are all dropped becomes empty.  Other
+columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, marked, packed, places, size_for, unpacked
@@ -54,8 +56,8 @@ def line_keys(texts: tk.Texts, min_chars: int):
 
 
 def _second(texts: tk.Texts, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash, independent of the first: over the complemented bytes, with its own mix."""
-    return tk.mix(tk.segment_hashes(255 - texts.buf, first, last) * np.uint64(0xA24BAED4963EE407))
+    """Another 64-bit hash, with a seed of its own."""
+    return tk.segment_hashes(texts.buf, first, last, seed=1)
 
 
 def _filter_size(rows: DataFrame, bits_per_line: int, max_bits: int) -> int:
@@ -128,9 +130,10 @@ def repeated_lines(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits
     return suspects.join(repeats, ["h", "g"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("drop"))  # a set of one document's own lines
 
 
-def _with_drops(docs: DataFrame, rows: DataFrame, id_column, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
+def _with_drops(docs: DataFrame, rows: DataFrame, id_column, row, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
+    """(row, drop): every document as the column row, and its hashes to drop."""
     drops = repeated_lines(rows, min_chars, bits_per_line, max_bits)
-    return docs.withColumn("_id", F.coalesce(id_column, F.lit(LAST_ID))).join(drops.withColumnsRenamed({"id": "_id", "drop": "_drop"}), "_id", "left").drop("_id")
+    return docs.select(F.coalesce(id_column, F.lit(LAST_ID)).alias("id"), row.alias("row")).join(drops, "id", "left").select("row", "drop")
 
 
 def _kept_lines(texts: tk.Texts, raw: np.ndarray, drops: pa.Array, min_chars: int):
@@ -151,7 +154,7 @@ def _kept_lines(texts: tk.Texts, raw: np.ndarray, drops: pa.Array, min_chars: in
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, and the digest of the kept text, for every document."""
     rows = id_and_text(docs, doc_id, text)
-    joined = _with_drops(rows, rows, F.col("doc_id"), min_chars, bits_per_line, max_bits)
+    joined = _with_drops(rows, rows, F.col("doc_id"), F.struct("doc_id", "text"), min_chars, bits_per_line, max_bits).select("row.*", "drop")
 
     def drop(batch: pa.RecordBatch):
         for i, j, texts in tk.slices(batch.column(1)):
@@ -164,7 +167,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_char
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with their kept texts, all other columns as they are; a null text stays null."""
-    joined = _with_drops(docs, id_and_text(docs, doc_id, text), F.col(doc_id).cast("long"), min_chars, bits_per_line, max_bits)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = _with_drops(docs, id_and_text(docs, doc_id, text), F.col(f"`{doc_id}`").cast("long"), row, min_chars, bits_per_line, max_bits)
     place, own = docs.columns.index(text), len(docs.columns)
 
     def drop(batches):
@@ -178,7 +182,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             columns[place] = pa.array(out, column.type, mask=column.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_drop").mapInArrow(drop, docs.schema)
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+    return joined.select("row.*", "drop").toDF(*plain.names, "drop").mapInArrow(drop, plain).toDF(*docs.columns)  # names with dots can't be sent
 
 
 REPORT_SQL = r"""

@@ -3,8 +3,10 @@
 Everything works on the contiguous byte buffer of an Arrow string column, in
 slices of at most ``SLICE_BYTES`` (a longer text is a slice of its own), so
 the memory of a Python worker is bounded by the longest text, not by the batch.
-Segment hashes are 64-bit polynomial hashes over prefix sums followed by a
-splitmix finaliser; two different segments agree with probability about 2**-64.
+Segment hashes absorb eight bytes a step, each through the splitmix finaliser (a
+permutation of 64-bit words that is not linear); two given segments agree with
+a chance of about 2**-64.  Where equal hashes would hand one segment's content
+to another (caches of encodings), the bytes are compared.
 Null texts are read as empty ones; operators that tell them apart use the
 column's own validity.
 """
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
@@ -33,21 +36,11 @@ IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = IDENTITY.copy()
 LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240613).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
-    have = _powers.get(base, np.ones(1, np.uint64))
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    if len(have) <= 4 * SLICE_BYTES:
-        _powers[base] = have
-    return have
+#: The low n bytes of a 64-bit word.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Segments of more bytes are hashed one by one; shorter ones eight bytes a step, all together.
+LONG_BYTES = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,13 +53,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every buf[start:end]."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * _power_table(_BASE, n)[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """At every place of buf the eight bytes that begin there, as one word."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every buf[start:end]; another seed gives an independent one."""
+    size, eights = ends - starts, _eights(buf)
+    state = mix(size.astype(np.uint64) * _LENGTH + np.uint64((seed * 0xA24BAED4963EE407 + 0x2545F4914F6CDD1D) & MASK64))
+    at, left = starts, size
+    own = None  # the segments that go on; None: all
+    while len(left):
+        word = eights[at] & _LOW_BYTES[np.minimum(left, 8)]
+        if own is None:
+            state = mix((state + _STEP) ^ word)
+            own = np.flatnonzero((size > 8) & (size <= LONG_BYTES))
+            at, left = starts[own] + 8, size[own] - 8
+        else:
+            state[own] = mix((state[own] + _STEP) ^ word)
+            on = np.flatnonzero(left > 8)
+            own, at, left = own[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(size > LONG_BYTES).tolist():
+        state[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), seed)
+    return state
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether every buf[start:end] equals the bytes of the same number from its place in others on."""
+    size, eights = ends - starts, _eights(buf)
+    far = np.flatnonzero(size > LONG_BYTES)
+    for k in far.tolist():
+        if starts[k] != others[k] and buf[starts[k] : ends[k]].tobytes() != buf[others[k] : others[k] + size[k]].tobytes():
+            return False
+    own = np.flatnonzero((starts != others) & (size <= LONG_BYTES))
+    at, to, left = starts[own], others[own], size[own]
+    while len(left):
+        if ((eights[at] ^ eights[to]) & _LOW_BYTES[np.minimum(left, 8)]).any():
+            return False
+        on = np.flatnonzero(left > 8)
+        at, to, left = at[on] + 8, to[on] + 8, left[on] - 8
+    return True
+
+
+def kinds_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments are equal, told by their bytes: a place of each kind, and each segment's kind."""
+    h = segment_hashes(buf, starts, ends)
+    coded = pa.array(h).dictionary_encode()
+    inverse, first = coded.indices.to_numpy(), np.empty(len(coded.dictionary), np.int64)
+    first[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
+    if len(h) and not (((ends - starts) == (ends - starts)[first[inverse]]).all() and same_bytes(buf, starts, ends, starts[first[inverse]])):
+        raw, held = buf.tobytes(), {}  # two different segments share a hash
+        inverse = np.array([held.setdefault(raw[s:e], len(held)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        _, first = np.unique(inverse, return_index=True)
+    return first, inverse
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
