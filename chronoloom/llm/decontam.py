@@ -18,7 +18,7 @@ rows through a table in the shared folder.
 Edge cases: null and empty texts have no words and hit nothing; items without
 words have no windows; null item ids are left out; repeated items with one id
 count once, repeated documents are judged one by one; an empty benchmark leaves
-every document clean.
+every document clean; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -174,16 +174,16 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs plus _n_words, _spans (flat word spans that are hit) and _items (ids that occur)."""
-    rows = small_batches(docs).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    plain = docs.select(F.col(text).cast("string").alias("text"))
-    if text != "text":
-        raise ValueError("the text column must be called text")
+    """Every document as the struct _row, its text, and _n_words, _spans (flat word
+    spans that are hit) and _items (ids that occur)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = F.col(f"`{text}`").cast("string").alias("text")
+    rows = small_batches(docs).select(row, own, F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     first = True
     for index in _blocks(benchmark, item_id, item_text, width, block_words):
         if not first:
             rows = written(rows, "decontam")
-        index.order(_frequency(plain, index))
+        index.order(_frequency(docs.select(own), index))
         find = _found(index)
 
         def run(batches, find=find):
@@ -197,7 +197,8 @@ def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = places(id_and_text(docs, doc_id, text), benchmark, **options).drop("text")
+    rows = id_and_text(docs, doc_id, text)
+    found = places(rows, benchmark, **options).select("_row.doc_id", "_n_words", "_spans", "_items")
 
     def digest(batch: pa.RecordBatch):
         spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -208,8 +209,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that no benchmark window occurs in, with all their columns."""
-    return places(docs, benchmark, text, **options).where(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that no benchmark window occurs in, with all their columns, whatever their names."""
+    return places(docs, benchmark, text, **options).where(F.size("_spans") == 0).select("_row.*")
 
 
 CONTAMINATION_SQL = r"""

@@ -168,7 +168,7 @@ def fit_votes(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -
                 seen[int(c)] = seen.get(int(c), 0) + int(k)
         return {"code": list(seen), "n": list(seen.values())}
 
-    rows = tk.map_batches(small_batches(docs).select(F.col(text).cast("string").alias("text")), "code long, n long", count).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # at most 3**rules rows
+    rows = tk.map_batches(small_batches(docs).select(F.col(f"`{text}`").cast("string").alias("text")), "code long, n long", count).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # at most 3**rules rows
     v = np.array([[r.code // 3**j % 3 for j in range(len(RULES))] for r in rows], np.uint8).reshape(-1, len(RULES))
     return fit(v, np.array([r.n for r in rows], float))
 
@@ -203,4 +203,5 @@ def keep(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words:
             for i, j, texts in tk.slices(batch.column(place).cast(pa.string())):
                 yield batch.slice(i, j - i).filter(pa.array(_judge(texts, model, threshold, min_words)[4]))
 
-    return docs.mapInArrow(filter_, docs.schema)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't be sent
+    return rows.mapInArrow(filter_, rows.schema).toDF(*docs.columns)

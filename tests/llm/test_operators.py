@@ -28,6 +28,11 @@ def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
+def thue_morse(n, flip=0):
+    """A text of n letters; with its flip it has equal polynomial hashes modulo 2**64."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
 @pytest.fixture(scope="module")
 def rows():
     r = random.Random(5)
@@ -41,6 +46,9 @@ def rows():
     out += [(200, None), (201, ""), (202, " \n\t "), (203, "one"), (204, "one two"), (205, base[3]), (206, base[3].upper()), (None, base[4]), (207, "x " * 20000), (207, "x " * 20000)]
     out += [(300 + i, f"Shared line of some length\nown {word()} {i}\n  SHARED LINE of some length  \nshort\n{word()}") for i in range(6)]
     out += [(400, "Licensed under the Apache License, Version 2.0. Mail a.b@c.example.org or +1 (988) 555-2485, 10.0.0.256 10.0.0.25 4387513035237269"), (401, "gnu GENERAL public-license; cc by, MIT License cc")]
+    for k, n in enumerate((1024, 2048, 8192)):
+        x, y = thue_morse(n), thue_morse(n, 1)
+        out += [(500 + 10 * k, x), (501 + 10 * k, y), (502 + 10 * k, x + "\n" + y), (503 + 10 * k, x + "\n" + x + "\n" + x)]
     return out
 
 
@@ -239,7 +247,7 @@ def test_routing_loses_no_pair():
                 a = draw(n)
                 cut = int(n * (1 - percent / 100) / 2)
                 b = np.unique(np.concatenate([r.permutation(a)[cut:], draw(cut)]))
-                heavy = np.sort(r.permutation(a)[: n // 2])
+                heavy = np.sort(r.permutation(a)[: n // 2]), r.integers(8, 99, n // 2)
                 if jaccard.linked(a, b, percent):
                     assert set(jaccard.routing_keys(a, percent, heavy)) & set(jaccard.routing_keys(b, percent, heavy))
 
@@ -294,7 +302,7 @@ def test_mixing_edges(docs):
 
 @pytest.mark.parametrize("block", [20, 10**6])
 def test_decontamination(spark, rows, docs, block):
-    bench = [(1, " ".join(rows[0][1].split()[:15])), (2, "one two"), (3, rows[5][1]), (3, rows[5][1]), (4, None), (None, "x x x"), (5, " ".join(["x"] * 12)), (10, "")]
+    bench = [(1, " ".join(rows[0][1].split()[:15])), (2, "one two"), (3, rows[5][1]), (3, rows[5][1]), (4, None), (None, "x x x"), (5, " ".join(["x"] * 12)), (10, ""), (11, thue_morse(1024)), (12, thue_morse(2048, 1))]
     windows = []
     for k, t in bench:
         w = PLAIN.findall(lower(t))
@@ -315,7 +323,60 @@ def test_decontamination(spark, rows, docs, block):
     assert decontam.clean(docs, table, block_words=block).count() == sum(not x[5] for x in want)
 
 
+CLASHING = ("_id", "_drop", "_keep", "_row", "_items", "_n_words", "_spans", "_at", "_key", "size", "id", "row", "drop", "place", "whole", "n", "a.b")
+
+
+def test_other_columns_pass_through(spark, rows, docs):
+    bench = spark.createDataFrame([(1, " ".join(rows[0][1].split()[:15]), "x", "y")], "item_id long, text string, _items string, _spans string")
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in CLASHING])
+    for kept in (quality.keep(wide), jaccard.representatives(wide), linededup.deduplicate(wide), decontam.clean(wide, bench), mixing.mix(wide)):
+        assert kept.columns == wide.columns
+        got = kept.collect()
+        assert got and all(tuple(r)[-len(CLASHING) :] == CLASHING for r in got)
+    renamed = wide.withColumnsRenamed({"doc_id": "key.1", "text": "body.1"})
+    assert decontam.clean(renamed, bench, text="body.1").count() == decontam.clean(docs, bench).count()
+    assert jaccard.representatives(renamed, "key.1", "body.1").count() == jaccard.representatives(docs).count()
+    assert linededup.deduplicate(renamed, "key.1", "body.1").count() == docs.count()
+    assert mixing.mix(renamed, doc_id="key.1", text="body.1").columns == renamed.columns
+
+
+def test_rows_without_id_and_with_the_same_id(spark):
+    """Null ids and repeated ids cost no more than others, and lose no unlinked text."""
+    rows = [(None, f"null {k} " + " ".join(f"w{k}x{j}" for j in range(12))) for k in range(3000)]
+    rows += [(7, "one text " + " ".join(f"p{j}" for j in range(12)))] * 2 + [(7, "another text " + " ".join(f"q{j}" for j in range(12)))] + [(None, rows[5][1])] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = sorted((r.text for r in jaccard.representatives(table).collect()))
+    assert kept == sorted({t for _, t in rows})
+    found = jaccard.classes(table)
+    assert found.count() == len(rows) and found.where("doc_id is null and component_id is null").count() == 3050
+
+
+def test_pieces_of_tokens():
+    """Texts of white space, stops, special strings and newlines in all orders."""
+    from tokenizers import Tokenizer
+
+    path, r = P.path("byte_bpe_50k.json"), random.Random(4)
+    t, encoder = Tokenizer.from_file(path), wavelet.Encoder(path)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\xa0", "\u2003", "\x1c", "a", "word", "É", "漢字", "—", "'s", "12", ",", ".", "<|endoftext|>", "\0", "!\n"]
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(50)]
+        for _, _, x in textkit.slices(pa.array(texts)):
+            ids, n = encoder.encode(x)
+            assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == t.encode(texts[0], add_special_tokens=False).ids
+            assert ids.tolist() == [k for text in texts for k in t.encode(text, add_special_tokens=False).ids]
+
+
+def test_equal_hashes_share_no_content(monkeypatch):
+    monkeypatch.setattr(textkit, "segment_hashes", lambda buf, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    buf = np.frombuffer(b"ab cd ab", np.uint8)
+    first, inverse = textkit.kinds_of(buf, np.array([0, 3, 6]), np.array([2, 5, 8]))
+    assert first.tolist() == [0, 1] and inverse.tolist() == [0, 1, 0]
+
+
 def test_hashes_tell_segments_apart():
+    for n in (8, 64, 256, 512, 1024, 2048, 4096, 8192):
+        both = np.frombuffer((thue_morse(n) + thue_morse(n, 1)).encode(), np.uint8)
+        assert len(set(textkit.segment_hashes(both, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
     r = random.Random(1)
     words = list({"".join(r.choice("ab\0c") for _ in range(r.randrange(1, 8))) for _ in range(3000)})
     _, _, t = next(textkit.slices(pa.array([" ".join(words)]), limit=1 << 30))
