@@ -16,8 +16,9 @@ digest bucket), prefix-summed level by level over ranges of sizes; only rows of
 one source, size and bucket meet in a window.
 
 Edge cases: null or empty texts have size 0 and take 0 words; null sources are a
-source of their own; null ids share a digest; repeated rows are separate
-documents; an empty table gives an empty mix.
+source of their own; null ids are ranked by a digest of their texts; repeated rows
+are separate documents (rows that share a digest and a size are ranked in one
+sorted stream); an empty table gives an empty mix; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_in
+from .common import words_in, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, "mix-1"
@@ -63,14 +64,11 @@ def _offset(source_key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), source_key)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Adds rank (from 1) in each key by size descending and digest ascending."""
-    rows = rows.withColumn("_bucket", F.substring("_digest", 1, BUCKET_HEX))
+def _offsets(rows: DataFrame) -> DataFrame:
+    """(key, size, bucket, offset): how many rows of the key come before the bucket."""
     bins = [f"_bin{w}" for w in RANGES]
-    for name, w in zip(bins, RANGES, strict=True):
-        rows = rows.withColumn(name, F.floor(F.col("size") / w))
     levels = [*bins, "size", "_bucket"]
-    counts = rows.groupBy("_key", *levels).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("_key", *[F.floor(F.col("size") / w).alias(name) for name, w in zip(bins, RANGES, strict=True)], "size", _bucket().alias("_bucket")).agg(F.count("*").alias("_n"))
     steps = []
     for k, level in enumerate(levels):
         at = ["_key", *levels[: k + 1]]
@@ -79,22 +77,40 @@ def _ranked(rows: DataFrame) -> DataFrame:
         before = F.sum("_n").over(Window.partitionBy(*at[:-1]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
         steps.append(sums.withColumn(f"_before{k}", before).drop("_n"))
     offsets = reduce(lambda a, b: b.join(a, [c for c in a.columns if not c.startswith("_before")]), steps)
-    offsets = offsets.select("_key", "size", "_bucket", reduce(lambda a, b: a + b, [F.col(f"_before{k}") for k in range(len(levels))]).alias("_offset"))
-    rows = rows.drop(*bins).withColumn("_in", F.row_number().over(Window.partitionBy("_key", "size", "_bucket").orderBy("_digest")))
+    return offsets.select("_key", "size", "_bucket", reduce(lambda a, b: a + b, [F.col(f"_before{k}") for k in range(len(levels))]).alias("_offset"))
+
+
+def _bucket() -> Column:
+    return F.substring("_digest", 1, BUCKET_HEX)
+
+
+def _ranked(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Adds rank (from 1) in each key by size descending and digest ascending."""
+    rows = rows.withColumn("_bucket", _bucket())
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "size", "_bucket").orderBy("_digest")))
     return rows.join(offsets, ["_key", "size", "_bucket"]).withColumn("_rank", F.col("_offset") + F.col("_in"))
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, payload: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies (and
-    all its columns, as the struct _row, with payload)."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), key.alias("_key"), words_in(text).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_digest"), *own)
+    all its columns, as the struct _row, with payload).
+
+    Texts are read once to write (id, source, size, digest), from which sums,
+    counts and ranks are made, and once more where they are part of the result."""
+    column = lambda name: F.col(f"`{name}`")
+    key = F.coalesce(F.concat(F.lit("s"), column(source).cast("string")), F.lit("n"))
+    name = column(doc_id).cast("string")
+    digest = F.when(name.isNull(), F.md5(F.coalesce(column(text).cast("string"), F.lit("")))).otherwise(F.md5(name))
+    thin = [column(doc_id).cast("long").alias("doc_id"), column(source).cast("string").alias("source"), key.alias("_key"), words_in(column(text)).alias("size"), digest.alias("_digest")]
+    rows = written(docs.select(*thin), "sizes")
     sizes = rows.groupBy(F.col("_key").alias("key"), "source").agg(F.sum("size").alias("source_size"))
     aims = targets(sizes, weights, share, cap).select(F.col("key").alias("_key"), "source_size", "target")
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = lambda rank: F.floor(share_of * rank + _offset(F.col("_key"), seed))
-    ranked = _ranked(rows).join(aims, "_key")
+    offsets = _offsets(rows)
+    if payload:
+        rows = docs.select(*thin, F.struct(*map(column, docs.columns)).alias("_row"))
+    ranked = _ranked(rows, offsets).join(aims, "_key")
     return ranked.select("doc_id", "size", "source_size", "target", (at(F.col("_rank")) - at(F.col("_rank") - 1)).cast("long").alias("copies"), *(["_row"] if payload else []))
 
 
