@@ -7,14 +7,11 @@ found exactly:
 1. Equal sets are one node.
 2. Nodes are routed to *canopies* so that linked nodes meet in one.  Linked sets
    differ in at most H shingles, H following from their sizes; a set is dealt by
-   hash into m segments, the same m for all sets of a size band.  With m > H
-   linked sets have m - H equal segments; for large sets a smaller m leaves
-   some with all but certainty (see SIGMAS).  The digests of equal segments
-   bring sets together.  Light segments (empty ones, at 85 percent and more those of one
-   shingle, below that those of the corpus's most frequent shingles alone) say
-   little and are left out by all sets that have fewer of them than linked
-   sets have equal segments, which loses no pair.
-   A canopy is a connected component of nodes that share digests.
+   hash into m > H segments, the same m for all sets of a size band, and linked
+   sets have m - H equal segments or more.  By the prefix principle two sets
+   need only be compared when the H + 1 rarest segments of each have one in common;
+   rarity comes from counts of the corpus's most frequent shingles.
+   A canopy is a connected component of nodes that share digests of these.
 3. Each canopy gets a signature tree: leaves are nodes in an order that puts
    similar sets next to each other, every tree node holds the OR of its members'
    token bitmaps, its range of sizes, and the most shingles that share a bit.
@@ -29,7 +26,8 @@ found exactly:
 Edge cases: null and empty texts have no shingles and link with nothing; a text
 of fewer than k words is one shingle, its whole sequence; repeated rows are
 equal sets; a null id is never the smallest of its component unless all are
-null; an empty table yields an empty result.
+null; an empty table yields an empty result; other columns are ignored, or carried
+along whatever their names.  Very long texts are one set in one task's memory.
 """
 
 from __future__ import annotations
@@ -39,20 +37,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitsets
 from . import textkit as tk
-from .common import id_and_text, written
+from .common import discard, id_and_text, written
 
 WORDS, PERCENT = 3, 90
 BAND = 1.5
 BLOCK_SHINGLES, PIVOTS = 1_000_000, 16
 BITS, FAN = 2048, 8
-HEAVY_DOCUMENTS, HEAVY_SHINGLES = 16, 1 << 20
-#: Deviations granted to the number of equal segments: a linked pair has fewer with a chance below 1e-9.
-SIGMAS = 6.5
+HEAVY_DOCUMENTS, HEAVY_SHINGLES = 8, 1 << 20
+#: Shingles that a task of the frequency count holds at a time.
+HELD_SHINGLES = 2_000_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -97,68 +95,53 @@ def band_of(size: int) -> int:
     return band
 
 
-def least_weight(percent: int) -> int:
-    """Shingles that a segment must hold to be told: at lower thresholds there are
-    more segments than could all hold two."""
-    return 2 if percent >= 85 else 1
+def may_differ(size: int, other: int, percent: int) -> int:
+    """In how many shingles linked sets of these sizes, or smaller ones, differ at most."""
+    return (100 - percent) * (size + other) // (100 + percent)
 
 
 @lru_cache(maxsize=None)
-def band_segments(band: int, percent: int) -> tuple[int, int]:
-    """Segments m of a band, and how many of them linked sets share at least.
-
-    The smaller set of a pair is in the band, so the larger has at most
-    100 / percent times the band's largest size."""
-    low, high = band_limits(band)
-    differ = (100 - percent) * (high + high * 100 // percent) // (100 + percent)
-
-    def light(m: int) -> float:
-        mean = (low + high) / 2 / m
-        n = m * math.exp(-mean) * (1 + mean * (least_weight(percent) > 1))
-        return 1 + n + 2 * math.sqrt(n)
-
-    exact = differ + 1
-    for _ in range(30):
-        exact = max(exact, min(math.ceil(differ + light(exact)), 2 * differ + 2))
-    # Differences fall on segments at random: of m segments about m * exp(-H / m) stay
-    # equal, and SIGMAS deviations less all but surely.  Large sets do with fewer, longer ones.
-    for m in range(max(2, exact // 8), exact):
-        same = m * math.exp(-differ / m)
-        if (sure := same - SIGMAS * math.sqrt(same)) >= light(m):
-            return m, int(sure)
-    return exact, exact - differ
-
-
-def routing_keys(s: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
-    """Digests of a set's segments, for its own band and, where a smaller partner
-    can be in the band below, for that one.
-
-    A segment tells something when it holds least_weight shingles that aren't
-    heavy (a sorted array).  A set with fewer than m - H segments that tell
-    nothing gives only the others; one with fewer than m - H empty ones gives all
-    that aren't empty; any other gives all.  Of the m - H segments that a linked
-    pair shares at least, one is given by both in each case."""
+def band_segments(band: int, percent: int) -> int:
+    """Segments m of a band: as many as leave each about two shingles (three at 85
+    percent and more), and more than the sets of a linked pair differ in."""
+    high = band_limits(band)[1]
+    return max(may_differ(high, high * 100 // percent, percent) + 1, -(-high // (3 if percent >= 85 else 2)))
+
+
+NO_HEAVY = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def routing_keys(s: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray] = NO_HEAVY) -> np.ndarray:
+    """Digests of a set's rarest segments, for its own band and, where a smaller
+    partner can be in the band below, for that one.
+
+    Of the m segments at most H differ between linked sets, so m - H or more are equal.
+    In one order for all sets, the first H + 1 of each then have an equal one
+    among them.  The order puts frequent segments last, so that what many sets share
+    isn't what brings two together: empty segments, then by the number of sets
+    that hold its rarest shingle (heavy: sorted shingles, and their numbers),
+    then those of few shingles."""
     size, out = len(s), []
     own = band_of(size)
     bands = [b for b in range(own, -1, -1) if b == own or size * percent <= 100 * band_limits(b)[1]]
     salted = tk.mix(s + np.uint64(0x632BE59BD9B4E019))
-    light = np.ones(size, np.int64)
-    if heavy is not None and len(heavy):
-        light[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s] = 0
+    sets = np.zeros(size, np.int64)
+    if len(heavy[0]):
+        at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
+        sets = np.where(heavy[0][at] == s, heavy[1][at], 0)
     for band in bands:
-        m, shared = band_segments(band, percent)
+        m = band_segments(band, percent)
+        keep = may_differ(size, size * 100 // percent if band == own else band_limits(band)[1], percent) + 1
         segment = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as s is
         first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         count = np.diff(np.append(first, size))
         digest = np.add.reduceat(salted, first) + tk.mix(segment[first] + np.uint64((band + 1) << 40)) + count.astype(np.uint64)
-        telling = np.add.reduceat(light, first) >= least_weight(percent)
-        if m - int(telling.sum()) < shared:
-            out.append(digest[telling])
-        elif m - len(first) < shared:
-            out.append(digest)
-        else:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[first])  # an empty segment equals an empty one
-            out += [digest, tk.mix(empty + np.uint64((band + 1) << 40))]
+        if keep < len(first):
+            digest = digest[np.lexsort((digest, -count, np.minimum.reduceat(sets, first)))[:keep]]
+        out.append(digest)
+        if keep > len(first):  # an empty segment equals an empty one
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), segment[first])
+            out.append(np.sort(tk.mix(empty + np.uint64((band + 1) << 40)))[: keep - len(first)])
     return tk.mix(np.concatenate(out))
 
 
@@ -341,7 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
+        discard(before)
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == state:
             break
@@ -356,38 +340,48 @@ def _sets_of(texts: list[str], words: int) -> list[np.ndarray]:
     return [s for _, _, t in tk.slices(pa.array(texts, pa.large_string()), lut=tk.LOWER) for s in shingle_sets(t, words)]
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text (see id_and_text) with place, a digest of the text: rows that
+    repeat an id, or have none, are told apart by it."""
+    return docs.withColumn("place", F.xxhash64("text"))
+
+
 def _nodes(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles)."""
+    """doc_id, place, n_shingles, node (null without shingles)."""
 
     def work(batch: pa.RecordBatch):
         for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
             sets = shingle_sets(texts, words)
-            yield {"doc_id": batch.column(0).slice(i, j - i), "n_shingles": list(map(len, sets)), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())}
+            yield {"doc_id": batch.column(0).slice(i, j - i), "place": batch.column(2).slice(i, j - i), "n_shingles": list(map(len, sets)), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())}
 
-    return tk.map_batches(rows, "doc_id long, n_shingles long, node long", work)
+    return tk.map_batches(rows.select("doc_id", "text", "place"), "doc_id long, place long, n_shingles long, node long", work)
 
 
-def heavy_shingles(rows: DataFrame, words: int, least: int = HEAVY_DOCUMENTS, most: int = HEAVY_SHINGLES) -> np.ndarray:
-    """The most frequent shingles: held by at least ``least`` different sets, at most
-    ``most`` of them (8 MB).  Tasks send those that they have seen twice; which
-    shingles count as heavy changes the cost of routing, never its result."""
+def heavy_shingles(rows: DataFrame, words: int, least: int = HEAVY_DOCUMENTS, most: int = HEAVY_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and the number of sets that hold each: at
+    least ``least``, and at most ``most`` shingles (16 MB).  Tasks send those that
+    they have seen twice; what counts as heavy changes the cost of routing,
+    never its result."""
 
     def run(batches):
-        seen, held = set(), []
+        seen, held, total = set(), [], 0
         for batch in batches:
             for _, _, texts in tk.slices(batch.column(1), lut=tk.LOWER):
                 for s in shingle_sets(texts, words):
                     if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
                         held.append(s)
-            if sum(map(len, held)) > 1_000_000 or len(seen) > 200_000:
-                yield from _twice(held)
-                held, _ = [], seen.clear()
+                        total += len(s)
+                if total > HELD_SHINGLES:
+                    yield from _twice(held)
+                    held, total, _ = [], 0, seen.clear()
         yield from _twice(held)
 
     counted = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.col("n").desc(), "h").limit(most)
-    return np.sort(np.fromiter((r.h for r in top.select("h").toLocalIterator()), np.int64).view(np.uint64))
+    top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def _twice(held: list[np.ndarray]):
@@ -399,7 +393,7 @@ def _twice(held: list[np.ndarray]):
 
 def _memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, node): the routing keys of all sets; copies within a task once."""
-    heavy = rows.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words) if least_weight(percent) == 1 else None)
+    heavy = rows.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))
 
     def run(batches):
         seen: set[int] = set()
@@ -472,17 +466,20 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b): a spanning forest of the links between nodes; docs has doc_id and text,
-    nodes is the table of :func:`_nodes`."""
-    stars = written(_stars(_memberships(docs, words, percent)), "stars")
+def links(rows: DataFrame, nodes: DataFrame, words: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): a spanning forest of the links between nodes; rows has doc_id, text and
+    place, nodes is the table of :func:`_nodes`.  Of all rows of a node one gives
+    the text."""
+    stars = written(_stars(_memberships(rows, words, percent)), "stars")
     canopy = written(components(stars.select("a", "b")).withColumnsRenamed({"label": "canopy"}), "canopies")
-    own = nodes.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("_id"), F.first("n_shingles").alias("n"))
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), "place")
+    own = nodes.where("node is not null").groupBy("node").agg(F.min(row).alias("_row"), F.first("n_shingles").alias("n")).select("node", "n", "_row.*")
     members = canopy.join(own, "node")
     blocks = members.groupBy("canopy").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    members = written(members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), "text")
-    texts = bitsets.maybe_in(texts, "_id", bitsets.of_ids(members.select("_id")))  # texts of no canopy aren't shuffled
+    members = written(members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("_at", F.xxhash64("_id", "place")), "members")
+    texts = rows.select(F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), "place").alias("_at"), "text")
+    texts = bitsets.maybe_in(texts, "_at", bitsets.of_ids(members.select("_at")))  # texts of no canopy aren't shuffled
+    texts = texts.groupBy("_at").agg(F.first("text").alias("text"))  # repeated rows once
 
     def first_round(g):
         own: dict[int, np.ndarray] = {}
@@ -495,14 +492,14 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block_shi
     columns = ["canopy", "block", "node", "text"]
     large = members.where("blocks > 1")
     if large.isEmpty():
-        return _grouped(members.join(texts, "_id").select(*columns), ["canopy", "block"], first_round, "a long, b long")
+        return _grouped(members.join(texts, "_at").select(*columns), ["canopy", "block"], first_round, "a long, b long")
 
     degree = stars.select(F.col("a").alias("node"), "n").unionByName(stars.select(F.col("b").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("shared"))
     rank = F.struct((-F.col("shared") / F.col("n")).alias("s"), "node")
     top = large.join(degree, "node").groupBy("canopy", F.col("block").alias("_b")).agg(F.min(rank).alias("t")).groupBy("canopy").agg(F.slice(F.array_sort(F.collect_list("t")), 1, PIVOTS).alias("t"))  # one a block: the best of each
     pivots = large.join(top.select("canopy", F.explode("t.node").alias("node")), ["canopy", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = members.unionByName(pivots).dropDuplicates(["canopy", "block", "node"])
-    found = written(_grouped(placed.join(texts, "_id").select(*columns), ["canopy", "block"], first_round, "a long, b long"), "links")
+    found = written(_grouped(placed.join(texts, "_at").select(*columns), ["canopy", "block"], first_round, "a long, b long"), "links")
 
     labels = components(found)
     large = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
@@ -510,8 +507,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block_shi
     main = sizes.groupBy("canopy").agg(F.max(F.struct("k", "label")).alias("main"))
     rest = large.join(main, "canopy").where("label <> main.label").drop("main")
     parts = rest.groupBy("canopy").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
-    rest = rest.join(parts, "canopy").select("canopy", "_id", "node", "label", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
-    every = large.join(parts, "canopy").select("canopy", "_id", "node", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("rest"))
+    rest = rest.join(parts, "canopy").select("canopy", "_at", "node", "label", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("rest"))
+    every = large.join(parts, "canopy").select("canopy", "_at", "node", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("rest"))
 
     def second_round(g):
         sides: tuple[dict, dict] = ({}, {})
@@ -524,32 +521,47 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, block_shi
         got = cross_links([s for s, _ in sides[0].values()], [b for _, b in sides[0].values()], [s for s, _ in sides[1].values()], [b for _, b in sides[1].values()], percent)
         return _pairs([(x[i], y[j]) for i, j in got])
 
-    more = _grouped(rest.unionByName(every).join(texts, "_id").select("canopy", "part", "block", "node", "label", "rest", "text"), ["canopy", "part", "block"], second_round, "a long, b long")
+    more = _grouped(rest.unionByName(every).join(texts, "_at").select("canopy", "part", "block", "node", "label", "rest", "text"), ["canopy", "part", "block"], second_round, "a long, b long")
     return found.unionByName(more)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    rows = id_and_text(docs, doc_id, text)
+def _classed(rows: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The table of :func:`_nodes`, and (node, label) of all its nodes."""
     nodes = written(_nodes(rows, words), "nodes")
     label = components(links(rows, nodes, words, percent, block_shingles))
-    held = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = joined.join(ids, "label").select("node", "component_id")
+    held = nodes.where("node is not null").select("node").distinct()
+    return nodes, held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    nodes, label = _classed(_told_apart(id_and_text(docs, doc_id, text)), words, percent, block_shingles)
+    first = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node")
+    ids = first.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_node = first.join(ids, "label").select("node", "component_id")
     alone = nodes.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return nodes.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, **options) -> DataFrame:
-    """One document of each class (that of the smallest id), with all columns.
-
-    Documents without shingles, or without an id, all stay; of rows that repeat
-    an id one stays."""
-    kept = classes(docs, doc_id, text, words, percent, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    key = F.col(f"`{doc_id}`").cast("long")
-    own = docs.where(key.isNotNull()).withColumn("_keep", key).join(kept, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
-    return own.unionByName(docs.where(key.isNull()))
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One document of each class, with all columns whatever their names: that of the
+    smallest id (a null id comes after all others; rows that repeat an id are told
+    apart by their text, and of rows that repeat both one stays).  Documents
+    without shingles all stay."""
+    rows = _told_apart(id_and_text(docs, doc_id, text))
+    nodes, label = _classed(rows, words, percent, block_shingles)
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), "place")
+    of_node = nodes.where("node is not null").groupBy("node").agg(F.min(row).alias("least")).join(label, "node")
+    stays = of_node.groupBy("label").agg(F.min("least").alias("stays"))
+    of_node = of_node.join(stays, "label").select("node", "stays")
+    judged = nodes.where("node is not null").withColumn("_row", row).join(of_node, "node").groupBy("_row").agg(F.count("*").alias("n"), F.first(F.col("_row") == F.col("stays")).alias("stays"))
+    judged = written(judged.where("n > 1 or not stays").select("_row.*", "stays"), "judged")  # all but those that just stay
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("place"))
+    kept = whole.join(judged, ["_id", "place"], "left_anti").select("whole")
+    if not (repeats := judged.where("stays")).isEmpty():
+        one = whole.join(repeats, ["_id", "place"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("_id", "place").orderBy("_id")))
+        kept = kept.unionByName(one.where("n = 1").select("whole"))
+    return kept.select("whole.*")
 
 
 CLASSES_SQL = r"""
