@@ -19,7 +19,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,21 @@ MAGIC = b"CLWM0001"
 BLOCK = 512
 SHARD_IDS = 2_000_000
 CACHE_PIECES = 700_000
+#: Texts encoded at a time: more of them have fewer kinds of pieces each.
+SLICE_BYTES = 1 << 21
 END_ID = 2
 #: UTF-8 of white space beyond ASCII; texts with it are encoded whole.
 WIDE_SPACE = tuple(c.encode() for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))) + tuple(bytes([c]) for c in range(0x1C, 0x20))
-_WIDE_LEAD = np.zeros(256, bool)
-_WIDE_LEAD[[x[0] for x in WIDE_SPACE]] = True
-_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_STOP[list(b",.")] = True
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Kinds of bytes: 1 ASCII white space, 2 full stop and comma, 3 ASCII letters, 4 bytes that begin other white space.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[x[0] for x in WIDE_SPACE]] = 4
+_KIND[tk.SPACE] = 1
+_KIND[list(b",.")] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
+#: Whether a piece begins between bytes of two kinds.
+_CUT = np.zeros((5, 5), bool)
+_CUT[:, 1], _CUT[1, 1], _CUT[3, 2] = True, False, True
+WORDS_A_TEXT = 1000
 SHARDS = "part int, seq int, first_id long, n_documents long, n_ids long, ids_before long, payload binary"
 
 
@@ -63,10 +70,10 @@ class WaveletMatrix:
             packed = np.packbits(bit)
             planes.append(packed)
             blocks.append(_block_counts(packed))
-            low = values[~bit]
+            low = np.flatnonzero(~bit)  # places, not masks: random bits defeat branch prediction
             zeros.append(len(low))
             if level:
-                values = np.concatenate([low, values[bit]])
+                values = np.concatenate([values.take(low), values.take(np.flatnonzero(bit))])
         return cls(len(values), planes, zeros, blocks)
 
     def decode(self) -> np.ndarray:
@@ -76,8 +83,8 @@ class WaveletMatrix:
         for k in range(levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).astype(bool)
             above = np.empty_like(values)
-            above[~bit] = values[: self.zeros[k]]
-            above[bit] = values[self.zeros[k] :] | values.dtype.type(1 << (levels - 1 - k))
+            above[np.flatnonzero(~bit)] = values[: self.zeros[k]]
+            above[np.flatnonzero(bit)] = values[self.zeros[k] :] | values.dtype.type(1 << (levels - 1 - k))
             values = above
         return values
 
@@ -204,34 +211,51 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.used = self.pieces = 0
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        """Encodes new pieces and keeps their ids, one after the other."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and where each text's end."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        n = int(ends[-1])
-        self.ids, self.starts = _room(self.ids, self.used + n), _room(self.starts, self.pieces + len(got) + 1)
-        self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), np.uint32, n)
-        self.starts[self.pieces + 1 : self.pieces + 1 + len(got)] = self.used + ends
-        self.place.update(zip(keys, range(self.pieces, self.pieces + len(got)), strict=True))
-        self.used, self.pieces = self.used + n, self.pieces + len(got)
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1]) if len(got) else 0), ends
+
+    def _add(self, keys: list[bytes], plain: np.ndarray) -> None:
+        """Encodes new pieces and keeps their ids, one after the other; plain ones in bulk."""
+        for words in (True, False) if self.newline is not None else (None,):
+            own = keys if words is None else [k for k, p in zip(keys, plain.tolist(), strict=True) if p is words]
+            if not own:
+                continue
+            if words:
+                texts = [b"\n".join([*own[k : k + WORDS_A_TEXT], b""]).decode() for k in range(0, len(own), WORDS_A_TEXT)]
+                ids, _ = self._ids(texts)  # each piece ends in a newline
+                cut = ids == self.newline
+                ends = np.flatnonzero(cut) - np.arange(len(own))
+                ids = ids[~cut]
+            else:
+                ids, ends = self._ids([k.decode() for k in own])
+            self.ids, self.starts = _room(self.ids, self.used + len(ids)), _room(self.starts, self.pieces + len(own) + 1)
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[self.pieces + 1 : self.pieces + 1 + len(own)] = self.used + ends
+            self.place.update(zip(own, range(self.pieces, self.pieces + len(own)), strict=True))
+            self.used, self.pieces = self.used + len(ids), self.pieces + len(own)
 
     def encode(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and each row's number of ids."""
         buf, raw, n = texts.buf, texts.buf.tobytes(), len(texts.buf)
         if len(self.place) > CACHE_PIECES:
             self.clear()
-        space = tk.SPACE[buf]
+        kind = _KIND[buf]
         start = np.zeros(n, bool)
-        start[1:] = (space[1:] & ~space[:-1]) | (_STOP[buf[1:]] & _LETTER[buf[:-1]])
+        start[1:] = _CUT[kind[:-1], kind[1:]]
         start[texts.offsets[:-1][texts.offsets[:-1] < texts.offsets[1:]]] = True
-        for odd in (*self.special, *(WIDE_SPACE if _WIDE_LEAD[buf].any() else ())):
+        for odd in (*self.special, *(WIDE_SPACE if (kind == 4).any() else ())):
             at = raw.find(odd)
             while at >= 0:  # the whole row becomes one piece
                 r = int(np.searchsorted(texts.offsets, at, "right")) - 1
@@ -240,16 +264,20 @@ class Encoder:
                 at = raw.find(odd, b)
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], n)
-        h = tk.segment_hashes(buf, starts, ends)
-        kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = kinds.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.place]
-        if new:
-            self._add([keys[k] for k in new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        first, inverse = tk.kinds_of(buf, starts, ends)
+        keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(place < 0)):
+            odd = np.zeros(n + 1, np.int32)
+            np.cumsum((kind == 1) | (kind == 4), out=odd[1:])
+            s, e = starts[first[new]], ends[first[new]]
+            self._add([keys[k] for k in new.tolist()], (odd[e] == odd[s + 1]) & ((kind[s] != 1) & (kind[s] != 4) | (buf[s] == 0x20)))
+            place[new] = np.fromiter((self.place[keys[k]] for k in new.tolist()), np.int64, len(new))
         begin, length = self.starts[place][inverse], (self.starts[place + 1] - self.starts[place])[inverse]
         total = np.cumsum(length)
-        ids = self.ids[np.repeat(begin - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+        at = np.repeat((begin - (total - length)).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.ids.take(at)
         sums = np.concatenate([[0], total])
         cut = np.searchsorted(starts, texts.offsets)
         return ids, sums[cut[1:]] - sums[cut[:-1]]
@@ -281,7 +309,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for i, j, texts in tk.slices(batch.column(1)):
+            for i, j, texts in tk.slices(batch.column(1), SLICE_BYTES):
                 own = batch.column(0).slice(i, j - i)
                 ids, lengths = encoder.encode(texts)
                 ends = np.cumsum(lengths)
