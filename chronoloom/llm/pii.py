@@ -7,21 +7,25 @@ made by a seeded generator of ``TRAIN_SPANS`` labelled examples (written forms
 that the patterns miss included) among words; no corpus text goes into it.
 
 All four kinds need a digit or an @ sign, so the model reads the stretches around
-those characters, wherever they are in the text: a stretch is cut into
-overlapping windows, the windows' label scores are blended where they overlap
-(more weight to the middle of a window), and one Viterbi pass over the whole
-stretch reconciles them.  A decoded span counts when its mean posterior-like
-margin passes ``MARGIN``, it holds enough digits or an @, and it does not
-touch a base span.
+those characters, wherever they are in the text.  A stretch is cut into
+overlapping windows; each is decoded by itself (best path, and by the
+forward-backward pass how probable its labels are), hundreds of windows at a
+time.  What touches a window's cut edge is left to its neighbour, which holds it
+whole.  Then all windows of a stretch are reconciled: of all their spans the
+set without overlaps that has the largest sum of probabilities stays.  A span counts
+when its mean probability reaches ``CONFIDENCE``, it holds enough digits or an @,
+and it does not touch a base span.
 
 Edge cases: null and empty texts have no spans; repeated rows are searched one by
-one; an empty table yields an empty result.
+one, null ids pass through; an empty table yields an empty result; other columns
+are ignored.  A very long text is searched whole, in blocks of windows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -84,7 +88,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE, REACH = 96, 48, 40
 HIDDEN, EMBED = 24, 12
 TRAIN_SPANS, EPOCHS, SEED = 3000, 6, 7
-MARGIN = 1.0
+CONFIDENCE = 0.75
 MIN_DIGITS = (0, 4, 13, 9)
 
 
@@ -228,17 +232,34 @@ class BiLstmCrf:
             losses.append(total / len(ids))
         return losses
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best label path of one sequence of emissions."""
-        score, back = e[0], []
-        for t in range(1, len(e)):
-            step = score[:, None] + self.p["S"]
-            back.append(step.argmax(0))
-            score = step.max(0) + e[t]
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return np.array(path[::-1])
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best label paths of a batch of emissions (batch x time x labels), and the
+        probability of each of their labels among all paths."""
+        batch, n, labels = e.shape
+        rows, step = np.arange(batch), self.p["S"]
+        score, back = e[:, 0], np.empty((n, batch, labels), np.int8)
+        for t in range(1, n):
+            each = score[:, :, None] + step
+            back[t] = each.argmax(1)
+            score = each.max(1) + e[:, t]
+        path = np.empty((n, batch), np.int64)
+        path[-1] = score.argmax(1)
+        for t in range(n - 1, 0, -1):
+            path[t - 1] = back[t][rows, path[t]]
+        # Sums over paths, scaled at each step.
+        move, seen = np.exp(step), np.exp(e - e.max(2, keepdims=True))
+        forward = np.empty((n, batch, labels), np.float32)
+        forward[0] = seen[:, 0]
+        for t in range(1, n):
+            x = (forward[t - 1] @ move) * seen[:, t]
+            forward[t] = x / x.sum(1, keepdims=True)
+        backward, sure = np.ones((batch, labels), np.float32), np.empty((n, batch), np.float32)
+        for t in range(n - 1, -1, -1):
+            x = forward[t] * backward
+            sure[t] = x[rows, path[t]] / x.sum(1)
+            x = (seen[:, t] * backward) @ move.T
+            backward = x / x.sum(1, keepdims=True)
+        return path.T, sure.T
 
 
 def _logsumexp(x, axis):
@@ -335,57 +356,68 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_BLEND = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+def window_spans(path: np.ndarray, sure: np.ndarray, n: int, cut_before: bool, cut_after: bool) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, mean probability) in a decoded window of n characters, without
+    those that touch an edge at which the text goes on."""
+    out = []
+    for i in np.flatnonzero(path[:n] % 2 == 1).tolist():
+        end = i + 1
+        while end < n and path[end] == path[i] + 1:
+            end += 1
+        if not (cut_before and i == 0) and not (cut_after and end == n):
+            out.append((i, int(path[i] - 1) // 2, end, float(sure[i:end].mean())))
+    return out
+
+
+def reconciled(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int, int, float]]:
+    """Of spans (start, kind, end) with weights, the set without overlaps of the largest sum."""
+    rows = sorted((end, start, kind, w) for (start, kind, end), w in found.items())
+    ends, best = [r[0] for r in rows], [0.0]
+    for k, (_, start, _, w) in enumerate(rows):
+        best.append(max(best[k], best[bisect_right(ends, start, 0, k)] + w))
+    out, k = [], len(rows)
+    while k:
+        end, start, kind, w = rows[k - 1]
+        before = bisect_right(ends, start, 0, k - 1)
+        if best[k] == best[k - 1]:
+            k -= 1
+        else:
+            out.append((start, kind, end, w))
+            k = before
+    return out[::-1]
 
 
 def model_spans(model: BiLstmCrf, texts: list[str], block: int = 512) -> list[list[tuple[int, int, int, float]]]:
-    """(start, kind, end, margin) that the model decodes in each text."""
+    """(start, kind, end, probability) that the model finds in each text."""
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    jobs = [(k, a, b) for k, t in enumerate(texts) for a, b in stretches(t)]
-    windows, owner = [], []
-    scores = {}
-    ids = {k: encode(texts[k]) for k in {j[0] for j in jobs}}
-    pad = int(_CLASS[32])
+    pad, windows, owner = int(_CLASS[32]), [], []
+    found: dict[tuple[int, int], dict] = {}
 
     def run():
-        e = model.emissions(np.array(windows))
-        for (j, at), own in zip(owner, e, strict=True):
-            total, weight = scores[j]
-            n = min(WINDOW, len(weight) - at)
-            total[at : at + n] += own[:n] * _BLEND[:n, None]
-            weight[at : at + n] += _BLEND[:n]
+        for (k, a, b, at), path, sure in zip(owner, *model.decode(model.emissions(np.array(windows))), strict=True):
+            own = found.setdefault((k, a), {})
+            for start, kind, end, w in window_spans(path, sure, min(WINDOW, b - at), at > a, at + WINDOW < b):
+                text = texts[k]
+                while text[at + end - 1].isspace() and end > start + 1:
+                    end -= 1
+                key = (at + start, kind, at + end)
+                own[key] = max(w, own.get(key, 0.0))
         windows.clear()
         owner.clear()
 
-    for j, (k, a, b) in enumerate(jobs):
-        scores[j] = (np.zeros((b - a, len(LABELS)), np.float32), np.zeros(b - a, np.float32))
-        for at in range(0, max(1, b - a - STRIDE), STRIDE):
-            own = ids[k][a + at : min(b, a + at + WINDOW)]
-            windows.append(np.pad(own, (0, WINDOW - len(own)), constant_values=pad))
-            owner.append((j, at))
-            if len(windows) >= block:
-                run()
+    for k, text in enumerate(texts):
+        ids = encode(text)
+        for a, b in stretches(text):
+            for at in range(a, max(a + 1, b - STRIDE), STRIDE):
+                own = ids[at : min(b, at + WINDOW)]
+                windows.append(np.pad(own, (0, WINDOW - len(own)), constant_values=pad))
+                owner.append((k, a, b, at))
+                if len(windows) >= block:
+                    run()
     if windows:
         run()
-    for j, (k, a, _) in enumerate(jobs):
-        total, weight = scores[j]
-        e = total / weight[:, None]
-        path = model.viterbi(e)
-        i = 0
-        while i < len(path):
-            if path[i] % 2 == 1:
-                kind, end = (path[i] - 1) // 2, i + 1
-                while end < len(path) and path[end] == path[i] + 1:
-                    end += 1
-                while texts[k][a + end - 1].isspace() and end > i + 1:
-                    end -= 1
-                own = e[np.arange(i, end), path[i:end]]
-                rest = e[i:end].copy()
-                rest[np.arange(end - i), path[i:end]] = -np.inf
-                out[k].append((a + i, int(kind), a + end, float((own - rest.max(1)).mean())))
-                i = end
-            else:
-                i += 1
+    for (k, _), own in sorted(found.items()):
+        out[k] += reconciled(own)
     return out
 
 
@@ -408,7 +440,7 @@ def all_spans(model: BiLstmCrf, texts: list[str]) -> list[tuple[list, list]]:
     for text, added in zip(texts, model_spans(model, texts), strict=True):
         base = base_spans(text)
         taken = [(a, b) for a, _, b in base]
-        more = [(a, k, b) for a, k, b, margin in added if margin >= MARGIN and plausible(k, text[a:b]) and all(b <= x or a >= y for x, y in taken)]
+        more = [(a, k, b) for a, k, b, sure in added if sure >= CONFIDENCE and plausible(k, text[a:b]) and all(b <= x or a >= y for x, y in taken)]
         out.append((base, sorted(base + more)))
     return out
 
