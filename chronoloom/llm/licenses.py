@@ -1,17 +1,23 @@
 """Licence scans with a positional rare-token index.
 
 Each template is a run of words that a licence notice holds.  Words are weighed by
-inverse document frequency over the whole corpus (one counting pass); a template
-is indexed under so many of its rarest words, with their positions, that no
-stretch can reach the threshold without one of them.  In a file, every place of
-an indexed word is looked up; a posting puts the template's start at place minus
-position, give or take the words that may be missing or inserted (``slack``).
-Of these starts, those whose stretch holds the template's mandatory phrases,
-word by word, are verified: the share of template words found there in order is
-the score.
+inverse document frequency over the whole corpus (one counting pass), and the
+index lists, for every licence word, its positions in the templates.  A template
+is looked for in a file that holds enough of its words to reach the threshold.  A
+stretch at the threshold may lack some of the words; those that the file doesn't
+hold are lacking anyway, so of the others one more than may still be missing
+must stand in it.  These are the file's highest-IDF words of the template: their
+places are looked up, and a posting puts the template's start at place minus
+position.  Where several of them are needed, starts are intersected: of the
+words looked up (twice as many as may be missing, and one) more than half
+of those that may not be missing must agree on a start, give or take the words that
+may be missing or inserted (``slack``).  Of these starts, those whose stretch holds
+the template's mandatory phrases, word by word, are verified: the share of template
+words found there in order is the score.
 
 Base phrases are matched at every place and their labels always stay; the
-method adds the labels of verified templates.
+method adds the labels of verified templates.  ``score`` is 1 with a base place, else
+the best score of a template; ``method_score`` is the latter alone.
 
 Edge cases: null and empty texts have no words, no labels (empty strings) and
 score 0; first_word and last_word are null without base places; repeated rows
@@ -60,11 +66,19 @@ TEMPLATES = (
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
     Template("mit", "released under the mit license", ("mit license",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind", ("this permission notice shall be included", "substantial portions of the software")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code", "following disclaimer")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software", "with or without fee")),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("required by applicable law", "warranties or conditions of any kind")),
+    Template("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license as published", "version 3")),
+    Template("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license as published", "version 2")),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors", "use of this software")),
+    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain", "copyright law")),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
 )
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, method_score double"
 
 
 def _hashes(words: str) -> np.ndarray:
@@ -90,22 +104,19 @@ class LicenseIndex:
         self.vocabulary = np.unique(np.concatenate(self.words))
         # How many words of each template a stretch at the threshold may lack.
         self.spare = [max(n for n in range(len(h) + 1) if (len(h) - n) / len(h) >= threshold) for h in self.words]
+        self.ids = [np.searchsorted(self.vocabulary, h) for h in self.words]
+        # Template words by vocabulary words: how often.
+        self.holds = np.array([np.bincount(i, minlength=len(self.vocabulary)) for i in self.ids])
+        self.weigh(np.zeros(len(self.vocabulary), np.int64), 0)
 
     def weigh(self, frequency: np.ndarray, documents: int) -> None:
-        """Chooses the anchors from the vocabulary's document frequencies."""
+        """Orders each template's words by their inverse document frequency."""
         self.idf = np.array([math.log((documents + 1) / (n + 1)) for n in frequency])
-        rows = []
-        for t, h in enumerate(self.words):
-            ids = np.searchsorted(self.vocabulary, h)
-            order = sorted(range(len(h)), key=lambda i: (-self.idf[ids[i]], i))
-            rows += [(int(ids[i]), t, i) for i in order[: self.spare[t] + 1]]
-        self.posted = sorted(rows)
-        used = sorted({r[0] for r in rows})
-        self.rare = self.vocabulary[used]
-        by: dict[int, list[tuple[int, int]]] = {}
-        for word, t, i in self.posted:
-            by.setdefault(int(self.vocabulary[word]), []).append((t, i))
-        self.postings = by
+        self.order = [sorted(range(len(i)), key=lambda k, i=i: (-self.idf[i[k]], k)) for i in self.ids]
+
+    def candidates(self, present: np.ndarray) -> np.ndarray:
+        """Which templates each file (rows: flags of the vocabulary words it holds) has words enough for."""
+        return present.astype(np.int32) @ self.holds.T >= np.array([len(w) - s for w, s in zip(self.words, self.spare, strict=True)])
 
     def base_places(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, str]]:
         """Start positions of each base phrase within rows."""
@@ -116,17 +127,29 @@ class LicenseIndex:
             out.append((at[at + k <= bounds[row + 1]], label))
         return out
 
-    def scan(self, h: np.ndarray, places: np.ndarray) -> dict[str, float]:
-        """label -> best score of verified templates in one file, from the places of indexed words."""
-        starts: dict[int, set[int]] = {}
-        for p in places.tolist():
-            for t, i in self.postings[int(h[p])]:
-                starts.setdefault(t, set()).add(p - i)
+    def starts(self, t: int, places: dict[int, np.ndarray]) -> np.ndarray:
+        """Where template t may begin in a file, given the places of the words it holds."""
+        held = [k for k in self.order[t] if int(self.ids[t][k]) in places]
+        lacking = self.spare[t] - (len(self.words[t]) - len(held))
+        used = held[: 2 * lacking + 1]
+        # Of the words looked up at most so many are missing from a stretch at the threshold.
+        needed = len(used) - lacking
+        shift = self.slack + lacking  # how far a word stands from its place there
+        near = np.concatenate([np.unique(places[int(self.ids[t][k])] - k) for k in used]) if used else np.zeros(0, np.int64)
+        tried = np.unique((near[:, None] + np.arange(-shift, shift + 1)).ravel())
+        if needed < 1 or not len(tried):
+            return tried[:0]
+        agree = np.zeros(len(tried), np.int64)
+        for k in used:
+            own = np.unique(places[int(self.ids[t][k])] - k)
+            agree += np.searchsorted(own, tried + shift, "right") > np.searchsorted(own, tried - shift)
+        return np.unique(np.maximum(tried[agree >= needed], 0))
+
+    def scan(self, h: np.ndarray, places: dict[int, np.ndarray], templates: np.ndarray) -> dict[str, float]:
+        """label -> best score of verified templates in one file, from the places of its licence words."""
         found: dict[str, float] = {}
-        for t, at in starts.items():
-            length, spare = len(self.words[t]) + self.slack, self.spare[t]
-            near = np.arange(-self.slack - spare, spare + 1)
-            tried = np.unique(np.maximum(np.fromiter(at, np.int64, len(at))[:, None] + near, 0))
+        for t in templates.tolist():
+            tried, length = self.starts(t, places), len(self.words[t]) + self.slack
             for phrase in self.mandatory[t]:
                 stands = _places(h, phrase)
                 # The first place of the phrase from the start on lies in the stretch.
@@ -169,13 +192,13 @@ def _fit(texts_only: DataFrame, index: LicenseIndex) -> None:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: LicenseIndex | None = None) -> DataFrame:
-    """One row per document: words, base places, base labels, all labels, best score (1 with a base place)."""
+    """One row per document: words, base places, base labels, all labels, best score (1 with a base place), the method's own."""
     index = index or LicenseIndex()
     rows = id_and_text(docs, doc_id, text)
     _fit(rows.select("text"), index)
 
     def look(batch: pa.RecordBatch):
-        rare = np.sort(index.rare)
+        vocabulary = index.vocabulary
         for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
             starts, ends, bounds = texts.words(tk.NOT_ALNUM)
             h = tk.segment_hashes(texts.buf, starts, ends)
@@ -191,15 +214,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: Lic
                     base[r].add(label)
             scores = (n_base > 0).astype(float)
             labels = [set(x) for x in base]
-            at = np.minimum(np.searchsorted(rare, h), len(rare) - 1)
-            place = np.flatnonzero(rare[at] == h)
-            row = np.searchsorted(bounds, place, "right") - 1
+            best = np.zeros(n)
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            place = np.flatnonzero(vocabulary[at] == h)
+            word, row = at[place], np.searchsorted(bounds, place, "right") - 1
+            present = np.zeros((n, len(vocabulary)), bool)
+            present[row, word] = True
+            wanted = index.candidates(present)
             cut = np.searchsorted(row, np.arange(n + 1))
-            for r in np.flatnonzero(np.diff(cut)):
-                got = index.scan(h[bounds[r] : bounds[r + 1]], place[cut[r] : cut[r + 1]] - bounds[r])
+            for r in np.flatnonzero(wanted.any(1)):
+                own, where = word[cut[r] : cut[r + 1]], place[cut[r] : cut[r + 1]] - bounds[r]
+                order = np.argsort(own, kind="stable")
+                kinds, first_at = np.unique(own[order], return_index=True)
+                got = index.scan(h[bounds[r] : bounds[r + 1]], dict(zip(kinds.tolist(), np.split(where[order], first_at[1:]), strict=True)), np.flatnonzero(wanted[r]))
                 labels[r] |= got.keys()
-                scores[r] = max([scores[r], *got.values()])
+                best[r] = max([0.0, *got.values()])
+            scores = np.maximum(scores, best)
             none = n_base == 0
-            yield {"doc_id": batch.column(0).slice(i, j - i), "n_words": np.diff(bounds), "n_base": n_base, "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_labels": [",".join(sorted(x)) for x in base], "labels": [",".join(sorted(x)) for x in labels], "score": scores}
+            yield {"doc_id": batch.column(0).slice(i, j - i), "n_words": np.diff(bounds), "n_base": n_base, "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none), "base_labels": [",".join(sorted(x)) for x in base], "labels": [",".join(sorted(x)) for x in labels], "score": scores, "method_score": best}
 
     return tk.map_batches(rows, SCHEMA, look)
