@@ -1,14 +1,16 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 An item's windows of ``width`` consecutive words (a shorter item is one window)
-are sets that a document must contain whole.  Words are ordered by rarity
-(document frequency over the whole corpus), and with a containment threshold of
-one a window's necessary prefix is its rarest word: only documents with that
-word can hold it.  Each place of a prefix word in a document proposes the
-windows that the word is the prefix of; the length bound (the text must reach
-from the window's first to its last word) and the positional bound (the word
-must stand at its own place in the window) leave candidates, and each is
-verified exactly by the hash of the item-sized run of document words.
+are sets of shingles (``SHINGLE`` words, or the whole of a shorter window) that a
+document must contain whole.  Shingles are ordered by rarity (document frequency
+over the whole corpus), and with a containment threshold of one a window's
+necessary prefix is its rarest shingle: only documents with that one can hold
+it.  Each place of a prefix shingle in a document proposes the windows that it is
+the prefix of; the length bound (the text must reach from the window's first to
+its last word) and the positional bound (the shingle must stand at its own
+place in the window) leave candidates, and each is verified exactly by the
+hash of the item-sized run of document words.  Candidates are made and verified
+``CHUNK`` at a time, so that frequent shingles take time but no more memory.
 
 The windows are broadcast while the benchmark has at most ``block_words`` words
 (it is measured first); beyond that the benchmark is cut into blocks of that
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import id_and_text, small_batches, written
 
-WIDTH = 10
+WIDTH, SHINGLE = 10, 3
+#: Candidates that are made and verified at a time.
+CHUNK = 1 << 18
 BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class WindowIndex:
-    """The windows of a block of items under their prefix words."""
+    """The windows of a block of items under their prefix shingles."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
         self.width = width
@@ -51,23 +55,36 @@ class WindowIndex:
             hashes += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.items = [k for k, _ in items]
         self.words = hashes
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        self.sizes = sorted({min(SHINGLE, width, len(h)) for h in hashes if len(h)})
+        shingles = [tk.window_hashes(h, min(SHINGLE, width, len(h))) for h in hashes if len(h)]
+        self.vocabulary = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
+
+    def shingles(self, h: np.ndarray, bounds: np.ndarray, known: np.ndarray):
+        """For each size: places of the shingles of rows of word hashes that are among
+        the known ones (sorted), and which they are."""
+        for size in self.sizes if len(known) else ():
+            place = tk.windows_in_rows(bounds, size, len(h))
+            found = tk.window_hashes(h, size)[place]
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            same = known[at] == found
+            yield place[same], at[same]
 
     def order(self, frequency: np.ndarray) -> None:
-        """Chooses each window's prefix word, given the vocabulary's document frequencies."""
+        """Chooses each window's prefix shingle, given their document frequencies."""
         windows: dict[tuple[int, int], tuple[int, set[int]]] = {}
-        postings: list[tuple[int, int, int, int]] = []  # word, offset, length, window
+        postings: list[tuple[int, int, int, int]] = []  # shingle, offset, length, window
         for item, h in enumerate(self.words):
             k = min(self.width, len(h))
             if not k:
                 continue
-            ids = np.searchsorted(self.vocabulary, h)
+            size = min(SHINGLE, k)
+            ids = np.searchsorted(self.vocabulary, tk.window_hashes(h, size))
             rank = frequency[ids] * (len(self.vocabulary) + 1) + ids
             for i, key in enumerate(tk.window_hashes(h, k).tolist()):
                 if (k, key) in windows:
                     windows[k, key][1].add(item)
                     continue
-                offset = int(np.argmin(rank[i : i + k]))
+                offset = int(np.argmin(rank[i : i + k - size + 1]))
                 windows[k, key] = (len(windows), {item})
                 postings.append((int(ids[i + offset]), offset, k, len(windows) - 1))
         self.keys = np.array([key for _, key in windows], np.uint64)
@@ -80,23 +97,32 @@ class WindowIndex:
 
     def places(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, length and window of all occurrences in rows of word hashes."""
-        none = np.zeros(0, np.int64)
-        if not len(self.prefix) or not len(h):
-            return none, none, none
-        at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-        place = np.flatnonzero(self.prefix[at] == h)
-        word = at[place]
-        n = self.count[word]
-        posting = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        start, length = np.repeat(place, n) - self.offset[posting], self.length[posting]
-        row = np.searchsorted(bounds, np.repeat(place, n), "right") - 1
+        runs: dict[int, np.ndarray] = {}
+        out = [(np.zeros(0, np.int64),) * 3]
+        for place, token in self.shingles(h, bounds, self.prefix):
+            sums = np.cumsum(self.count[token])
+            a = 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + CHUNK, "right")))
+                out.append(self._verified(h, bounds, place[a:b], token[a:b], runs))
+                a = b
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _verified(self, h, bounds, place, token, runs):
+        n = self.count[token]
+        posting = np.repeat(self.first[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(place, n)
+        start, length = at - self.offset[posting], self.length[posting]
+        row = np.searchsorted(bounds, at, "right") - 1
         fits = (start >= bounds[row]) & (start + length <= bounds[row + 1])
         start, length, window = start[fits], length[fits], self.window[posting[fits]]
         same = np.zeros(len(start), bool)
         for k in self.lengths:
             of = np.flatnonzero(length == k)
             if len(of):
-                same[of] = tk.window_hashes(h, int(k))[start[of]] == self.keys[window[of]]
+                if k not in runs:
+                    runs[k] = tk.window_hashes(h, int(k))
+                same[of] = runs[k][start[of]] == self.keys[window[of]]
         return start[same], length[same], window[same]
 
 
@@ -111,7 +137,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_wor
 
 
 def _frequency(docs: DataFrame, index: WindowIndex) -> np.ndarray:
-    """Over all documents: how many hold each word of the block's vocabulary."""
+    """Over all documents: how many hold each shingle of the block's vocabulary."""
     vocabulary = index.vocabulary
 
     def count(batch: pa.RecordBatch):
@@ -119,16 +145,15 @@ def _frequency(docs: DataFrame, index: WindowIndex) -> np.ndarray:
         for _, _, texts in tk.slices(batch.column(0), lut=tk.LOWER):
             starts, ends, bounds = texts.words(tk.NOT_ALNUM)
             h = tk.segment_hashes(texts.buf, starts, ends)
-            at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-            known = np.flatnonzero(vocabulary[at] == h) if len(vocabulary) else at[:0]
-            pair = np.unique(at[known] * np.int64(texts.rows) + tk.row_of(bounds)[known])
-            total += np.bincount(pair // max(texts.rows, 1), minlength=len(vocabulary))
+            for place, at in index.shingles(h, bounds, vocabulary):
+                pair = np.unique(at * np.int64(texts.rows) + tk.row_of(bounds)[place])
+                total += np.bincount(pair // max(texts.rows, 1), minlength=len(vocabulary))
         used = np.flatnonzero(total)
         return {"word": used, "n": total[used]}
 
     out = np.zeros(len(vocabulary), np.int64)
     counted = tk.map_batches(docs.select("text"), "word long, n long", count).groupBy("word").agg(F.sum("n").alias("n"))
-    for r in counted.toLocalIterator():  # one row a word of the block at most
+    for r in counted.toLocalIterator():  # one row a shingle of the block at most
         out[r.word] = r.n
     return out
 
