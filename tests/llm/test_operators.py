@@ -4,6 +4,7 @@ texts, ties, repeated rows, an empty table, and columns with clashing names."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -196,11 +197,43 @@ def test_model_finds_held_out_spans():
     found = wanted = false = 0
     for _ in range(150):
         text, spans = pii.example(r)
-        got = {(a, k, b) for a, k, b, margin in pii.model_spans(model, [text])[0] if margin >= pii.MARGIN and pii.plausible(k, text[a:b])}
+        got = {(a, k, b) for a, k, b, sure in pii.model_spans(model, [text])[0] if sure >= pii.CONFIDENCE and pii.plausible(k, text[a:b])}
         wanted, found, false = wanted + len(spans), found + len(got & set(spans)), false + len(got - set(spans))
     assert found / wanted > 0.7 and false < 0.05 * wanted
 
 
+def test_decoding_against_all_paths():
+    """Best path and label probabilities, by enumeration of all paths."""
+    model, r = pii.BiLstmCrf(), np.random.default_rng(3)
+    model.p["S"] = r.standard_normal((9, 9)).astype(np.float32)
+    e = r.standard_normal((3, 4, 9)).astype(np.float32)
+    paths, sure = model.decode(e)
+    every = np.array(list(itertools.product(range(9), repeat=4)))
+    for k in range(3):
+        score = sum(e[k, t, every[:, t]] for t in range(4)) + sum(model.p["S"][every[:, t], every[:, t + 1]] for t in range(3))
+        weight = np.exp(score - score.max())
+        assert paths[k].tolist() == every[score.argmax()].tolist()
+        want = [weight[every[:, t] == paths[k, t]].sum() / weight.sum() for t in range(4)]
+        assert sure[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_windows_are_reconciled():
+    r = random.Random(7)
+    for _ in range(200):
+        spans = {(a, r.randrange(4), a + r.randrange(1, 6)): r.random() for a in [r.randrange(20) for _ in range(6)]}
+        apart = lambda c: all(x[2] <= y[0] or y[2] <= x[0] for x, y in itertools.combinations(c, 2))
+        best = max(sum(spans[x] for x in c) for n in range(len(spans) + 1) for c in itertools.combinations(spans, n) if apart(c))
+        got = pii.reconciled(spans)
+        assert apart(got) and sum(x[3] for x in got) == pytest.approx(best)
+
+
+def test_a_long_number():
+    """A long stretch of digits takes time in proportion, and hides nothing around it."""
+    text = "7" * 300_000 + " mail a.b (@) example.org and 4387 5130 3523 7269"
+    base, every = pii.all_spans(pii.trained(), [text])[0]
+    assert set(base) <= set(every) and any(k == 2 for _, k, _ in base)
+
+
 def plain_classes(rows, words, percent):
     sets = []
     for _, t in rows:
@@ -284,6 +317,48 @@ def test_licenses(rows, docs):
     assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} for r in found)
 
 
+def test_license_index_against_every_start():
+    """Damaged notices among licence words: what the index finds is what verifying every place finds."""
+    index, r = licenses.LicenseIndex(), random.Random(3)
+    fill = "alpha beta gamma the of and software license to in this is a any terms under version".split()
+
+    def indexed(h):
+        at = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+        known = np.flatnonzero(index.vocabulary[at] == h)
+        places = {int(w): known[at[known] == w] for w in np.unique(at[known])}
+        present = np.zeros((1, len(index.vocabulary)), bool)
+        present[0, list(places)] = True
+        return index.scan(h, places, np.flatnonzero(index.candidates(present)[0]))
+
+    def plain(h):
+        out = {}
+        for t, template in enumerate(index.templates):
+            n = len(index.words[t]) + index.slack
+            for s in range(len(h)):
+                if all(len(licenses._places(h[s : s + n], m)) for m in index.mandatory[t]):
+                    out[template.label] = max(out.get(template.label, 0.0), index._verified(t, h, s))
+        return {k: x for k, x in out.items() if x}
+
+    found = 0
+    for _ in range(300):
+        words = [r.choice(fill) for _ in range(r.randrange(12))]
+        for _ in range(r.randrange(1, 3)):
+            t = r.choice(index.templates).words.split()
+            for _ in range(r.randrange(4)):
+                k = r.randrange(len(t))
+                if (kind := r.random()) < 0.4:
+                    t[k] = r.choice(fill)
+                elif kind < 0.7:
+                    t.insert(k, r.choice(fill))
+                elif len(t) > 2:
+                    t.pop(k)
+            words += t + [r.choice(fill) for _ in range(r.randrange(12))]
+        h = licenses._hashes(" ".join(words))
+        assert indexed(h) == plain(h)
+        found += len(plain(h))
+    assert found > 100
+
+
 def test_mixing_comes_near_targets(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = mixing.plan(d).join(d.select("doc_id", "source"), "doc_id")
@@ -323,6 +398,20 @@ def test_decontamination(spark, rows, docs, block):
     assert decontam.clean(docs, table, block_words=block).count() == sum(not x[5] for x in want)
 
 
+def test_windows_of_common_words():
+    """Many windows of a few common words: chunks of candidates, and all occurrences."""
+    r = random.Random(2)
+    items = [(str(k), " ".join(r.choice("abcd") for _ in range(10))) for k in range(20_000)]
+    index = decontam.WindowIndex(items, 10)
+    index.order(np.ones(len(index.vocabulary), np.int64))
+    words = [r.choice("abcd") for _ in range(3000)]
+    _, _, t = next(textkit.slices(pa.array([" ".join(words)])))
+    starts, ends, bounds = t.words(textkit.NOT_ALNUM)
+    start, length, window = index.places(textkit.segment_hashes(t.buf, starts, ends), bounds)
+    texts = {x for _, x in items}
+    assert sorted(start.tolist()) == [i for i in range(2991) if " ".join(words[i : i + 10]) in texts] and set(length.tolist()) <= {10}
+
+
 CLASHING = ("_id", "_drop", "_keep", "_row", "_items", "_n_words", "_spans", "_at", "_key", "size", "id", "row", "drop", "place", "whole", "n", "a.b")
 
 
