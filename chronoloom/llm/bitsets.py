@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import textkit as tk
 
@@ -27,6 +29,12 @@ def marked(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
     return flags[a] & flags[b]
 
 
+def marked_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The same for a filter of eight bits a byte."""
+    a, b = places(h, 8 * len(bits))
+    return (bits[a >> 3] >> (7 - (a & 7)) & bits[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
+
+
 def packed(flags: np.ndarray) -> bytes:
     """A segment as set positions while that is shorter, else as bits."""
     at = np.flatnonzero(flags)
@@ -45,8 +53,16 @@ def id_hash(ids: np.ndarray) -> np.ndarray:
     return tk.mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
 
+def gathered(parts: DataFrame, bits: int) -> np.ndarray:
+    """The filter of (segment, bits) rows, eight bits a byte: bits / 8 bytes in all."""
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.segment * SEGMENT_BITS // 8 : (r.segment + 1) * SEGMENT_BITS // 8] = np.packbits(unpacked(r.bits))
+    return out
+
+
 def of_ids(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the one long column of ids, one byte a bit; bounded by MAX_BITS."""
+    """A Bloom filter of the one long column of ids, eight bits a byte; bounded by MAX_BITS."""
     bits = size_for(max(ids.count(), 1))
 
     def fill(batches):
@@ -68,24 +84,16 @@ def of_ids(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed(own)], pa.binary())], names=["segment", "bits"])
 
     schema = "segment int, bits binary"
-    out = np.zeros(bits, bool)
-    for r in ids.mapInArrow(fill, schema).repartition("segment").mapInArrow(merge, schema).toLocalIterator():
-        out[r.segment * SEGMENT_BITS : (r.segment + 1) * SEGMENT_BITS] = unpacked(r.bits)
-    return out
+    return gathered(ids.mapInArrow(fill, schema).repartition("segment").mapInArrow(merge, schema), bits)
 
 
-def maybe_in(rows: DataFrame, column: str, flags: np.ndarray) -> DataFrame:
-    """The rows whose id may be in the filter: a semi-join's reduction before its shuffle."""
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(flags))
-    at = rows.columns.index(column)
-    held: dict = {}
+def maybe_in(spark: SparkSession, bits: np.ndarray, column: Column) -> Column:
+    """Whether the long column may be in the filter: what is certainly not in it needs no
+    join.  Only this column is sent to Python."""
+    sent = spark.sparkContext.broadcast(bits)
 
-    def run(batches):
-        if "flags" not in held:
-            held["flags"] = np.unpackbits(sent.value).astype(bool)
-        for batch in batches:
-            keep = marked(held["flags"], id_hash(batch.column(at).to_numpy()))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+    @F.pandas_udf("boolean")
+    def test(ids: pd.Series) -> pd.Series:
+        return pd.Series(marked_bits(sent.value, id_hash(ids.to_numpy(np.int64))))
 
-    return rows.mapInArrow(run, rows.schema)
+    return test(column)

@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, marked, packed, places, size_for, unpacked
-from .common import id_and_text
+from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, gathered, marked, marked_bits, packed, places, size_for, unpacked
+from .common import id_and_text, written
 
 MIN_CHARS = 10
 BITS_PER_LINE = BITS_PER_ITEM
+#: Keys that are broadcast: at most so many (2 MB), each held by at least so many documents.
+HOT_KEYS, HOT_ROWS = 1 << 16, 1000
 LAST_ID = (1 << 63) - 1  # stands for a null id
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
 
@@ -66,7 +68,7 @@ def _filter_size(rows: DataFrame, bits_per_line: int, max_bits: int) -> int:
 
 
 def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The second filter, one byte a bit: covers every key that two rows hold."""
+    """The second filter, eight bits a byte: covers every key that two rows hold."""
 
     def fill(batches):
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
@@ -101,33 +103,33 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "twice": pa.array([packed(twice)], pa.binary())})
 
     parts = rows.mapInArrow(fill, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary")
-    flags = np.zeros(bits, bool)
-    for r in parts.toLocalIterator():  # max_bits / 8 bytes in all
-        flags[r.segment * SEGMENT_BITS : (r.segment + 1) * SEGMENT_BITS] = unpacked(r.twice)
-    return flags
+    return gathered(parts.withColumnRenamed("twice", "bits"), bits)  # max_bits / 8 bytes in all
 
 
 def repeated_lines(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
     """(id, drop): for each document id the hashes of keys whose lines it loses."""
     bits = _filter_size(rows, bits_per_line, max_bits)
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(twice_seen(rows, bits, min_chars)))
-    state: dict = {}
+    sent = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, bits, min_chars))
 
     def suspect(batch: pa.RecordBatch):
-        if "flags" not in state:
-            state["flags"] = np.unpackbits(sent.value).astype(bool)
         for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
             *_, bounds, h, long, (first, last) = line_keys(texts, min_chars)
-            at = np.flatnonzero(long & marked(state["flags"], h))
+            at = np.flatnonzero(long & marked_bits(sent.value, h))
             row = tk.row_of(bounds)[at]
             key, _ = tk.keyed(h[at], row, texts.rows)
             at, row = (x[np.unique(key, return_index=True)[1]] for x in (at, row))
             ids = batch.column(0).slice(i, j - i).fill_null(LAST_ID).to_numpy()
             yield {"id": ids[row], "h": h[at].view(np.int64), "g": _second(texts, first[at], last[at]).view(np.int64)}
 
-    suspects = tk.map_batches(rows, "id long, h long, g long", suspect)
-    repeats = suspects.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    return suspects.join(repeats, ["h", "g"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("drop"))  # a set of one document's own lines
+    suspects = written(tk.map_batches(rows, "id long, h long, g long", suspect), "suspects")
+    repeats = suspects.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first <> last")
+    repeats = written(repeats.select("h", "g", "first", "n"), "repeats")
+    # Rows of the most frequent keys aren't shuffled to one task: those keys, HOT_KEYS at most, go to the rows.
+    hot = repeats.where(F.col("n") >= HOT_ROWS).orderBy(F.col("n").desc(), "h", "g").limit(HOT_KEYS).select("h", "g", F.col("first").alias("hot"))
+    rows = suspects.join(F.broadcast(hot), ["h", "g"], "left")
+    others = rows.where("hot is null").drop("hot").join(repeats.drop("n"), ["h", "g"])
+    lost = rows.where("id > hot").select("id", "h").unionByName(others.where("id > first").select("id", "h"))
+    return lost.groupBy("id").agg(F.collect_set("h").alias("drop"))  # a set of one document's own lines
 
 
 def _with_drops(docs: DataFrame, rows: DataFrame, id_column, row, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
