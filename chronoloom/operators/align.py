@@ -30,16 +30,17 @@ def _edge(i: int, j: int) -> dict[str, str]:
     return {"c": f"{float(i + j)}D", "m": "0", "s": "0", "d": str(i), "i": str(j), "n": "0", "t": "0.0D"}
 
 
-def layers(k: int) -> list[dict[str, str]]:
-    """Expressions by column for each anti-diagonal, over a_i, b_j (marks) and x_i, y_j (gaps)."""
+def layers(k: int, l: int | None = None) -> list[dict[str, str]]:
+    """Expressions by column for each anti-diagonal, over a_i, b_j (marks) and x_i, y_j (gaps); spans of k and l events."""
+    l = k if l is None else l
 
     def at(i: int, j: int) -> dict[str, str]:
         return {f: f"{f}_{i}_{j}" for f in FIELDS} if i and j else _edge(i, j)
 
     out = []
-    for total in range(2, 2 * k + 1):
+    for total in range(2, k + l + 1):
         first, second = {}, {}
-        for i in range(max(1, total - k), min(k, total - 1) + 1):
+        for i in range(max(1, total - l), min(k, total - 1) + 1):
             j = total - i
             diagonal, delete, insert = at(i - 1, j - 1), at(i - 1, j), at(i, j - 1)
             timed = i > 1 and j > 1
@@ -59,9 +60,10 @@ def layers(k: int) -> list[dict[str, str]]:
     return out
 
 
-def results(k: int) -> dict[str, str]:
+def results(k: int, l: int | None = None) -> dict[str, str]:
     """The alignment's figures from the last cell."""
-    c = f"_{k}_{k}"
+    l = k if l is None else l
+    c, longest = f"_{k}_{l}", max(k, l)
     event = f"(s{c} + d{c} + i{c}) * 1.0D"
     return {
         "matches": f"m{c}",
@@ -71,23 +73,24 @@ def results(k: int) -> dict[str, str]:
         "timed_pairs": f"n{c}",
         "event_cost": event,
         "timing_cost": f"t{c}",
-        "event_norm": f"{event} / {k}",
+        "event_norm": f"{event} / {longest}",
         "timing_norm": f"CASE WHEN n{c} = 0 THEN 0.0D ELSE t{c} / ({TIMING_WEIGHT}D * n{c}) END",
-        "total": f"({event} + t{c}) / {k + TIMING_WEIGHT * (k - 1)}D",
+        "total": f"({event} + t{c}) / {longest + TIMING_WEIGHT * (longest - 1)}D",
     }
 
 
-def align(pairs: DataFrame, k: int) -> DataFrame:
-    """Adds the alignment's figures to pairs with a_marks, a_gaps, b_marks, b_gaps of k events each."""
+def align(pairs: DataFrame, k: int, l: int | None = None) -> DataFrame:
+    """Adds the alignment's figures to pairs with a_marks, a_gaps of k events and b_marks, b_gaps of l (else k)."""
+    l = k if l is None else l
     keep = [c for c in pairs.columns if c not in ("a_gaps", "b_gaps")]
-    cells = {f"{name}_{i}": f"{column}[{i - 1}]" for name, column in (("a", "a_marks"), ("b", "b_marks"), ("x", "a_gaps"), ("y", "b_gaps")) for i in range(1, k + 1)}
+    cells = {f"{name}_{i}": f"{column}[{i - 1}]" for name, column, n in (("a", "a_marks", k), ("b", "b_marks", l), ("x", "a_gaps", k), ("y", "b_gaps", l)) for i in range(1, n + 1)}
     rows = pairs.selectExpr(*keep, *[f"{e} AS {n}" for n, e in cells.items()])
     own = [*cells]
     made: list[list[str]] = []
-    for layer in layers(k):
+    for layer in layers(k, l):
         rows = rows.selectExpr(*keep, *own, *[c for m in made[-4:] for c in m], *[f"{e} AS {n}" for n, e in layer.items()])
         made.append([*layer])
-    return rows.selectExpr(*keep, *[f"{e} AS {n}" for n, e in results(k).items()])
+    return rows.selectExpr(*keep, *[f"{e} AS {n}" for n, e in results(k, l).items()])
 
 
 def _side(windows: DataFrame, side: str, session: bool = True) -> DataFrame:
@@ -109,39 +112,67 @@ def neighbours(windows: DataFrame, k: int, start: int = 0) -> DataFrame:
 ALIGNED = "a string, b string, a_start int, b_start int, matches int, substitutions int, deletions int, insertions int, timed_pairs int, event_cost double, timing_cost double, event_norm double, timing_norm double, total double"
 
 
-def window_alignments(a, x, b, y, k: int) -> dict:
-    """The same programme for all pairs of windows of two sequences at once: each
-    cell is a matrix over (window of a, window of b).  Marks are integers."""
+def aligned_cells(rows: int, columns: int, same, time, shape) -> list[list[tuple]]:
+    """The programme over arrays: for every cell the cost, the timing part of it, and the counts of its best path.
+
+    same(i, j) and time(i, j) give, for the events i and j of each alignment of the
+    given shape, whether marks agree and what timing costs (None: nothing).
+    The counts are packed, FIELD_BITS each: matches, substitutions, deletions, insertions, timed pairs."""
     import numpy as np
 
-    shape = (len(a), len(b))
-    zero = np.zeros(shape)
-    edge = lambda i, j: {"c": np.full(shape, float(i + j)), "m": zero, "s": zero, "d": np.full(shape, float(i)), "i": np.full(shape, float(j)), "n": zero, "t": zero}
-    above = [edge(0, j) for j in range(k + 1)]
-    for i in range(1, k + 1):
+    kind = np.int32 if 5 * FIELD_BITS < 31 and max(rows, columns) < 1 << FIELD_BITS - 1 else np.int64
+    bits = FIELD_BITS if kind == np.int32 else 12
+    one = [kind(1 << bits * f) for f in range(5)]
+    edge = lambda i, j: (np.full(shape, float(i + j)), np.zeros(shape), np.full(shape, i * one[2] + j * one[3], kind))
+    table = [[edge(0, j) for j in range(columns + 1)]]
+    for i in range(1, rows + 1):
         row = [edge(i, 0)]
-        for j in range(1, k + 1):
-            same = a[:, i - 1][:, None] == b[:, j - 1][None, :]
-            timed = i > 1 and j > 1
-            time = TIMING_WEIGHT * np.minimum(1.0, np.abs(np.log((x[:, i - 1] + FLOOR_MS)[:, None] / (y[:, j - 1] + FLOOR_MS)[None, :])) / np.log(RATIO_FULL)) if timed else zero
-            diagonal, delete, insert = above[j - 1], above[j], row[j - 1]
-            by_diagonal, by_delete, by_insert = diagonal["c"] + np.where(same, 0.0, SUBSTITUTION) + time, delete["c"] + GAP, insert["c"] + GAP
-            first = by_diagonal - np.minimum(by_delete, by_insert) <= TOLERANCE
-            second = by_delete - by_insert <= TOLERANCE
-            pick = lambda d, e, n, f=first, g=second: np.where(f, d, np.where(g, e, n))
-            row.append({
-                "c": np.minimum(np.minimum(by_diagonal, by_delete), by_insert),
-                "m": pick(diagonal["m"] + same, delete["m"], insert["m"]),
-                "s": pick(diagonal["s"] + ~same, delete["s"], insert["s"]),
-                "d": pick(diagonal["d"], delete["d"] + 1, insert["d"]),
-                "i": pick(diagonal["i"], delete["i"], insert["i"] + 1),
-                "n": pick(diagonal["n"] + timed, delete["n"], insert["n"]),
-                "t": pick(diagonal["t"] + time, delete["t"], insert["t"]),
-            })
-        above = row
-    end = above[k]
-    event = SUBSTITUTION * end["s"] + GAP * (end["d"] + end["i"])
-    return {"matches": end["m"], "substitutions": end["s"], "deletions": end["d"], "insertions": end["i"], "timed_pairs": end["n"], "event_cost": event, "timing_cost": end["t"], "event_norm": event / k, "timing_norm": np.where(end["n"] > 0, end["t"] / (TIMING_WEIGHT * np.maximum(end["n"], 1)), 0.0), "total": (event + end["t"]) / (k + TIMING_WEIGHT * (k - 1))}
+        for j in range(1, columns + 1):
+            agree = same(i - 1, j - 1)
+            late = time(i - 1, j - 1) if i > 1 and j > 1 else None
+            (cd, td, nd), (ce, te, ne), (ci, ti, ni) = table[-1][j - 1], table[-1][j], row[-1]
+            by_diagonal, step = cd + np.where(agree, 0.0, SUBSTITUTION), np.where(agree, one[0], one[1])
+            if late is not None:
+                by_diagonal, td, step = by_diagonal + late, td + late, step + one[4]
+            by_delete, by_insert = ce + GAP, ci + GAP
+            other = np.minimum(by_delete, by_insert)
+            first, second = by_diagonal - other <= TOLERANCE, by_delete - by_insert <= TOLERANCE
+            row.append((np.minimum(by_diagonal, other), np.where(first, td, np.where(second, te, ti)), np.where(first, nd + step, np.where(second, ne + one[2], ni + one[3]))))
+        table.append(row)
+    return table
+
+
+#: Bits of a packed count: paths of up to 31 events in 32-bit words, longer ones in 64-bit words.
+FIELD_BITS = 6
+
+
+def cell_figures(cell: tuple, longest: int) -> dict:
+    """The alignment's figures from a cell of :func:`aligned_cells`."""
+    import numpy as np
+
+    _, timing, packed = cell
+    bits = FIELD_BITS if packed.dtype == np.int32 else 12
+    m, s, d, i, n = (packed >> bits * f & (1 << bits) - 1 for f in range(5))
+    event = SUBSTITUTION * s + GAP * (d + i)
+    return {"matches": m, "substitutions": s, "deletions": d, "insertions": i, "timed_pairs": n, "event_cost": event, "timing_cost": timing, "event_norm": event / longest, "timing_norm": np.where(n > 0, timing / (TIMING_WEIGHT * np.maximum(n, 1)), 0.0), "total": (event + timing) / (longest + TIMING_WEIGHT * (longest - 1))}
+
+
+def timing_costs(x, y):
+    """What aligning events costs by their gaps (arrays that broadcast)."""
+    import numpy as np
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return TIMING_WEIGHT * np.minimum(1.0, np.abs(np.log((x + FLOOR_MS) / (y + FLOOR_MS))) / np.log(RATIO_FULL))
+
+
+def window_alignments(ma, ga, mb, gb, k: int) -> dict:
+    """The same programme for all pairs of windows of two sequences (integer marks and
+    gaps) at once: each cell is a matrix over (window of a, window of b), a
+    stretch of one matrix of the two sequences' events."""
+    n, m = len(ma) - k + 1, len(mb) - k + 1
+    agree, late = ma[:, None] == mb[None, :], timing_costs(ga[:, None], gb[None, :])
+    table = aligned_cells(k, k, lambda i, j: agree[i : i + n, j : j + m], lambda i, j: late[i : i + n, j : j + m], (n, m))
+    return cell_figures(table[k][k], k)
 
 
 def cross_pairs(sequences: DataFrame, pairs: DataFrame, k: int, top: int | None = None) -> DataFrame:
@@ -152,32 +183,68 @@ def cross_pairs(sequences: DataFrame, pairs: DataFrame, k: int, top: int | None
     is one row of work: its windows are aligned as matrices in an Arrow batch,
     some hundred times faster than row by row in compiled columns, whose code
     grows with k * k beyond what the JVM compiles."""
-    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb").repartition("a", "b")
+    rows = _paired(sequences, pairs)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        window = lambda v: np.lib.stride_tricks.sliding_window_view(np.asarray(v), k)
-        for batch in batches:
-            for a, b, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if len(ma) < k or len(mb) < k:
-                    continue
-                code = {m: i for i, m in enumerate(dict.fromkeys([*ma, *mb]))}
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found = window_alignments(window([code[m] for m in ma]), window(np.array(ga, float)), window([code[m] for m in mb]), window(np.array(gb, float)), k)
-                n, m = found["total"].shape
-                keep = np.arange(n * m)
-                if top is not None:
-                    keep = np.argsort(found["total"].ravel(), kind="stable")[:top]  # ties by window positions
-                ints = ("matches", "substitutions", "deletions", "insertions", "timed_pairs")
-                columns = {"a": [a] * len(keep), "b": [b] * len(keep), "a_start": keep // m, "b_start": keep % m} | {c: v.ravel()[keep] for c, v in found.items()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) if c in "ab" else pa.array(np.asarray(v).astype(np.int32)) if c.endswith("start") or c in ints else pa.array(v) for c, v in columns.items()], names=list(columns))
+        for a, b, found in _searched(batches, k):
+            n, m = found["total"].shape
+            keep = np.arange(n * m)
+            if top is not None:
+                keep = first_of(found["total"].ravel(), top)  # ties by window positions
+            columns = {"a": [a] * len(keep), "b": [b] * len(keep), "a_start": keep // m, "b_start": keep % m} | {c: v.ravel()[keep] for c, v in found.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) if c in "ab" else pa.array(np.asarray(v).astype(np.int32)) if c.endswith("start") or c in COUNTS else pa.array(v) for c, v in columns.items()], names=list(columns))
 
     return rows.mapInArrow(run, ALIGNED)
 
 
+COUNTS = ("matches", "substitutions", "deletions", "insertions", "timed_pairs")
+
+
+def first_of(values, n: int):
+    """Places of the n smallest values, ties by place."""
+    import numpy as np
+
+    if n < len(values):
+        limit = np.partition(values, n - 1)[n - 1]
+        at = np.flatnonzero(values <= limit)
+        return at[np.argsort(values[at], kind="stable")][:n]
+    return np.argsort(values, kind="stable")
+
+
+def _searched(batches, k: int):
+    """a, b and the figures of all pairs of their windows, for each row of two sequences."""
+    import numpy as np
+
+    for batch in batches:
+        for a, b, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            if len(ma) < k or len(mb) < k:
+                continue
+            code = {m: i for i, m in enumerate(dict.fromkeys([*ma, *mb]))}
+            coded = lambda marks, code=code: np.array([code[m] for m in marks])
+            yield a, b, window_alignments(coded(ma), np.array(ga, float), coded(mb), np.array(gb, float), k)
+
+
+def _paired(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb").repartition("a", "b")
+
+
+def cross_totals(sequences: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """What the search of each pair (a, b) sums to; summed where it is searched."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        out = [{"a": a, "b": b, "pairs": f["total"].size, "total": float(f["total"].sum()), "best": float(f["total"].min())} | {c: int(f[c].sum()) for c in COUNTS} for a, b, f in _searched(batches, k)]
+        if out:
+            yield pa.RecordBatch.from_pylist(out)
+
+    return _paired(sequences, pairs).mapInArrow(run, "a string, b string, pairs long, total double, best double, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
 def with_marks(aligned: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds a_marks and b_marks to pairs of windows by their positions."""
     for s in "ab":
@@ -190,26 +257,138 @@ def ranked(aligned: DataFrame, *within: str) -> DataFrame:
     return aligned.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("total", "a_start", "b_start")))
 
 
-def without_overlaps(found: DataFrame, within: list[str], k: int, keep: int) -> DataFrame:
-    """Greedy suppression along the ranking: a pair stays unless either of its
-    windows overlaps that of one that has stayed.  Sequential by definition; one
-    group is one pair of sessions."""
+def without_overlaps(totals, k: int, keep: int) -> list[tuple[int, int]]:
+    """Greedy suppression along the ranking of a matrix of totals: a pair stays unless
+    either of its windows overlaps that of one that has stayed.  By repeated
+    minimum: what overlaps a choice leaves the matrix."""
+    import numpy as np
+
+    out, left = [], np.array(totals, float)
+    while len(out) < keep:
+        i, j = divmod(int(left.argmin()), left.shape[1])
+        if not np.isfinite(left[i, j]):
+            break
+        out.append((i, j))
+        left[max(0, i - k + 1) : i + k] = np.inf
+        left[:, max(0, j - k + 1) : j + k] = np.inf
+    return out
+
+
+RETAINED = "a string, b string, k int, rank int, a_start int, b_start int, considered long, matches int, event_norm double, timing_norm double, total double, exact boolean"
+
+
+def retained_search(sequences: DataFrame, pairs: DataFrame, k: int, keep: int = 40) -> DataFrame:
+    """What a greedy pass along each pair's ranking keeps, with coordinates, figures,
+    whether the marks are the same, and how many pairs of windows were considered."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for a, b, f in _searched(batches, k):
+            kept, total = without_overlaps(f["total"], k, keep), f["total"]
+            rows = [{"a": a, "b": b, "k": k, "rank": r + 1, "a_start": i, "b_start": j, "considered": total.size, "matches": int(f["matches"][i, j]), "event_norm": float(f["event_norm"][i, j]), "timing_norm": float(f["timing_norm"][i, j]), "total": float(total[i, j]), "exact": bool(f["matches"][i, j] == k)} for r, (i, j) in enumerate(kept)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.string()), ("b", pa.string()), ("k", pa.int32()), ("rank", pa.int32()), ("a_start", pa.int32()), ("b_start", pa.int32()), ("considered", pa.int64()), ("matches", pa.int32()), ("event_norm", pa.float64()), ("timing_norm", pa.float64()), ("total", pa.float64()), ("exact", pa.bool_())]))
+
+    return _paired(sequences, pairs).mapInArrow(run, RETAINED)
+
+
+# ------------------------------------------------------------ boundaries of a pair
+
+RADIUS, FEWEST = 3, 3  # how far a boundary moves, and how short a span gets
+
+
+def boundary_moves(seeds: DataFrame, radius: int = RADIUS, fewest: int = FEWEST) -> DataFrame:
+    """All moves of the four boundaries of each seed (a_from, a_to, b_from, b_to, and the
+    lengths a_size and b_size of the sequences): the moved spans, and whether they are valid."""
+    step = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    rows = seeds
+    for name in ("a_from", "a_to", "b_from", "b_to"):
+        rows = rows.withColumn(f"d_{name}", step)
+    for name in ("a_from", "a_to", "b_from", "b_to"):
+        rows = rows.withColumn(name, F.col(name) + F.col(f"d_{name}"))
+    valid = F.lit(True)
+    for s in "ab":
+        valid = valid & (F.col(f"{s}_from") >= 0) & (F.col(f"{s}_to") <= F.col(f"{s}_size")) & (F.col(f"{s}_to") - F.col(f"{s}_from") >= fewest)
+    return rows.withColumn("valid", valid)
+
+
+def prefix_tables(va, ga, vb, gb, starts_a, starts_b, rows: int, columns: int):
+    """aligned_cells of the spans that begin at each of the given places and are of up
+    to rows and columns events; cells beyond a sequence's end mean nothing."""
+    import numpy as np
+
+    at = lambda v, s, i: v[np.minimum(s + i, len(v) - 1)]
+    return aligned_cells(rows, columns, lambda i, j: at(va, starts_a, i) == at(vb, starts_b, j), lambda i, j: timing_costs(at(ga, starts_a, i), at(gb, starts_b, j)), starts_a.shape)
+
+
+REFINED = "a string, b string, evaluated int, rejected int, seed_total double, points int, a_from int, a_to int, b_from int, b_to int, retained int, total double, frontier string"
+
 
-    def run(table):
+def refine(sequences: DataFrame, seeds: DataFrame, radius: int = RADIUS, fewest: int = FEWEST) -> DataFrame:
+    """Every valid move of the four boundaries of each seed (a, b, a_from, a_to, b_from,
+    b_to), scored; the Pareto frontier of lower total and more events retained (of
+    the shorter span), and its pick: the longest that is no worse than the
+    seed, else the best.
+
+    One table for each pair of starts holds all ends, so a seed is
+    (2 * radius + 1) ** 2 tables at once and not their square of alignments."""
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
+    rows = seeds.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_from", "a_to", "b_from", "b_to", "ma", "ga", "mb", "gb").repartition("a", "b")
+
+    fields = to_arrow(REFINED)  # on the driver: it needs the session
+
+    def run(batches):
         import pyarrow as pa
 
-        table = table.sort_by([("total", "ascending"), ("a_start", "ascending"), ("b_start", "ascending")])
-        kept: list[tuple[int, int]] = []
-        rows = []
-        for r, (x, y) in enumerate(zip(table["a_start"].to_pylist(), table["b_start"].to_pylist(), strict=True)):
-            if all(abs(x - p) >= k and abs(y - q) >= k for p, q in kept):
-                kept.append((x, y))
-                rows.append(r)
-                if len(rows) >= keep:
-                    break
-        return table.take(pa.array(rows, pa.int64()))
-
-    return found.groupBy(*within).applyInArrow(run, found.schema)
+        for batch in batches:
+            out = [x for r in batch.to_pylist() if (x := refined(r, radius, fewest))]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    return rows.mapInArrow(run, REFINED)
+
+
+def to_arrow(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def refined(r: dict, radius: int, fewest: int) -> dict | None:
+    import numpy as np
+
+    code = {m: i for i, m in enumerate(dict.fromkeys([*r["ma"], *r["mb"]]))}
+    va, vb = np.array([code[m] for m in r["ma"]]), np.array([code[m] for m in r["mb"]])
+    ga, gb = np.array(r["ga"], float), np.array(r["gb"], float)
+    moves = np.arange(-radius, radius + 1)
+    valid = lambda x, y, v: (x >= 0) & (y <= len(v)) & (y - x >= fewest)
+    if not (valid(r["a_from"], r["a_to"], va) and valid(r["b_from"], r["b_to"], vb)):
+        return None
+    sa, sb = (x.ravel() for x in np.meshgrid(r["a_from"] + moves, r["b_from"] + moves, indexing="ij"))
+    most_a, most_b = r["a_to"] - r["a_from"] + 2 * radius, r["b_to"] - r["b_from"] + 2 * radius
+    table = prefix_tables(va, ga, vb, gb, np.maximum(sa, 0), np.maximum(sb, 0), most_a, most_b)
+    found = []
+    for n in range(fewest, most_a + 1):
+        for m in range(fewest, most_b + 1):
+            total = cell_figures(table[n][m], max(n, m))["total"]
+            ok = valid(sa, sa + n, va) & valid(sb, sb + m, vb) & (np.abs(sa + n - r["a_to"]) <= radius) & (np.abs(sb + m - r["b_to"]) <= radius)
+            found += [(min(n, m), float(total[x]), int(sa[x]), int(sa[x]) + n, int(sb[x]), int(sb[x]) + m) for x in np.flatnonzero(ok)]
+    seed = next(x[1] for x in found if x[2:] == (r["a_from"], r["a_to"], r["b_from"], r["b_to"]))
+    best: dict[int, tuple] = {}
+    for x in found:  # ties by the moves, which order as the boundaries do
+        if x[0] not in best or x[1:] < best[x[0]][1:]:
+            best[x[0]] = x
+    frontier, least = [], float("inf")
+    for retained in sorted(best, reverse=True):
+        if best[retained][1] < least:
+            least = best[retained][1]
+            frontier.append(best[retained])
+    good = [x for x in frontier if x[1] <= seed]
+    pick = good[0] if good else frontier[-1]
+    every = (2 * radius + 1) ** 4
+    return {"a": r["a"], "b": r["b"], "evaluated": len(found), "rejected": every - len(found), "seed_total": seed, "points": len(frontier), "a_from": pick[2], "a_to": pick[3], "b_from": pick[4], "b_to": pick[5], "retained": pick[0], "total": pick[1], "frontier": ",".join(f"{x[0]}:{x[2]}-{x[3]}:{x[4]}-{x[5]}" for x in frontier)}
 
 
 # ------------------------------------------------------------ scores of pairs

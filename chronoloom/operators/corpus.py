@@ -130,6 +130,23 @@ def families(events: DataFrame, ladder: tuple[int, ...] = LADDER) -> DataFrame:
     return found.withColumns({"distinct_marks": F.size(F.array_distinct("marks")), "low_diversity": F.size(F.array_distinct("marks")) <= 2, "mark_dominance": top * 3 >= F.col("k") * 2})
 
 
+def receipts(events: DataFrame, ladder: tuple[int, ...] = LADDER, most: int = 3) -> DataFrame:
+    """k, marks, session_id and the first places, without overlaps, of each family in
+    each session that holds it, as first-last sequence numbers."""
+    order = Window.partitionBy("session_id").orderBy("pos")
+    rows = None
+    for k in ladder:
+        last = F.lead("sequence", k - 1).over(order)
+        own = windows(events, k).join(events.select("session_id", F.col("pos").alias("start"), F.concat("sequence", F.lit("-"), last).alias("span")), ["session_id", "start"])
+        own = own.select(F.lit(k).alias("k"), "session_id", "start", "marks", "span")
+        rows = own if rows is None else rows.unionByName(own)
+    held = rows.groupBy("k", "marks", "session_id").agg(F.sort_array(F.collect_list(F.struct("start", "span"))).alias("at"))
+    kept = F.slice(_greedy_starts(F.col("at.start"), F.col("k")), 1, most)
+    spans = F.transform(F.filter("at", lambda x: F.array_contains(kept, x["start"].cast("int"))), lambda x: x["span"])
+    sessions = F.count("*").over(Window.partitionBy("k", "marks"))
+    return held.withColumn("sessions", sessions).where("sessions >= 2").select("k", "marks", "session_id", F.array_join(spans, ",").alias("receipts"))
+
+
 def alternates(marks: Column) -> Column:
     """Whether neighbours are always a request and an outcome."""
     opening = lambda m: F.rlike(m, F.lit("tool_requested|observed_tool_started"))

@@ -114,7 +114,7 @@ def subagents(ledger: DataFrame) -> DataFrame:
         F.min("sequence").alias("first_sequence"),
         receipts(kind_in("subagent_started")).alias("started"),
         receipts(kind_in("subagent_stopped")).alias("stopped"),
-        F.array_sort(F.collect_set(F.coalesce("subject_type", F.lit("(none)")))).alias("types"),
+        F.transform(F.array_sort(F.collect_set(F.struct("subject_type"))), lambda x: x["subject_type"]).alias("types"),
         F.array_sort(F.collect_set("parent_agent")).alias("parents"),
     )
 

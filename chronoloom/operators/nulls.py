@@ -8,6 +8,7 @@ piece of work for one Arrow batch; only its figures are shuffled.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lcg
+from .align import aligned_cells, cell_figures, timing_costs, to_arrow, without_overlaps
 
 KEEP, BLOCK = 5, 50
 
@@ -46,6 +48,19 @@ def replicates(sequences: DataFrame, construction: str, n: int, side: int = 0) -
     return rows.mapInArrow(run, rows.schema)
 
 
+def timing_nulls(sequences: DataFrame) -> DataFrame:
+    """Each session with its gaps (all but the first) in another order, and the offsets
+    (from the first event) that follow; marks stay where they are."""
+
+    def run(batches):
+        for batch in batches:
+            gaps = [lcg.timing_null(g) for g in batch.column(2).to_pylist()]
+            offsets = [np.cumsum([0, *g[1:]]).tolist() for g in gaps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gaps, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64()))], names=["session_id", "marks", "gaps", "offsets"])
+
+    return sequences.select("session_id", "marks", "gaps").mapInArrow(run, "session_id string, marks array<string>, gaps array<long>, offsets array<long>")
+
+
 def timing_steps(ga: list, gb: list) -> np.ndarray:
     """What aligning each event of one sequence with each of another costs by their gaps."""
     from .align import FLOOR_MS, RATIO_FULL, TIMING_WEIGHT
@@ -80,17 +95,10 @@ def _search(va: np.ndarray, vb: np.ndarray, timing: np.ndarray, k: int, keep: in
     counts = np.bincount(np.concatenate([va, vb]))
     with np.errstate(divide="ignore"):
         surprise = -np.log(counts / (len(va) + len(vb)))
-    # The greedy choice by repeated minimum: what overlaps a choice leaves the table.
-    out, left = [], np.round(aligned_totals(va, vb, timing, k), 12)
-    while len(out) < keep:
-        at = int(left.argmin())
-        i, j = divmod(at, left.shape[1])
-        if not np.isfinite(left[i, j]):
-            break
+    out = []
+    for i, j in without_overlaps(np.round(aligned_totals(va, vb, timing, k), 12), k, keep):
         a = va[i : i + k]
         out.append(float(surprise[a[a == vb[j : j + k]]].sum()))
-        left[max(0, i - k + 1) : i + k] = np.inf
-        left[:, max(0, j - k + 1) : j + k] = np.inf
     return sorted(out, reverse=True)
 
 
@@ -120,8 +128,14 @@ def searches(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], n:
             for a, b, first, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 code, timing, out = _codes(ma, mb), timing_steps(ga, gb), []
                 coded = lambda marks, code=code: np.array([code[m] for m in marks], int)
+                ca, cb = coded(ma), coded(mb)
                 for r in range(first, min(first + BLOCK, n)):
-                    va, vb = coded(ma if r < 0 else make(ma, lcg.null_seed(r, 0))), coded(mb if r < 0 else make(mb, lcg.null_seed(r, 1)))
+                    if r < 0:
+                        va, vb = ca, cb
+                    elif construction == "order":  # one permutation for all sequences of a length
+                        va, vb = ca[permutations(len(ca), 0, n)[r]], cb[permutations(len(cb), 1, n)[r]]
+                    else:
+                        va, vb = coded(make(ma, lcg.null_seed(r, 0))), coded(make(mb, lcg.null_seed(r, 1)))
                     out += [(k, r, _search(va, vb, timing, k, KEEP)) for k in spans]
                 ks, rs, tops = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(out)), pa.array([b] * len(out)), pa.array(ks, pa.int32()), pa.array(rs, pa.int32()), pa.array([t[0] if t else None for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], names=["a", "b", "k", "replicate", "t", "top"])
@@ -161,21 +175,102 @@ def tail(found: DataFrame, threshold: float = 0.01) -> DataFrame:
     return out.select("a", "b", "k", "observed", "replicates", "realizations", "exceedances", "below", p.alias("tail"), (p <= threshold).alias("exceptional"), *[nearest_rank(F.col("nulls"), q).alias(f"q{int(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], F.element_at("nulls", -1).alias("null_max"), "top_exceedances", ((F.col("realizations") > 0) & F.col("observed").isNotNull() & (F.col("exceedances") == 0)).alias("certified"), F.when(F.col("exceedances") > 0, (F.col("replicates") + 1) / (F.col("exceedances") + 1)).alias("expected_early_stop"))
 
 
-def evidence(samples: DataFrame, bins: int = 20) -> DataFrame:
-    """Per group of (group, observed, sample): moments, extrema, share at or below,
-    separation from the observed value, and a histogram over [0, 1]."""
-    rows = samples.groupBy("group", "observed").agg(F.count("*").alias("n"), F.avg("sample").alias("null_mean"), F.stddev_pop("sample").alias("null_stddev"), F.min("sample").alias("null_min"), F.max("sample").alias("null_max"), F.count_if(F.col("sample") <= F.col("observed")).alias("at_or_below"), F.array(*[F.count_if(F.least(F.lit(bins - 1), F.floor(F.col("sample") * bins)) == b) for b in range(bins)]).alias("histogram"))
-    gap = F.col("null_mean") - F.col("observed")
-    return rows.select("*", ((1 + F.col("at_or_below")) / (1 + F.col("n"))).alias("empirical_p"), gap.alias("separation"), F.when(F.col("null_stddev") > 0, gap / F.col("null_stddev")).alias("standardized_separation"))
+BINS = 20
+EVIDENCE = ("a string, b string, k int, a_start int, b_start int, part string, observed double, realizations int, null_mean double, null_stddev double, "
+            "null_min double, null_max double, at_or_below int, empirical_p double, separation double, standardized_separation double, histogram string")
+
+
+@lru_cache(maxsize=256)
+def permutations(length: int, side: int, n: int) -> np.ndarray:
+    """The places from which the first n order nulls of a sequence of that length take their marks."""
+    return np.array([lcg.order_null(list(range(length)), lcg.null_seed(r, side)) for r in range(n)], np.int32).reshape(n, length)
+
+
+def summary(samples: np.ndarray, observed: float) -> dict:
+    """What a null sample says about one observed distance."""
+    mean, spread = float(samples.mean()), float(samples.std())
+    at = int((samples <= observed).sum())
+    bins = np.bincount(np.minimum((samples * BINS).astype(int), BINS - 1), minlength=BINS)
+    return {"observed": observed, "realizations": len(samples), "null_mean": mean, "null_stddev": spread, "null_min": float(samples.min()), "null_max": float(samples.max()), "at_or_below": at, "empirical_p": (1 + at) / (1 + len(samples)), "separation": mean - observed, "standardized_separation": (mean - observed) / spread if spread > 0 else None, "histogram": ",".join(map(str, bins))}
+
+
+def evidence(sequences: DataFrame, spans: DataFrame, k: int, n: int) -> DataFrame:
+    """Each fixed pair of spans (a, b, a_start, b_start, of k events) against the same
+    places of n order nulls of both sequences: total and event part, summarised."""
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
+    rows = spans.select("a", "b", "a_start", "b_start").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_start", "b_start", "ma", "ga", "mb", "gb").repartition("a", "b")
+
+    fields = to_arrow(EVIDENCE)  # on the driver: it needs the session
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                code = _codes(r["ma"], r["mb"])
+                va, vb = (np.array([code[m] for m in r[f"m{s}"]]) for s in "ab")
+                at = {s: slice(r[f"{s}_start"], r[f"{s}_start"] + k) for s in "ab"}
+                # The first row is the observed pair; gaps stay where they are.
+                wa, wb = (np.vstack([v[at[s]], v[permutations(len(v), i, n)[:, at[s]]]]) for i, (s, v) in enumerate((("a", va), ("b", vb))))
+                late = timing_costs(np.array(r["ga"], float)[at["a"], None], np.array(r["gb"], float)[None, at["b"]])
+                table = aligned_cells(k, k, lambda i, j, wa=wa, wb=wb: wa[:, i] == wb[:, j], lambda i, j, late=late: late[i, j], (n + 1,))
+                f = cell_figures(table[k][k], k)
+                for part in ("total", "event_norm"):
+                    out.append({"a": r["a"], "b": r["b"], "k": k, "a_start": r["a_start"], "b_start": r["b_start"], "part": part} | summary(f[part][1:], float(f[part][0])))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    return rows.mapInArrow(run, EVIDENCE)
+
+
+# The seed of arbitrary draws, and how many the effect takes.
+DRAW_SEED, DRAWS = 0x00C0FFEE5E1EC700, 1000
 
 
-def selection_effect(events_search: DataFrame) -> DataFrame:
-    """The observed search's largest value against the nulls' typical kept pair and
-    against the nulls' own maxima: how much selection alone explains."""
-    nulls = events_search.where("replicate >= 0")
-    drawn = nulls.select("a", "b", "k", F.get("top", F.pmod(F.xxhash64("a", "b", "replicate"), F.size("top")).cast("int")).alias("draw"), "t")
-    summary = drawn.groupBy("a", "b", "k").agg(F.sort_array(F.collect_list("draw")).alias("d"), F.sort_array(F.collect_list("t")).alias("m"))
-    return summary.select("a", "b", "k", nearest_rank(F.col("d"), 0.5).alias("median_draw"), nearest_rank(F.col("m"), 0.5).alias("median_maximum"))
+@lru_cache(maxsize=4)
+def raw_draws(n: int) -> np.ndarray:
+    g = lcg.Lcg(DRAW_SEED)
+    return np.array([g.below(1 << 31) for _ in range(n)], np.int64)
+
+
+def ranked_at(values: np.ndarray, q: float) -> float:
+    """The value at round(q * (n - 1)), halves up, of ascending values."""
+    return float(values[int(q * (len(values) - 1) + 0.5)])
+
+
+def arbitrary_scores(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], draws: int = DRAWS) -> DataFrame:
+    """a, b, k, arbitrary_median, arbitrary_q99: pooled surprisals of windows drawn without any search."""
+    schema = "a string, b string, k int, arbitrary_median double, arbitrary_q99 double"
+
+    fields = to_arrow(schema)  # on the driver: it needs the session
+
+    def run(batches):
+        raw = raw_draws(2 * draws)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                code = _codes(r["ma"], r["mb"])
+                va, vb = (np.array([code[m] for m in r[f"m{s}"]]) for s in "ab")
+                surprise = -np.log(np.bincount(np.concatenate([va, vb])) / (len(va) + len(vb)))
+                for k in spans:
+                    n, m = len(va) - k + 1, len(vb) - k + 1
+                    if n < 1 or m < 1:
+                        continue
+                    wa, wb = (v[(raw[i::2] % c)[:, None] + np.arange(k)] for i, v, c in ((0, va, n), (1, vb, m)))
+                    scores = np.sort(np.where(wa == wb, surprise[wa], 0.0).sum(1))
+                    out.append({"a": r["a"], "b": r["b"], "k": k, "arbitrary_median": ranked_at(scores, 0.5), "arbitrary_q99": ranked_at(scores, 0.99)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(run, schema)
+
+
+def selection_effect(found: DataFrame, arbitrary: DataFrame) -> DataFrame:
+    """What searching alone does to a score: the median of the nulls' largest values
+    against windows drawn without a search."""
+    chosen = found.where("replicate >= 0").groupBy("a", "b", "k").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = arbitrary.join(chosen.select("a", "b", "k", nearest_rank(F.col("t"), 0.5).alias("selected_median")), ["a", "b", "k"])
+    return rows.withColumns({"margin": F.col("selected_median") - F.col("arbitrary_q99"), "confirmed": F.col("selected_median") > F.col("arbitrary_median")})
 
 
 def corpus_coverage(sequences: DataFrame, spans: tuple[int, ...], n: int) -> DataFrame:
@@ -220,11 +315,47 @@ def coverage_nulls(coverage: DataFrame) -> DataFrame:
     return rows.select("k", F.size("v").alias("replicates"), nearest_rank(F.col("v"), 0.5).alias("median"), nearest_rank(F.col("v"), 0.95).alias("q95"), nearest_rank(F.col("v"), 0.99).alias("q99"), F.element_at("v", -1).alias("max"), "observed", ((1 + F.size(F.filter("v", lambda x: x >= F.col("observed")))) / (1 + F.size("v"))).alias("tail"))
 
 
-def structure_nulls(sequences: DataFrame, construction: str, n: int) -> DataFrame:
-    """How often nulls repeat the observed sequence, how many differ, and whether
-    the observed share of immediate repetitions is outside the nulls' range."""
-    own = sequences.select("session_id", F.col("marks").alias("observed"))
-    rows = replicates(sequences, construction, n).join(own, "session_id")
-    rate = lambda c: F.size(F.filter(F.zip_with(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: x == y), lambda x: x)) / F.greatest(F.size(c) - 1, F.lit(1))
-    rows = rows.withColumns({"r": rate("marks"), "o": rate("observed")})
-    return rows.groupBy("session_id").agg(F.count_if(F.col("marks") == F.col("observed")).alias("identical"), F.count_distinct(F.xxhash64("marks")).alias("distinct"), F.min("r").alias("null_min"), F.max("r").alias("null_max"), F.first("o").alias("observed")).withColumn("outside", (F.col("observed") < F.col("null_min")) | (F.col("observed") > F.col("null_max")))
+def measures(codes: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    """Share of immediate repetitions, mean run length, and the entropy of pairs of
+    neighbours over twice that of the marks."""
+    n = len(codes)
+    if n < 2:
+        return None, float(n) if n else None, None
+    same = int((codes[1:] == codes[:-1]).sum())
+    entropy = lambda x: float(-((p := np.sort(np.unique(x, return_counts=True)[1]) / len(x)) * np.log(p)).sum())
+    single = entropy(codes)
+    return same / (n - 1), n / (n - same), entropy(codes[:-1] * (int(codes.max()) + 1) + codes[1:]) / (2 * single) if single else None
+
+
+MEASURES = ("immediate repetition rate", "mean run length", "transition entropy ratio")
+STRUCTURE = "session_id string, construction string, measure string, observed double, null_median double, null_min double, null_max double, exceedances int, outside boolean, identical int, distinct int"
+
+
+def structure_nulls(sequences: DataFrame, constructions: tuple[str, ...], n: int) -> DataFrame:
+    """Each measure of a session against n nulls of it: median, range and exceedances, whether
+    it lies outside the range; and how many nulls repeat the session or differ."""
+    kinds = F.explode(F.array(*map(F.lit, constructions)))
+    rows = sequences.select("session_id", "marks", kinds.alias("construction")).repartition("session_id", "construction")
+
+    fields = to_arrow(STRUCTURE)  # on the driver: it needs the session
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for session, marks, kind in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                code = {m: i for i, m in enumerate(dict.fromkeys(marks))}
+                own = np.array([code[m] for m in marks])
+                if kind == "order":
+                    nulls = [own[p] for p in permutations(len(own), 0, n)]
+                else:
+                    nulls = [np.array([code[m] for m in CONSTRUCTIONS[kind](marks, lcg.null_seed(r, 0))]) for r in range(n)]
+                shared = {"session_id": session, "construction": kind, "identical": sum(bool((x == own).all()) for x in nulls), "distinct": len({x.tobytes() for x in nulls})}
+                for name, observed, values in zip(MEASURES, measures(own), zip(*map(measures, nulls), strict=True), strict=True):
+                    if observed is None or any(v is None for v in values):
+                        continue
+                    v = np.sort(values)
+                    out.append(shared | {"measure": name, "observed": observed, "null_median": ranked_at(v, 0.5), "null_min": float(v[0]), "null_max": float(v[-1]), "exceedances": int((v >= observed).sum()), "outside": bool(observed < v[0] or observed > v[-1])})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    return rows.mapInArrow(run, STRUCTURE)

@@ -49,12 +49,14 @@ def stats(ledger: DataFrame, width_ms: int) -> DataFrame:
 
     Zeros are counted, not built: moments of the sparse values and the number of
     buckets give the same figures as the dense grid."""
-    found = sparse(ledger, width_ms).groupBy("session_id", "dimension").agg(F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.min("value").alias("lo"), F.max("value").alias("max"), F.count("*").alias("nonzero_buckets"))
+    found = sparse(ledger, width_ms).groupBy("session_id", "dimension").agg(F.sum("value").alias("sum"), F.avg("value").alias("middle"), F.var_pop("value").alias("spread"), F.min("value").alias("lo"), F.max("value").alias("max"), F.count("*").alias("nonzero_buckets"))
     rows = found.join(axis(ledger, width_ms).select("session_id", "buckets"), "session_id")
     full = F.col("nonzero_buckets") == F.col("buckets")
     mean = F.col("sum") / F.col("buckets")
     constant = full & (F.col("lo") == F.col("max"))
-    return rows.select("session_id", "dimension", "sum", mean.alias("mean"), F.when(constant, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("buckets") - mean * mean))).alias("stddev"), F.when(full, F.col("lo")).otherwise(0.0).alias("min"), "max", "nonzero_buckets", constant.alias("constant"))
+    share = F.col("nonzero_buckets") / F.col("buckets")  # the zeros' moments merged with those of the other values
+    variance = share * (F.col("spread") + F.col("middle") * F.col("middle") * (1 - share))
+    return rows.select("session_id", "dimension", "sum", mean.alias("mean"), F.when(constant, 0.0).otherwise(F.sqrt(variance)).alias("stddev"), F.when(full, F.col("lo")).otherwise(0.0).alias("min"), "max", "nonzero_buckets", constant.alias("constant"))
 
 
 def zscores(ledger: DataFrame, width_ms: int) -> DataFrame:

@@ -55,18 +55,21 @@ def corpus_pairs(s, d):
     return rounded(A.ranked(_corpus(s, d, TOP), "k", "a", "b"), *FIGURES)
 
 
-def _totals(found, *within):
-    f = found.groupBy(*within).agg(F.count("*").alias("pairs"), F.sum("total").alias("total"), F.min("total").alias("best"), *[F.sum(c).alias(c) for c in ("matches", "substitutions", "deletions", "insertions", "timed_pairs")])
-    return f.withColumns({"total": F.round("total", 6), "best": F.round("best", 9)})
+def _totals(s, d, k, p):
+    return A.cross_totals(N.arrays(events(s, d)), p, k).withColumns({"total": F.round("total", 6), "best": F.round("best", 9)})
 
 
 def cross_totals(s, d):
     """What the whole cross search sums to."""
-    return _totals(_cross(s, d)[1], "a", "b")
+    return _totals(s, d, K, Q.adjacent_pairs(events(s, d)))
 
 
 def corpus_totals(s, d):
-    return _totals(_corpus(s, d), "k", "a", "b")
+    p, out = pairs(s, d), None
+    for k in SPANS:
+        own = _totals(s, d, k, p).withColumn("k", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _best(s, d, n=50):
@@ -144,14 +147,14 @@ def _duck(text: str) -> str:
     return re.sub(r"(?<![A-Za-z_])(\d+(?:\.\d+)?(?:e-?\d+)?)D\b", r"\1::DOUBLE", text)
 
 
-def dp_sql(source: str, keep: list[str], k: int, name: str = "al") -> str:
+def dp_sql(source: str, keep: list[str], k: int, name: str = "al", l: int | None = None) -> str:
     """The unrolled programme as CTEs over source (with marks and gaps of both sides)."""
-    cells = {f"{n}_{i}": f"{c}[{i}]" for n, c in (("a", "a_marks"), ("b", "b_marks"), ("x", "a_gaps"), ("y", "b_gaps")) for i in range(1, k + 1)}
+    cells = {f"{n}_{i}": f"{c}[{i}]" for n, c, m in (("a", "a_marks", k), ("b", "b_marks", l or k), ("x", "a_gaps", k), ("y", "b_gaps", l or k)) for i in range(1, m + 1)}
     out = [f"{name}0 AS MATERIALIZED (SELECT {', '.join(keep)}, {', '.join(f'{e} AS {n}' for n, e in cells.items())} FROM {source})"]
-    every = A.layers(k)
+    every = A.layers(k, l)
     for i, layer in enumerate(every):
         out.append(f"{name}{i + 1} AS (SELECT *, {', '.join(f'{_duck(e)} AS {n}' for n, e in layer.items())} FROM {name}{i})")
-    out.append(f"{name} AS MATERIALIZED (SELECT {', '.join(keep)}, {', '.join(f'{_duck(e)} AS {n}' for n, e in A.results(k).items())} FROM {name}{len(every)})")
+    out.append(f"{name} AS MATERIALIZED (SELECT {', '.join(keep)}, {', '.join(f'{_duck(e)} AS {n}' for n, e in A.results(k, l).items())} FROM {name}{len(every)})")
     return ", ".join(out)
 
 

@@ -20,7 +20,7 @@ def _tool_groups(spark, sf_dir):
 
 
 def _subagents(spark, sf_dir):
-    return I.subagents(ledger(spark, sf_dir)).select("session_id", "subject_agent", "first_sequence", csv("started"), csv("stopped"), F.concat_ws(",", "types").alias("types"), F.concat_ws(",", "parents").alias("parents"))
+    return I.subagents(ledger(spark, sf_dir)).select("session_id", "subject_agent", "first_sequence", csv("started"), csv("stopped"), F.concat_ws(",", F.array_sort(F.transform("types", lambda x: F.coalesce(x, F.lit("(none)"))))).alias("types"), F.concat_ws(",", "parents").alias("parents"))
 
 
 def _timestamps(spark, sf_dir):

@@ -87,6 +87,10 @@ QUERIES = {
     "s05_replayed_groups": _replayed_shapes,
     "s13_append": _append,
     "s13_append_all": lambda s, d: _append(s, d, lambda rows: rows),
+    "s16_replayed_lines": lambda s, d: R.replayed(files(s, d)).groupBy("path").agg(F.count("*").alias("lines"), F.max("line_no").cast("bigint").alias("last")),
+    "s16_exits": lambda s, d: R.exits(files(s, d)),
+    "s20_identities": lambda s, d: R.identities(files(s, d)),
+    "s20_keys": lambda s, d: R.identities(files(s, d)).select("path", "key"),
     "s21_hooks": _hooks,
     "s27_key_counts": lambda s, d: H.key_counts(_payloads(s, d)),
 }
@@ -106,6 +110,10 @@ ORACLE_SQL = {
     "s02_replay": f"{_W} SELECT session_id || '.ndjson' AS path, {_STATUS} AS status, CASE {_U} WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 END::BIGINT AS error_line, CASE WHEN {_U} = 0 THEN count(*) WHEN {_U} = 1 THEN count(*) - 1 ELSE 0 END AS records, CASE WHEN {_U} < 2 THEN session_id END AS session_id, CASE WHEN {_U} < 2 THEN 2 END::BIGINT AS version FROM ledger GROUP BY ledger.session_id",
     "s05_replayed_groups": f"{_W}, l AS (SELECT *, max(sequence) OVER (PARTITION BY session_id) AS last FROM ledger WHERE {_U} < 2), g AS (SELECT session_id, corr_id, min(sequence) AS first_sequence, count(*) FILTER (WHERE kind IN ('tool_requested', 'observed_tool_started'))::INT AS openings, count(*) FILTER (WHERE kind NOT IN ('tool_requested', 'observed_tool_started', 'reported_intent'))::INT AS outcomes, count(DISTINCT CASE WHEN kind = 'tool_succeeded' OR outcome = 'succeeded' THEN 1 WHEN kind = 'tool_failed' OR outcome = 'failed' THEN 2 WHEN kind = 'tool_denied' THEN 3 END) AS classes FROM l WHERE corr_id IS NOT NULL AND (sequence < last OR {_U} = 0) GROUP BY ALL) SELECT session_id, corr_id, CASE WHEN openings = 0 AND outcomes = 0 THEN 'reported_intent_only' WHEN openings > 1 OR outcomes > 1 OR classes > 1 THEN 'ambiguous' WHEN outcomes = 0 THEN 'opening_without_outcome' WHEN openings = 0 THEN 'outcome_without_opening' ELSE 'paired_lifecycle' END AS shape, first_sequence, openings, outcomes FROM g",
     "s13_append": f"{_W}, t AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS records FROM ledger), a AS (SELECT session_id, sequence AS n, records, CASE WHEN n = 3 AND kind <> 'reported_intent' THEN 'channel_not_allowed' WHEN {_U} = 1 THEN 'append_after_truncation' WHEN {_U} > 1 THEN 'corrupt_recording' END AS refused FROM t WHERE sequence <= 3) SELECT session_id || '.ndjson' AS file_name, n, refused, CASE WHEN refused IS NULL THEN records + row_number() OVER (PARTITION BY session_id, refused IS NULL ORDER BY n) END AS sequence, refused IS NULL AS written FROM a",
+    "s13_append_all": f"{_W}, t AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS records FROM ledger), a AS (SELECT session_id, sequence AS n, records, CASE WHEN n = 3 AND kind <> 'reported_intent' THEN 'channel_not_allowed' WHEN {_U} = 1 THEN 'append_after_truncation' WHEN {_U} > 1 THEN 'corrupt_recording' END AS refused FROM t) SELECT session_id || '.ndjson' AS file_name, n, refused, CASE WHEN refused IS NULL THEN records + row_number() OVER (PARTITION BY session_id, refused IS NULL ORDER BY n) END AS sequence, refused IS NULL AS written FROM a",
+    "s16_replayed_lines": f"{_W} SELECT session_id || '.ndjson' AS path, count(*) - ({_U} = 1)::INT AS lines, count(*) - ({_U} = 1)::INT AS last FROM ledger WHERE {_U} < 2 GROUP BY session_id",
+    "s16_exits": f"{_W} SELECT session_id || '.ndjson' AS path, {_STATUS} AS status, CASE {_U} WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS exit FROM ledger GROUP BY session_id",
+    "s20_keys": f"{_W} SELECT session_id || '.ndjson' AS path, session_id AS key FROM ledger GROUP BY session_id",
     "s21_hooks": f"{_W}, {_HOOKED} SELECT session_id AS payload_session, sequence AS payload_n, err AS error, n, CASE n WHEN 1 THEN 'observed' WHEN 2 THEN 'reported' END AS channel, 'command-hook:' || CASE n WHEN 1 THEN hook WHEN 2 THEN hook || '#tool_input.description' END AS mechanism, CASE n WHEN 1 THEN CASE hook {_KINDS} END WHEN 2 THEN 'reported_intent' END AS kind, CASE WHEN n = 2 OR (n = 1 AND hook IN ('PreToolUse', 'PostToolUse', 'PostToolUseFailure', 'PermissionDenied')) THEN corr_id END AS tool_use_id, CASE WHEN hook NOT IN ('SubagentStart', 'SubagentStop') THEN agent END AS agent_id, CASE WHEN hook IN ('SubagentStart', 'SubagentStop') THEN agent END AS subject_agent, CASE WHEN n = 2 THEN 'look around' END AS intent_text FROM r",
     "s27_key_counts": f"{_W}, {_HOOKED}, k AS (SELECT hook, unnest(['hook_event_name', 'session_id', 'tool_name', 'tool_response', 'cwd', CASE WHEN corr_id IS NOT NULL THEN 'tool_use_id' END, CASE WHEN has_input THEN 'tool_input' END, CASE WHEN has_error THEN 'error' END, CASE WHEN agent IS NOT NULL THEN 'agent_id' END, CASE WHEN sequence % 17 = 0 THEN 'novel' END]) AS key FROM p) SELECT hook, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL",
 }

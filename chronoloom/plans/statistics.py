@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import lcg
+from ..operators import align as A
 from ..operators import nulls as N
 from ..operators import profile as P
 from ..operators import signal as S
@@ -42,13 +43,17 @@ def _calibration(s, d):
 
 
 def _evidence(s, d):
-    found = N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES)
-    out = N.evidence(N.with_observed(found, "t").select(F.concat_ws("|", "a", "b", "k").alias("group"), (F.col("observed") / 20).alias("observed"), (F.col("t") / 20).alias("sample")))
-    return rounded(out.withColumn("histogram", F.concat_ws(",", F.col("histogram").cast("array<string>"))), *[c for c in out.columns if c not in ("group", "n", "histogram", "at_or_below")])
+    """The best pair of windows of each pair of sessions and span, against nulls of the same places."""
+    e, p, out = N.arrays(events(s, d)), pairs(s, d), None
+    for k in LADDER:
+        own = N.evidence(e, A.cross_pairs(e, p, k, 1), k, REPLICATES)
+        out = own if out is None else out.unionByName(own)
+    return rounded(out, "observed", "null_mean", "null_stddev", "null_min", "null_max", "empirical_p", "separation", "standardized_separation")
 
 
 def _selection(s, d):
-    return rounded(N.selection_effect(N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES)), "median_draw", "median_maximum")
+    a, p = N.arrays(events(s, d)), pairs(s, d)
+    return rounded(N.selection_effect(N.searches(a, p, LADDER, REPLICATES), N.arbitrary_scores(a, p, LADDER)), "arbitrary_median", "arbitrary_q99", "selected_median", "margin")
 
 
 def _haar(s, d):
@@ -74,7 +79,7 @@ QUERIES = {
     "n08_calibration": _calibration,
     "n05_null_evidence": _evidence,
     "n09_selection_effect": _selection,
-    "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), "doublet", ADEQUACY), "null_min", "null_max", "observed"),
+    "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), ("order", "doublet", "markov"), ADEQUACY), "null_median", "null_min", "null_max", "observed"),
     "n11_corpus_coverage": lambda s, d: rounded(N.coverage_nulls(N.corpus_coverage(_sequences(s, d), (3, 4, 5, 6), REPLICATES)), "tail"),
     "q18_haar": lambda s, d: rounded(_haar(s, d).where("level is not null").select("session_id", "dimension", "level", "scale_ms", "coefficients", "energy", "remainder"), "energy", "remainder"),
     "q19_haar_spectrum": lambda s, d: rounded(P.spectrum(_haar(s, d)), "energy", "share", "impulse_share", "ratio"),
@@ -94,12 +99,19 @@ hl AS (SELECT session_id, dimension, level, ({WIDTH} * pow(2, level))::BIGINT AS
 _R = _W.replace("WITH ", "WITH RECURSIVE ", 1)
 _EV = "ev AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS pos, 'v' || version || ':' || kind || coalesce('/' || tool_name, '') AS mark FROM ledger WHERE channel = 'observed')"
 
+_SEEDS = ", ".join(f"({r}, {lcg.null_seed(r, 0) | 1}::HUGEINT)" for r in range(5))
+_LISTS = f"{_EV}, sq AS (SELECT session_id, list(mark ORDER BY pos) AS m FROM ev GROUP BY session_id), sd(r, x) AS (VALUES {_SEEDS})"
+_SHUFFLED = f"sf AS (SELECT session_id, r, len(m) - 1 AS i, x, m FROM sq, sd UNION ALL SELECT session_id, r, i - 1, x, [CASE q WHEN i + 1 THEN m[j] WHEN j THEN m[i + 1] ELSE m[q] END FOR q IN range(1, len(m) + 1)] FROM (SELECT *, (x // 8589934592 % (i + 1))::BIGINT + 1 AS j FROM (SELECT session_id, r, i, m, {_STATE} AS x FROM sf WHERE i > 0)))"
+_WALKED = f"af AS (SELECT session_id, mark, list(next ORDER BY pos) AS l FROM (SELECT *, lead(mark) OVER (PARTITION BY session_id ORDER BY pos) AS next FROM ev) WHERE next IS NOT NULL GROUP BY ALL), wk AS (SELECT session_id, r, 1 AS n, x, m[1] AS c, m[1] AS o, m FROM sq, sd UNION ALL SELECT session_id, r, n + 1, x, nx, o || '|' || nx, m FROM (SELECT w.*, ch[(x // 8589934592 % len(ch))::BIGINT + 1] AS nx FROM (SELECT v.*, coalesce(l, m) AS ch FROM (SELECT session_id, r, n, c, o, m, {_STATE} AS x FROM wk WHERE n < len(m)) v LEFT JOIN af ON af.session_id = v.session_id AND af.mark = v.c) w))"
+
 ORACLE_SQL = {
+    "n02_order_nulls": f"{_R}, {_LISTS}, {_SHUFFLED} SELECT session_id, r::INT AS replicate, array_to_string(m, '|') AS marks FROM sf WHERE i = 0",
+    "n07_markov_nulls": f"{_R}, {_LISTS}, {_WALKED} SELECT session_id, r::INT AS replicate, o AS marks FROM wk WHERE n = len(m)",
     "n01_draws": f"WITH RECURSIVE g AS (SELECT seed, 0 AS n, (seed | 1)::HUGEINT AS x FROM (SELECT unnest(range(200)) AS seed) UNION ALL SELECT seed, n + 1, {_STATE} FROM g WHERE n < 10) SELECT seed, n, (x // 8589934592 % 1000)::BIGINT AS draw FROM g WHERE n > 0",
     "n02_null_multisets": f"{_W}, {_EV} SELECT session_id, r::INT AS replicate, mark, count(*) AS n FROM ev, (SELECT unnest(range(3)) AS r) GROUP BY ALL",
     "n06_null_transitions": f"{_W}, {_EV} SELECT session_id, r::INT AS replicate, step, count(*) AS n FROM (SELECT session_id, lag(mark) OVER (PARTITION BY session_id ORDER BY pos) || '>' || mark AS step FROM ev), (SELECT unnest(range(2)) AS r) WHERE step IS NOT NULL GROUP BY ALL",
     "q18_haar": f"{_R}, {_HAAR} SELECT session_id, dimension, level, scale_ms, coefficients, round(energy, 9) AS energy, round(remainder, 9) AS remainder FROM hl",
     "q19_haar_spectrum": f"{_R}, {_HAAR}, sh AS (SELECT *, CASE WHEN sum(energy) OVER w > 0 THEN energy / sum(energy) OVER w ELSE 0 END AS share, pow(2, -level) / sum(pow(2, -level)) OVER w AS impulse_share FROM hl WINDOW w AS (PARTITION BY session_id, dimension)) SELECT session_id, dimension, level, scale_ms, round(energy, 9) AS energy, round(share, 9) AS share, round(impulse_share, 9) AS impulse_share, round(share / impulse_share, 9) AS ratio FROM sh",
     "q20_haar_silence": f"{_R}, {_HAAR}, en AS (SELECT session_id, dimension, list_sum([v * v FOR v IN x]) AS input, list_min(x) = list_max(x) AS constant FROM xs), dt AS (SELECT session_id, dimension, sum(energy) AS detail, count(remainder) AS remainders FROM hl GROUP BY ALL) SELECT session_id, dimension, round(input, 9) AS input, round(coalesce(detail, 0), 9) AS detail, coalesce(remainders, 0) AS remainders, 0.0::DOUBLE AS residual, CASE WHEN coalesce(detail, 0) > 0 THEN NULL WHEN input = 0 THEN 'empty' WHEN constant THEN 'constant' ELSE 'only_in_remainders' END AS silence FROM en LEFT JOIN dt USING (session_id, dimension)",
-    "q21_matrix_profile": f"{_W}, {dense_sql(PROFILE_WIDTH)}, ws AS (SELECT * FROM (SELECT session_id, dimension, bucket AS start, list(value) OVER w AS v FROM dn WHERE dimension IN ('records', 'kind:v2:tool_requested') WINDOW w AS (PARTITION BY session_id, dimension ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE len(v) = 8), zs AS (SELECT *, list_min(v) = list_max(v) AS c, [(y - list_avg(v)) / CASE WHEN list_min(v) = list_max(v) THEN 1 ELSE list_stddev_pop(v) END FOR y IN v] AS z FROM ws), ds AS (SELECT a.session_id, a.dimension, a.start, b.start AS other, a.c AS ac, b.c AS bc, round(CASE WHEN a.c AND b.c THEN 0 WHEN a.c OR b.c THEN 16 ELSE pow(list_distance(a.z, b.z), 2) END, 9) AS q FROM zs a JOIN zs b ON a.session_id = b.session_id AND a.dimension = b.dimension AND abs(a.start - b.start) > 2), bb AS (SELECT session_id, dimension, start, min((q, other, ac OR bc)) AS x FROM ds GROUP BY ALL) SELECT w.session_id, w.dimension, 8 AS m, w.start::INT AS start, round(sqrt(x[1]), 5) AS distance, coalesce(x[3], w.c) AS masked FROM zs w LEFT JOIN bb USING (session_id, dimension, start)",
+    "q21_matrix_profile": f"{_W}, {dense_sql(PROFILE_WIDTH)}, ws AS (SELECT * FROM (SELECT session_id, dimension, bucket AS start, list(value) OVER w AS v FROM dn WHERE dimension IN ('records', 'kind:v2:tool_requested') WINDOW w AS (PARTITION BY session_id, dimension ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE len(v) = 8), zs AS (SELECT *, list_min(v) = list_max(v) AS c, [(y - list_avg(v)) / CASE WHEN list_min(v) = list_max(v) THEN 1 ELSE list_stddev_pop(v) END FOR y IN v] AS z FROM ws), zc AS MATERIALIZED (SELECT session_id, dimension, start, c, {', '.join(f'z[{i}] AS z{i}' for i in range(1, 9))} FROM zs), ds AS (SELECT a.session_id, a.dimension, a.start, b.start AS other, a.c AS ac, b.c AS bc, round(CASE WHEN a.c AND b.c THEN 0 WHEN a.c OR b.c THEN 16 ELSE {' + '.join(f'(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})' for i in range(1, 9))} END, 9) AS q FROM zc a JOIN zc b ON a.session_id = b.session_id AND a.dimension = b.dimension AND abs(a.start - b.start) > 2), bb AS (SELECT session_id, dimension, start, min((q, other, ac OR bc)) AS x FROM ds GROUP BY ALL) SELECT w.session_id, w.dimension, 8 AS m, w.start::INT AS start, round(sqrt(x[1]), 5) AS distance, coalesce(x[3], w.c) AS masked FROM zs w LEFT JOIN bb USING (session_id, dimension, start)",
 }

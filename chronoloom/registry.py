@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from .plans import alignments, corpus, inspection, sequences, sources, statistics
+from .plans import alignments, corpus, inspection, sequences, sources, statistics, studies
 
-MODULES = (inspection, sequences, alignments, statistics, corpus, sources)
+MODULES = (inspection, sequences, alignments, statistics, corpus, sources, studies)
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 

@@ -1,14 +1,16 @@
 """Appending emissions to recordings.
 
 A batch of emissions is numbered after each recording's last record and checked
-before anything is written; what is refused stays out with its reason.  The
-caller writes the accepted lines: one writer per recording at a time, as in
-foreachBatch.
+before anything is written; what is refused stays out with its reason.  A
+:class:`Log` keeps accepted lines in one folder, a partition for each batch: a
+batch that is tried again takes the place of what it wrote before, so nothing
+is written twice, and its numbers follow from the batches before it alone.
+Batches come one at a time, as in foreachBatch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import KINDS, allowed_channels
@@ -98,3 +100,42 @@ def append(emissions: DataFrame, recordings: DataFrame, recorded_at: Column | No
     rows = rows.withColumn("sequence", F.when(F.col("refused").isNull(), F.coalesce("_records", F.lit(0)) + place).cast("decimal(20,0)"))
     rows = with_line(rows.drop("_status", "_version", "_session", "_records"))
     return rows.withColumn("line", F.when(F.col("refused").isNull(), F.col("line")))
+
+
+class Log:
+    """Recordings as a Parquet table of lines (file_name, sequence, line) by batch."""
+
+    SCHEMA = "file_name string, sequence decimal(20,0), line string, batch long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def lines(self, before: int | None = None) -> DataFrame:
+        """All lines, or those of earlier batches."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def ends(self, before: int | None = None) -> DataFrame:
+        """file_name, status, version, session_id, records: what appending needs to know, from each
+        recording's last line alone (they are complete: nothing else is written)."""
+        last = self.lines(before).groupBy("file_name").agg(F.max("sequence").alias("records"), F.max_by("line", "sequence").alias("line"))
+        return last.select("file_name", F.lit("complete").alias("status"), F.get_json_object("line", "$.schema_version").cast("long").alias("version"), F.get_json_object("line", "$.session_id").alias("session_id"), "records")
+
+    def append(self, emissions: DataFrame, batch: int, recorded_at: Column | None = None, order: str = "n") -> DataFrame:
+        """Writes what of a batch is accepted; returns (file_name, refused, n) of the rest."""
+        rows = append(emissions, self.ends(batch), recorded_at, order)
+        kept = rows.where("refused is null").select("file_name", "sequence", "line", F.lit(batch).cast("long").alias("batch"))
+        kept.repartition("file_name").sortWithinPartitions("file_name", "sequence").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        return rows.where("refused is not null").groupBy("file_name", "refused").agg(F.count("*").alias("n"))
+
+    def contents(self) -> DataFrame:
+        """path, content: the recordings as bytes, for replay."""
+        held = self.lines().groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("sequence", "line"))).getField("line").alias("l"))
+        return held.select(F.col("file_name").alias("path"), F.concat(F.array_join("l", "\n"), F.lit("\n")).cast("binary").alias("content"))
+
+    def into(self, stream: DataFrame, checkpoint: str, order: str = "n"):
+        """Appends a stream of emissions, batch by batch."""
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: self.append(rows, batch, order=order)).start()

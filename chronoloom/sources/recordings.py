@@ -12,6 +12,7 @@ through, a sequence number that isn't the line number, another session.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -235,17 +236,44 @@ def fingerprint(content: Column) -> Column:
     """FNV-1a, 64 bits, as 16 hex digits (Arrow batches: it needs wrapping arithmetic)."""
     @F.pandas_udf("string")
     def fnv(column: pd.Series) -> pd.Series:
-        def one(data: bytes) -> str:
-            h = 0xCBF29CE484222325
-            for b in data:
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
-
-        return column.map(one, na_action="ignore")
+        held = column.dropna()
+        size = np.array([len(x) for x in held], np.int64)
+        data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64)
+        start, h = np.cumsum(size) - size, np.full(len(size), 0xCBF29CE484222325, np.uint64)
+        live = np.argsort(-size, kind="stable")  # longest first: those that go on are a prefix
+        for i in range(int(size.max()) if len(size) else 0):  # a byte of every file at a time
+            live = live[: np.searchsorted(-size[live], -i)]
+            h[live] = (h[live] ^ data[start[live] + i]) * np.uint64(0x100000001B3)
+        return pd.Series([f"{x:016x}" for x in h.tolist()], held.index).reindex(column.index)
 
     return fnv(content)
 
 
+#: Exit status of a replay: complete, cut short, or not sound.
+EXIT = {"complete": 0, "truncated": 2}
+
+
+def replayed(files: DataFrame) -> DataFrame:
+    """path, line_no, line of sound files, in order of path and line; what a replay prints."""
+    sound = recordings(files).where("status in ('complete', 'truncated')").select("path")
+    return lines(files).select("path", "line_no", "line").join(sound, "path", "left_semi").orderBy("path", "line_no")
+
+
+def exits(files: DataFrame) -> DataFrame:
+    """path, status and exit status of a replay of each file."""
+    status = F.lit(1)
+    for name, code in EXIT.items():
+        status = F.when(F.col("status") == name, code).otherwise(status)
+    return recordings(files).select("path", "status", status.alias("exit"))
+
+
+def identities(files: DataFrame) -> DataFrame:
+    """path, fingerprint of the bytes, and key: the session's id, else the file's name without ending."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    held = recordings(files).select("path", F.col("session_id").alias("_session"))
+    return files.select("path", fingerprint(F.col("content")).alias("fingerprint"), stem.alias("_stem")).join(held, "path").select("path", "fingerprint", F.coalesce("_session", "_stem").alias("key"))
+
+
 def normal_bytes(json_text: Column) -> Column:
     """UTF-8 length of a JSON value with sorted keys and no spaces."""
     @F.pandas_udf("long")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from chronoloom.sources import append, recordings
 from chronoloom.sources import recordings as R
 
 
@@ -89,3 +91,34 @@ def test_fingerprint(spark):
 def test_normal_bytes(spark):
     df = spark.createDataFrame([('{"b": 1, "a": [1, 2]}',), (None,), ('"é"',)], "j string")
     assert [r.n for r in df.select(R.normal_bytes(df.j).alias("n")).collect()] == [len('{"a":[1,2],"b":1}'), None, 4]
+
+
+def test_log_is_read_back_and_a_retry_writes_nothing_twice(spark, tmp_path):
+    """Batches of emissions, one tried again, one of a stream; then a strict replay."""
+    log = append.Log(spark, f"file://{tmp_path}/log")
+
+    def batch(first, n, channel="observed"):
+        rows = [(f"s{k}.ndjson", f"s{k}", i, "tool_requested", channel, "t", "m", f"c{i}", "Bash", '{"a":1}') for k in range(3) for i in range(first, first + n)]
+        return spark.createDataFrame(rows, "file_name string, session_id string, n int, kind string, channel string, adapter string, mechanism string, tool_use_id string, tool_name string, tool_input string").withColumns({c: F.lit(None).cast("string") for c in ("prompt_id", "agent_id", "agent_type")})
+
+    assert log.append(batch(1, 4), 0, F.lit("2026-01-01T00:00:00Z")).isEmpty()
+    assert log.append(batch(5, 3), 1).isEmpty()
+    assert log.append(batch(5, 3), 1).isEmpty()  # the same batch again
+    refused = log.append(batch(8, 2, "reported"), 2).collect()
+    assert sum(r.n for r in refused) == 6 and {r.refused for r in refused} == {"channel_not_allowed"}
+    found = recordings.recordings(log.contents()).collect()
+    assert [(r.path, r.status, r.records, r.session_id) for r in sorted(found)] == [(f"s{k}.ndjson", "complete", 7, f"s{k}") for k in range(3)]
+    assert [r.line_no for r in recordings.replayed(log.contents()).where("path = 's1.ndjson'").collect()] == list(range(1, 8))
+
+
+def test_fingerprints_of_many_files(spark):
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return f"{h:016x}"
+
+    data = [b"", b"a", b"foobar", bytes(range(256)) * 3, None]
+    rows = spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, d in enumerate(data)], "i int, content binary")
+    got = {r.i: r.f for r in rows.select("i", recordings.fingerprint(F.col("content")).alias("f")).collect()}
+    assert got == {i: plain(d) if d is not None else None for i, d in enumerate(data)}

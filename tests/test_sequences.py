@@ -47,7 +47,7 @@ def test_alignments_agree(spark, k):
     code = {m: i for i, m in enumerate("abcd")}
     for i, a, x, b, y in rows:
         want = plain_alignment(a, x, b, y)
-        matrix = align.window_alignments(np.array([[code[m] for m in a]]), np.array([x], float), np.array([[code[m] for m in b]]), np.array([y], float), k)
+        matrix = align.window_alignments(np.array([code[m] for m in a]), np.array(x, float), np.array([code[m] for m in b]), np.array(y, float), k)
         for name in ("matches", "substitutions", "deletions", "insertions", "timing_cost"):
             assert unrolled[i][name] == pytest.approx(want[name])
             assert float(matrix[name][0, 0]) == pytest.approx(want[name])
