@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import controls as control_values
+from ..functions.controls import CONTROLS
 from ..operators import align as A
 from ..operators import corpus as C
 from ..operators import nulls as N
@@ -15,6 +17,7 @@ from .alignments import _BEST50, K, _best, dp_sql
 from .corpus import _ACTIONS, _FLOW, _families_sql, _workflow
 from .sequences import ORACLE_SQL as _SEQUENCES
 from .sequences import _DENSE, _E, EVENTS_SQL, PAIRS_SQL, WIDTH, events, pairs, rounded, signal_ledger
+from .statistics import _STATE, REPLICATES
 
 LADDER = T.SPANS
 KEEP = 40
@@ -165,7 +168,31 @@ def profiled(s, d):
     return T.profiled_dimensions(S.stats(signal_ledger(s, d), WIDTH))
 
 
+def _controls(s, *names):
+    rows = [side for name in names for side in CONTROLS[name]]
+    return s.createDataFrame(rows, "session_id string, marks array<string>, gaps array<bigint>")
+
+
+def control_events(s, d, *names):
+    both = _controls(s, *names)
+    return both.select("session_id", F.posexplode(F.arrays_zip("marks", "gaps")).alias("pos", "e")).select("session_id", "pos", F.col("e.marks").alias("mark"), F.col("e.gaps").alias("gap_ms"))
+
+
+def control_calibration(s, d):
+    """Each pair of controls against its own nulls: order nulls of symbols drawn one by one, pair-keeping nulls of walks."""
+    out = None
+    for kind, construction in (("", "order"), ("first-order ", "doublet")):
+        names = [f"{kind}negative control", f"{kind}positive control"]
+        pairs = s.createDataFrame([tuple(x[0] for x in CONTROLS[n]) for n in names], "a string, b string")
+        own = N.tail(N.searches(_controls(s, *names), pairs, LADDER, REPLICATES, construction)).select("a", "b", "k", "observed", "exceedances", "tail", "exceptional", "certified")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out, "observed", "tail")
+
+
 QUERIES = {
+    "n15_controls": lambda s, d: control_events(s, d, "negative control", "positive control"),
+    "n16_walk_controls": lambda s, d: control_events(s, d, "first-order negative control", "first-order positive control"),
+    "n15_control_calibration": control_calibration,
     "q05_ladder": ladders,
     "q06_perturbation_sweep": perturbations,
     "q07_boundary_moves": boundary_moves,
@@ -241,7 +268,18 @@ def _grid_sql() -> str:
     return f"SELECT c.specimen, c.k, certified, tail::DOUBLE AS tail, CASE WHEN tail IS NOT NULL THEN greatest(round(tail * 1000) - 1, 0)::INT END AS exceedances, tail <= 0.01 AS exceptional, round(tail * 1000) <= 1 AS old_certified, certified = (tail <= 0.01) AS agrees_tail, certified = (round(tail * 1000) <= 1) AS agrees_max FROM (VALUES {cells}) c(specimen, k, certified) LEFT JOIN (VALUES {old}) o(specimen, k, tail) USING (specimen, k)"
 
 
+def _controls_sql() -> str:
+    sums = [sum(control_values.WEIGHTS[: i + 1]) for i in range(12)]
+    sides = ", ".join(f"({i}, {'ab'[i]!r}, {n}, {seed | 1}::HUGEINT)" for i, (n, seed) in enumerate(zip(control_values.LENGTHS, control_values.SEEDS, strict=True)))
+    sites = ", ".join(f"({i}, {x})" for i, own in enumerate(control_values.SITES) for x in own)
+    return f"""WITH RECURSIVE g AS (SELECT *, 0 AS n FROM (VALUES {sides}) v(side, name, len, x) UNION ALL SELECT side, name, len, {_STATE}, n + 1 FROM g WHERE n < 2 * len), w(sym, upto) AS (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(sums))}),
+sy AS (SELECT side, name, n - 1 AS pos, min(sym) AS sym FROM g JOIN w ON x // 8589934592 % 100 < upto WHERE n BETWEEN 1 AND len GROUP BY ALL), gp AS (SELECT side, n - len - 1 AS pos, CASE WHEN n = len + 1 THEN -1 ELSE 500 + (x // 8589934592 % 4500)::BIGINT END AS gap FROM g WHERE n > len),
+pl AS (SELECT side, site + i AS pos, fig[i + 1] AS sym FROM (VALUES {sites}) s(side, site), (SELECT {_list(control_values.FIGURE)} AS fig, unnest(range(12)) AS i)), ct AS (SELECT 'negative-' || name AS session_id, side, pos, sym FROM sy UNION ALL SELECT 'positive-' || name, sy.side, sy.pos, coalesce(pl.sym, sy.sym) FROM sy LEFT JOIN pl USING (side, pos))
+SELECT session_id, pos::INT AS pos, format('v2:tool_requested/synthetic-{{:02d}}', sym) AS mark, gap AS gap_ms FROM ct JOIN gp USING (side, pos)"""
+
+
 ORACLE_SQL = {
+    "n15_controls": _controls_sql(),
     "a25_corpus_divergence": _of_corpus(_SEQUENCES["a25_divergence"], "nx"),
     "q16_corpus_shared_run": _of_corpus(_SEQUENCES["q16_longest_shared_run"], "fp"),
     "q05_ladder": "SELECT DISTINCT n::INT AS n, k::INT AS k FROM (SELECT n, unnest(list_append(range(greatest(n - 2, 0), n + 3), 3)) AS k FROM range(41) t(n)) WHERE k >= 3",

@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chronoloom.functions import lcg
+from chronoloom.functions import controls, lcg
 from chronoloom.operators import align, nulls, studies
+from chronoloom.plans import studies as plans
 
 from .test_sequences import plain_alignment
 
@@ -119,3 +120,24 @@ def test_perturbed_figures():
     assert total(*a, *every["exact"]) == 0
     far = {name: total(*a, *b) for name, b in every.items()}
     assert far["10% timing jitter"] < far["30% timing jitter"] < far["100% timing jitter"] < far["unrelated sequence"]
+
+
+#: Published tails of the controls of symbols drawn one by one, at spans 3, 4, 6, 8 and 12.
+PUBLISHED = {"negative": (0.657, 0.825, 0.425, 0.035, 0.358), "positive": (0.396, 0.109, 0.005, 0.001, 0.001)}
+
+
+def test_controls_calibrate_as_published(spark):
+    got = {(r.a, r.k): r for r in plans.control_calibration(spark, None).collect()}
+    for name, tails in PUBLISHED.items():
+        assert [got[f"{name}-a", k].tail for k in plans.LADDER] == pytest.approx(list(tails), abs=1e-9)
+    # A walk's planted figure is no more than its own steps explain, until it is long.
+    assert len(got) == 20 and not any(got["first-order negative-a", k].certified for k in plans.LADDER)
+
+
+def test_walks_keep_to_their_steps():
+    for name in ("first-order negative control", "first-order positive control"):
+        for _, marks, gaps in controls.CONTROLS[name]:
+            path = [int(m[-2:]) for m in marks]
+            assert all(b in controls.followers(a) for a, b in itertools.pairwise(path)) and gaps[0] == -1
+            held = sum(tuple(path[i : i + 12]) == controls.WALK_FIGURE for i in range(len(path) - 11))
+            assert held == (2 if "positive" in name else 0)
