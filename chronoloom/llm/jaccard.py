@@ -478,7 +478,7 @@ def links(rows: DataFrame, nodes: DataFrame, words: int, percent: int, block_shi
     blocks = members.groupBy("canopy").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     members = written(members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("_at", F.xxhash64("_id", "place")), "members")
     texts = rows.select(F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), "place").alias("_at"), "text")
-    texts = bitsets.maybe_in(texts, "_at", bitsets.of_ids(members.select("_at")))  # texts of no canopy aren't shuffled
+    texts = texts.where(bitsets.maybe_in(rows.sparkSession, bitsets.of_ids(members.select("_at")), F.col("_at")))  # texts of no canopy aren't shuffled
     texts = texts.groupBy("_at").agg(F.first("text").alias("text"))  # repeated rows once
 
     def first_round(g):
@@ -557,7 +557,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judged = nodes.where("node is not null").withColumn("_row", row).join(of_node, "node").groupBy("_row").agg(F.count("*").alias("n"), F.first(F.col("_row") == F.col("stays")).alias("stays"))
     judged = written(judged.where("n > 1 or not stays").select("_row.*", "stays"), "judged")  # all but those that just stay
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("place"))
-    kept = whole.join(judged, ["_id", "place"], "left_anti").select("whole")
+    at = F.xxhash64("_id", "place")
+    some = bitsets.maybe_in(docs.sparkSession, bitsets.of_ids(judged.select(at)), at)
+    # Documents that are certainly not judged otherwise stay where they are; the others are joined.
+    kept = whole.where(~some).select("whole").unionByName(whole.where(some).join(judged, ["_id", "place"], "left_anti").select("whole"))
     if not (repeats := judged.where("stays")).isEmpty():
         one = whole.join(repeats, ["_id", "place"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("_id", "place").orderBy("_id")))
         kept = kept.unionByName(one.where("n = 1").select("whole"))
