@@ -95,6 +95,25 @@ def eligibility(acts: DataFrame, ledger: DataFrame, most: int = MAX_SESSIONS) ->
     return rows.withColumn("why", F.coalesce("why", F.when(place > most, "corpus_full"))).select("session_id", "records", "actions", "categories", F.col("why").alias("skipped"))
 
 
+def file_eligibility(files: DataFrame, acts: DataFrame, most: int = MAX_SESSIONS) -> DataFrame:
+    """Why a file is left out of a corpus, by the first rule that applies.
+
+    files: path, key (its identity), status of its replay, records, has_time; acts: the
+    actions of each file, with its path as session_id.  A file repeats an
+    identity when one before it by path is in the corpus under the same key; the
+    capacity rule counts, in order of path, the files that pass all others."""
+    counted = acts.groupBy(F.col("session_id").alias("path")).agg(F.count("*").alias("actions"), F.count_distinct("category").alias("categories"))
+    rows = files.join(counted, "path", "left").fillna(0, ["actions", "categories"])
+    unsound = F.when(~F.col("status").isin("complete", "truncated"), "replay_failed").when((F.col("records") == 0) | F.col("key").isNull(), "no_complete_records").when(~F.col("has_time"), "no_timestamps")
+    poor = F.when(F.col("actions") < MIN_ACTIONS, "too_few_actions").when(F.col("categories") < MIN_CATEGORIES, "vocabulary_too_small")
+    rows = rows.withColumns({"unsound": unsound, "poor": poor})
+    passes = rows.where("unsound is null and poor is null").groupBy("key").agg(F.min("path").alias("first"))
+    taken = passes.orderBy("first").limit(most).withColumn("taken", F.lit(True))  # one row a key of the corpus
+    rows = rows.join(F.broadcast(taken), "key", "left")
+    why = F.coalesce("unsound", F.when(F.col("taken") & (F.col("first") < F.col("path")), "duplicate_identity"), "poor", F.when(F.col("taken").isNull(), "corpus_full"))
+    return rows.select("path", "key", "status", "records", "actions", "categories", why.alias("skipped"))
+
+
 def session_facts(acts: DataFrame) -> DataFrame:
     """Counts by category and outcome with zeros, and the most used tool (name on ties)."""
     tools = acts.groupBy("session_id", "tool").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.min_by("tool", F.struct(-F.col("n"), "tool")).alias("top_tool"))

@@ -188,3 +188,21 @@ def scans(rows: DataFrame, windows: tuple[int, ...], k: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, fields)
 
     return rows.mapInArrow(run, schema)
+
+
+def linked_regions(scanned: DataFrame, regions: DataFrame, bucket_ms: int) -> DataFrame:
+    """The first motif of each scan of a session that joins two of its half-open regions (session_id,
+    region, a_from, a_to, b_from, b_to in milliseconds): by where its spans start
+    (linking), and by whether they reach in (overlapping).  Ranks count from 0; null
+    where no motif does."""
+    rows = scanned.join(regions, "session_id")
+    width = F.col("m") * bucket_ms
+
+    def first(hits):
+        both = lambda p, q: hits(p, F.col("a_from"), F.col("a_to")) & hits(q, F.col("b_from"), F.col("b_to"))
+        found = F.transform("motifs", lambda x, i: F.when(both(x["a"] * bucket_ms, x["b"] * bucket_ms) | both(x["b"] * bucket_ms, x["a"] * bucket_ms), i))
+        return F.array_min(F.filter(found, lambda i: i.isNotNull()))
+
+    starts = lambda at, a, b: (at >= a) & (at < b)
+    reaches = lambda at, a, b: (at < b) & (at + width > a)
+    return rows.select("session_id", "dimension", "m", "region", first(starts).alias("linking"), first(reaches).alias("overlapping"))

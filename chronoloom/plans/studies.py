@@ -9,15 +9,18 @@ from ..functions.controls import CONTROLS
 from ..operators import align as A
 from ..operators import corpus as C
 from ..operators import nulls as N
+from ..operators import profile as P
 from ..operators import sequence as Q
 from ..operators import signal as S
 from ..operators import studies as T
+from ..sources import recordings as R
 from ..sources.events import LEDGER_SQL, ledger
 from .alignments import _BEST50, K, _best, dp_sql
 from .corpus import _ACTIONS, _FLOW, _families_sql, _workflow
 from .sequences import ORACLE_SQL as _SEQUENCES
 from .sequences import _DENSE, _E, EVENTS_SQL, PAIRS_SQL, WIDTH, events, pairs, rounded, signal_ledger
-from .statistics import _STATE, REPLICATES
+from .sources import files
+from .statistics import _STATE, PROFILE_LADDER, PROFILE_WIDTH, REPLICATES
 
 LADDER = T.SPANS
 KEEP = 40
@@ -168,6 +171,24 @@ def profiled(s, d):
     return T.profiled_dimensions(S.stats(signal_ledger(s, d), WIDTH))
 
 
+def linked(s, d):
+    """The first motif that joins the two halves of a session, by both criteria."""
+    ends = ledger(s, d).groupBy("session_id").agg(F.expr("(max(epoch_ns) - min(epoch_ns)) div 1000000 + 1").alias("end")).withColumn("half", F.expr("end div 2"))
+    both = ends.select("session_id", F.lit("halves").alias("region"), F.lit(0).cast("long").alias("a_from"), F.col("half").alias("a_to"), F.col("half").alias("b_from"), F.col("end").alias("b_to"))
+    series = P.series(S.dense(signal_ledger(s, d), PROFILE_WIDTH))
+    return P.linked_regions(P.scans(series, PROFILE_LADDER), both, PROFILE_WIDTH)
+
+
+def file_eligibility(s, d):
+    """The sessions as files, some damaged, every tenth of them twice."""
+    held = files(s, d)
+    again = held.where(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 10 == 0).withColumn("path", F.concat(F.lit("z-"), "path"))
+    every = held.unionByName(again)
+    led = R.ledger(every).withColumn("session_id", F.col("path"))
+    rows = R.recordings(every).select("path", "status", "records", F.lit(True).alias("has_time")).join(R.identities(every).select("path", "key"), "path")
+    return C.file_eligibility(rows, C.actions(led))
+
+
 def _controls(s, *names):
     rows = [side for name in names for side in CONTROLS[name]]
     return s.createDataFrame(rows, "session_id string, marks array<string>, gaps array<bigint>")
@@ -212,6 +233,8 @@ QUERIES = {
     "j10_grid_agreement": grid_agreement,
     "a42_assay_costs": costs,
     "k11_profiled_dimensions": profiled,
+    "f13_linked_regions": linked,
+    "f09_file_eligibility": file_eligibility,
 }
 
 
