@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import lcg
+from ..functions.controls import CONTROLS
 from ..operators import align as A
 from ..operators import nulls as N
 from ..operators import profile as P
@@ -16,6 +17,7 @@ from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, sig
 PROFILE_WIDTH = 12_000_000
 PROFILE_LADDER = (2, 4, 8, 16, 32, 64, 128)  # the six lengths of the reference in buckets, and 4
 REPLICATES, ADEQUACY = 999, 199
+DRAWS, SEARCHES = 4000, 400  # of the selection effect
 
 
 def draws(s, d):
@@ -52,8 +54,11 @@ def _evidence(s, d):
 
 
 def _selection(s, d):
-    a, p = N.arrays(events(s, d)), pairs(s, d)
-    return rounded(N.selection_effect(N.searches(a, p, LADDER, REPLICATES), N.arbitrary_scores(a, p, LADDER)), "arbitrary_median", "arbitrary_q99", "selected_median", "margin")
+    """The selection effect as it was fixed: on the control without a figure, at a span of 8 events."""
+    sides = CONTROLS["negative control"]
+    rows = s.createDataFrame([*sides], "session_id string, marks array<string>, gaps array<bigint>")
+    pair = s.createDataFrame([tuple(x[0] for x in sides)], "a string, b string")
+    return rounded(N.selection_effect(N.searches(rows, pair, (8,), SEARCHES), N.arbitrary_scores(rows, pair, (8,), DRAWS)), "arbitrary_median", "arbitrary_q99", "selected_median", "margin")
 
 
 def _haar(s, d):

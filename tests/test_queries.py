@@ -10,6 +10,8 @@ from .oracle import check
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
+#: Takes many minutes at 999 replicates of all pairs; test_studies.py calibrates the controls by the same code.
+SLOW = {"n08_calibration"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -17,7 +19,7 @@ def test_matches_sql(spark, name):
     check(spark, QUERIES[name], SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

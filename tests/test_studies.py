@@ -11,6 +11,7 @@ import pytest
 
 from chronoloom.functions import controls, lcg
 from chronoloom.operators import align, nulls, studies
+from chronoloom.plans import statistics
 from chronoloom.plans import studies as plans
 
 from .test_sequences import plain_alignment
@@ -141,3 +142,8 @@ def test_walks_keep_to_their_steps():
             assert all(b in controls.followers(a) for a, b in itertools.pairwise(path)) and gaps[0] == -1
             held = sum(tuple(path[i : i + 12]) == controls.WALK_FIGURE for i in range(len(path) - 11))
             assert held == (2 if "positive" in name else 0)
+
+
+def test_selection_effect_as_published(spark):
+    r = statistics._selection(spark, None).first()
+    assert (round(r.arbitrary_median, 4), round(r.selected_median, 4), round(r.margin, 4), r.confirmed) == (1.6094, 11.0187, 3.6344, True)
