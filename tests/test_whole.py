@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from chronoloom import registry
-from chronoloom.llm import licenses
 from chronoloom.operators import corpus, nulls
 from chronoloom.operators import sequence as Q
 from chronoloom.plans import report, statistics
@@ -55,44 +54,6 @@ def test_calibration_can_find_an_exceptional_pair(spark):
     assert statistics.ADEQUACY == 199
 
 
-def plain_labels(text):
-    """Labels and scores of every start tried."""
-    w, out = text.split(), {}
-    for t in licenses.TEMPLATES:
-        words = t.words.split()
-        for s in range(len(w)):
-            stretch = w[s : s + len(words) + 2]
-            if all(f" {m} " in f" {' '.join(stretch)} " for m in t.mandatory):
-                at = got = 0
-                for x in words:
-                    if x in stretch[at : at + 3]:
-                        got, at = got + 1, stretch.index(x, at) + 1
-                if got / len(words) >= 0.8:
-                    out[t.label] = max(out.get(t.label, 0), got / len(words))
-    return out
-
-
-def test_licence_notices_with_changed_words(spark):
-    bsd = next(t.words for t in licenses.TEMPLATES if t.label == "bsd")
-    texts = ["x y " + bsd.replace("modification", "modifications") + " z", "under the lesser general public license here"]
-    r = random.Random(8)
-    for t in licenses.TEMPLATES:
-        words = t.words.split()
-        texts += [" ".join([*words[:i], *put, *words[i + 1 :]]) for i in range(len(words)) for put in ((), ("changed",), (words[i], "put"))]
-        for _ in range(20):
-            w = ["a", *words, "b"]
-            for _ in range(r.randrange(1, 4)):
-                i = r.randrange(len(w))
-                w[i : i + r.randrange(2)] = ["new"] * r.randrange(2)
-            texts.append(" ".join(w))
-    found = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert "bsd" in found[0].labels and round(found[0].score, 2) == 0.93 and found[1].labels == "lgpl" and found[1].score == 0.8
-    for i, text in enumerate(texts):
-        want = plain_labels(text)
-        assert set(found[i].labels.split(",")) - {""} == set(want) | set(found[i].base_labels.split(",")) - {""}
-        assert found[i].score == (1.0 if found[i].n_base else max(want.values(), default=0.0))
-
-
 def test_strength_by_eligible_sessions_and_nulls(spark):
     best = spark.createDataFrame([(r, 3, 2 + (r < 9)) for r in range(999)], "replicate int, k int, best int")
     assert corpus.exceptional_from(best) == {3: 3}
