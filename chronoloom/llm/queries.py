@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpecount, chat, decontam, jaccard, licenses, linededup, mixing, pii, quality, wavelet
+from . import bpecount, centroids, chat, decontam, importance, jaccard, licenses, linededup, mixing, pii, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,15 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op5_jaccard_join, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate)}
+def op11_importance_resample(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.lloyd(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op5_jaccard_join, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate, op11_importance_resample, op13_centroids)}
 
 ORACLE_SQL = {
     "op1_chat_format": chat.DIGEST_SQL,
@@ -66,4 +74,6 @@ ORACLE_SQL = {
     "op6_line_dedup": linededup.REPORT_SQL,
     "op10_decontaminate": decontam.CONTAMINATION_SQL,
     "op8_mix_sources": mixing.PLAN_SQL,
+    "op11_importance_resample": importance.RESAMPLE_SQL,
+    "op13_centroids": centroids.LLOYD_SQL,
 }
