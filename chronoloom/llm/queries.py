@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpecount, centroids, chat, decontam, importance, jaccard, licenses, linededup, mixing, pii, quality, wavelet
+from . import bpecount, centroids, chat, decontam, importance, jaccard, licenses, linededup, lmscore, mixing, pii, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op11_importance_resample(spark, sf_dir):
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_lm_scores(spark, sf_dir):
+    return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark, sf_dir):
     return centroids.lloyd(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op5_jaccard_join, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate, op11_importance_resample, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_shards, op4_personal_data, op5_jaccard_join, op6_line_dedup, op7_license_scan, op8_mix_sources, op9_token_counts, op10_decontaminate, op11_importance_resample, op12_lm_scores, op13_centroids)}
 
 ORACLE_SQL = {
     "op1_chat_format": chat.DIGEST_SQL,
