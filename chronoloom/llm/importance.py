@@ -47,11 +47,13 @@ def _lowered(word: Column) -> Column:
 
 def _features(words: Column, max_words: int) -> Column:
     """All runs of 1 to max_words of an array of words, joined by one space."""
-    runs = [words]
-    for n in range(2, max_words + 1):
+
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*runs) if len(runs) > 1 else words
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(words, *(runs(n) for n in range(2, max_words + 1))) if max_words > 1 else words
 
 
 def exploded(docs: DataFrame, text: str, max_words: int, buckets: int, *ids: Column) -> DataFrame:
