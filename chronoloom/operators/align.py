@@ -183,7 +183,7 @@ def cross_pairs(sequences: DataFrame, pairs: DataFrame, k: int, top: int | None
     is one row of work: its windows are aligned as matrices in an Arrow batch,
     some hundred times faster than row by row in compiled columns, whose code
     grows with k * k beyond what the JVM compiles."""
-    rows = _paired(sequences, pairs)
+    rows = paired(sequences, pairs)
 
     def run(batches):
         import numpy as np
@@ -227,7 +227,7 @@ def _searched(batches, k: int):
             yield a, b, window_alignments(coded(ma), np.array(ga, float), coded(mb), np.array(gb, float), k)
 
 
-def _paired(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
+def paired(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb").repartition("a", "b")
 
@@ -242,7 +242,7 @@ def cross_totals(sequences: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out)
 
-    return _paired(sequences, pairs).mapInArrow(run, "a string, b string, pairs long, total double, best double, " + ", ".join(f"{c} long" for c in COUNTS))
+    return paired(sequences, pairs).mapInArrow(run, "a string, b string, pairs long, total double, best double, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def with_marks(aligned: DataFrame, windows: DataFrame) -> DataFrame:
@@ -274,25 +274,6 @@ def without_overlaps(totals, k: int, keep: int) -> list[tuple[int, int]]:
     return out
 
 
-RETAINED = "a string, b string, k int, rank int, a_start int, b_start int, considered long, matches int, event_norm double, timing_norm double, total double, exact boolean"
-
-
-def retained_search(sequences: DataFrame, pairs: DataFrame, k: int, keep: int = 40) -> DataFrame:
-    """What a greedy pass along each pair's ranking keeps, with coordinates, figures,
-    whether the marks are the same, and how many pairs of windows were considered."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for a, b, f in _searched(batches, k):
-            kept, total = without_overlaps(f["total"], k, keep), f["total"]
-            rows = [{"a": a, "b": b, "k": k, "rank": r + 1, "a_start": i, "b_start": j, "considered": total.size, "matches": int(f["matches"][i, j]), "event_norm": float(f["event_norm"][i, j]), "timing_norm": float(f["timing_norm"][i, j]), "total": float(total[i, j]), "exact": bool(f["matches"][i, j] == k)} for r, (i, j) in enumerate(kept)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.string()), ("b", pa.string()), ("k", pa.int32()), ("rank", pa.int32()), ("a_start", pa.int32()), ("b_start", pa.int32()), ("considered", pa.int64()), ("matches", pa.int32()), ("event_norm", pa.float64()), ("timing_norm", pa.float64()), ("total", pa.float64()), ("exact", pa.bool_())]))
-
-    return _paired(sequences, pairs).mapInArrow(run, RETAINED)
-
-
 # ------------------------------------------------------------ boundaries of a pair
 
 RADIUS, FEWEST = 3, 3  # how far a boundary moves, and how short a span gets

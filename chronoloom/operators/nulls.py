@@ -8,7 +8,7 @@ piece of work for one Arrow batch; only its figures are shuffled.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lcg
-from .align import aligned_cells, cell_figures, timing_costs, to_arrow, without_overlaps
+from ..session import checkpointed
+from .align import aligned_cells, cell_figures, paired, timing_costs, to_arrow, without_overlaps
 
 KEEP, BLOCK = 5, 50
 
@@ -112,35 +113,257 @@ def complete_search(ma: list, ga: list, mb: list, gb: list, k: int, keep: int =
     return _search(np.array([code[m] for m in ma], int), np.array([code[m] for m in mb], int), timing_steps(ga, gb), k, keep)
 
 
+
+def ladder_gains(va: np.ndarray, vb: np.ndarray, timing: np.ndarray, spans: tuple[int, ...], exact: bool = False):
+    """Yields (k, gains) for each span that fits: alignments of all pairs of windows of k
+    events in all replicates (the last axis of va and vb), from one programme.
+
+    The cell (i, j) of windows that start together is the same for every span, so the
+    longest span's programme holds all others on its diagonal.  A gain is 2k less the cost:
+    with gaps of 1 each a step is the largest of its two neighbours and of the
+    diagonal one plus 2 less the cost of aligning.  Gains are 16-bit numbers of units, as
+    many in a gap as the longest span allows (2048 up to 15 events); timing is
+    rounded to units, so a gain is off by k / 2 of them at most.  Exact gains are doubles."""
+    from .align import GAP, SUBSTITUTION
+
+    n, m, many = len(va), len(vb), va.shape[1]
+    spans = [k for k in sorted(spans) if k <= min(n, m)]
+    if not spans:
+        return
+    kind, units = (float, 1) if exact else (np.uint16, 1 << int(math.log2(65535 / (2 * spans[-1]))))
+    first = np.where(va[:, None] == vb[None, :], kind(2 * GAP * units), kind((2 * GAP - SUBSTITUTION) * units))
+    later = first - (timing if exact else np.rint(timing * units).astype(kind))[:, :, None]
+    shape = (n - spans[0] + 1, m - spans[0] + 1, many)
+    above, row = ([np.empty(shape, kind) for _ in range(spans[-1] + 1)] for _ in range(2))
+    for i in range(spans[-1]):
+        for j in range(spans[-1]):
+            k = next(k for k in spans if k > max(i, j))  # longer windows start in fewer places
+            at, own = (slice(n - k + 1), slice(m - k + 1)), row[j + 1][: n - k + 1, : m - k + 1]
+            gain = (later if i and j else first)[i : i + n - k + 1, j : j + m - k + 1]
+            if i and j:
+                np.add(above[j][at], gain, out=own)
+            else:
+                own[...] = gain
+            if i:
+                np.maximum(own, above[j + 1][at], out=own)
+            if j:
+                np.maximum(own, row[j][at], out=own)
+        if i + 1 in spans:
+            yield i + 1, row[i + 1][: n - i, : m - i]
+        above, row = row, above
+
+
+def window_totals(a: np.ndarray, b: np.ndarray, timing: np.ndarray) -> np.ndarray:
+    """Totals of some pairs of windows (marks: pairs by k; timing: pairs by k by k), to twelve decimals."""
+    from .align import GAP, SUBSTITUTION, TIMING_WEIGHT
+
+    k = a.shape[1]
+    row = [np.full(len(a), float(j)) for j in range(k + 1)]
+    for i in range(k):
+        new = [np.full(len(a), float(i + 1))]
+        for j in range(k):
+            step = np.where(a[:, i] == b[:, j], 0.0, SUBSTITUTION)
+            if i and j:
+                step += timing[:, i, j]
+            new.append(np.minimum(row[j] + step, np.minimum(row[j + 1], new[j]) + GAP))
+        row = new
+    return np.round(row[k] / (k + TIMING_WEIGHT * (k - 1)), 12)
+
+
+def kept_places(left: np.ndarray, va: np.ndarray, vb: np.ndarray, timing: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each replicate the first keep choices of a greedy pass along its ranking
+    (places in a and in b, -1: nothing left), ties by place.
+
+    left holds the gains, replicates first, and is used up (0: gone).  Where rounded
+    gains are nearer than that can tell, the exact totals of those pairs decide;
+    totals are compared to twelve decimals."""
+    from .align import TIMING_WEIGHT
+
+    exact = left.dtype == float
+    if exact:
+        np.rint(left * (1e12 / (k + TIMING_WEIGHT * (k - 1))), out=left)
+    flat, columns = left.reshape(len(left), -1), left.shape[2]
+    found, step = np.full((2, len(left), keep), -1), np.arange(k)
+    for q in range(keep):
+        best = flat.argmax(1)
+        most = flat[np.arange(len(flat)), best]
+        if not exact:
+            near = flat >= np.maximum(most.astype(np.int32) - k, 1).astype(np.uint16)[:, None]
+            tied = np.flatnonzero(near.sum(1) > 1)
+        if not exact and len(tied):
+            r, at = np.nonzero(near[tied])
+            i, j = (at // columns)[:, None] + step, (at % columns)[:, None] + step
+            totals = window_totals(va[i, tied[r][:, None]], vb[j, tied[r][:, None]], timing[i[:, :, None], j[:, None, :]])
+            by = np.lexsort((at, totals, r))
+            best[tied] = at[by[np.searchsorted(r, np.arange(len(tied)))]]
+        for r, (i, j) in enumerate(zip((best // columns).tolist(), (best % columns).tolist(), strict=True)):
+            own = left[r]
+            if own[i, j]:
+                found[:, r, q] = i, j
+                own[max(0, i - k + 1) : i + k] = 0
+                own[:, max(0, j - k + 1) : j + k] = 0
+    return found[0], found[1]
+
+
+#: Cells of the replicates that are aligned together (they stay in a core's cache) and that are ranked together.
+CACHED, RANKED = 1 << 15, 1 << 21
+
+
+def all_searches(va: np.ndarray, vb: np.ndarray, timing: np.ndarray, spans: tuple[int, ...], keep: int = KEEP) -> dict[int, np.ndarray]:
+    """k -> pooled surprisals of what each replicate's search keeps, largest first (replicates by
+    keep; -inf: nothing left), of replicates in the columns of va and vb."""
+    size, many = int(max(va.max(initial=0), vb.max(initial=0))) + 1, va.shape[1]
+    counts = np.zeros((size, many), np.int64)
+    for v in (va, vb):
+        np.add.at(counts, (v, np.arange(many)), 1)
+    with np.errstate(divide="ignore"):
+        surprise = -np.log(counts / (len(va) + len(vb)))
+    out = {k: np.full((many, keep), -np.inf) for k in spans}
+    fit, cells = [k for k in spans if k <= min(len(va), len(vb))], len(va) * len(vb)
+    exact = many == 1  # one search has no others to share the cost of ties with
+    together, ranked = (max(1, x // max(cells, 1)) for x in (CACHED, RANKED))
+    for first in range(0, many if fit else 0, ranked):
+        own = slice(first, first + ranked)
+        a, b, s = va[:, own], vb[:, own], surprise[:, own]
+        gained = {k: np.empty((a.shape[1], len(va) - k + 1, len(vb) - k + 1), float if exact else np.uint16) for k in fit}
+        for r in range(0, a.shape[1], together):
+            for k, gains in ladder_gains(a[:, r : r + together], b[:, r : r + together], timing, fit, exact):
+                gained[k][r : r + together] = gains.transpose(2, 0, 1)
+        column = np.arange(a.shape[1])[:, None, None]
+        for k in fit:
+            i, j = kept_places(gained[k], a, b, timing, k, keep)
+            step = np.arange(k)
+            x, y = a[i[:, :, None] + step, column], b[j[:, :, None] + step, column]
+            t = np.where(x == y, s[x, column], 0.0).sum(2)
+            t[i < 0] = -np.inf
+            out[k][own] = -np.sort(-t, axis=1)
+    return out
+
+
+def _blocks(sequences: DataFrame, pairs: DataFrame, first: int, last: int, block: int) -> DataFrame:
+    """A row of work for each pair (with its other columns) and up to block replicates: sequences are dealt out once a block."""
+    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
+    spark = sequences.sparkSession
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").crossJoin(spark.range(first, last, block).select(F.col("id").cast("int").alias("first")))  # last is a parameter
+    own = [c for c in pairs.columns if c not in ("a", "b")]
+    return rows.select("a", "b", "first", "ma", "ga", "mb", "gb", *own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b", "first")
+
+
+def _realised(ma: list, mb: list, first: int, last: int, n: int, construction: str) -> tuple[np.ndarray, np.ndarray]:
+    """Marks as integers of the replicates first to last (-1: observed) of both sequences, in columns."""
+    make, code = CONSTRUCTIONS[construction], _codes(ma, mb)
+    coded = lambda marks: np.array([code[m] for m in marks], int)
+    ca, cb = coded(ma), coded(mb)
+    if construction == "order":  # one permutation for all sequences of a length
+        own = slice(max(first, 0), last)
+        sides = [c[permutations(len(c), side, n)[own]] for side, c in ((0, ca), (1, cb))]
+    else:
+        sides = [np.array([coded(make(m, lcg.null_seed(r, side))) for r in range(max(first, 0), last)], int).reshape(-1, len(m)) for side, m in ((0, ma), (1, mb))]
+    if first < 0:
+        sides = [np.vstack([c[None], x]) for c, x in zip((ca, cb), sides, strict=True)]
+    return sides[0].T.copy(), sides[1].T.copy()
+
+
 def searches(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], n: int, construction: str = "order") -> DataFrame:
     """a, b, k, replicate (-1: observed), t, top: the complete search of each span and replicate.
 
     The observed pair and its nulls go through the same code.  A row of work is
-    up to BLOCK replicates of a pair, so that sequences are dealt out once a block."""
-    make = CONSTRUCTIONS[construction]
-    side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    spark = sequences.sparkSession
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").crossJoin(spark.range(-1, n, BLOCK).select(F.col("id").cast("int").alias("first")))
-    rows = rows.select("a", "b", "first", "ma", "ga", "mb", "gb").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b", "first")
+    up to BLOCK replicates of a pair; all of its spans come from one programme."""
 
     def run(batches):
         for batch in batches:
             for a, b, first, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                code, timing, out = _codes(ma, mb), timing_steps(ga, gb), []
-                coded = lambda marks, code=code: np.array([code[m] for m in marks], int)
-                ca, cb = coded(ma), coded(mb)
-                for r in range(first, min(first + BLOCK, n)):
-                    if r < 0:
-                        va, vb = ca, cb
-                    elif construction == "order":  # one permutation for all sequences of a length
-                        va, vb = ca[permutations(len(ca), 0, n)[r]], cb[permutations(len(cb), 1, n)[r]]
-                    else:
-                        va, vb = coded(make(ma, lcg.null_seed(r, 0))), coded(make(mb, lcg.null_seed(r, 1)))
-                    out += [(k, r, _search(va, vb, timing, k, KEEP)) for k in spans]
-                ks, rs, tops = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(out)), pa.array([b] * len(out)), pa.array(ks, pa.int32()), pa.array(rs, pa.int32()), pa.array([t[0] if t else None for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], names=["a", "b", "k", "replicate", "t", "top"])
-
-    return rows.mapInArrow(run, "a string, b string, k int, replicate int, t double, top array<double>")
+                last = min(first + BLOCK, n)
+                found = all_searches(*_realised(ma, mb, first, last, n, construction), timing_steps(ga, gb), spans)
+                rows = [(k, r, [x for x in top if x > -math.inf]) for k in spans for r, top in zip(range(first, last), found[k].tolist(), strict=True)]
+                ks, rs, tops = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(rows)), pa.array([b] * len(rows)), pa.array(ks, pa.int32()), pa.array(rs, pa.int32()), pa.array([t[0] if t else None for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], names=["a", "b", "k", "replicate", "t", "top"])
+
+    return _blocks(sequences, pairs, -1, n, BLOCK).mapInArrow(run, "a string, b string, k int, replicate int, t double, top array<double>")
+
+
+PARTS = "a string, b string, k int, first int, searched int, observed double, observed_top array<double>, nulls array<double>, top_exceedances array<int>"
+
+
+def null_parts(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], first: int, last: int, construction: str = "order", block: int = 4 * BLOCK) -> DataFrame:
+    """A row for each pair, span and block of the replicates first to last: what the observed
+    search found, the nulls' largest values (those that found any), and how many
+    nulls reach the observed values rank by rank.  With a column ks in pairs only those spans are searched."""
+    some = "ks" in pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+            out = []
+            for a, b, begin, ma, ga, mb, gb, *ks in zip(*columns, strict=True):
+                own = tuple(ks[0]) if some else spans
+                end = min(begin + block, last)
+                va, vb = _realised(ma, mb, begin, end, last, construction)
+                ca, cb = _realised(ma, mb, -1, 0, 0, construction)
+                found = all_searches(np.hstack([ca, va]), np.hstack([cb, vb]), timing_steps(ga, gb), own)
+                for k in own:
+                    observed, nulls = found[k][0], found[k][1:]
+                    top = [x for x in observed.tolist() if x > -math.inf]
+                    over = [int((nulls[:, q] >= observed[q]).sum()) if q < len(top) else 0 for q in range(KEEP)]
+                    out.append((a, b, k, begin, end - begin, top[0] if top else None, top, nulls[nulls[:, 0] > -math.inf, 0].tolist(), over))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), fields, strict=True)], names=fields.names)
+
+    fields = to_arrow(PARTS)  # on the driver: it needs the session
+    return _blocks(sequences, pairs.select("a", "b", *(["ks"] if some else [])), first, last, block).mapInArrow(run, PARTS)
+
+
+def calibrated(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], n: int, construction: str = "order", threshold: float = 0.01) -> DataFrame:
+    """What :func:`tail` says of all searches of n replicates, from a row a block of
+    replicates: only their largest values are shuffled."""
+    parts = null_parts(sequences, pairs, spans, 0, n, construction).groupBy("a", "b", "k").agg(
+        F.first("observed").alias("observed"), F.first("observed_top").alias("observed_top"), F.sum("searched").alias("replicates"), F.sort_array(F.flatten(F.collect_list("nulls"))).alias("nulls"), F.collect_list("top_exceedances").alias("over"))
+    add = lambda r: F.aggregate(F.col("over"), F.lit(0).cast("long"), lambda s, x: s + F.get(x, F.lit(r)))
+    reach = F.size(F.filter("nulls", lambda x: x >= F.col("observed"))).cast("long")
+    realizations = F.size("nulls").cast("long")
+    rows = parts.withColumns({"realizations": realizations, "exceedances": F.when(F.col("observed").isNull(), realizations).otherwise(reach), "below": F.when(F.col("observed").isNull(), F.lit(0)).otherwise(realizations - reach), "top_exceedances": F.array(*map(add, range(KEEP)))})
+    return _judged(rows, threshold)
+
+
+def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+    p = (1 + F.col("exceedances")) / (1 + F.col("replicates"))
+    return rows.select("a", "b", "k", "observed", "replicates", "realizations", "exceedances", "below", p.alias("tail"), (p <= threshold).alias("exceptional"), *[nearest_rank(F.col("nulls"), q).alias(f"q{int(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], F.get("nulls", F.size("nulls") - 1).alias("null_max"), "top_exceedances", ((F.col("realizations") > 0) & F.col("observed").isNotNull() & (F.col("exceedances") == 0)).alias("certified"), F.when(F.col("exceedances") > 0, (F.col("replicates") + 1) / (F.col("exceedances") + 1)).alias("expected_early_stop"))
+
+
+def assay(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], budget: int, waves: tuple[int, ...] = (8, 32, 128)) -> DataFrame:
+    """The fixed-budget assay of every cell (a, b, k): a cell is certified if its search
+    finds something, some null does, and every null of the budget stays strictly below.
+
+    Replicates run in waves that end at the given numbers and at the budget.  A
+    wave takes only the cells that no null has refuted so far (anti-join on the
+    refuted ones), because no later null can undo a refutation; the verdict is that of the whole
+    budget.  Per cell: certified, searched (nulls it cost), refuting (of those), wave
+    (in which it was refuted; null: in none), first_refuting (the replicate's number) and
+    expected_early_stop, (searched + 1) / (refuting + 1)."""
+    left = pairs.select("a", "b", F.array(*map(F.lit, spans)).alias("ks"))
+    bounds = [0, *(w for w in waves if w < budget), budget]
+    refuted, alive = [], None
+    for wave, (first, last) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
+        parts = null_parts(sequences, left, spans, first, last)
+        # A search that finds nothing is refuted by every null; nulls that find nothing refute nothing.
+        reaches = F.transform("nulls", lambda t: t >= F.col("observed"))
+        nothing = F.col("observed").isNull()
+        parts = parts.withColumns({
+            "refuting": F.when(nothing, F.col("searched")).otherwise(F.size(F.filter(reaches, lambda x: x))),
+            "earliest": F.when(nothing, F.col("first")).otherwise(F.col("first") + F.nullif(F.array_position(reaches, True), F.lit(0)).cast("int") - 1),
+        })
+        parts = parts.groupBy("a", "b", "k").agg(F.first("observed").alias("seen"), F.sum("searched").alias("n"), F.sum(F.size("nulls")).alias("realizations"), F.max(F.array_max("nulls")).alias("null_max"), F.sum("refuting").alias("refuting"), F.min("earliest").alias("first_refuting"))
+        cells = parts.withColumnsRenamed({"seen": "observed", "n": "searched"})
+        if alive is not None:
+            before = alive.select("a", "b", "k", F.col("searched").alias("s0"), F.col("realizations").alias("r0"), F.col("null_max").alias("m0"))
+            cells = cells.join(before, ["a", "b", "k"]).withColumns({"searched": F.col("searched") + F.col("s0"), "realizations": F.col("realizations") + F.col("r0"), "null_max": F.greatest("null_max", "m0")}).drop("s0", "r0", "m0")
+        cells = checkpointed(cells)
+        refuted.append(cells.where("refuting > 0").withColumn("wave", F.lit(wave)))
+        alive = cells.join(refuted[-1].select("a", "b", "k"), ["a", "b", "k"], "left_anti")
+        left = alive.groupBy("a", "b").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most a row for each span
+    rows = reduce(DataFrame.unionByName, refuted, alive.withColumn("wave", F.lit(None).cast("int")))
+    certified = F.col("observed").isNotNull() & (F.col("realizations") > 0) & (F.col("refuting") == 0)
+    return rows.select("a", "b", "k", "observed", "null_max", F.lit(budget).alias("budget"), "searched", "realizations", "refuting", "wave", "first_refuting", certified.alias("certified"), F.when(F.col("refuting") > 0, (F.col("searched") + 1) / (F.col("refuting") + 1)).alias("expected_early_stop"))
 
 
 def nearest_rank(sorted_values, q: float):
@@ -171,8 +394,36 @@ def tail(found: DataFrame, threshold: float = 0.01) -> DataFrame:
         F.sort_array(F.collect_list("t")).alias("nulls"),
         F.array(*[F.count_if(F.get("top", F.lit(r)) >= F.get("observed_top", F.lit(r))) for r in range(KEEP)]).alias("top_exceedances"),
     )
-    p = (1 + F.col("exceedances")) / (1 + F.col("replicates"))
-    return out.select("a", "b", "k", "observed", "replicates", "realizations", "exceedances", "below", p.alias("tail"), (p <= threshold).alias("exceptional"), *[nearest_rank(F.col("nulls"), q).alias(f"q{int(100 * q):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)], F.element_at("nulls", -1).alias("null_max"), "top_exceedances", ((F.col("realizations") > 0) & F.col("observed").isNotNull() & (F.col("exceedances") == 0)).alias("certified"), F.when(F.col("exceedances") > 0, (F.col("replicates") + 1) / (F.col("exceedances") + 1)).alias("expected_early_stop"))
+    return _judged(out, threshold)
+
+
+RETAINED = "a string, b string, k int, rank int, a_start int, b_start int, considered long, matches int, event_norm double, timing_norm double, total double, exact boolean"
+
+
+def retained_search(sequences: DataFrame, pairs: DataFrame, spans: tuple[int, ...], keep: int = 40) -> DataFrame:
+    """What a greedy pass along each pair's ranking keeps for each span, with coordinates, figures,
+    whether the marks are the same, and how many pairs of windows were considered.
+
+    One programme ranks all spans; figures are made for what is kept alone."""
+    fields = to_arrow(RETAINED)  # on the driver: it needs the session
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, b, ma, ga, mb, gb in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                code, timing = _codes(ma, mb), timing_steps(ga, gb)
+                va, vb = (np.array([code[m] for m in marks], int)[:, None] for marks in (ma, mb))
+                for k, gains in ladder_gains(va, vb, timing, spans, exact=True):
+                    i, j = (x[0][x[0] >= 0] for x in kept_places(np.ascontiguousarray(gains.transpose(2, 0, 1)), va, vb, timing, k, keep))
+                    at = np.arange(k)
+                    x, y, gx, gy = va[i[:, None] + at, 0], vb[j[:, None] + at, 0], np.array(ga, float)[i[:, None] + at], np.array(gb, float)[j[:, None] + at]
+                    cells = aligned_cells(k, k, lambda p, q, x=x, y=y: x[:, p] == y[:, q], lambda p, q, gx=gx, gy=gy: timing_costs(gx[:, p], gy[:, q]), (len(i),))
+                    f = cell_figures(cells[k][k], k)
+                    out += zip([a] * len(i), [b] * len(i), [k] * len(i), range(1, len(i) + 1), i.tolist(), j.tolist(), [gains.size] * len(i), f["matches"].tolist(), f["event_norm"].tolist(), f["timing_norm"].tolist(), f["total"].tolist(), (f["matches"] == k).tolist(), strict=True)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), fields, strict=True)], names=fields.names)
+
+    return paired(sequences, pairs).mapInArrow(run, RETAINED)
 
 
 BINS = 20

@@ -17,6 +17,7 @@ from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, sig
 PROFILE_WIDTH = 12_000_000
 PROFILE_LADDER = (2, 4, 8, 16, 32, 64, 128)  # the six lengths of the reference in buckets, and 4
 REPLICATES, ADEQUACY = 999, 199
+BUDGET = 459  # nulls of the assay, from its threshold of 1 %
 DRAWS, SEARCHES = 4000, 400  # of the selection effect
 
 
@@ -39,11 +40,16 @@ def _sequences(s, d):
 
 
 def _calibration(s, d):
-    found = N.tail(N.searches(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES))
+    found = N.calibrated(N.arrays(events(s, d)), pairs(s, d), LADDER, REPLICATES)
     names = [c for c in found.columns if c == "observed" or c[0] == "q" or c in ("tail", "null_max", "expected_early_stop")]
     return rounded(found.withColumn("top_exceedances", F.concat_ws(",", F.col("top_exceedances").cast("array<string>"))), *names)
 
 
+def _assay(s, d):
+    """Every cell of the corpus at the fixed budget, in waves that leave refuted cells out."""
+    return rounded(N.assay(N.arrays(events(s, d)), pairs(s, d), LADDER, BUDGET), "observed", "null_max", "expected_early_stop")
+
+
 def _evidence(s, d):
     """The best pair of windows of each pair of sessions and span, against nulls of the same places."""
     e, p, out = N.arrays(events(s, d)), pairs(s, d), None
@@ -82,6 +88,7 @@ QUERIES = {
     "n02_null_multisets": lambda s, d: N.replicates(_sequences(s, d), "order", 3).select("session_id", "replicate", F.explode("marks").alias("mark")).groupBy("session_id", "replicate", "mark").agg(F.count("*").alias("n")),
     "n06_null_transitions": lambda s, d: N.replicates(_sequences(s, d), "doublet", 2).select("session_id", "replicate", F.posexplode(F.zip_with(F.expr("slice(marks, 1, size(marks) - 1)"), F.expr("slice(marks, 2, size(marks) - 1)"), lambda x, y: F.concat(x, F.lit(">"), y)))).groupBy("session_id", "replicate", F.col("col").alias("step")).agg(F.count("*").alias("n")),
     "n08_calibration": _calibration,
+    "n12_assay": _assay,
     "n05_null_evidence": _evidence,
     "n09_selection_effect": _selection,
     "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), ("order", "doublet", "markov"), ADEQUACY), "null_median", "null_min", "null_max", "observed"),

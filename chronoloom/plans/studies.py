@@ -71,22 +71,22 @@ def search_space(s, d):
     return rows.select("a", "b", "k", (count("a") * count("b")).alias("considered"))
 
 
+def _kept(s, d):
+    return N.retained_search(N.arrays(events(s, d)), pairs(s, d), LADDER, KEEP)
+
+
 def retained(s, d):
     """Up to 40 pairs of windows that each search keeps, for every span of the ladder of the corpus."""
-    a, p, out = N.arrays(events(s, d)), pairs(s, d), None
-    for k in LADDER:
-        own = A.retained_search(a, p, k, KEEP)
-        out = own if out is None else out.unionByName(own)
-    return rounded(out, "event_norm", "timing_norm", "total")
+    return rounded(_kept(s, d), "event_norm", "timing_norm", "total")
 
 
 def discovered(s, d):
     """Exact windows that searches keep: how many pairs of sessions find them, and their best R1."""
-    a, e, out = N.arrays(events(s, d)), events(s, d), None
-    for k in LADDER:
-        own = A.with_counts(A.with_marks(A.retained_search(a, pairs(s, d), k, KEEP).where("exact"), Q.windows(e, k)), e)
-        own = A.score(own, "r1_pooled_sum").groupBy("k", "a_marks").agg(F.count_distinct("a", "b").alias("discovered_by_pairs"), F.max("r1_pooled_sum").alias("best_r1"))
-        out = own if out is None else out.unionByName(own)
+    e = events(s, d)
+    marks = N.arrays(e).select(F.col("session_id").alias("a"), "marks")
+    own = _kept(s, d).where("exact").join(marks, "a").withColumn("a_marks", F.slice("marks", F.col("a_start") + 1, F.col("k"))).drop("marks")
+    own = A.score(A.with_counts(own.withColumn("b_marks", F.col("a_marks")), e), "r1_pooled_sum")
+    out = own.groupBy("k", "a_marks").agg(F.count_distinct("a", "b").alias("discovered_by_pairs"), F.max("r1_pooled_sum").alias("best_r1"))
     return out.select("k", F.concat_ws("|", "a_marks").alias("marks"), "discovered_by_pairs", F.round("best_r1", 9).alias("best_r1"))
 
 
@@ -205,7 +205,7 @@ def control_calibration(s, d):
     for kind, construction in (("", "order"), ("first-order ", "doublet")):
         names = [f"{kind}negative control", f"{kind}positive control"]
         pairs = s.createDataFrame([tuple(x[0] for x in CONTROLS[n]) for n in names], "a string, b string")
-        own = N.tail(N.searches(_controls(s, *names), pairs, LADDER, REPLICATES, construction)).select("a", "b", "k", "observed", "exceedances", "tail", "exceptional", "certified")
+        own = N.calibrated(_controls(s, *names), pairs, LADDER, REPLICATES, construction).select("a", "b", "k", "observed", "exceedances", "tail", "exceptional", "certified")
         out = own if out is None else out.unionByName(own)
     return rounded(out, "observed", "tail")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -20,3 +21,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .getOrCreate()
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, which driver and executors
+    share; where that is unset on one machine (tests), a local folder is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="chronoloom-"))
+    return df.checkpoint()

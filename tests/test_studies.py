@@ -60,12 +60,86 @@ def test_retained_search(spark):
     for t, i, j in ranking:
         if all(abs(i - p) >= k and abs(j - q) >= k for _, p, q in kept):
             kept.append((t, i, j))
-    found = align.retained_search(rows, spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string"), k, 40).orderBy("rank").collect()
+    found = nulls.retained_search(rows, spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string"), (k, 30), 40).orderBy("rank").collect()
     assert [(r.a_start, r.b_start) for r in found] == [(i, j) for _, i, j in kept]
     assert [r.total for r in found] == pytest.approx([t for t, _, _ in kept])
     assert all(r.considered == 18 * 15 and r.exact == (ma[r.a_start : r.a_start + k] == mb[r.b_start : r.b_start + k]) for r in found)
 
 
+def plain_search(ma, ga, mb, gb, k, keep):
+    """All windows ranked by the alignment's own definition, the greedy pass, and the pooled surprisals."""
+    n, m = len(ma) - k + 1, len(mb) - k + 1
+    ranking = sorted((round(total(ma[i : i + k], ga[i : i + k], mb[j : j + k], gb[j : j + k]), 12), i, j) for i in range(n) for j in range(m))
+    kept = []
+    for _, i, j in ranking:
+        if len(kept) < keep and all(abs(i - p) >= k and abs(j - q) >= k for p, q in kept):
+            kept.append((i, j))
+    counts, every = Counter(ma) + Counter(mb), len(ma) + len(mb)
+    return sorted((sum(-np.log(counts[x] / every) for x, y in zip(ma[i : i + k], mb[j : j + k], strict=True) if x == y) for i, j in kept), reverse=True)
+
+
+@pytest.mark.parametrize("marks", ["ab", "abcdefgh"])
+def test_all_replicates_at_once_equal_a_plain_search(marks):
+    """Few marks give many ties, which the rounded programme has to resolve exactly."""
+    r, spans = random.Random(len(marks)), (3, 4, 6)
+    ma, ga = [r.choice(marks) for _ in range(15)], [-1, *(r.choice([0, 0, 100, 900]) for _ in range(14))]
+    mb, gb = [r.choice(marks) for _ in range(12)], [-1, *(r.choice([0, 0, 100, 900]) for _ in range(11))]
+    va, vb = nulls._realised(ma, mb, -1, 9, 9, "order")
+    found = nulls.all_searches(va, vb, nulls.timing_steps(ga, gb), (*spans, 14))
+    alone = nulls.all_searches(va[:, :1], vb[:, :1], nulls.timing_steps(ga, gb), spans)
+    name = dict(enumerate(dict.fromkeys([*ma, *mb])))
+    for k in spans:
+        for c in range(10):
+            want = plain_search([name[x] for x in va[:, c]], ga, [name[x] for x in vb[:, c]], gb, k, nulls.KEEP)
+            assert [x for x in found[k][c] if x > -np.inf] == pytest.approx(want)
+            assert c or [x for x in alone[k][0] if x > -np.inf] == pytest.approx(want)
+    assert (found[14] == -np.inf).all()
+
+
+def corpus_of(spark, seed=9, n=5):
+    r = random.Random(seed)
+    figure = list("cadbecafdb")
+    rows = [(s, *sequence(r, 30)) for s in "uvwxyz"[:n]]
+    for _, m, _ in rows[:2]:  # a figure that two of them share
+        m[8:18] = figure
+    rows.append(("short", ["a", "b"], [-1, 5]))
+    pairs = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2)]
+    return spark.createDataFrame(rows, "session_id string, marks array<string>, gaps array<bigint>"), spark.createDataFrame(pairs, "a string, b string")
+
+
+@pytest.mark.parametrize("construction", ["order", "markov"])
+def test_calibration_from_parts_equals_that_of_all_searches(spark, construction):
+    rows, pairs = corpus_of(spark, n=3)
+    key = lambda r: (r.a, r.b, r.k)
+    parts = sorted(nulls.calibrated(rows, pairs, (3, 6, 40), 21, construction).collect(), key=key)
+    whole = sorted(nulls.tail(nulls.searches(rows, pairs, (3, 6, 40), 21, construction)).collect(), key=key)
+    assert len(parts) == len(whole) == 18
+    for p, w in zip(parts, whole, strict=True):
+        for name in w.asDict():
+            x, y = p[name], w[name]
+            assert x == y or x == pytest.approx(y), (key(p), name)
+
+
+def test_assay_in_waves_has_the_verdict_of_the_whole_budget(spark):
+    rows, pairs = corpus_of(spark)
+    budget, spans = 60, (3, 6, 10)
+    found = {(r.a, r.b, r.k): r for r in nulls.assay(rows, pairs, spans, budget, (4, 16)).collect()}
+    whole = nulls.searches(rows, pairs, spans, budget).collect()
+    observed = {(r.a, r.b, r.k): r.t for r in whole if r.replicate < 0}
+    assert set(found) == set(observed) and len(found) == 45
+    for cell, t in observed.items():
+        samples = {r.replicate: r.t for r in whole if (r.a, r.b, r.k) == cell and r.replicate >= 0}
+        reach = [i for i in sorted(samples) if t is None or (samples[i] is not None and samples[i] >= t)]
+        r = found[cell]
+        assert r.certified == (t is not None and any(x is not None for x in samples.values()) and not reach)
+        if reach:
+            end = next(w for w in (4, 16, budget) if w > reach[0])
+            assert (r.first_refuting, r.searched, r.refuting) == (reach[0], end, sum(i < end for i in reach))
+        else:
+            assert (r.first_refuting, r.searched, r.wave) == (None, budget, None)
+    assert any(r.certified for r in found.values()) and {r.wave for r in found.values()} >= {1, None}
+
+
 def test_evidence_of_fixed_spans(spark):
     r, k, n = random.Random(6), 4, 60
     (ma, ga), (mb, gb) = sequence(r, 12), sequence(r, 15)
