@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 # Fixed values of the metric: costs, weight of timing, damping in milliseconds, ratio of a full penalty.
 SUBSTITUTION, GAP, TIMING_WEIGHT, FLOOR_MS, RATIO_FULL = 1.0, 1.0, 0.5, 100.0, 4.0
 TOLERANCE = 1e-12
@@ -229,7 +231,7 @@ def _searched(batches, k: int):
 
 def paired(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb").repartition("a", "b")
+    return dealt(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "ga", "mb", "gb"), "a", "b")
 
 
 def cross_totals(sequences: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -315,7 +317,7 @@ def refine(sequences: DataFrame, seeds: DataFrame, radius: int = RADIUS, fewest:
     One table for each pair of starts holds all ends, so a seed is
     (2 * radius + 1) ** 2 tables at once and not their square of alignments."""
     side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    rows = seeds.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_from", "a_to", "b_from", "b_to", "ma", "ga", "mb", "gb").repartition("a", "b")
+    rows = dealt(seeds.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_from", "a_to", "b_from", "b_to", "ma", "ga", "mb", "gb"), "a", "b")
 
     fields = to_arrow(REFINED)  # on the driver: it needs the session
 

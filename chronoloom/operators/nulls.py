@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lcg
-from ..session import checkpointed
+from ..session import checkpointed, dealt
 from .align import aligned_cells, cell_figures, paired, timing_costs, to_arrow, without_overlaps
 
 KEEP, BLOCK = 5, 50
@@ -246,7 +246,7 @@ def _blocks(sequences: DataFrame, pairs: DataFrame, first: int, last: int, block
     spark = sequences.sparkSession
     rows = pairs.join(side("a"), "a").join(side("b"), "b").crossJoin(spark.range(first, last, block).select(F.col("id").cast("int").alias("first")))  # last is a parameter
     own = [c for c in pairs.columns if c not in ("a", "b")]
-    return rows.select("a", "b", "first", "ma", "ga", "mb", "gb", *own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b", "first")
+    return dealt(rows.select("a", "b", "first", "ma", "ga", "mb", "gb", *own), "a", "b", "first")
 
 
 def _realised(ma: list, mb: list, first: int, last: int, n: int, construction: str) -> tuple[np.ndarray, np.ndarray]:
@@ -449,7 +449,7 @@ def evidence(sequences: DataFrame, spans: DataFrame, k: int, n: int) -> DataFram
     """Each fixed pair of spans (a, b, a_start, b_start, of k events) against the same
     places of n order nulls of both sequences: total and event part, summarised."""
     side = lambda s: sequences.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"), F.col("gaps").alias(f"g{s}"))
-    rows = spans.select("a", "b", "a_start", "b_start").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_start", "b_start", "ma", "ga", "mb", "gb").repartition("a", "b")
+    rows = dealt(spans.select("a", "b", "a_start", "b_start").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_start", "b_start", "ma", "ga", "mb", "gb"), "a", "b")
 
     fields = to_arrow(EVIDENCE)  # on the driver: it needs the session
 
@@ -528,8 +528,9 @@ def corpus_coverage(sequences: DataFrame, spans: tuple[int, ...], n: int) -> Dat
     """Best coverage of each span per replicate of doublet nulls of all sessions (replicate -1: observed).
 
     Windows are counted set-wise: (replicate, k, window) -> distinct sessions."""
-    ordered = sequences.select("session_id", "marks", F.dense_rank().over(_sessions()).alias("place"))  # one row a session
-    rows = ordered.crossJoin(sequences.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("replicate"))).repartition("session_id", "replicate")
+    places = sequences.select("session_id").distinct().select("session_id", F.row_number().over(_sessions()).alias("place"))  # ids alone
+    ordered = sequences.select("session_id", "marks").join(places, "session_id")
+    rows = dealt(ordered.crossJoin(sequences.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("replicate"))), "session_id", "replicate")
 
     made = lambda out: pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["replicate", "k", "gram"])
 
@@ -586,7 +587,7 @@ def structure_nulls(sequences: DataFrame, constructions: tuple[str, ...], n: int
     """Each measure of a session against n nulls of it: median, range and exceedances, whether
     it lies outside the range; and how many nulls repeat the session or differ."""
     kinds = F.explode(F.array(*map(F.lit, constructions)))
-    rows = sequences.select("session_id", "marks", kinds.alias("construction")).repartition("session_id", "construction")
+    rows = dealt(sequences.select("session_id", "marks", kinds.alias("construction")), "session_id", "construction")
 
     fields = to_arrow(STRUCTURE)  # on the driver: it needs the session
 

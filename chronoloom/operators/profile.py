@@ -1,8 +1,8 @@
 """Haar multiresolution and matrix profiles of dense series.
 
 A series is one array per (session, dimension).  Haar levels are higher-order
-functions over that array, so no level shuffles; the profile is a blocked
-matrix product per series.
+functions over that array, so no level shuffles; the profile's distance matrix
+is cut into tiles of diagonals, and a tile is a row of work.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lcg
+from ..session import dealt
+from .align import to_arrow
 
 
 def series(dense: DataFrame) -> DataFrame:
@@ -73,31 +75,130 @@ def silence(levels: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ matrix profile
 
 
-def matrix_profile(x: np.ndarray, m: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """z-normalised distances of each window of m samples to its nearest one outside
-    the exclusion zone, their places (least on ties), and flags of constant windows.
+#: Windows along a side of a tile of the distance matrix.
+TILE = 1 << 14
+#: Up to so many windows of a tile are compared in one matrix.
+SMALL = 512
+UNIT = 1e9  # squared distances are compared to nine decimals
 
-    Two constant windows are at distance 0, a constant and another at sqrt(2 m)."""
+
+def _moments(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's sum, the inverse of m times its spread (0 if constant), and whether it is constant."""
+    total = lambda v: (c := np.concatenate([[0.0], np.cumsum(v)]))[m:] - c[:-m]
     w = np.lib.stride_tricks.sliding_window_view(x, m)
-    n, zone = len(w), math.ceil(m / 4)
     constant = w.max(1) == w.min(1)
-    z = w - w.mean(1, keepdims=True)
-    norm = np.sqrt((z * z).sum(1, keepdims=True) / m)
-    z = np.where(constant[:, None], 0.0, z / np.where(norm > 0, norm, 1.0))
-    best, place = np.full(n, np.inf), np.full(n, -1)
-    for a in range(0, n, block):  # blocks of the distance matrix, never all of it
-        square = np.maximum(0.0, 2 * m - 2 * (z[a : a + block] @ z.T))
-        mixed = constant[a : a + block, None] != constant[None, :]
-        square[mixed] = 2.0 * m
-        square[constant[a : a + block, None] & constant[None, :]] = 0.0
-        i = np.arange(a, min(a + block, n))
-        near = np.abs(i[:, None] - np.arange(n)[None, :]) <= zone
-        square[near] = np.inf
-        square = np.round(square, 9)
-        place[i] = square.argmin(1)
-        best[i] = np.sqrt(square[np.arange(len(i)), place[i]])
+    sums, spread = total(x), m * total(x * x) - total(x) ** 2
+    return sums, np.where(constant | (spread <= 0), 0.0, 1 / np.sqrt(np.where(spread > 0, spread, 1.0))), constant
+
+
+def tile_minima(a: np.ndarray, b: np.ndarray, m: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a tile of diagonals: each window of a against those of b that begin first to last - 1
+    samples later than it does (both from the same place of a series), and the other way
+    round.  Least squared distance in 1 / UNIT and the shift where it is (of a's windows
+    the least, of b's the greatest: the least place); inf and 0 where there is none.
+
+    Dot products run along a diagonal as differences of one cumulative sum, or
+    are one matrix product where the tile is small; for counts they are
+    exact, after a whole number near the mean is taken off."""
+    middle = np.rint(b.mean())
+    a, b = a - middle, b - middle
+    (sa, ia, ca), (sb, ib, cb) = _moments(a, m), _moments(b, m)
+    best_a, best_b = np.full(len(sa), np.inf), np.full(len(sb), np.inf)
+    at_a, at_b = np.zeros(len(sa), np.int64), np.zeros(len(sb), np.int64)
+    some = bool(ca.any() and cb.any())
+    if len(sa) <= SMALL:
+        windows = np.lib.stride_tricks.sliding_window_view
+        dot = (m * (windows(a, m) @ windows(b, m).T) - sa[:, None] * sb) * ia[:, None] * ib
+        if some:
+            dot += ca[:, None] & cb
+        square = np.maximum(np.rint((1.0 - dot) * (2 * m * UNIT)), 0.0)
+        row, column = np.arange(len(sa)), np.arange(len(sb))
+        later = column - row[:, None]
+        square[(later < first) | (later >= last)] = np.inf
+        near, before = square.argmin(1), square.argmin(0)
+        best_a, best_b = square[row, near], square[before, column]
+        return best_a, np.where(np.isfinite(best_a), near - row, 0), best_b, np.where(np.isfinite(best_b), column - before, 0)
+    for d in range(first, last):
+        n = min(len(sa), len(sb) - d)
+        if n <= 0:
+            break
+        other = slice(d, d + n)
+        run = np.cumsum(a[: n + m - 1] * b[d : d + n + m - 1])
+        dot = run[m - 1 :].copy()
+        dot[1:] -= run[:-m]
+        dot *= m
+        dot -= sa[:n] * sb[other]
+        dot *= ia[:n]
+        dot *= ib[other]
+        if some:
+            dot += ca[:n] & cb[other]  # two constant windows are at distance 0
+        np.subtract(1.0, dot, out=dot)
+        dot *= 2 * m * UNIT
+        np.rint(dot, out=dot)
+        np.maximum(dot, 0.0, out=dot)
+        less = dot < best_a[:n]
+        np.copyto(best_a[:n], dot, where=less)
+        np.copyto(at_a[:n], d, where=less)
+        less = dot <= best_b[other]
+        np.copyto(best_b[other], dot, where=less)
+        np.copyto(at_b[other], d, where=less)
+    return best_a, at_a, best_b, at_b
+
+
+def zone_of(m: int) -> int:
+    """How far apart windows have to begin to be compared: more than this."""
+    return math.ceil(m / 4)
+
+
+def profile_minima(rows: DataFrame, windows: tuple[int, ...], keys: tuple[str, ...], tile: int = TILE) -> DataFrame:
+    """keys, m, n (windows of the series), start, square, nearest, constant of every window of every series x.
+
+    The upper triangle of a series' distance matrix is cut into tiles of at most
+    tile windows by tile diagonals.  A tile is a row of work with the two stretches
+    that it needs, whatever series it is of; minima of a window are merged over its tiles."""
+    sized = rows.select(*keys, "x", F.explode(F.array(*map(F.lit, windows))).alias("m")).where((F.col("m") >= 2) & (F.size("x") > F.col("m")))
+    sized = sized.withColumn("n", F.size("x") - F.col("m") + 1)
+    cut = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(tile))).alias("row"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1 - F.col("row"), F.lit(tile))).alias("shift"))
+    stretch = lambda start, n: F.slice("x", start + 1, n + F.col("m") - 1)
+    work = dealt(cut.select(*keys, "m", "n", "row", "shift", stretch(F.col("row"), F.lit(tile)).alias("a"), stretch(F.col("row") + F.col("shift"), F.lit(2 * tile - 1)).alias("b")), *keys, "m", "row", "shift")
+
+    def run(batches):
+        for batch in batches:
+            fixed = [batch.column(i).to_pylist() for i in range(len(keys))]
+            for k, (m, n, row, shift) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(keys), len(keys) + 4)), strict=True)):
+                a, b = (batch.column(len(keys) + i)[k].values.to_numpy(zero_copy_only=False) for i in (4, 5))
+                first = max(0, zone_of(m) + 1 - shift)
+                best_a, at_a, best_b, at_b = tile_minima(a, b, m, first, tile)
+                here, there = np.arange(len(best_a)) + row, np.arange(len(best_b)) + row + shift
+                flat = lambda x: np.lib.stride_tricks.sliding_window_view(x, m)
+                for start, best, near, x in ((here, best_a, here + shift + at_a, a), (there, best_b, there - shift - at_b, b)):
+                    # A window without a neighbour in this tile is left out, but for its own row on the diagonal.
+                    own = np.isfinite(best) | (shift == 0 and start is here)
+                    w = flat(x)[own]
+                    count = int(own.sum())
+                    if count:
+                        yield pa.RecordBatch.from_arrays([*(pa.array([c[k]] * count, batch.schema.field(i).type) for i, c in enumerate(fixed)), *(pa.array([v] * count, pa.int32()) for v in (m, n)), pa.array(start[own], pa.int32()), pa.array(best[own] / UNIT), pa.array(near[own], pa.int32(), mask=~np.isfinite(best[own])), pa.array(w.max(1) == w.min(1))], names=names)
+
+    names = [*keys, "m", "n", "start", "square", "nearest", "constant"]
+    kinds = dict(rows.dtypes)
+    found = work.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "m int, n int, start int, square double, nearest int, constant boolean"]))
+    merged = found.groupBy(*keys, "m", "n", "start").agg(F.min(F.struct("square", "nearest")).alias("x"), F.first("constant").alias("constant"))
+    return merged.select(*keys, "m", "n", "start", F.nullif("x.square", F.lit(math.inf)).alias("square"), F.col("x.nearest").alias("nearest"), "constant")
+
+
+def matrix_profile(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z-normalised distances of each window of m samples of one short series to its nearest
+    one outside the exclusion zone, their places (least on ties), and flags of constant windows.
+
+    Two constant windows are at distance 0, a constant and another at sqrt(2 m)."""
+    n = len(x) - m + 1
+    best_a, at_a, best_b, at_b = tile_minima(x, x, m, zone_of(m) + 1, n)
+    here = np.arange(n)
+    before = (best_b < np.inf) & (best_b <= best_a)  # the least place is the earlier one
+    best, place = np.where(before, best_b, best_a), np.where(before, here - at_b, here + at_a)
     place[~np.isfinite(best)] = -1
-    return best, place, constant
+    return np.sqrt(best / UNIT), place, _moments(x, m)[2]
 
 
 def top_motifs(best: np.ndarray, place: np.ndarray, m: int, k: int) -> list[tuple[int, int, float]]:
@@ -126,68 +227,64 @@ def top_discords(best: np.ndarray, m: int, k: int) -> list[tuple[int, float]]:
     return out
 
 
-def scan(x: np.ndarray, m: int, k: int = 3) -> dict | None:
-    """Profile, masked profile, motifs, discords, the shuffled null and its separation."""
-    if m < 2 or len(x) < m + 1:
-        return None
-    best, place, constant = matrix_profile(x, m)
-    masked = np.where(constant | constant[np.maximum(place, 0)], np.inf, best)
-    shuffled = np.array(lcg.Lcg(lcg.SHUFFLE_SEED, odd=False).shuffle(list(x)))
-    nb, npl, nc = matrix_profile(shuffled, m)
-    null = top_motifs(np.where(nc | nc[np.maximum(npl, 0)], np.inf, nb), npl, m, 1)
-    motifs = top_motifs(masked, place, m, k)
-    limit = 2 * math.sqrt(m)
-    return {
-        "subsequences": len(best),
-        "constant_subsequences": int(constant.sum()),
-        "best": best,
-        "place": place,
-        "masked": masked,
-        "motifs": motifs,
-        "discords": top_discords(masked, m, k),
-        "null_best": null[0][2] if null else None,
-        "separation": (null[0][2] - motifs[0][2]) / limit if null and motifs else None,
-    }
-
-
-def profiles(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """session_id, dimension, m, start, distance, nearest, masked: raw counts go in."""
+def profiles(rows: DataFrame, windows: tuple[int, ...], tile: int = TILE) -> DataFrame:
+    """session_id, dimension, m, start, distance, nearest, masked: raw counts go in.
+
+    masked: the window or its nearest one is constant."""
+    keys = ("session_id", "dimension")
+    found = profile_minima(rows, windows, keys, tile)
+    other = found.where("constant").select(*keys, "m", F.col("start").alias("nearest"), F.lit(True).alias("beside"))
+    both = found.join(other, [*keys, "m", "nearest"], "left")
+    return both.select(*keys, "m", "start", F.sqrt("square").alias("distance"), "nearest", (F.col("constant") | F.coalesce("beside", F.lit(False))).alias("masked"))
+
+
+SCANS = "session_id string, dimension string, m int, subsequences int, constant_subsequences int, motifs array<struct<a:int,b:int,distance:double>>, discords array<struct<at:int,distance:double>>, null_best double, separation double"
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Every series in the fixed random order of its null."""
 
     def run(batches):
         for batch in batches:
-            for s, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = x.values.to_numpy(zero_copy_only=False)
-                for m in windows:
-                    if m < 2 or len(x) < m + 1:
-                        continue
-                    best, place, constant = matrix_profile(x, m)
-                    n, finite = len(best), np.isfinite(best)
-                    hidden = constant | constant[np.maximum(place, 0)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * n), pa.array([d] * n), pa.array([m] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(best, mask=~finite), pa.array(place, pa.int32(), mask=~finite), pa.array(hidden)], names=["session_id", "dimension", "m", "start", "distance", "nearest", "masked"])
+            made = [lcg.Lcg(lcg.SHUFFLE_SEED, odd=False).shuffle(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.float64()))], names=batch.schema.names)
 
-    return rows.mapInArrow(run, "session_id string, dimension string, m int, start int, distance double, nearest int, masked boolean")
+    return rows.select("session_id", "dimension", "x").mapInArrow(run, "session_id string, dimension string, x array<double>")
 
 
-def scans(rows: DataFrame, windows: tuple[int, ...], k: int = 3) -> DataFrame:
-    """One row per series and window length: counts, motifs, discords, null and separation."""
-    schema = "session_id string, dimension string, m int, subsequences int, constant_subsequences int, motifs array<struct<a:int,b:int,distance:double>>, discords array<struct<at:int,distance:double>>, null_best double, separation double"
+def scans(rows: DataFrame, windows: tuple[int, ...], k: int = 3, tile: int = TILE) -> DataFrame:
+    """One row per series and window length: counts, motifs, discords, null and separation.
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    Profiles of the series and of its shuffled null come from tiles; what is gathered per
+    series and length is the profile alone, one number and place for each window."""
+    keys = ("session_id", "dimension", "null")
+    own = rows.select("session_id", "dimension", "x")
+    every = own.withColumn("null", F.lit(False)).unionByName(shuffled(own).withColumn("null", F.lit(True)))
+    found = profile_minima(every, windows, keys, tile)
+    gathered = lambda null: F.sort_array(F.collect_list(F.when(F.col("null") == null, F.struct("start", F.sqrt("square").alias("best"), "nearest", "constant"))))
+    each = found.groupBy("session_id", "dimension", "m").agg(gathered(False).alias("p"), gathered(True).alias("q"))
+    flat = each.select("session_id", "dimension", "m", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "pq" for c in ("best", "nearest", "constant")))
+    fields = to_arrow(SCANS)  # on the driver: it needs the session
 
-    fields = to_arrow_schema(_parse_datatype_string(schema))
+    def masked(best, nearest, constant):
+        best = np.array([math.inf if x is None else x for x in best])
+        place = np.array([-1 if x is None else x for x in nearest], int)
+        constant = np.array(constant, bool)
+        return np.where(constant | constant[np.maximum(place, 0)], np.inf, best), place, constant
 
     def run(batches):
         for batch in batches:
             out = []
-            for s, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for m in windows:
-                    if got := scan(x.values.to_numpy(zero_copy_only=False), m, k):
-                        out.append({"session_id": s, "dimension": d, "m": m, "motifs": [dict(zip(("a", "b", "distance"), x, strict=True)) for x in got["motifs"]], "discords": [dict(zip(("at", "distance"), x, strict=True)) for x in got["discords"]]} | {c: got[c] for c in ("subsequences", "constant_subsequences", "null_best", "separation")})
+            for r in batch.to_pylist():
+                best, place, constant = masked(r["p_best"], r["p_nearest"], r["p_constant"])
+                null_best, null_place, _ = masked(r["q_best"], r["q_nearest"], r["q_constant"])
+                motifs, null = top_motifs(best, place, r["m"], k), top_motifs(null_best, null_place, r["m"], 1)
+                least = null[0][2] if null else None
+                out.append({c: r[c] for c in ("session_id", "dimension", "m")} | {"subsequences": len(best), "constant_subsequences": int(constant.sum()), "motifs": [dict(zip(("a", "b", "distance"), x, strict=True)) for x in motifs], "discords": [dict(zip(("at", "distance"), x, strict=True)) for x in top_discords(best, r["m"], k)], "null_best": least, "separation": (least - motifs[0][2]) / (2 * math.sqrt(r["m"])) if null and motifs else None})
             if out:
                 yield pa.RecordBatch.from_pylist(out, fields)
 
-    return rows.mapInArrow(run, schema)
+    return flat.mapInArrow(run, SCANS)
 
 
 def linked_regions(scanned: DataFrame, regions: DataFrame, bucket_ms: int) -> DataFrame:
@@ -196,11 +293,13 @@ def linked_regions(scanned: DataFrame, regions: DataFrame, bucket_ms: int) -> Da
     (linking), and by whether they reach in (overlapping).  Ranks count from 0; null
     where no motif does."""
     rows = scanned.join(regions, "session_id")
-    width = F.col("m") * bucket_ms
+    width = F.col("m").cast("bigint") * bucket_ms
+
+    ms = lambda bucket: bucket.cast("bigint") * bucket_ms
 
     def first(hits):
         both = lambda p, q: hits(p, F.col("a_from"), F.col("a_to")) & hits(q, F.col("b_from"), F.col("b_to"))
-        found = F.transform("motifs", lambda x, i: F.when(both(x["a"] * bucket_ms, x["b"] * bucket_ms) | both(x["b"] * bucket_ms, x["a"] * bucket_ms), i))
+        found = F.transform("motifs", lambda x, i: F.when(both(ms(x["a"]), ms(x["b"])) | both(ms(x["b"]), ms(x["a"])), i))
         return F.array_min(F.filter(found, lambda i: i.isNotNull()))
 
     starts = lambda at, a, b: (at >= a) & (at < b)

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -34,3 +35,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="chronoloom-"))
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of work dealt out by keys over all shuffle partitions.
+
+    Few bytes can be much work, so adaptive execution must not merge the partitions; a
+    digest of the keys keeps Spark from reusing an exchange by the keys themselves, which it may merge."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))

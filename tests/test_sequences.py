@@ -96,7 +96,6 @@ def test_matrix_profile_hand_vectors():
     assert best[0] == pytest.approx(0, abs=1e-4) and place[0] == 4 and not constant.any()
     best, _, constant = profile.matrix_profile(np.ones(12), 4)
     assert constant.all() and (best == 0).all()
-    assert profile.scan(np.ones(3), 4) is None
 
 
 def test_haar_energy_identity(spark):
@@ -116,3 +115,77 @@ def test_greedy_count(spark):
 
     row = spark.createDataFrame([(list("aaaaa"), list("aa"))], "l array<string>, s array<string>")
     assert row.select(greedy_count(F.col("l"), F.col("s")).alias("n")).first().n == 2
+
+
+def plain_profile(x, m):
+    """Every pair of windows, normalised one by one."""
+    w = [np.array(x[i : i + m], float) for i in range(len(x) - m + 1)]
+    flat = [v.max() == v.min() for v in w]
+    z = [v * 0 if f else (v - v.mean()) / v.std() for v, f in zip(w, flat, strict=True)]
+    out = []
+    for i in range(len(w)):
+        near = [(round(0.0 if flat[i] and flat[j] else 2.0 * m if flat[i] or flat[j] else float(((z[i] - z[j]) ** 2).sum()), 6), j) for j in range(len(w)) if abs(i - j) > profile.zone_of(m)]
+        d, j = min(near, default=(None, None))
+        out.append((i, d, j, bool(flat[i] or (j is not None and flat[j]))))
+    return out
+
+
+SERIES = {"counts": [0, 0, 0, 0, 0, 1, 3, 0, 2, 1, 3, 0, 2, 0, 0, 0, 0, 0, 0, 5, 1, 3, 0, 2], "flat": [2] * 9, "parts": [0.5, 1.25, -3.0, 0.5, 1.5, 2.75, 0.5, 1.25, -3.0, 0.5, 1e6], "short": [1, 2]}
+
+
+@pytest.mark.parametrize("small", [0, 512])
+def test_one_tile_gives_the_plain_profile(small):
+    for x in SERIES.values():
+        for m in (2, 4, 8):
+            if len(x) > m:
+                held, profile.SMALL = profile.SMALL, small
+                best, place, constant = profile.matrix_profile(np.array(x, float), m)
+                profile.SMALL = held
+                want = plain_profile(x, m)
+                assert place.tolist() == [-1 if j is None else j for _, _, j, _ in want]
+                assert best.tolist() == pytest.approx([math.inf if d is None else d**0.5 for _, d, _, _ in want], abs=1e-3)
+
+
+@pytest.mark.parametrize("tile", [3, 7, 1 << 14])
+def test_tiles_as_rows_give_the_plain_profile(spark, tile):
+    rows = spark.createDataFrame([("s", d, [float(v) for v in x]) for d, x in SERIES.items()], "session_id string, dimension string, x array<double>")
+    got = {}
+    for r in profile.profiles(rows, (2, 4, 8), tile).collect():
+        got.setdefault((r.dimension, r.m), []).append((r.start, None if r.distance is None else round(r.distance**2, 6), r.nearest, r.masked))
+    want = {(d, m): plain_profile(x, m) for d, x in SERIES.items() for m in (2, 4, 8) if len(x) > m}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("tile", [5, 1 << 14])
+def test_scans(spark, tile):
+    x = [float(v) for v in SERIES["counts"]]
+    rows = spark.createDataFrame([("s", "counts", x), ("s", "flat", [2.0] * 9)], "session_id string, dimension string, x array<double>")
+    found = {r.dimension: r for r in profile.scans(rows, (4,), 2, tile).collect()}
+    r, plain = found["counts"], plain_profile(x, 4)
+    seen = sorted((d, i, j) for i, d, j, hidden in plain if d is not None and not hidden)
+    assert (r.subsequences, r.constant_subsequences) == (len(plain), sum(len(set(x[i : i + 4])) == 1 for i in range(len(plain))))
+    assert (r.motifs[0].a, r.motifs[0].b) == tuple(sorted(seen[0][1:])) and r.motifs[0].distance == pytest.approx(seen[0][0] ** 0.5, abs=1e-3)
+    assert r.discords[0].distance == pytest.approx(seen[-1][0] ** 0.5, abs=1e-3)
+    null = lcg.Lcg(lcg.SHUFFLE_SEED, odd=False).shuffle(x)
+    least = min(d for _, d, _, hidden in plain_profile(null, 4) if d is not None and not hidden)
+    assert r.null_best == pytest.approx(least**0.5, abs=1e-3) and r.separation == pytest.approx((r.null_best - r.motifs[0].distance) / 4)
+    assert found["flat"].motifs == [] and found["flat"].constant_subsequences == 6 and found["flat"].separation is None
+
+
+def test_long_series_is_many_rows_of_work(spark):
+    r = np.random.default_rng(3)
+    x = r.poisson(2, 6000).astype(float)
+    x[4000:4032] = x[100:132]  # a motif far apart
+    rows = spark.createDataFrame([("s", "d", x.tolist())], "session_id string, dimension string, x array<double>")
+    found = profile.profiles(rows, (32,), 1024).orderBy("start").collect()
+    best, place, _ = profile.matrix_profile(x, 32)
+    assert [f.nearest for f in found] == place.tolist() and [f.distance for f in found] == pytest.approx(best.tolist())
+    assert found[100].nearest == 4000 and found[100].distance == 0
+
+
+def test_linked_regions_of_far_buckets(spark):
+    scanned = spark.createDataFrame([("s", "d", 4, [(500, 9000, 0.5)])], "session_id string, dimension string, m int, motifs array<struct<a:int,b:int,distance:double>>")
+    ms = 12_000_000
+    regions = spark.createDataFrame([("s", "far", 0, 600 * ms, 8000 * ms, 10**12), ("s", "none", 0, 10, 20, 30), ("s", "edge", 0, 501 * ms, 9001 * ms, 10**12)], "session_id string, region string, a_from long, a_to long, b_from long, b_to long")
+    found = {r.region: (r.linking, r.overlapping) for r in profile.linked_regions(scanned, regions, ms).collect()}
+    assert found == {"far": (0, 0), "none": (None, None), "edge": (None, 0)}
