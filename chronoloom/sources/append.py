@@ -5,11 +5,13 @@ before anything is written; what is refused stays out with its reason.  A
 :class:`Log` keeps accepted lines in one folder, a partition for each batch: a
 batch that is tried again takes the place of what it wrote before, so nothing
 is written twice, and its numbers follow from the batches before it alone.
-Batches come one at a time, as in foreachBatch.
+Batches come one at a time, as in foreachBatch; a :class:`SharedLog` takes several writers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,10 +121,8 @@ class Log:
         return rows if before is None else rows.where(F.col("batch") < before)
 
     def ends(self, before: int | None = None) -> DataFrame:
-        """file_name, status, version, session_id, records: what appending needs to know, from each
-        recording's last line alone (they are complete: nothing else is written)."""
-        last = self.lines(before).groupBy("file_name").agg(F.max("sequence").alias("records"), F.max_by("line", "sequence").alias("line"))
-        return last.select("file_name", F.lit("complete").alias("status"), F.get_json_object("line", "$.schema_version").cast("long").alias("version"), F.get_json_object("line", "$.session_id").alias("session_id"), "records")
+        """What appending needs to know of each recording."""
+        return ends_of(self.lines(before))
 
     def append(self, emissions: DataFrame, batch: int, recorded_at: Column | None = None, order: str = "n") -> DataFrame:
         """Writes what of a batch is accepted; returns (file_name, refused, n) of the rest."""
@@ -139,3 +139,89 @@ class Log:
     def into(self, stream: DataFrame, checkpoint: str, order: str = "n"):
         """Appends a stream of emissions, batch by batch."""
         return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: self.append(rows, batch, order=order)).start()
+
+
+class SharedLog:
+    """A log that several writers append to at once, by optimistic commits.
+
+    A commit is a file ``_commits/<number>`` that names a folder of lines; it is created only if
+    no one has created it (HDFS renames in one step), so commits have one order.
+    A writer numbers its batch against the commits that it has seen and writes the lines
+    aside; if another commit comes first, it numbers again after that one.  Lines of
+    folders that no commit names don't exist.  A commit also says whose batch
+    it is: a batch that was committed before isn't written again."""
+
+    TRIES = 100
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._system = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def commits(self) -> list[tuple[int, str, str]]:
+        """(number, folder, batch) of all commits, in order: a short line each."""
+        if not self._system.exists(self._at("_commits")):
+            return []
+        found = []
+        for f in self._system.listStatus(self._at("_commits")):
+            number = f.getPath().getName()
+            if number.isdigit():
+                with_stream = self._system.open(f.getPath())
+                try:
+                    folder, batch = bytes(with_stream.readAllBytes()).decode().split("\n", 1)
+                finally:
+                    with_stream.close()
+                found.append((int(number), folder, batch))
+        return sorted(found)
+
+    def lines(self, commits: list | None = None) -> DataFrame:
+        """file_name, sequence, line of the given commits, or of all."""
+        folders = [f"{self.path}/{folder}" for _, folder, _ in (self.commits() if commits is None else commits)]
+        schema = "file_name string, sequence decimal(20,0), line string"
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _commit(self, number: int, folder: str, batch: str) -> bool:
+        """Whether this writer is the first to create the commit; the name shows only when its text is whole."""
+        aside = self._at(f"_commits/.{uuid.uuid4().hex}")
+        out = self._system.create(aside, False)
+        out.write(f"{folder}\n{batch}".encode())
+        out.close()
+        target = self._at(f"_commits/{number:020d}")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._system.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:  # FileContext's rename refuses a name that exists
+            context.rename(aside, target, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            self._system.delete(aside, False)
+            return False
+
+    def append(self, emissions: DataFrame, batch: str, recorded_at: Column | None = None, order: str = "n") -> DataFrame:
+        """Commits what of a batch is accepted; returns (file_name, refused, n) of the rest.
+
+        batch names this batch among all of all writers."""
+        refusals = lambda rows: rows.where("refused is not null").groupBy("file_name", "refused").agg(F.count("*").alias("n"))
+        for _ in range(self.TRIES):
+            seen = self.commits()
+            before = next((i for i, c in enumerate(seen) if c[2] == batch), len(seen))
+            rows = append(emissions, ends_of(self.lines(seen[:before])), recorded_at, order)
+            if before < len(seen):
+                return refusals(rows)
+            folder = f"lines-{uuid.uuid4().hex}"
+            kept = rows.where("refused is null").select("file_name", "sequence", "line")
+            kept.repartition("file_name").sortWithinPartitions("file_name", "sequence").write.parquet(f"{self.path}/{folder}")
+            if self._commit(seen[-1][0] + 1 if seen else 1, folder, batch):
+                return refusals(rows)
+            self._system.delete(self._at(folder), True)  # another writer was first
+        raise RuntimeError(f"{self.TRIES} other commits came first")
+
+
+def ends_of(lines: DataFrame) -> DataFrame:
+    """file_name, status, version, session_id, records: what appending needs to know, from each
+    recording's last line alone (they are complete: nothing else is written)."""
+    last = lines.groupBy("file_name").agg(F.max("sequence").alias("records"), F.max_by("line", "sequence").alias("line"))
+    return last.select("file_name", F.lit("complete").alias("status"), F.get_json_object("line", "$.schema_version").cast("long").alias("version"), F.get_json_object("line", "$.session_id").alias("session_id"), "records")

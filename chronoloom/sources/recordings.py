@@ -50,15 +50,25 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     Spark's file sources pass over empty files, which are complete recordings of
     no records; they are added from the folder's listing."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ndjson").load(path).select("path", "content")
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    empty = [(str(f.getPath()), bytearray()) for f in listed if f.isFile() and not f.getLen() and f.getPath().getName().endswith(".ndjson")]
+    empty = [(p, bytearray()) for p in empty_files(spark, path)]
     return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
 
 
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """The *.ndjson files of no bytes in a folder: one listing, and only their names are kept."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return [str(f.getPath()) for f in listed if f.isFile() and not f.getLen() and f.getPath().getName().endswith(".ndjson")]
+
+
 def tails(files: DataFrame) -> DataFrame:
-    """Adds prefix (complete lines as text), valid_utf8, tail_offset and tail_bytes."""
+    """path, prefix (complete lines as text), valid_utf8, tail_offset and tail_bytes; without
+    prefix if files are lines by byte ranges (ranges.ranges)."""
+    if "content" not in files.columns:
+        ended = F.coalesce("terminated", F.lit(False))
+        end = F.coalesce(F.max(F.when(ended, F.col("offset") + F.octet_length("raw") + 1)), F.lit(0))
+        per = files.groupBy("path", "size").agg(F.coalesce(F.bool_and(F.when(ended, F.is_valid_utf8(F.col("raw").cast("string")))), F.lit(True)).alias("valid_utf8"), end.alias("tail_offset"))
+        return per.select("path", "valid_utf8", "tail_offset", (F.col("size") - F.col("tail_offset")).alias("tail_bytes"))
     text = F.decode("content", "ISO-8859-1")  # a character a byte
     back = F.locate("\n", F.reverse(text))
     kept = F.when(back == 0, 0).otherwise(F.length("content") - back + 1)
@@ -74,6 +84,10 @@ def tails(files: DataFrame) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """path, line_no, line of all complete lines; a carriage return at the end is dropped."""
+    if "content" not in files.columns:
+        bad = tails(files).where("not valid_utf8").select("path")
+        held = files.where("terminated").join(bad, "path", "left_anti")
+        return held.select("path", "line_no", F.regexp_replace(F.col("raw").cast("string"), "\r$", "").alias("line"))
     held = tails(files).where("valid_utf8 and tail_offset > 0")
     cut = F.split(F.expr("left(prefix, length(prefix) - 1)"), "\n")
     return held.select("path", F.posexplode(cut).alias("_n", "_l")).select("path", (F.col("_n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("_l", "\r$", "").alias("line"))
@@ -147,9 +161,12 @@ def checked(files: DataFrame) -> DataFrame:
     """Lines with their parsed fields and error (null where the line is in order)."""
     rows = lines(files).withColumn("v", F.try_parse_json("line"))
     version = F.when((_type("$.schema_version") == "BIGINT"), F.try_variant_get("v", "$.schema_version", "bigint"))
-    order = Window.partitionBy("path").orderBy("line_no")
     rows = rows.withColumn("version", version).withColumn("session_id", F.try_variant_get("v", "$.session_id", "string"))
-    rows = rows.withColumn("first_version", F.first("version").over(order)).withColumn("first_session", F.first("session_id").over(order))
+    if "content" in files.columns:
+        order = Window.partitionBy("path").orderBy("line_no")
+        rows = rows.withColumn("first_version", F.first("version").over(order)).withColumn("first_session", F.first("session_id").over(order))
+    else:  # no task gets all lines of a long file
+        rows = rows.join(rows.where("line_no = 1").select("path", F.col("version").alias("first_version"), F.col("session_id").alias("first_session")), "path")
     rows = rows.withColumn("sequence", F.try_variant_get("v", "$.sequence", "decimal(20,0)")).withColumn("recorded_at", F.try_variant_get("v", "$.recorded_at", "string"))
     rows = rows.withColumn("kind", F.try_variant_get("v", "$.event.kind", "string")).withColumn("channel", F.try_variant_get("v", "$.provenance.channel", "string"))
     number = lambda path: F.coalesce(F.try_variant_get("v", path, "decimal(20,0)") >= 0, F.lit(True))
