@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
+
 def by_session():
     return Window.partitionBy("session_id").orderBy("pos")
 
@@ -126,16 +130,89 @@ def best_coverage(events: DataFrame, spans: tuple[int, ...] = (3, 4, 6, 8, 12))
     return grams.groupBy("k").agg(F.max("sessions").alias("best_sessions"), F.count_if(F.col("sessions") > 1).alias("shared_grams"), F.count("*").alias("grams"))
 
 
+def automaton(marks: list) -> tuple[list[dict], list[int], list[int]]:
+    """Suffix automaton of a sequence: each state's steps by mark, its suffix link and longest length; at most two states a mark."""
+    steps, link, length, last = [{}], [-1], [0], 0
+    for mark in marks:
+        new, at = len(steps), last
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while at >= 0 and mark not in steps[at]:
+            steps[at][mark] = new
+            at = link[at]
+        if at >= 0:
+            to = steps[at][mark]
+            if length[to] == length[at] + 1:
+                link[new] = to
+            else:  # the state stands for longer runs as well: one of its own for the shorter
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                while at >= 0 and steps[at].get(mark) == to:
+                    steps[at][mark] = copy
+                    at = link[at]
+                link[to] = link[new] = copy
+        last = new
+    return steps, link, length
+
+
+def longest_run_in(held: tuple[list[dict], list[int], list[int]], marks: list) -> int:
+    """The longest run of marks that the automaton's sequence holds."""
+    steps, link, length = held
+    at = run = longest = 0
+    for mark in marks:
+        while at and mark not in steps[at]:
+            at = link[at]
+            run = length[at]
+        if mark in steps[at]:
+            at, run = steps[at][mark], run + 1
+        longest = max(longest, run)
+    return longest
+
+
 def longest_shared_run(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (a, b) of sessions: the longest run of equal marks, by islands on diagonals.
-
-    Equal marks of the two sessions of a pair are joined, so cost is the number
-    of equal positions of the given pairs."""
-    left = pairs.join(events.select(F.col("session_id").alias("a"), F.col("pos").alias("i"), F.col("mark").alias("m")), "a")
-    both = left.join(events.select(F.col("session_id").alias("b"), F.col("pos").alias("j"), F.col("mark").alias("m")), ["b", "m"])
-    diagonal = Window.partitionBy("a", "b", F.col("i") - F.col("j")).orderBy("i")
-    runs = both.withColumn("island", F.col("i") - F.row_number().over(diagonal)).groupBy("a", "b", (F.col("i") - F.col("j")).alias("d"), "island").agg(F.count("*").alias("n"))
-    return pairs.join(runs, ["a", "b"], "left").groupBy("a", "b").agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+    """For pairs (a, b) of sessions: the longest run of equal marks.
+
+    A pair costs its two lengths, however often marks repeat: the automaton of a
+    is built once for the pairs of a that come one after another, and b walks through it."""
+    held = events.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("pos", "mark"))).getField("mark").alias("marks"))
+    side = lambda s: held.select(F.col("session_id").alias(s), F.col("marks").alias(f"m{s}"))
+    rows = dealt(pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "ma", "mb"), "a", "b").sortWithinPartitions("a")
+
+    def run(batches):
+        name, own = None, None
+        for batch in batches:
+            out = []
+            for a, b, ma, mb in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if own is None or a != name:
+                    name, own = a, automaton(ma or [])
+                out.append((a, b, longest_run_in(own, mb or [])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["a", "b", "longest"])
+
+    return rows.mapInArrow(run, "a string, b string, longest long")
+
+
+def null_fidelity(events: DataFrame, nulls: DataFrame, *keys: str) -> DataFrame:
+    """What :func:`divergence` says of each null realisation (session_id, the given keys, marks as an array)
+    against the session that it realises: one row a realisation."""
+    name = F.concat_ws("\x1f", "session_id", *keys)
+    made = nulls.select(F.col("session_id").alias("own"), *keys, name.alias("session_id"), F.posexplode("marks").alias("pos", "mark"))
+    both = events.select("session_id", F.col("pos").cast("int").alias("pos"), "mark").unionByName(made.select("session_id", "pos", "mark"))
+    names = made.select(F.col("own").alias("a"), F.col("session_id").alias("b"), *keys).distinct()
+    return divergence(both, names.select("a", "b")).join(names, ["a", "b"]).drop("b").withColumnRenamed("a", "session_id")
+
+
+def null_identity(events: DataFrame, nulls: DataFrame, *within: str) -> DataFrame:
+    """session_id, the given keys, realizations, how many repeat the session itself, how many differ from each other, and
+    the identical share: by digests of the sequences."""
+    digest = lambda marks: F.sha2(F.concat_ws("\x1f", marks), 256)
+    own = events.groupBy("session_id").agg(digest(F.sort_array(F.collect_list(F.struct("pos", "mark"))).getField("mark")).alias("own"))
+    rows = nulls.select("session_id", *within, digest(F.col("marks")).alias("digest")).join(own, "session_id")
+    counted = rows.groupBy("session_id", *within).agg(F.count("*").alias("realizations"), F.count_if(F.col("digest") == F.col("own")).alias("identical"), F.count_distinct("digest").alias("distinct"))
+    return counted.withColumn("identical_fraction", F.col("identical") / F.col("realizations"))
 
 
 def adjacent_pairs(events: DataFrame) -> DataFrame:

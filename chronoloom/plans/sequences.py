@@ -100,6 +100,11 @@ def _tv(source: str, keys: str, share: str) -> str:
     return f"(SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, {out}, coalesce(x.p, 0) AS pa, coalesce(y.p, 0) AS pb FROM (SELECT f.a, f.b, r.* FROM nx f JOIN (SELECT *, n / sum(n) OVER (PARTITION BY {share}) AS p FROM {source}) r ON r.session_id = f.a) x FULL JOIN (SELECT f.a, f.b, r.* FROM nx f JOIN (SELECT *, n / sum(n) OVER (PARTITION BY {share}) AS p FROM {source}) r ON r.session_id = f.b) y ON x.a = y.a AND x.b = y.b AND {join})"
 
 
+def divergence_sql(name: str) -> str:
+    """Divergence of the pairs nx (a, b) by their transitions tr and counts of marks mc."""
+    return f"""t1 AS (SELECT a, b, round(0.5 * sum(abs(pa - pb)), 9) AS transition_tv, count(*) FILTER (WHERE pa > 0 AND pb = 0) AS absent FROM {_tv('tr', 'source, target', 'session_id')} GROUP BY ALL), t2 AS (SELECT a, b, round(max(tv), 9) AS max_state_tv FROM (SELECT a, b, source, 0.5 * sum(abs(pa - pb)) AS tv FROM {_tv('tr', 'source, target', 'session_id, source')} GROUP BY ALL HAVING sum(pa) > 0 AND sum(pb) > 0) GROUP BY ALL), t3 AS (SELECT a, b, round(0.5 * sum(abs(pa - pb)), 9) AS marginal_tv FROM {_tv('mc', 'mark', 'session_id')} GROUP BY ALL), {name} AS (SELECT * FROM t1 LEFT JOIN t2 USING (a, b) JOIN t3 USING (a, b))"""
+
+
 ORACLE_SQL = {
     "a16_signal_axis": f"{_W}, {_AXIS} SELECT * FROM ax",
     "a16_signal_buckets": f"{_W}, {_DENSE} SELECT * FROM dn",
@@ -112,7 +117,7 @@ ORACLE_SQL = {
     "a22_envelope": f"{_E}, {_COUNTS} SELECT session_id, count(*) AS vocabulary, max(n) AS max_count, min(n) AS min_count, count(*) FILTER (WHERE n = 1) AS singletons, sum(n)::BIGINT AS events, {_QUANTILES} FROM mc GROUP BY session_id",
     "a23_approaches": f"{_E}, {_COUNTS}, b AS (SELECT session_id, n, k, pow((sum(n) OVER (PARTITION BY session_id, k))::DOUBLE, (k - 1) / k) AS boundary FROM mc, (SELECT unnest([{', '.join(map(str, _SPANS))}]) AS k)) SELECT session_id, k, round(max(boundary), 9) AS boundary, round(max(n / boundary), 9) AS max_margin, count(*) FILTER (WHERE n > boundary) AS marks_above FROM b GROUP BY ALL",
     "a24_transitions": f"{_E}, {_PAIRS} SELECT * FROM tr",
-    "a25_divergence": f"{_E}, {_COUNTS}, {_PAIRS}, nx AS (SELECT * FROM (SELECT session_id AS a, lead(session_id) OVER (ORDER BY session_id) AS b FROM (SELECT DISTINCT session_id FROM ev)) WHERE b IS NOT NULL), t1 AS (SELECT a, b, round(0.5 * sum(abs(pa - pb)), 9) AS transition_tv, count(*) FILTER (WHERE pa > 0 AND pb = 0) AS absent FROM {_tv('tr', 'source, target', 'session_id')} GROUP BY ALL), t2 AS (SELECT a, b, round(max(tv), 9) AS max_state_tv FROM (SELECT a, b, source, 0.5 * sum(abs(pa - pb)) AS tv FROM {_tv('tr', 'source, target', 'session_id, source')} GROUP BY ALL HAVING sum(pa) > 0 AND sum(pb) > 0) GROUP BY ALL), t3 AS (SELECT a, b, round(0.5 * sum(abs(pa - pb)), 9) AS marginal_tv FROM {_tv('mc', 'mark', 'session_id')} GROUP BY ALL) SELECT * FROM t1 LEFT JOIN t2 USING (a, b) JOIN t3 USING (a, b)",
+    "a25_divergence": f"{_E}, {_COUNTS}, {_PAIRS}, nx AS (SELECT * FROM (SELECT session_id AS a, lead(session_id) OVER (ORDER BY session_id) AS b FROM (SELECT DISTINCT session_id FROM ev)) WHERE b IS NOT NULL), {divergence_sql('fd')} SELECT * FROM fd",
     "a29_structure": f"{_E}, {_COUNTS}, {_PAIRS}, r AS (SELECT session_id, avg(same::INT) AS rep, count(*) / (1 + count(*) FILTER (WHERE NOT same)) AS run FROM (SELECT session_id, mark = lag(mark) OVER (PARTITION BY session_id ORDER BY pos) AS same FROM ev) GROUP BY ALL), h1 AS (SELECT session_id, sum(-p * ln(p)) AS h FROM (SELECT session_id, n / sum(n) OVER (PARTITION BY session_id) AS p FROM mc) GROUP BY ALL), h2 AS (SELECT session_id, sum(-p * ln(p)) AS h FROM (SELECT session_id, n / sum(n) OVER (PARTITION BY session_id) AS p FROM tr) GROUP BY ALL) SELECT session_id, round(rep, 9) AS immediate_repetition, round(run, 9) AS mean_run_length, round(CASE WHEN h1.h > 0 THEN h2.h / (2 * h1.h) END, 9) AS entropy_ratio FROM r JOIN h1 USING (session_id) JOIN h2 USING (session_id)",
     "a27_repeated_grams": f"{_E}, {windows_sql(4)}, g AS (SELECT session_id, marks, unnest(l) AS s FROM (SELECT session_id, marks, list(start) AS l FROM wn GROUP BY session_id, marks HAVING count(*) > 1)) SELECT session_id, count(DISTINCT marks) AS repeated_grams, count(DISTINCT p) AS positions FROM (SELECT session_id, marks, unnest(range(s, s + 4)) AS p FROM g) GROUP BY session_id",
     "a32_best_coverage": f"{_E}, {', '.join(windows_sql(k, f'w{k}') for k in _SPANS)} SELECT k, max(n) AS best_sessions, count(*) FILTER (WHERE n > 1) AS shared_grams, count(*) AS grams FROM ({' UNION ALL '.join(f'SELECT {k} AS k, marks, count(DISTINCT session_id) AS n FROM w{k} GROUP BY marks' for k in _SPANS)}) GROUP BY k",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from ..functions.controls import CONTROLS
 from ..operators import align as A
 from ..operators import nulls as N
 from ..operators import profile as P
+from ..operators import sequence as Q
 from ..operators import signal as S
 from .alignments import LADDER
-from .sequences import _DENSE, _W, WIDTH, dense_sql, events, pairs, rounded, signal_ledger
+from .sequences import _COUNTS, _DENSE, _PAIRS, _W, WIDTH, divergence_sql, dense_sql, events, pairs, rounded, signal_ledger
 
 PROFILE_WIDTH = 12_000_000
 PROFILE_LADDER = (2, 4, 8, 16, 32, 64, 128)  # the six lengths of the reference in buckets, and 4
@@ -45,6 +48,16 @@ def _calibration(s, d):
     return rounded(found.withColumn("top_exceedances", F.concat_ws(",", F.col("top_exceedances").cast("array<string>"))), *names)
 
 
+def _realised(s, d):
+    """Five realisations of every session under the order and the first-order null."""
+    made = [N.replicates(_sequences(s, d), kind, 5).select("session_id", F.lit(kind).alias("construction"), "replicate", "marks") for kind in ("order", "markov")]
+    return made[0].unionByName(made[1])
+
+
+def _fidelity(s, d):
+    return rounded(Q.null_fidelity(events(s, d), _realised(s, d), "construction", "replicate"), "transition_tv", "max_state_tv", "marginal_tv")
+
+
 def _assay(s, d):
     """Every cell of the corpus at the fixed budget, in waves that leave refuted cells out."""
     return rounded(N.assay(N.arrays(events(s, d)), pairs(s, d), LADDER, BUDGET), "observed", "null_max", "expected_early_stop")
@@ -89,6 +102,8 @@ QUERIES = {
     "n06_null_transitions": lambda s, d: N.replicates(_sequences(s, d), "doublet", 2).select("session_id", "replicate", F.posexplode(F.zip_with(F.expr("slice(marks, 1, size(marks) - 1)"), F.expr("slice(marks, 2, size(marks) - 1)"), lambda x, y: F.concat(x, F.lit(">"), y)))).groupBy("session_id", "replicate", F.col("col").alias("step")).agg(F.count("*").alias("n")),
     "n08_calibration": _calibration,
     "n12_assay": _assay,
+    "a25_null_fidelity": _fidelity,
+    "n11_null_identity": lambda s, d: rounded(Q.null_identity(events(s, d), _realised(s, d), "construction"), "identical_fraction"),
     "n05_null_evidence": _evidence,
     "n09_selection_effect": _selection,
     "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), ("order", "doublet", "markov"), ADEQUACY), "null_median", "null_min", "null_max", "observed"),
@@ -116,7 +131,12 @@ _LISTS = f"{_EV}, sq AS (SELECT session_id, list(mark ORDER BY pos) AS m FROM ev
 _SHUFFLED = f"sf AS (SELECT session_id, r, len(m) - 1 AS i, x, m FROM sq, sd UNION ALL SELECT session_id, r, i - 1, x, [CASE q WHEN i + 1 THEN m[j] WHEN j THEN m[i + 1] ELSE m[q] END FOR q IN range(1, len(m) + 1)] FROM (SELECT *, (x // 8589934592 % (i + 1))::BIGINT + 1 AS j FROM (SELECT session_id, r, i, m, {_STATE} AS x FROM sf WHERE i > 0)))"
 _WALKED = f"af AS (SELECT session_id, mark, list(next ORDER BY pos) AS l FROM (SELECT *, lead(mark) OVER (PARTITION BY session_id ORDER BY pos) AS next FROM ev) WHERE next IS NOT NULL GROUP BY ALL), wk AS (SELECT session_id, r, 1 AS n, x, m[1] AS c, m[1] AS o, m FROM sq, sd UNION ALL SELECT session_id, r, n + 1, x, nx, o || '|' || nx, m FROM (SELECT w.*, ch[(x // 8589934592 % len(ch))::BIGINT + 1] AS nx FROM (SELECT v.*, coalesce(l, m) AS ch FROM (SELECT session_id, r, n, c, o, m, {_STATE} AS x FROM wk WHERE n < len(m)) v LEFT JOIN af ON af.session_id = v.session_id AND af.mark = v.c) w))"
 
+_MADE = re.sub(r"\bev\b", "e0", f"{_LISTS}, {_SHUFFLED}, {_WALKED}") + ", nl AS (SELECT session_id, 'order' AS construction, r, m FROM sf WHERE i = 0 UNION ALL SELECT session_id, 'markov', r, string_split(o, '|') FROM wk WHERE n = len(m))"
+_BESIDE = "nd AS MATERIALIZED (SELECT *, session_id || '#' || construction || '#' || r AS id FROM nl), ev AS MATERIALIZED (SELECT session_id, pos, mark FROM e0 UNION ALL SELECT id, unnest(range(1, len(m) + 1)), unnest(m) FROM nd), nx AS (SELECT session_id AS a, id AS b FROM nd)"
+
 ORACLE_SQL = {
+    "a25_null_fidelity": f"{_R}, {_MADE}, {_BESIDE}, {_COUNTS}, {_PAIRS}, {divergence_sql('fd')} SELECT session_id, construction, r::INT AS replicate, transition_tv, absent, max_state_tv, marginal_tv FROM fd JOIN nd ON nd.id = fd.b",
+    "n11_null_identity": f"{_R}, {_MADE}, ow AS (SELECT session_id, list(mark ORDER BY pos) AS own FROM e0 GROUP BY session_id) SELECT session_id, construction, count(*) AS realizations, count(*) FILTER (WHERE m = own) AS identical, count(DISTINCT m) AS distinct, round(count(*) FILTER (WHERE m = own) / count(*), 9) AS identical_fraction FROM nl JOIN ow USING (session_id) GROUP BY ALL",
     "n02_order_nulls": f"{_R}, {_LISTS}, {_SHUFFLED} SELECT session_id, r::INT AS replicate, array_to_string(m, '|') AS marks FROM sf WHERE i = 0",
     "n07_markov_nulls": f"{_R}, {_LISTS}, {_WALKED} SELECT session_id, r::INT AS replicate, o AS marks FROM wk WHERE n = len(m)",
     "n01_draws": f"WITH RECURSIVE g AS (SELECT seed, 0 AS n, (seed | 1)::HUGEINT AS x FROM (SELECT unnest(range(200)) AS seed) UNION ALL SELECT seed, n + 1, {_STATE} FROM g WHERE n < 10) SELECT seed, n, (x // 8589934592 % 1000)::BIGINT AS draw FROM g WHERE n > 0",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import lcg
 from chronoloom.operators import align, nulls, profile
+from chronoloom.operators import sequence as sequence_ops
 
 
 def plain_alignment(a, x, b, y):
@@ -189,3 +190,34 @@ def test_linked_regions_of_far_buckets(spark):
     regions = spark.createDataFrame([("s", "far", 0, 600 * ms, 8000 * ms, 10**12), ("s", "none", 0, 10, 20, 30), ("s", "edge", 0, 501 * ms, 9001 * ms, 10**12)], "session_id string, region string, a_from long, a_to long, b_from long, b_to long")
     found = {r.region: (r.linking, r.overlapping) for r in profile.linked_regions(scanned, regions, ms).collect()}
     assert found == {"far": (0, 0), "none": (None, None), "edge": (None, 0)}
+
+
+def plain_shared_run(a, b):
+    return max((n for i in range(len(a)) for j in range(len(b)) for n in [next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))]), default=0)
+
+
+def test_automaton_finds_the_longest_shared_run():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = (r.choices("abc"[: r.randrange(1, 4)], k=r.randrange(0, 14)) for _ in range(2))
+        held = sequence_ops.automaton(a)
+        assert sequence_ops.longest_run_in(held, b) == plain_shared_run(a, b) and len(held[0]) <= 2 * len(a) + 1
+
+
+def test_long_runs_of_one_mark_end(spark):
+    rows = spark.range(100_000).select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("session_id"), F.col("id").alias("pos"), F.lit("m").alias("mark"))
+    rows = rows.where("session_id = 'x' or pos < 70000").unionByName(spark.createDataFrame([("z", 0, "other")], "session_id string, pos long, mark string"))
+    pairs = spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string")
+    assert {(r.a, r.b): r.longest for r in sequence_ops.longest_shared_run(rows, pairs).collect()} == {("x", "y"): 70_000, ("x", "z"): 0}
+
+
+def test_null_fidelity_and_identity(spark):
+    events = spark.createDataFrame([("s", i, m) for i, m in enumerate("abab")] + [("t", 0, "a"), ("t", 1, "a")], "session_id string, pos long, mark string")
+    made = spark.createDataFrame([("s", 0, list("abab")), ("s", 1, list("bbaa")), ("s", 2, list("bbaa")), ("t", 0, list("aa"))], "session_id string, replicate int, marks array<string>")
+    got = {(r.session_id, r.replicate): r for r in sequence_ops.null_fidelity(events, made, "replicate").collect()}
+    same, other = got["s", 0], got["s", 1]
+    assert (same.transition_tv, same.max_state_tv, same.marginal_tv, same.absent) == (0, 0, 0, 0) and got["t", 0].transition_tv == 0
+    # ab, ba, ab against bb, ba, aa: two thirds of ab are gone, bb and aa are new.
+    assert other.transition_tv == pytest.approx(2 / 3) and other.absent == 1 and other.marginal_tv == 0
+    counted = {r.session_id: (r.realizations, r.identical, r.distinct, r.identical_fraction) for r in sequence_ops.null_identity(events, made).collect()}
+    assert counted == {"s": (3, 1, 2, pytest.approx(1 / 3)), "t": (1, 1, 1, 1.0)}
