@@ -91,8 +91,9 @@ def eligibility(acts: DataFrame, ledger: DataFrame, most: int = MAX_SESSIONS) ->
     rows = ledger.groupBy("session_id").agg(F.count("*").alias("records")).join(counted, "session_id", "left").fillna(0, ["actions", "categories"])
     why = F.when(F.col("records") == 0, "no_complete_records").when(F.col("actions") < MIN_ACTIONS, "too_few_actions").when(F.col("categories") < MIN_CATEGORIES, "vocabulary_too_small")
     rows = rows.withColumn("why", why)
-    place = F.row_number().over(Window.partitionBy(F.col("why").isNull()).orderBy("session_id"))  # one row a session
-    return rows.withColumn("why", F.coalesce("why", F.when(place > most, "corpus_full"))).select("session_id", "records", "actions", "categories", F.col("why").alias("skipped"))
+    taken = rows.where("why is null").orderBy("session_id").limit(most).select("session_id", F.lit(True).alias("taken"))  # the corpus, no more
+    rows = rows.join(F.broadcast(taken), "session_id", "left")
+    return rows.select("session_id", "records", "actions", "categories", F.coalesce("why", F.when(F.col("taken").isNull(), "corpus_full")).alias("skipped"))
 
 
 def file_eligibility(files: DataFrame, acts: DataFrame, most: int = MAX_SESSIONS) -> DataFrame:

@@ -145,5 +145,10 @@ ORACLE_SQL = {
     "q18_haar": f"{_R}, {_HAAR} SELECT session_id, dimension, level, scale_ms, coefficients, round(energy, 9) AS energy, round(remainder, 9) AS remainder FROM hl",
     "q19_haar_spectrum": f"{_R}, {_HAAR}, sh AS (SELECT *, CASE WHEN sum(energy) OVER w > 0 THEN energy / sum(energy) OVER w ELSE 0 END AS share, pow(2, -level) / sum(pow(2, -level)) OVER w AS impulse_share FROM hl WINDOW w AS (PARTITION BY session_id, dimension)) SELECT session_id, dimension, level, scale_ms, round(energy, 9) AS energy, round(share, 9) AS share, round(impulse_share, 9) AS impulse_share, round(share / impulse_share, 9) AS ratio FROM sh",
     "q20_haar_silence": f"{_R}, {_HAAR}, en AS (SELECT session_id, dimension, list_sum([v * v FOR v IN x]) AS input, list_min(x) = list_max(x) AS constant FROM xs), dt AS (SELECT session_id, dimension, sum(energy) AS detail, count(remainder) AS remainders FROM hl GROUP BY ALL) SELECT session_id, dimension, round(input, 9) AS input, round(coalesce(detail, 0), 9) AS detail, coalesce(remainders, 0) AS remainders, 0.0::DOUBLE AS residual, CASE WHEN coalesce(detail, 0) > 0 THEN NULL WHEN input = 0 THEN 'empty' WHEN constant THEN 'constant' ELSE 'only_in_remainders' END AS silence FROM en LEFT JOIN dt USING (session_id, dimension)",
-    "q21_matrix_profile": f"{_W}, {dense_sql(PROFILE_WIDTH)}, ws AS (SELECT * FROM (SELECT session_id, dimension, bucket AS start, list(value) OVER w AS v FROM dn WHERE dimension IN ('records', 'kind:v2:tool_requested') WINDOW w AS (PARTITION BY session_id, dimension ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE len(v) = 8), zs AS (SELECT *, list_min(v) = list_max(v) AS c, [(y - list_avg(v)) / CASE WHEN list_min(v) = list_max(v) THEN 1 ELSE list_stddev_pop(v) END FOR y IN v] AS z FROM ws), zc AS MATERIALIZED (SELECT session_id, dimension, start, c, {', '.join(f'z[{i}] AS z{i}' for i in range(1, 9))} FROM zs), ds AS (SELECT a.session_id, a.dimension, a.start, b.start AS other, a.c AS ac, b.c AS bc, round(CASE WHEN a.c AND b.c THEN 0 WHEN a.c OR b.c THEN 16 ELSE {' + '.join(f'(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})' for i in range(1, 9))} END, 9) AS q FROM zc a JOIN zc b ON a.session_id = b.session_id AND a.dimension = b.dimension AND abs(a.start - b.start) > 2), bb AS (SELECT session_id, dimension, start, min((q, other, ac OR bc)) AS x FROM ds GROUP BY ALL) SELECT w.session_id, w.dimension, 8 AS m, w.start::INT AS start, round(sqrt(x[1]), 5) AS distance, coalesce(x[3], w.c) AS masked FROM zs w LEFT JOIN bb USING (session_id, dimension, start)",
+    "q21_matrix_profile": f"""{_W}, {dense_sql(PROFILE_WIDTH)}, xs AS MATERIALIZED (SELECT session_id, dimension, bucket, value FROM dn WHERE dimension IN ('records', 'kind:v2:tool_requested')),
+ws AS MATERIALIZED (SELECT * FROM (SELECT session_id, dimension, bucket AS start, sum(value) OVER w AS s, sum(value * value) OVER w AS q, min(value) OVER w = max(value) OVER w AS c, count(*) OVER w AS n FROM xs WINDOW w AS (PARTITION BY session_id, dimension ORDER BY bucket ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
+dt AS (SELECT * FROM (SELECT a.session_id, a.dimension, a.bucket AS i, b.bucket AS j, sum(a.value * b.value) OVER w AS dot, count(*) OVER w AS n FROM xs a JOIN xs b ON a.session_id = b.session_id AND a.dimension = b.dimension AND b.bucket - a.bucket > 2 WINDOW w AS (PARTITION BY a.session_id, a.dimension, b.bucket - a.bucket ORDER BY a.bucket ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
+ds AS (SELECT d.session_id, d.dimension, i, j, round(1e9 * CASE WHEN a.c AND b.c THEN 0 WHEN a.c OR b.c THEN 16 ELSE greatest(0, 16 * (1 - (8 * dot - a.s * b.s) / (sqrt(8 * a.q - a.s * a.s) * sqrt(8 * b.q - b.s * b.s)))) END)::BIGINT AS z FROM dt d JOIN ws a ON a.session_id = d.session_id AND a.dimension = d.dimension AND a.start = i JOIN ws b ON b.session_id = d.session_id AND b.dimension = d.dimension AND b.start = j),
+bb AS (SELECT session_id, dimension, start, min(z * 65536 + other) AS x FROM (SELECT session_id, dimension, i AS start, j AS other, z FROM ds UNION ALL SELECT session_id, dimension, j, i, z FROM ds) GROUP BY ALL)
+SELECT w.session_id, w.dimension, 8 AS m, w.start::INT AS start, round(sqrt(x // 65536 / 1e9), 5) AS distance, w.c OR coalesce(o.c, false) AS masked FROM ws w LEFT JOIN bb USING (session_id, dimension, start) LEFT JOIN ws o ON o.session_id = w.session_id AND o.dimension = w.dimension AND o.start = x % 65536""",
 }
