@@ -2,18 +2,17 @@
 
 Each template is a run of words that a licence notice holds.  Words are weighed by
 inverse document frequency over the whole corpus (one counting pass), and the
-index lists, for every licence word, its positions in the templates.  A template
-is looked for in a file that holds enough of its words to reach the threshold.  A
-stretch at the threshold may lack some of the words; those that the file doesn't
-hold are lacking anyway, so of the others one more than may still be missing
-must stand in it.  These are the file's highest-IDF words of the template: their
-places are looked up, and a posting puts the template's start at place minus
-position.  Where several of them are needed, starts are intersected: of the
-words looked up (twice as many as may be missing, and one) more than half
-of those that may not be missing must agree on a start, give or take the words that
-may be missing or inserted (``slack``).  Of these starts, those whose stretch holds
-the template's mandatory phrases, word by word, are verified: the share of template
-words found there in order is the score.
+index lists, for every licence word, its positions in the templates.  A template's
+score at a stretch of a file is the length of the longest common subsequence of the two over
+the template's; a stretch has room for as many words put in as the
+threshold lets be missing, and for SLACK at least.  A notice is any stretch that reaches the threshold
+and holds the template's mandatory phrases, word by word; the best one's score counts.
+
+Stretches are found through the file's highest-IDF words of the template.  Words
+that the file doesn't hold are missing anyway, so of the others only so many more may be: of
+twice as many and one looked up, more than half of those that may not be missing must
+stand within the template's reach of a start (their places less their positions,
+intersected).  Every stretch at the threshold has such a start, so none is missed.
 
 Base phrases are matched at every place and their labels always stay; the
 method adds the labels of verified templates.  ``score`` is 1 with a base place, else
@@ -21,7 +20,8 @@ the best score of a template; ``method_score`` is the latter alone.
 
 Edge cases: null and empty texts have no words, no labels (empty strings) and
 score 0; first_word and last_word are null without base places; repeated rows
-are scanned one by one; an empty table yields an empty result.
+are scanned one by one; null ids pass through; very long texts are one slice, whole; an empty
+table yields an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,6 +76,26 @@ TEMPLATES = (
     Template("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license as published", "version 2")),
     Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors", "use of this software")),
     Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain", "copyright law")),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("permission is hereby granted", "to deal in the software without restriction")),
+    Template("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code", "redistributions in binary form")),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("to endorse or promote products", "specific prior written permission")),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("copyright holders and contributors", "fitness for a particular purpose")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("distribute this software", "this permission notice appear in all copies")),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("permission is granted to anyone", "must not be misrepresented")),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license as published",)),
+    Template("lgpl-2.1", "gnu lesser general public license version 2 1", ("lesser general public license", "version 2 1")),
+    Template("lgpl-3.0", "gnu lesser general public license version 3", ("lesser general public license", "version 3")),
+    Template("agpl-3.0", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("affero general public license as published", "version 3")),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization", "covered by this license")),
+    Template("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license", ("common development and distribution license",)),
+    Template("artistic-2.0", "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license 2 0",)),
+    Template("wtfpl", "do what the fuck you want to public license", ("you want to public license",)),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    Template("cc-by-nd-4.0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
+    Template("cc-by-nc-sa-4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike",)),
     Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, method_score double"
@@ -95,8 +115,12 @@ def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same)
 
 
+#: Words that may be put into any notice, however short.
+SLACK = 3
+
+
 class LicenseIndex:
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] | None = None, slack: int = 2, threshold: float = 0.8):
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] | None = None, slack: int = SLACK, threshold: float = 0.8):
         self.templates, self.slack, self.threshold = templates, slack, threshold
         self.base = [(_hashes(k), v) for k, v in (BASE if base is None else base).items()]
         self.words = [_hashes(t.words) for t in templates]
@@ -104,7 +128,11 @@ class LicenseIndex:
         self.vocabulary = np.unique(np.concatenate(self.words))
         # How many words of each template a stretch at the threshold may lack.
         self.spare = [max(n for n in range(len(h) + 1) if (len(h) - n) / len(h) >= threshold) for h in self.words]
+        #: How many words may be put in.
+        self.room = [max(n, slack) for n in self.spare]
         self.ids = [np.searchsorted(self.vocabulary, h) for h in self.words]
+        #: For each template the positions of every word of it, as bits.
+        self.bits = [{int(w): sum(1 << k for k in np.flatnonzero(i == w).tolist()) for w in np.unique(i)} for i in self.ids]
         # Template words by vocabulary words: how often.
         self.holds = np.array([np.bincount(i, minlength=len(self.vocabulary)) for i in self.ids])
         self.weigh(np.zeros(len(self.vocabulary), np.int64), 0)
@@ -134,42 +162,51 @@ class LicenseIndex:
         used = held[: 2 * lacking + 1]
         # Of the words looked up at most so many are missing from a stretch at the threshold.
         needed = len(used) - lacking
-        shift = self.slack + lacking  # how far a word stands from its place there
+        # A word stands so much before its place there at most (words before it are missing), or
+        # behind it (words are put in before it, and words after it are missing).
+        before, behind = self.spare[t], self.room[t] + self.spare[t]
         near = np.concatenate([np.unique(places[int(self.ids[t][k])] - k) for k in used]) if used else np.zeros(0, np.int64)
-        tried = np.unique((near[:, None] + np.arange(-shift, shift + 1)).ravel())
+        tried = np.unique((near[:, None] + np.arange(-behind, before + 1)).ravel())
         if needed < 1 or not len(tried):
             return tried[:0]
         agree = np.zeros(len(tried), np.int64)
         for k in used:
             own = np.unique(places[int(self.ids[t][k])] - k)
-            agree += np.searchsorted(own, tried + shift, "right") > np.searchsorted(own, tried - shift)
+            agree += np.searchsorted(own, tried + behind, "right") > np.searchsorted(own, tried - before)
         return np.unique(np.maximum(tried[agree >= needed], 0))
 
     def scan(self, h: np.ndarray, places: dict[int, np.ndarray], templates: np.ndarray) -> dict[str, float]:
         """label -> best score of verified templates in one file, from the places of its licence words."""
         found: dict[str, float] = {}
         for t in templates.tolist():
-            tried, length = self.starts(t, places), len(self.words[t]) + self.slack
+            tried, length, label = self.starts(t, places), len(self.words[t]) + self.room[t], self.templates[t].label
             for phrase in self.mandatory[t]:
                 stands = _places(h, phrase)
                 # The first place of the phrase from the start on lies in the stretch.
                 first = np.searchsorted(stands, tried)
                 tried = tried[(first < len(stands)) & (np.append(stands, len(h))[first] + len(phrase) <= tried + length)]
-            for s in tried.tolist():
-                if (x := self._verified(t, h, s)) > found.get(self.templates[t].label, 0.0):
-                    found[self.templates[t].label] = x
+            if not len(tried):
+                continue
+            at = np.concatenate([places[w] for w in self.bits[t] if w in places])
+            masks = [m for w, m in self.bits[t].items() if w in places for _ in range(len(places[w]))]
+            order = np.argsort(at, kind="stable")
+            at, masks = at[order], [masks[k] for k in order.tolist()]
+            for a, b in np.unique(np.stack([np.searchsorted(at, tried), np.searchsorted(at, tried + length)], 1), axis=0).tolist():
+                score = common_length(masks[a:b], len(self.words[t])) / len(self.words[t])
+                if score >= self.threshold and score > found.get(label, 0.0):
+                    found[label] = score
         return found
 
-    def _verified(self, t: int, h: np.ndarray, start: int) -> float:
-        words = self.words[t]
-        stretch = h[start : start + len(words) + self.slack]
-        at, got = 0, 0
-        for w in words:
-            hit = np.flatnonzero(stretch[at:] == w)
-            if len(hit) and hit[0] <= self.slack:
-                got, at = got + 1, at + int(hit[0]) + 1
-        score = got / len(words)
-        return score if score >= self.threshold else 0.0
+
+def common_length(masks: list[int], n: int) -> int:
+    """Longest common subsequence of a template of n words and a stretch, given for each word of the
+    stretch the bits of its positions in the template: a row of the table is one number."""
+    full = (1 << n) - 1
+    row = full
+    for m in masks:
+        same = row & m
+        row = (row + same | row - same) & full
+    return n - row.bit_count()
 
 
 def _fit(texts_only: DataFrame, index: LicenseIndex) -> None:

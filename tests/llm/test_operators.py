@@ -317,48 +317,6 @@ def test_licenses(rows, docs):
     assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} for r in found)
 
 
-def test_license_index_against_every_start():
-    """Damaged notices among licence words: what the index finds is what verifying every place finds."""
-    index, r = licenses.LicenseIndex(), random.Random(3)
-    fill = "alpha beta gamma the of and software license to in this is a any terms under version".split()
-
-    def indexed(h):
-        at = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
-        known = np.flatnonzero(index.vocabulary[at] == h)
-        places = {int(w): known[at[known] == w] for w in np.unique(at[known])}
-        present = np.zeros((1, len(index.vocabulary)), bool)
-        present[0, list(places)] = True
-        return index.scan(h, places, np.flatnonzero(index.candidates(present)[0]))
-
-    def plain(h):
-        out = {}
-        for t, template in enumerate(index.templates):
-            n = len(index.words[t]) + index.slack
-            for s in range(len(h)):
-                if all(len(licenses._places(h[s : s + n], m)) for m in index.mandatory[t]):
-                    out[template.label] = max(out.get(template.label, 0.0), index._verified(t, h, s))
-        return {k: x for k, x in out.items() if x}
-
-    found = 0
-    for _ in range(300):
-        words = [r.choice(fill) for _ in range(r.randrange(12))]
-        for _ in range(r.randrange(1, 3)):
-            t = r.choice(index.templates).words.split()
-            for _ in range(r.randrange(4)):
-                k = r.randrange(len(t))
-                if (kind := r.random()) < 0.4:
-                    t[k] = r.choice(fill)
-                elif kind < 0.7:
-                    t.insert(k, r.choice(fill))
-                elif len(t) > 2:
-                    t.pop(k)
-            words += t + [r.choice(fill) for _ in range(r.randrange(12))]
-        h = licenses._hashes(" ".join(words))
-        assert indexed(h) == plain(h)
-        found += len(plain(h))
-    assert found > 100
-
-
 def test_mixing_comes_near_targets(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = mixing.plan(d).join(d.select("doc_id", "source"), "doc_id")
