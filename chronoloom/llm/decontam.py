@@ -14,11 +14,11 @@ hash of the item-sized run of document words.  Candidates are made and verified
 
 The windows are broadcast while the benchmark has at most ``block_words`` words
 (it is measured first); beyond that the benchmark is cut into blocks of that
-size, each joined with all documents, and the places found so far travel with the
-rows through a table in the shared folder.
+size: documents are then written once with a key, each block is joined with all of
+them, its places are written by key alone, and merged and joined to the documents at the end.
 
 Edge cases: null and empty texts have no words and hit nothing; items without
-words have no windows; null item ids are left out; repeated items with one id
+words have no windows; items without an id count under the empty one; repeated items with one id
 count once, repeated documents are judged one by one; an empty benchmark leaves
 every document clean; other columns are carried along whatever their names.
 """
@@ -26,6 +26,7 @@ every document clean; other columns are carried along whatever their names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,12 +129,12 @@ class WindowIndex:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_words: int):
     """WindowIndex for each block of items; the number of blocks follows from a count of words."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     words = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n // 2 + 1  # a word and its end are two characters at least
     n = -(-words // block_words)
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield WindowIndex([(r.item_id, r.text) for r in block.toLocalIterator()], width)
+        yield n, WindowIndex([(r.item_id, r.text) for r in block.toLocalIterator()], width)
 
 
 def _frequency(docs: DataFrame, index: WindowIndex) -> np.ndarray:
@@ -203,11 +204,9 @@ def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     spans that are hit) and _items (ids that occur)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     own = F.col(f"`{text}`").cast("string").alias("text")
-    rows = small_batches(docs).select(row, own, F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    first = True
-    for index in _blocks(benchmark, item_id, item_text, width, block_words):
-        if not first:
-            rows = written(rows, "decontam")
+    nothing = [F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items")]
+    rows, hits, table = small_batches(docs).select(row, own, *nothing), [], None
+    for n, index in _blocks(benchmark, item_id, item_text, width, block_words):
         index.order(_frequency(docs.select(own), index))
         find = _found(index)
 
@@ -216,8 +215,23 @@ def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
                 for columns in find(batch):
                     yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        rows, first = rows.mapInArrow(run, rows.schema), False
-    return rows
+        if n == 1:
+            return rows.mapInArrow(run, rows.schema)
+        if table is None:  # the documents are written once, whatever the number of blocks
+            table = written(docs.select(F.monotonically_increasing_id().alias("_key"), row, own), "decontam")
+        own_hits = table.select("_key", "text", *nothing)
+        own_hits = own_hits.mapInArrow(run, own_hits.schema).drop("text")
+        hits.append(written(own_hits if not hits else own_hits.where(F.size("_spans") > 0), "decontam-hits"))
+    if table is None:
+        return rows
+    every = reduce(DataFrame.unionByName, hits).groupBy("_key").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+
+    def join_spans(batches):
+        for batch in batches:
+            spans = [merged(list(zip(*[iter(x)] * 2, strict=True))) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), batch.column(3)], names=batch.schema.names)
+
+    return table.join(every.mapInArrow(join_spans, every.schema), "_key").drop("_key")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -240,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
 
 CONTAMINATION_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 n AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest([array_to_string(w[i : i + least(10, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS win FROM b WHERE len(w) > 0),
 s AS (SELECT DISTINCT k FROM n),
 p AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS win FROM d, s WHERE len(w) >= k),

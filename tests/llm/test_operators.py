@@ -340,7 +340,7 @@ def test_decontamination(spark, rows, docs, block):
     for k, t in bench:
         w = PLAIN.findall(lower(t))
         n = min(10, len(w))
-        windows += [(str(k), tuple(w[i : i + n])) for i in range(len(w) - n + 1)] if w and k is not None else []
+        windows += [("" if k is None else str(k), tuple(w[i : i + n])) for i in range(len(w) - n + 1)] if w else []
     want = []
     for i, t in rows:
         w = PLAIN.findall(lower(t))
