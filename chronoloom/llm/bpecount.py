@@ -12,7 +12,8 @@ number of words.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; special strings in
 texts are one token each, as the library has it; repeated rows are counted one
-by one.
+by one and null ids pass through; a very long text is one slice, whole; other columns are
+ignored, whatever their names; an empty table yields an empty result.
 """
 
 from __future__ import annotations

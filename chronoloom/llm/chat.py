@@ -15,8 +15,9 @@ work; rows are small next to the texts that a task can stream.)
 Edge cases: a null text is an empty one; a null role reads back as an empty
 role; unknown roles are formatted under their escaped name, never for the loss,
 and break the order; null conversation ids are one conversation; equal turn
-numbers are ordered by role and text, null turns come first; an empty table
-yields nothing.
+numbers are ordered by role and text, null turns come first; repeated rows are
+turns of their own; a very long conversation streams through one task; other columns are
+ignored, whatever their names; an empty table yields nothing.
 """
 
 from __future__ import annotations

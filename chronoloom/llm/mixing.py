@@ -18,7 +18,7 @@ one source, size and bucket meet in a window.
 Edge cases: null or empty texts have size 0 and take 0 words; null sources are a
 source of their own; null ids are ranked by a digest of their texts; repeated rows
 are separate documents (rows that share a digest and a size are ranked in one
-sorted stream); an empty table gives an empty mix; other columns may have any name.
+sorted stream); a very long text is one row like any other; an empty table gives an empty mix; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ three-word windows.
 
 Edge cases: a null or empty text has no words, so base_failed is true and kept
 false; its rules all abstain.  Repeated rows are judged one by one.  Null ids
-pass through.  An empty table yields an empty result.  Other columns of the
+pass through.  A very long text is one slice, whole.  An empty table yields an empty result.  Other columns of the
 input are ignored by :func:`score` and carried along by :func:`keep`.
 """
 

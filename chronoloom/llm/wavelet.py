@@ -10,7 +10,8 @@ can also be written to and read from a file of its own.
 
 Document ids may repeat or be null (nulls first); equal ids are ordered by a
 hash of their text.  Null and empty texts hold the end id only.  A shard holds
-``shard_ids`` ids or one longer document.  An empty table yields no shards.
+``shard_ids`` ids or one longer document.  Other columns are ignored, whatever
+their names.  An empty table yields no shards.
 """
 
 from __future__ import annotations
