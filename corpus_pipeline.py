@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs; all but the last return the
 columns of documents.
+
+Edge cases: documents without words (null, empty) fail the base test of the first
+stage; null ids and sources stay what they are and go through every stage; repeated rows
+are one near-duplicate group, of which one stays; ties there go to the
+smallest id; very long texts are processed whole; an empty table stays empty
+through all stages; further columns, whatever their names, are carried along to the last stage but one.
 """
 
 from __future__ import annotations
