@@ -49,3 +49,32 @@ def test_append_with_state_refuses_and_continues_after_a_restart(spark, tmp_path
     refused = {("held", 3): "emission_session_mismatch", ("held", 4): "channel_not_allowed", ("cut", 1): "append_after_truncation", ("cut", 2): "append_after_truncation", ("bad", 1): "corrupt_recording", ("old", 1): "append_version_mismatch", ("full", 1): "sequence_exhausted", ("edge", 2): "sequence_exhausted", ("new", 2): "emission_session_mismatch", ("new", 4): "emission_session_mismatch"}
     assert {k: r.refused for k, r in got.items() if r.refused} == refused and all(got[k].line is None for k in refused)
     assert json.loads(got["held", 5].line)["sequence"] == 8 and json.loads(got["held", 5].line)["session_id"] == "h"
+
+
+def test_buckets_of_a_stream_equal_those_of_the_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chronoloom.operators import signal
+    from chronoloom.plans.sequences import WIDTH, signal_ledger
+    from chronoloom.streaming.buckets import bucketed
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out, where = (str(tmp_path / x) for x in ("in", "out", "state"))
+    whole = signal_ledger(spark, "/root/testdata/sf0.001").select("session_id", "epoch_ns", "version", "channel", "kind", "tool_name", "corr_id", "response_bytes").cache()
+    batch = F.pmod(F.xxhash64("session_id", "epoch_ns", "corr_id"), F.lit(3))
+    try:
+        for k in range(3):  # any order: a later batch holds earlier records and moves origins
+            whole.where(batch == k).coalesce(1).write.mode("append").parquet(source)
+            changes = bucketed(spark.readStream.schema(whole.schema).parquet(source), WIDTH).withColumn("run", F.lit(k))
+            changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(name, before)
+    rows = spark.read.parquet(out).collect()
+    last = {(r.session_id, r.dimension, r.bucket): r for r in sorted(rows, key=lambda r: r.run)}
+    got = {k: r.value for k, r in last.items() if r.value}
+    assert got == {(r.session_id, r.dimension, r.bucket): r.value for r in signal.sparse(whole, WIDTH).collect()}
+    assert any(r.value == 0 for r in rows)  # origins did move
+    axis = {r.session_id: (r.origin_ns, r.buckets) for r in signal.axis(whole, WIDTH).collect()}
+    assert {s: (r.origin_ns, r.buckets) for (s, _, _), r in sorted(last.items(), key=lambda x: x[1].run)} == axis
