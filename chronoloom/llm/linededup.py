@@ -8,9 +8,11 @@ filter; only suspected repeats are shuffled, as two 64-bit hashes and the
 document id, for exact confirmation (smallest and largest document of a key
 differ) and the choice of the first occurrence.  Pass 3 drops the lines.
 
-The filters have ``bits_per_line`` bits a line up to ``max_bits``; the second one
-is what is broadcast, 32 MB at most by default.  A fuller filter lets more lines
-through to the exact step but never changes the result.
+The filters have ``bits_per_line`` bits a line at any size.  One filter has at most
+``max_bits`` (32 MB by default; a task holds two of that size, and the second one is what is
+broadcast).  More lines than that holds go in rounds: the hashes are dealt to as many
+ranges as it takes, and passes 1 and 2 are made for each.  Full filters would let more lines
+through to the exact step but never change the result.
 
 Edge cases: a null or empty text is one empty line, whose key is too short to be
 dropped; repeated rows with one id are one document; a null id comes after all
@@ -22,6 +24,7 @@ columns are carried along whatever their names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, gathered, marked, marked_bits, packed, places, size_for, unpacked
+from .bitsets import BITS_PER_ITEM, MAX_BITS, SEGMENT_BITS, gathered, marked_bits, packed, places, size_for, unpacked
 from .common import id_and_text, written
 
 MIN_CHARS = 10
@@ -62,30 +65,40 @@ def _second(texts: tk.Texts, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return tk.segment_hashes(texts.buf, first, last, seed=1)
 
 
-def _filter_size(rows: DataFrame, bits_per_line: int, max_bits: int) -> int:
+def rounds_of(rows: DataFrame, bits_per_line: int, max_bits: int) -> tuple[int, int]:
+    """How many rounds the lines need, and the bits of each one's filters."""
     n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    return size_for(n, bits_per_line, max_bits)
+    rounds = max(1, -(-n * bits_per_line // max_bits))
+    return rounds, size_for(-(-n // rounds), bits_per_line, max_bits)
 
 
-def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The second filter, eight bits a byte: covers every key that two rows hold."""
+def _of_round(h: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Whether hashes belong to a round; by other bits than their places in the filter."""
+    return np.ones(len(h), bool) if rounds == 1 else tk.mix(h + np.uint64(rounds)) % np.uint64(rounds) == np.uint64(number)
+
+
+def twice_seen(rows: DataFrame, bits: int, min_chars: int, number: int = 0, rounds: int = 1) -> np.ndarray:
+    """The second filter of a round, eight bits a byte: covers every key of it that two rows hold."""
 
     def fill(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for _, _, texts in tk.slices(batch.column(1), lut=tk.LOWER):
                 *_, bounds, h, long, _ = line_keys(texts, min_chars)
+                long &= _of_round(h, number, rounds)
                 row = tk.row_of(bounds)[long]
                 key, _ = tk.keyed(h[long], row, texts.rows)
                 _, at = np.unique(key, return_index=True)  # once for each row
                 kinds, n = np.unique(h[long][at], return_counts=True)
-                again = kinds[(n > 1) | marked(once, kinds)]
-                for own, flags in ((again, twice), (kinds, once)):
+                again = kinds[(n > 1) | marked_bits(once, kinds)]
+                for own, filled in ((again, twice), (kinds, once)):
                     for at in places(own, bits):
-                        flags[at] = True
-        for s in range(0, bits, SEGMENT_BITS):
-            if once[s : s + SEGMENT_BITS].any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s // SEGMENT_BITS], pa.int32()), "once": pa.array([packed(once[s : s + SEGMENT_BITS])], pa.binary()), "twice": pa.array([packed(twice[s : s + SEGMENT_BITS])], pa.binary())})
+                        np.bitwise_or.at(filled, at >> 3, (0x80 >> (at & 7)).astype(np.uint8))
+        step = SEGMENT_BITS // 8
+        for s in range(0, bits // 8, step):
+            if once[s : s + step].any():
+                a, b = (packed(np.unpackbits(x[s : s + step]).astype(bool)) for x in (once, twice))
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([s // step], pa.int32()), "once": pa.array([a], pa.binary()), "twice": pa.array([b], pa.binary())})
 
     def merge(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -106,22 +119,31 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return gathered(parts.withColumnRenamed("twice", "bits"), bits)  # max_bits / 8 bytes in all
 
 
+def suspected(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits: int) -> list[DataFrame]:
+    """(id, h, g) of the lines that the second filter holds, once for each document; a written table for each round."""
+    rounds, bits = rounds_of(rows, bits_per_line, max_bits)
+    out = []
+    for number in range(rounds):
+        sent = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, bits, min_chars, number, rounds))
+
+        def suspect(batch: pa.RecordBatch, sent=sent, number=number):
+            for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
+                *_, bounds, h, long, (first, last) = line_keys(texts, min_chars)
+                at = np.flatnonzero(long & _of_round(h, number, rounds) & marked_bits(sent.value, h))
+                row = tk.row_of(bounds)[at]
+                key, _ = tk.keyed(h[at], row, texts.rows)
+                at, row = (x[np.unique(key, return_index=True)[1]] for x in (at, row))
+                ids = batch.column(0).slice(i, j - i).fill_null(LAST_ID).to_numpy()
+                yield {"id": ids[row], "h": h[at].view(np.int64), "g": _second(texts, first[at], last[at]).view(np.int64)}
+
+        out.append(written(tk.map_batches(rows, "id long, h long, g long", suspect), "suspects"))
+        sent.unpersist()
+    return out
+
+
 def repeated_lines(rows: DataFrame, min_chars: int, bits_per_line: int, max_bits: int) -> DataFrame:
     """(id, drop): for each document id the hashes of keys whose lines it loses."""
-    bits = _filter_size(rows, bits_per_line, max_bits)
-    sent = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, bits, min_chars))
-
-    def suspect(batch: pa.RecordBatch):
-        for i, j, texts in tk.slices(batch.column(1), lut=tk.LOWER):
-            *_, bounds, h, long, (first, last) = line_keys(texts, min_chars)
-            at = np.flatnonzero(long & marked_bits(sent.value, h))
-            row = tk.row_of(bounds)[at]
-            key, _ = tk.keyed(h[at], row, texts.rows)
-            at, row = (x[np.unique(key, return_index=True)[1]] for x in (at, row))
-            ids = batch.column(0).slice(i, j - i).fill_null(LAST_ID).to_numpy()
-            yield {"id": ids[row], "h": h[at].view(np.int64), "g": _second(texts, first[at], last[at]).view(np.int64)}
-
-    suspects = written(tk.map_batches(rows, "id long, h long, g long", suspect), "suspects")
+    suspects = reduce(DataFrame.unionByName, suspected(rows, min_chars, bits_per_line, max_bits))
     repeats = suspects.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first <> last")
     repeats = written(repeats.select("h", "g", "first", "n"), "repeats")
     # Rows of the most frequent keys aren't shuffled to one task: those keys, HOT_KEYS at most, go to the rows.
