@@ -11,8 +11,9 @@ differ) and the choice of the first occurrence.  Pass 3 drops the lines.
 The filters have ``bits_per_line`` bits a line at any size.  One filter has at most
 ``max_bits`` (32 MB by default; a task holds two of that size, and the second one is what is
 broadcast).  More lines than that holds go in rounds: the hashes are dealt to as many
-ranges as it takes, and passes 1 and 2 are made for each.  Full filters would let more lines
-through to the exact step but never change the result.
+ranges as it takes, and passes 1 and 2 are made for each.  Beyond MAX_ROUNDS more passes would cost
+more than they save: filters get fuller then and let more lines through to the exact
+step, which grows with the lines alone; the result is the same.
 
 Edge cases: a null or empty text is one empty line, whose key is too short to be
 dropped; repeated rows with one id are one document; a null id comes after all
@@ -38,6 +39,7 @@ from .common import id_and_text, written
 
 MIN_CHARS = 10
 BITS_PER_LINE = BITS_PER_ITEM
+MAX_ROUNDS = 16
 #: Keys that are broadcast: at most so many (2 MB), each held by at least so many documents.
 HOT_KEYS, HOT_ROWS = 1 << 16, 1000
 LAST_ID = (1 << 63) - 1  # stands for a null id
@@ -68,7 +70,7 @@ def _second(texts: tk.Texts, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def rounds_of(rows: DataFrame, bits_per_line: int, max_bits: int) -> tuple[int, int]:
     """How many rounds the lines need, and the bits of each one's filters."""
     n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    rounds = max(1, -(-n * bits_per_line // max_bits))
+    rounds = min(MAX_ROUNDS, max(1, -(-n * bits_per_line // max_bits)))
     return rounds, size_for(-(-n // rounds), bits_per_line, max_bits)
 
 
