@@ -22,10 +22,15 @@ def events(spark, sf_dir):
     return Q.project(ledger(spark, sf_dir))
 
 
+def eligible(spark, sf_dir):
+    """The sessions that eligibility admits to the corpus, 64 at most."""
+    led = ledger(spark, sf_dir)
+    return C.eligibility(C.actions(led), led).where("skipped is null").select("session_id")
+
+
 def pairs(spark, sf_dir):
     """All pairs of the sessions that eligibility admits, and adjacent ones of all."""
-    led = ledger(spark, sf_dir)
-    return Q.corpus_pairs(Q.project(led), C.eligibility(C.actions(led), led).where("skipped is null"))
+    return Q.corpus_pairs(events(spark, sf_dir), eligible(spark, sf_dir))
 
 
 def rounded(df, *names):

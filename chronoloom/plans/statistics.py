@@ -15,7 +15,7 @@ from ..operators import profile as P
 from ..operators import sequence as Q
 from ..operators import signal as S
 from .alignments import LADDER
-from .sequences import _COUNTS, _DENSE, _PAIRS, _W, WIDTH, divergence_sql, dense_sql, events, pairs, rounded, signal_ledger
+from .sequences import _COUNTS, _DENSE, _PAIRS, _W, WIDTH, dense_sql, divergence_sql, eligible, events, pairs, rounded, signal_ledger
 
 PROFILE_WIDTH = 12_000_000
 PROFILE_LADDER = (2, 4, 8, 16, 32, 64, 128)  # the six lengths of the reference in buckets, and 4
@@ -107,7 +107,7 @@ QUERIES = {
     "n05_null_evidence": _evidence,
     "n09_selection_effect": _selection,
     "n10_structure_nulls": lambda s, d: rounded(N.structure_nulls(_sequences(s, d), ("order", "doublet", "markov"), ADEQUACY), "null_median", "null_min", "null_max", "observed"),
-    "n11_corpus_coverage": lambda s, d: rounded(N.coverage_nulls(N.corpus_coverage(_sequences(s, d), (3, 4, 5, 6), REPLICATES)), "tail"),
+    "n11_corpus_coverage": lambda s, d: rounded(N.coverage_nulls(N.corpus_coverage(_sequences(s, d).join(eligible(s, d), "session_id", "left_semi"), (3, 4, 5, 6), REPLICATES)), "tail"),
     "q18_haar": lambda s, d: rounded(_haar(s, d).where("level is not null").select("session_id", "dimension", "level", "scale_ms", "coefficients", "energy", "remainder"), "energy", "remainder"),
     "q19_haar_spectrum": lambda s, d: rounded(P.spectrum(_haar(s, d)), "energy", "share", "impulse_share", "ratio"),
     "q20_haar_silence": lambda s, d: rounded(P.silence(_haar(s, d)), "input", "detail").withColumn("residual", F.round("residual", 6) + 0.0),
