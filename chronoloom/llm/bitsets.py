@@ -84,7 +84,7 @@ def of_ids(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed(own)], pa.binary())], names=["segment", "bits"])
 
     schema = "segment int, bits binary"
-    return gathered(ids.mapInArrow(fill, schema).repartition("segment").mapInArrow(merge, schema), bits)
+    return gathered(ids.mapInArrow(tk.released(fill), schema).repartition("segment").mapInArrow(tk.released(merge), schema), bits)
 
 
 def maybe_in(spark: SparkSession, bits: np.ndarray, column: Column) -> Column:

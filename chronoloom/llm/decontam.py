@@ -216,11 +216,11 @@ def places(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
                     yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         if n == 1:
-            return rows.mapInArrow(run, rows.schema)
+            return rows.mapInArrow(tk.released(run), rows.schema)
         if table is None:  # the documents are written once, whatever the number of blocks
             table = written(docs.select(F.monotonically_increasing_id().alias("_key"), row, own), "decontam")
         own_hits = table.select("_key", "text", *nothing)
-        own_hits = own_hits.mapInArrow(run, own_hits.schema).drop("text")
+        own_hits = own_hits.mapInArrow(tk.released(run), own_hits.schema).drop("text")
         hits.append(written(own_hits if not hits else own_hits.where(F.size("_spans") > 0), "decontam-hits"))
     if table is None:
         return rows

@@ -377,7 +377,7 @@ def heavy_shingles(rows: DataFrame, words: int, least: int = HEAVY_DOCUMENTS, mo
                     held, total, _ = [], 0, seen.clear()
         yield from _twice(held)
 
-    counted = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = rows.mapInArrow(tk.released(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
@@ -412,7 +412,7 @@ def _memberships(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["key", "node"])
 
-    return rows.mapInArrow(run, "key long, node long")
+    return rows.mapInArrow(tk.released(run), "key long, node long")
 
 
 def _stars(memberships: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ def _stars(memberships: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(count)], names=["a", "b", "n"])
 
     ordered = memberships.repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return ordered.mapInArrow(tk.released(run), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -459,7 +459,7 @@ def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
         if current is not None and (out := work(held)).num_rows:
             yield out
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tk.released(run), schema)
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:

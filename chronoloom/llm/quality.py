@@ -204,4 +204,4 @@ def keep(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_words:
                 yield batch.slice(i, j - i).filter(pa.array(_judge(texts, model, threshold, min_words)[4]))
 
     rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't be sent
-    return rows.mapInArrow(filter_, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tk.released(filter_), rows.schema).toDF(*docs.columns)

@@ -13,6 +13,8 @@ column's own validity.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -225,6 +227,19 @@ def repeated_in_row(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return twice[at] == key
 
 
+def released(run):
+    """run, after which a worker gives memory that it no longer uses back to the system:
+    workers wait for their next task beside the JVM, under one limit."""
+
+    def and_give_back(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return and_give_back
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | dict]) -> DataFrame:
     """df.mapInArrow with a function of one batch that returns a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -243,4 +258,4 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Ite
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

@@ -327,7 +327,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(SHARDS))
-    ordered.mapInArrow(shards, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tk.released(shards), SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
