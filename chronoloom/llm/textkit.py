@@ -227,11 +227,19 @@ def repeated_in_row(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return twice[at] == key
 
 
-def released(run):
-    """run, after which a worker gives memory that it no longer uses back to the system:
-    workers wait for their next task beside the JVM, under one limit."""
+#: What a worker keeps between tasks of one kind, by name: how it is dropped.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def released(run, keep: str | None = None):
+    """run, before which a worker drops what it holds for tasks of other kinds, and after
+    which it gives memory that it no longer uses back to the system: workers
+    wait for their next task beside the JVM, under one limit."""
 
     def and_give_back(batches):
+        for name, drop in HELD.items():
+            if name != keep:
+                drop()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # another C library than glibc

@@ -290,6 +290,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+tk.HELD["encoder"] = _encoder.cache_clear
+
+
 def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes the documents into shards under path, in ascending id order.
 
@@ -327,7 +330,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(SHARDS))
-    ordered.mapInArrow(tk.released(shards), SHARDS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tk.released(shards, "encoder"), SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
