@@ -16,6 +16,7 @@ their names.  An empty table yields no shards.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -41,15 +42,18 @@ SLICE_BYTES = 1 << 21
 END_ID = 2
 #: UTF-8 of white space beyond ASCII; texts with it are encoded whole.
 WIDE_SPACE = tuple(c.encode() for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))) + tuple(bytes([c]) for c in range(0x1C, 0x20))
-#: Kinds of bytes: 1 ASCII white space, 2 full stop and comma, 3 ASCII letters, 4 bytes that begin other white space.
+#: Kinds of bytes: 1 ASCII white space, 2 other ASCII than letters and digits, 3 letters, 4 bytes that begin other white space.
 _KIND = np.zeros(256, np.uint8)
+_KIND[:0x80] = 2
+_KIND[0x30:0x3A] = 0
 _KIND[[x[0] for x in WIDE_SPACE]] = 4
 _KIND[tk.SPACE] = 1
-_KIND[list(b",.")] = 2
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
-#: Whether a piece begins between bytes of two kinds.
-_CUT = np.zeros((5, 5), bool)
-_CUT[:, 1], _CUT[1, 1], _CUT[3, 2] = True, False, True
+#: Each byte's character in byte-level vocabularies; newlines, which stand between words, are spaces.
+_CHARACTER = np.arange(256, dtype="<u2")
+_unprinted = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_CHARACTER[_unprinted] = 0x100 + np.arange(len(_unprinted))
+_CHARACTER[0x0A] = 0x20
 WORDS_A_TEXT = 1000
 SHARDS = "part int, seq int, first_id long, n_documents long, n_ids long, ids_before long, payload binary"
 
@@ -192,6 +196,7 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -204,16 +209,24 @@ class Encoder:
     """Ids of texts as the library gives them, each kind of piece encoded once.
 
     No token of the byte-level vocabulary's pattern goes on from other
-    characters into white space, or from a letter into a full stop or comma, so a
-    text may be cut before each run of ASCII white space and between ASCII
-    letters and these; the ids of its pieces, one after the other, are its ids.
-    Texts with special strings or other white space are encoded whole."""
+    characters into white space, or from a letter into other ASCII than letters and
+    digits, so a text may be cut before each run of ASCII white space and between
+    letters (up to U+027F) and these; the ids of its pieces, one after the other, are its ids.
+    Texts with special strings or other white space are encoded whole.  A piece
+    of letters, with a space before them or not, is one token of the pattern: the
+    library gets it without the search for the pattern's tokens."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.tokenizer = _tokenizer(path)
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.token_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.clear()
 
     def clear(self) -> None:
@@ -221,31 +234,37 @@ class Encoder:
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.used = self.pieces = 0
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and where each text's end."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [x.ids for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1]) if len(got) else 0), ends
 
-    def _add(self, keys: list[bytes], plain: np.ndarray) -> None:
-        """Encodes new pieces and keeps their ids, one after the other; plain ones in bulk."""
-        for words in (True, False) if self.newline is not None else (None,):
-            own = keys if words is None else [k for k, p in zip(keys, plain.tolist(), strict=True) if p is words]
-            if not own:
+    def _ids_of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one token of the pattern each; the bytes of their ids tell where they end."""
+        texts = [_CHARACTER[np.frombuffer(b"\n".join(words[k : k + WORDS_A_TEXT]), np.uint8)].tobytes().decode("utf-16-le") for k in range(0, len(words), WORDS_A_TEXT)]
+        ids, _ = self._ids(texts, self.merges)
+        at, ends = np.cumsum(self.token_bytes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        if not len(at) or at[-1] != ends[-1]:  # a vocabulary without some bytes
+            return self._ids([w.decode() for w in words])
+        return ids, np.searchsorted(at, ends) + 1
+
+    def _add(self, keys: list[bytes], plain: np.ndarray) -> np.ndarray:
+        """Encodes new pieces and keeps their ids, one after the other; plain ones as words.  Returns their places."""
+        place = np.zeros(len(keys), np.int64)
+        for words in (True, False):
+            at = np.flatnonzero(plain == words)
+            if not len(at):
                 continue
-            if words:
-                texts = [b"\n".join([*own[k : k + WORDS_A_TEXT], b""]).decode() for k in range(0, len(own), WORDS_A_TEXT)]
-                ids, _ = self._ids(texts)  # each piece ends in a newline
-                cut = ids == self.newline
-                ends = np.flatnonzero(cut) - np.arange(len(own))
-                ids = ids[~cut]
-            else:
-                ids, ends = self._ids([k.decode() for k in own])
+            own = [keys[k] for k in at.tolist()]
+            ids, ends = self._ids_of_words(own) if words else self._ids([k.decode() for k in own])
             self.ids, self.starts = _room(self.ids, self.used + len(ids)), _room(self.starts, self.pieces + len(own) + 1)
             self.ids[self.used : self.used + len(ids)] = ids
             self.starts[self.pieces + 1 : self.pieces + 1 + len(own)] = self.used + ends
             self.place.update(zip(own, range(self.pieces, self.pieces + len(own)), strict=True))
+            place[at] = np.arange(self.pieces, self.pieces + len(own))
             self.used, self.pieces = self.used + len(ids), self.pieces + len(own)
+        return place
 
     def encode(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and each row's number of ids."""
@@ -253,15 +272,19 @@ class Encoder:
         if len(self.place) > CACHE_PIECES:
             self.clear()
         kind = _KIND[buf]
-        start = np.zeros(n, bool)
-        start[1:] = _CUT[kind[:-1], kind[1:]]
+        latin = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] < 0xCA))  # U+00C0 to U+027F: letters but for \xd7 and \xf7
+        pair = buf[latin].astype(np.int32) << 8 | buf[latin + 1]
+        latin = latin[(pair & 0xC0 == 0x80) & (pair != 0xC397) & (pair != 0xC3B7)]
+        kind[latin] = kind[latin + 1] = 3
+        white, letter, start = kind == 1, kind == 3, np.zeros(n, bool)
+        start[1:] = (white[1:] & ~white[:-1]) | (letter[:-1] & (kind[1:] == 2))
         start[texts.offsets[:-1][texts.offsets[:-1] < texts.offsets[1:]]] = True
         for odd in (*self.special, *(WIDE_SPACE if (kind == 4).any() else ())):
             at = raw.find(odd)
             while at >= 0:  # the whole row becomes one piece
                 r = int(np.searchsorted(texts.offsets, at, "right")) - 1
                 a, b = int(texts.offsets[r]), int(texts.offsets[r + 1])
-                start[a + 1 : b] = False
+                start[a + 1 : b] = letter[a:b] = False
                 at = raw.find(odd, b)
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], n)
@@ -269,11 +292,11 @@ class Encoder:
         keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         if len(new := np.flatnonzero(place < 0)):
-            odd = np.zeros(n + 1, np.int32)
-            np.cumsum((kind == 1) | (kind == 4), out=odd[1:])
+            letters = np.zeros(n + 1, np.int32)
+            np.cumsum(letter, out=letters[1:])
             s, e = starts[first[new]], ends[first[new]]
-            self._add([keys[k] for k in new.tolist()], (odd[e] == odd[s + 1]) & ((kind[s] != 1) & (kind[s] != 4) | (buf[s] == 0x20)))
-            place[new] = np.fromiter((self.place[keys[k]] for k in new.tolist()), np.int64, len(new))
+            own = letters[e] - letters[s]
+            place[new] = self._add([keys[k] for k in new.tolist()], (own > 0) & (own + (buf[s] == 0x20) == e - s))
         begin, length = self.starts[place][inverse], (self.starts[place + 1] - self.starts[place])[inverse]
         total = np.cumsum(length)
         at = np.repeat((begin - (total - length)).astype(np.int32), length)

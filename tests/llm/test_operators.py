@@ -413,6 +413,55 @@ def test_pieces_of_tokens():
             assert ids.tolist() == [k for text in texts for k in t.encode(text, add_special_tokens=False).ids]
 
 
+def ids_of(encoder, texts):
+    got = []
+    for _, _, x in textkit.slices(pa.array(texts)):
+        ids, n = encoder.encode(x)
+        got += [k.tolist() for k in np.split(ids, np.cumsum(n)[:-1])]
+    return got
+
+
+def test_words_of_tokens_skip_the_pattern():
+    """Words are one piece whatever mark follows, and only their merges are asked of the library."""
+    from tokenizers import Tokenizer
+
+    path, r = P.path("byte_bpe_50k.json"), random.Random(5)
+    t, encoder = Tokenizer.from_file(path), wavelet.Encoder(path)
+    plain = lambda texts: [t.encode(x, add_special_tokens=False).ids for x in texts]
+    words = ["".join(r.choice("abcdeöéßIñ") for _ in range(r.randrange(2, 12))) for _ in range(3000)]
+    marks = ["###", "***", ".", "'s", "-x"]
+    texts = [" ".join(w + r.choice(marks) for w in r.choices(words, k=9)) for _ in range(2000)]
+    assert ids_of(encoder, texts) == plain(texts)
+    assert len(encoder.place) <= 2 * len(set(words)) + len(marks)  # at the beginning of a text, and after a space
+    encoder.tokenizer = None  # the search for the pattern's tokens
+    new = ["Zürich ñandu " + w for w in words]
+    assert ids_of(encoder, new) == plain(new)
+
+
+def test_latin_letters_of_tokens():
+    """Each letter up to U+027F and its neighbours, beside letters, marks, digits and joining accents."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t, encoder = Tokenizer.from_file(path), wavelet.Encoder(path)
+    texts = [x.replace("@", chr(c)) for c in [*range(0x300), 0x301, 0x3C9, 0x416, 0x660, 0x2014, 0x6F22, 0x1F600] for x in ("@", " @", "a@b", "a@.", "@'s", "'@", "it'@l @ll", "1@2", "@\u0301, e\u0301@", "x @ y@\n@")]
+    assert ids_of(encoder, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_odd_vocabularies_of_tokens(tmp_path):
+    """A special string of letters alone, and bytes without a token."""
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    lettered = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lettered.add_special_tokens([AddedToken("stop", normalized=False)])
+    poor = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "ab": 3, "Ġab": 4}, merges=[("a", "b"), ("Ġ", "ab")]))
+    poor.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    texts = ["nonstop stops", "stop", " stop", "ab abc cab", "", "c", "ab ab", "a.b ab. é"]
+    for k, t in enumerate((lettered, poor)):
+        t.save(path := str(tmp_path / f"{k}.json"))
+        assert ids_of(wavelet.Encoder(path), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_equal_hashes_share_no_content(monkeypatch):
     monkeypatch.setattr(textkit, "segment_hashes", lambda buf, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
     buf = np.frombuffer(b"ab cd ab", np.uint8)
