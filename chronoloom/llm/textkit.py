@@ -100,6 +100,20 @@ def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np
     return True
 
 
+def equal_segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Flags every buf[start:end] that equals as many bytes of other from its place in at on."""
+    size, mine, theirs, same = ends - starts, _eights(buf), _eights(other), np.ones(len(starts), bool)
+    for k in np.flatnonzero(size > LONG_BYTES).tolist():
+        same[k] = buf[starts[k] : ends[k]].tobytes() == other[at[k] : at[k] + size[k]].tobytes()
+    own = np.flatnonzero(size <= LONG_BYTES)
+    here, there, left = starts[own], at[own], size[own]
+    while len(own):
+        same[own[((mine[here] ^ theirs[there]) & _LOW_BYTES[np.minimum(left, 8)]) != 0]] = False
+        on = np.flatnonzero(left > 8)
+        own, here, there, left = own[on], here[on] + 8, there[on] + 8, left[on] - 8
+    return same
+
+
 def kinds_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which segments are equal, told by their bytes: a place of each kind, and each segment's kind."""
     h = segment_hashes(buf, starts, ends)

@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -230,8 +230,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.bytes, self.byte_starts = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of hashes
         self.used = self.pieces = 0
 
     def _ids(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
@@ -261,15 +262,40 @@ class Encoder:
             self.ids, self.starts = _room(self.ids, self.used + len(ids)), _room(self.starts, self.pieces + len(own) + 1)
             self.ids[self.used : self.used + len(ids)] = ids
             self.starts[self.pieces + 1 : self.pieces + 1 + len(own)] = self.used + ends
-            self.place.update(zip(own, range(self.pieces, self.pieces + len(own)), strict=True))
+            data, size = b"".join(own), np.fromiter(map(len, own), np.int64, len(own))
+            end = int(self.byte_starts[self.pieces])
+            self.bytes, self.byte_starts = _room(self.bytes, end + len(data)), _room(self.byte_starts, self.pieces + len(own) + 1)
+            self.bytes[end : end + len(data)] = np.frombuffer(data, np.uint8)
+            self.byte_starts[self.pieces + 1 : self.pieces + 1 + len(own)] = end + np.cumsum(size)
             place[at] = np.arange(self.pieces, self.pieces + len(own))
             self.used, self.pieces = self.used + len(ids), self.pieces + len(own)
         return place
 
+    def _find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Places of pieces that are kept, told by their bytes; -1 for others."""
+        place = np.full(len(hashes), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = np.flatnonzero(self.hashes[at] == hashes)
+            held, s, e = self.place[at[known]], starts[known], ends[known]
+            fit = np.flatnonzero(self.byte_starts[held + 1] - self.byte_starts[held] == e - s)
+            fit = fit[tk.equal_segments(buf, s[fit], e[fit], self.bytes[: self.byte_starts[self.pieces]], self.byte_starts[held[fit]])]
+            place[known[fit]] = held[fit]
+        return place
+
+    def _keep(self, hashes: np.ndarray, place: np.ndarray) -> None:
+        """From now on the pieces are found; of those with one hash, only the first."""
+        hashes, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
+            hashes, first, at = hashes[new], first[new], at[new]
+        self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place[first])
+
     def encode(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and each row's number of ids."""
         buf, raw, n = texts.buf, texts.buf.tobytes(), len(texts.buf)
-        if len(self.place) > CACHE_PIECES:
+        if self.pieces > CACHE_PIECES:
             self.clear()
         kind = _KIND[buf]
         latin = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] < 0xCA))  # U+00C0 to U+027F: letters but for \xd7 and \xf7
@@ -289,14 +315,17 @@ class Encoder:
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], n)
         first, inverse = tk.kinds_of(buf, starts, ends)
-        keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        s, e = starts[first], ends[first]
+        hashes = tk.segment_hashes(buf, s, e)
+        place = self._find(buf, s, e, hashes)
         if len(new := np.flatnonzero(place < 0)):
             letters = np.zeros(n + 1, np.int32)
             np.cumsum(letter, out=letters[1:])
-            s, e = starts[first[new]], ends[first[new]]
+            s, e = s[new], e[new]
             own = letters[e] - letters[s]
-            place[new] = self._add([keys[k] for k in new.tolist()], (own > 0) & (own + (buf[s] == 0x20) == e - s))
+            plain = (own > 0) & (own + (buf[s] == 0x20) == e - s)
+            place[new] = self._add([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], plain)
+            self._keep(hashes[new], place[new])
         begin, length = self.starts[place][inverse], (self.starts[place + 1] - self.starts[place])[inverse]
         total = np.cumsum(length)
         at = np.repeat((begin - (total - length)).astype(np.int32), length)

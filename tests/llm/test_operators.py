@@ -432,7 +432,7 @@ def test_words_of_tokens_skip_the_pattern():
     marks = ["###", "***", ".", "'s", "-x"]
     texts = [" ".join(w + r.choice(marks) for w in r.choices(words, k=9)) for _ in range(2000)]
     assert ids_of(encoder, texts) == plain(texts)
-    assert len(encoder.place) <= 2 * len(set(words)) + len(marks)  # at the beginning of a text, and after a space
+    assert encoder.pieces <= 2 * len(set(words)) + len(marks)  # at the beginning of a text, and after a space
     encoder.tokenizer = None  # the search for the pattern's tokens
     new = ["Zürich ñandu " + w for w in words]
     assert ids_of(encoder, new) == plain(new)
@@ -462,6 +462,23 @@ def test_odd_vocabularies_of_tokens(tmp_path):
         assert ids_of(wavelet.Encoder(path), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_kept_pieces_are_told_by_their_bytes(monkeypatch):
+    """Short and long pieces, found again, with their own hashes and with few of them."""
+    from tokenizers import Tokenizer
+
+    path, r = P.path("byte_bpe_50k.json"), random.Random(6)
+    t, own = Tokenizer.from_file(path), textkit.segment_hashes
+    words = ["".join(r.choice("abé—1") for _ in range(n)) for n in [*range(1, 20), 255, 256, 257, 600] for _ in range(20)]
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(textkit, "segment_hashes", lambda *x: own(*x) & np.uint64(7))
+        encoder = wavelet.Encoder(path)
+        for _ in range(6):
+            texts = [" ".join(r.choices(words, k=6)) for _ in range(30)]
+            assert ids_of(encoder, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(encoder.hashes) == (len(np.unique(encoder.hashes)) if few else encoder.pieces)
+
+
 def test_equal_hashes_share_no_content(monkeypatch):
     monkeypatch.setattr(textkit, "segment_hashes", lambda buf, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
     buf = np.frombuffer(b"ab cd ab", np.uint8)
