@@ -11,6 +11,7 @@ import pytest
 from chronoloom import registry
 from chronoloom.operators import align
 from chronoloom.operators import nulls as null_ops
+from chronoloom.operators import profile
 from chronoloom.operators import sequence as sequence_ops
 from chronoloom.sources.events import ledger
 
@@ -70,3 +71,17 @@ def test_own_pairs_in_parts_keep_the_same(monkeypatch):
         monkeypatch.undo()
         for c in whole[0]:
             assert np.array_equal(np.concatenate([x[c] for x in whole]), np.concatenate([x[c] for x in parts]))
+
+
+def test_whole_profiles_are_those_of_tiles(spark):
+    """Short series go without tiles to merge: the same places, flags and distances, ties and lone windows included."""
+    rng = np.random.default_rng(9)
+    series = {f"{i}": rng.poisson(rate, n).astype(float) for i, (rate, n) in enumerate([(0.02, 90), (0.3, 77), (3, 60), (0, 12), (0.1, 9), (0.5, 3)])}
+    series["halves"], series["one"] = rng.integers(0, 3, 50) / 2, np.array([0.0] * 6 + [1.0] + [0.0] * 6)
+    rows = spark.createDataFrame([("s", d, x.tolist()) for d, x in series.items()], "session_id string, dimension string, x array<double>")
+    lengths = (2, 4, 8, 32, 64)
+    key = lambda r: (r.dimension, r.m, r.start)
+    whole, tiles = (sorted(profile.profiles(rows, lengths, whole=w).collect(), key=key) for w in (1024, 0))
+    assert [(*key(r), r.nearest, r.masked) for r in whole] == [(*key(r), r.nearest, r.masked) for r in tiles] and len(whole) > 1000
+    assert [r.distance for r in whole] == pytest.approx([r.distance for r in tiles], abs=1e-4)
+    assert sorted(map(repr, profile.scans(rows, lengths).collect())) == sorted(map(repr, profile.scans(rows, lengths, whole=0).collect()))
