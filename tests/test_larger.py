@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from chronoloom import registry
+from chronoloom.functions import lcg
 from chronoloom.operators import align
 from chronoloom.operators import nulls as null_ops
 from chronoloom.operators import profile
@@ -85,3 +86,37 @@ def test_whole_profiles_are_those_of_tiles(spark):
     assert [(*key(r), r.nearest, r.masked) for r in whole] == [(*key(r), r.nearest, r.masked) for r in tiles] and len(whole) > 1000
     assert [r.distance for r in whole] == pytest.approx([r.distance for r in tiles], abs=1e-4)
     assert sorted(map(repr, profile.scans(rows, lengths).collect())) == sorted(map(repr, profile.scans(rows, lengths, whole=0).collect()))
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 40, 90])
+@pytest.mark.parametrize("kinds", [1, 2, 5, 30])
+def test_nulls_made_at_once_are_those_made_one_by_one(length, kinds):
+    raw = np.random.default_rng(length * 31 + kinds).integers(0, kinds, length).tolist()
+    place = {m: i for i, m in enumerate(dict.fromkeys(raw))}
+    path = np.array([place[m] for m in raw])
+    seeds = [lcg.null_seed(r, 1) for r in range(25)]
+    assert null_ops.doublet_nulls(path, seeds).tolist() == [lcg.doublet_null(path.tolist(), s) for s in seeds]
+    assert null_ops.doublet_nulls(path, seeds, 1).tolist() == [lcg.doublet_null(path.tolist(), s, 1) for s in seeds]
+    assert null_ops.markov_nulls(path, seeds).tolist() == [lcg.markov_null(path.tolist(), s)[0] for s in seeds]
+
+
+def test_entropies_of_equal_counts_are_equal():
+    rng = np.random.default_rng(2)
+    rows = np.array([rng.permutation(np.repeat(np.arange(9), np.arange(9) + 1)) for _ in range(20)])
+    p = np.arange(1, 10) / 45
+    found = null_ops.entropies(rows)
+    assert len(set(found.tolist())) == 1 and found[0] == pytest.approx(-(p * np.log(p)).sum(), abs=1e-12)
+
+
+def test_structure_against_nulls_made_one_by_one(spark):
+    marks = ["a", "b", "a", "c", "c", "b", "a", "d", "a", "b"]
+    rows = spark.createDataFrame([("s", marks, [0] * 10), ("one", ["a"], [0]), ("same", ["a"] * 6, [0] * 6)], "session_id string, marks array<string>, gaps array<bigint>")
+    found = {(r.session_id, r.construction, r.measure): r for r in null_ops.structure_nulls(rows, ("order", "doublet", "markov"), 40).collect()}
+    for kind in ("order", "doublet", "markov"):
+        own = [null_ops.CONSTRUCTIONS[kind](marks, lcg.null_seed(r, 0)) for r in range(40)]
+        r = found["s", kind, "immediate repetition rate"]
+        rates = sorted(sum(x == y for x, y in zip(m, m[1:], strict=False)) / 9 for m in own)
+        assert (r.identical, r.distinct) == (own.count(marks), len({*map(tuple, own)}))
+        assert (r.null_min, r.null_max, r.exceedances) == (rates[0], rates[-1], sum(x >= r.observed for x in rates))
+    assert all(found["s", "doublet", m].exceedances == 40 for m in null_ops.MEASURES)  # pairs stay, so all measures do
+    assert {k[2] for k in found if k[0] == "one"} == {"mean run length"} and {k[2] for k in found if k[0] == "same"} == {*null_ops.MEASURES[:2]}
