@@ -7,6 +7,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom import registry
 from chronoloom.functions import lcg
@@ -120,3 +121,20 @@ def test_structure_against_nulls_made_one_by_one(spark):
         assert (r.null_min, r.null_max, r.exceedances) == (rates[0], rates[-1], sum(x >= r.observed for x in rates))
     assert all(found["s", "doublet", m].exceedances == 40 for m in null_ops.MEASURES)  # pairs stay, so all measures do
     assert {k[2] for k in found if k[0] == "one"} == {"mean run length"} and {k[2] for k in found if k[0] == "same"} == {*null_ops.MEASURES[:2]}
+
+
+def test_fidelity_moves_only_figures(spark):
+    """Nulls are compared in the session's row of work: the plan has no more exchanges than gathering sequences takes."""
+    rows = spark.createDataFrame([("s", list("abacabad"), [0] * 8), ("t", ["a"], [0]), ("u", list("ab"), [0, 0])], "session_id string, marks array<string>, gaps array<bigint>")
+    found = null_ops.fidelity(rows, ("order", "markov"), 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    held = spark.createDataFrame([(r.session_id, i, m) for r in rows.collect() for i, m in enumerate(r.marks)], "session_id string, pos long, mark string")
+    for kind in ("order", "markov"):
+        made = null_ops.replicates(rows, kind, 5).select(F.concat_ws("#", "session_id", "replicate").alias("b"), F.col("session_id").alias("a"), "marks").localCheckpoint()
+        both = held.unionByName(made.select(F.col("b").alias("session_id"), F.posexplode("marks").alias("pos", "mark")))
+        want = {(r.a, int(r.b.split("#")[1])): r for r in sequence_ops.divergence(both, made.select("a", "b")).collect()}
+        got = {(r.session_id, r.replicate): r for r in found.where(f"construction = '{kind}'").collect()}
+        assert got.keys() == want.keys() and len(got) == 10
+        for k, r in got.items():
+            assert (r.transition_tv, r.marginal_tv, r.absent) == (pytest.approx(want[k].transition_tv), pytest.approx(want[k].marginal_tv), want[k].absent)
+            assert r.max_state_tv == (None if want[k].max_state_tv is None else pytest.approx(want[k].max_state_tv))
