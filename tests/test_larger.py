@@ -138,3 +138,25 @@ def test_fidelity_moves_only_figures(spark):
         for k, r in got.items():
             assert (r.transition_tv, r.marginal_tv, r.absent) == (pytest.approx(want[k].transition_tv), pytest.approx(want[k].marginal_tv), want[k].absent)
             assert r.max_state_tv == (None if want[k].max_state_tv is None else pytest.approx(want[k].max_state_tv))
+
+
+def test_surprisals_of_the_best_pairs_are_those_of_each_step(spark, tied):
+    """The search to the score in one row of work gives what ranking, joining and scoring one by one give."""
+    events = sequence_ops.project(ledger(spark, tied))
+    rows, pairs = null_ops.arrays(events), sequence_ops.all_pairs(events)
+    got = {(r.k, r.a, r.b, r.a_start, r.b_start): r.surprisal for r in align.best_surprisals(rows, pairs, (3, 6), 20).collect()}
+    for k in (3, 6):
+        best = align.with_counts(align.with_marks(align.cross_pairs(rows, pairs, k, 20), sequence_ops.windows(events, k)), events)
+        want = {(k, r.a, r.b, r.a_start, r.b_start): r.surprisal for r in align.surprisal(best).collect()}
+        assert {x for x in got if x[0] == k} == set(want) and len(want) == 20 * pairs.count()
+        assert all(got[x] == pytest.approx(want[x], abs=1e-9) for x in want)
+
+
+def test_tails_at_once_are_those_one_by_one():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 6, 12):
+        marks, counts = rng.integers(0, 5, (200, n)), np.array([0, 1, 3, 9, 20])
+        agreed, total = rng.integers(0, n + 1, 200), np.full(200, int(counts.sum()))
+        found = align.agreement_tails(marks, counts[marks], total, agreed)
+        want = [align.agreement_tail(m.tolist(), dict(enumerate(counts.tolist())), 33, int(k)) for m, k in zip(marks, agreed, strict=True)]
+        assert found.tolist() == pytest.approx(want, rel=1e-9)
