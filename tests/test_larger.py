@@ -160,3 +160,20 @@ def test_tails_at_once_are_those_one_by_one():
         found = align.agreement_tails(marks, counts[marks], total, agreed)
         want = [align.agreement_tail(m.tolist(), dict(enumerate(counts.tolist())), 33, int(k)) for m, k in zip(marks, agreed, strict=True)]
         assert found.tolist() == pytest.approx(want, rel=1e-9)
+
+
+def test_evidence_of_the_best_pairs_is_that_of_each_step(spark, tied):
+    events = sequence_ops.project(ledger(spark, tied))
+    rows, pairs = null_ops.arrays(events), sequence_ops.all_pairs(events)
+    got = sorted(map(repr, null_ops.best_evidence(rows, pairs, (3, 8), 60).collect()))
+    want = [repr(r) for k in (3, 8) for r in null_ops.evidence(rows, align.cross_pairs(rows, pairs, k, 1), k, 60).collect()]
+    assert got == sorted(want) and len(got) == 2 * 2 * pairs.count()
+
+
+def test_events_and_timing_are_those_of_all_figures():
+    rng = np.random.default_rng(8)
+    for k in (1, 3, 7):
+        wa, wb, late = rng.integers(0, 3, (k, 400)), rng.integers(0, 3, (k, 400)), rng.choice([0, 0.25, 0.5, 0.1], (k, k))
+        event, timing = null_ops.event_and_timing(wa, wb, late)
+        f = align.cell_figures(align.aligned_cells(k, k, lambda i, j: wa[i] == wb[j], lambda i, j: late[i, j], (400,))[k][k], k)  # noqa: B023
+        assert np.array_equal(event, f["event_cost"]) and np.array_equal(timing, f["timing_cost"])
