@@ -206,9 +206,10 @@ def recordings(files: DataFrame) -> DataFrame:
     return rows.select("path", status.alias("status"), "error_line", F.when(bad, 0).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("records"), F.when(~bad, F.col("session_id")).alias("session_id"), F.when(~bad, F.col("version")).alias("version"), F.when(F.col("tail_bytes") > 0, F.col("tail_offset")).alias("tail_offset"), "tail_bytes")
 
 
-def ledger(files: DataFrame) -> DataFrame:
-    """The records of sound files in the columns of the ledger, with the raw line."""
-    sound = recordings(files).where("status in ('complete', 'truncated')").select("path")
+def ledger(files: DataFrame, replays: DataFrame | None = None) -> DataFrame:
+    """The records of sound files in the columns of the ledger, with the raw line; replays: the files' recordings, if at hand."""
+    replays = recordings(files) if replays is None else replays
+    sound = replays.where("status in ('complete', 'truncated')").select("path")
     rows = checked(files).join(sound, "path", "left_semi")
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     raw = lambda p: F.get_json_object("line", p)
@@ -284,11 +285,15 @@ def exits(files: DataFrame) -> DataFrame:
     return recordings(files).select("path", "status", status.alias("exit"))
 
 
+def identity(path: str = "path", session: str = "session_id") -> Column:
+    """What tells a file from others: the session's id, else the file's name without ending."""
+    return F.coalesce(session, F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
+
+
 def identities(files: DataFrame) -> DataFrame:
     """path, fingerprint of the bytes, and key: the session's id, else the file's name without ending."""
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     held = recordings(files).select("path", F.col("session_id").alias("_session"))
-    return files.select("path", fingerprint(F.col("content")).alias("fingerprint"), stem.alias("_stem")).join(held, "path").select("path", "fingerprint", F.coalesce("_session", "_stem").alias("key"))
+    return files.select("path", fingerprint(F.col("content")).alias("fingerprint")).join(held, "path").select("path", "fingerprint", identity("path", "_session").alias("key"))
 
 
 def normal_bytes(json_text: Column) -> Column:

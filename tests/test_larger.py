@@ -177,3 +177,15 @@ def test_events_and_timing_are_those_of_all_figures():
         event, timing = null_ops.event_and_timing(wa, wb, late)
         f = align.cell_figures(align.aligned_cells(k, k, lambda i, j: wa[i] == wb[j], lambda i, j: late[i, j], (400,))[k][k], k)  # noqa: B023
         assert np.array_equal(event, f["event_cost"]) and np.array_equal(timing, f["timing_cost"])
+
+
+def test_file_eligibility_parses_lines_twice(spark, monkeypatch):
+    """Once for the replays and once for the records of sound files, however often their figures are used."""
+    from chronoloom.plans import studies
+    from chronoloom.sources import recordings
+
+    parsed, checked = [], recordings.checked
+    monkeypatch.setattr(recordings, "checked", lambda files: parsed.append(1) or checked(files))
+    found = studies.file_eligibility(spark, "/root/testdata/sf0.001")
+    assert len(parsed) == 2
+    assert found.count() == 17 and found.where("path like 'z-%'").count() == 2
