@@ -189,3 +189,14 @@ def test_file_eligibility_parses_lines_twice(spark, monkeypatch):
     found = studies.file_eligibility(spark, "/root/testdata/sf0.001")
     assert len(parsed) == 2
     assert found.count() == 17 and found.where("path like 'z-%'").count() == 2
+
+
+def test_retained_search_of_each_span_begins_with_its_best_pair(spark, tied):
+    """What a span's search uses up is a copy: the programme goes on with the gains for longer spans."""
+    rows = null_ops.arrays(sequence_ops.project(ledger(spark, tied)))
+    pairs = rows.select("session_id").crossJoin(rows.select(F.col("session_id").alias("b"))).where("session_id < b").withColumnRenamed("session_id", "a")
+    found = {(r.a, r.b, r.k): (r.a_start, r.b_start, r.total) for r in null_ops.retained_search(rows, pairs, (3, 4, 6), 3).where("rank = 1").collect()}
+    assert len(found) == 3 * pairs.count()
+    for k in (3, 4, 6):
+        for r in align.cross_pairs(rows, pairs, k, 1).collect():
+            assert found[r.a, r.b, k][2] == pytest.approx(r.total, abs=1e-9)
